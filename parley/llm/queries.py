@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from parley.llm import packing, tokens
+from parley.llm import packing, simhash, substrings, tokens
 
 #: The vocabulary that the queries use; the operators take a path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -25,7 +25,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), SEQUENCE)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing)}
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_simhash_near_dedup, op8_substring_dedup)}
 
 #: DuckDB SQL where it can express the query.
 SQL: dict[str, str] = {}
