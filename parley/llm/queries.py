@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from parley.llm import packing, simhash, substrings, tokens
+from parley.llm import decontamination, language, packing, simhash, substrings, tokens, toxicity
+from parley.llm.common import crc_mod
 
 #: The vocabulary that the queries use; the operators take a path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,12 +31,40 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontamination.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, crc_mod(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_simhash_near_dedup, op8_substring_dedup)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs, crc_mod(F.col("doc_id"), 4) != 2)
+    found = language.predict(docs, model)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+_ALL = (
+    op1_token_counts,
+    op2_best_fit_packing,
+    op4_simhash_near_dedup,
+    op5_benchmark_decontamination,
+    op7_toxicity,
+    op8_substring_dedup,
+    op10_language_id,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL where it can express the query.
 SQL: dict[str, str] = {}

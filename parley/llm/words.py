@@ -23,11 +23,18 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Bytes of ASCII letters in lower case, of digits and of what isn't ASCII as they are, all others as a space.
+WORD_BYTES = np.array([b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256)], np.uint8)
+
+
 class Words:
     """start, end: byte positions of each word; first: the number of the first word of each row, n + 1 of them."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, table: np.ndarray | None = None):
+        """table: what each byte stands for, before words are split at white space."""
         self.data, self.offsets = buffer_of(column)
+        if table is not None:
+            self.data = table[self.data]
         blank = (self.data == 32) | ((self.data >= 9) & (self.data <= 13))
         edge = np.zeros(len(self.data) + 1, bool)
         edge[self.offsets] = True
@@ -43,11 +50,18 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def _eight(self) -> np.ndarray:
+        """The eight bytes from each position on, as an integer."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        return np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(self.data) + 1,), (1,))
+
+    def heads(self, size: int) -> np.ndarray:
+        """The first size bytes (8 at most) of each word, as an integer."""
+        return self._eight()[self.start] & _LOW[np.minimum(self.end - self.start, size)]
+
     def hashes(self) -> np.ndarray:
         """A hash of each word's bytes, eight of them at a time."""
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(self.data) + 1,), (1,)) if len(self.data) else np.zeros(1, np.uint64)
-        left = self.end - self.start
+        eight, left = self._eight(), self.end - self.start
         out = mix(left.astype(np.uint64) * _A + _B)
         at, which = self.start, None
         while len(at):
