@@ -16,6 +16,8 @@ from array import array
 #: \s is the Unicode White_Space property here, without the separators U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W_]+| ?(?:[^\w{SPACE}]|_)+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: The pieces again, as tiktoken takes them.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Two white-space characters before another character: the last one belongs to the next piece.
 RUNS = re.compile(rf"[{SPACE}]{{2,}}(?=[^{SPACE}])")
 ENTRIES = 300_000
@@ -223,44 +225,40 @@ def total(differences: bytes) -> int:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which encodes each distinct piece once."""
+    """Ids of whole texts, as the tokenizers library gives them for this file.
+
+    The same vocabulary, read from the same file, runs in tiktoken, which merges in the order of the ids and is
+    faster; it is used if that is the file's order of merges, for texts without very long pieces and special strings.
+    Others go to tokenizers, piece by piece.
+    """
+
+    LONG = 500
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many workers as there are cores
+        import tiktoken
         from tokenizers import Tokenizer
 
+        vocabulary = Vocabulary(path)
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = {s: i for s, i in Vocabulary(path).special.items()}
+        self.special = dict(vocabulary.special)
         self.packed = Bounded(self._packed)
+        self.fast = None
+        if all(rank + 256 == made for rank, made in vocabulary.ranks.values()):
+            self.fast = tiktoken.Encoding("fast", pat_str=PATTERN, mergeable_ranks=vocabulary.ids, special_tokens={})
 
     def _packed(self, piece: str) -> bytes:
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that aren't known yet in one call."""
-        packed, todo = self.packed, []
-        packed.turn()
-        for piece in (x for x in pieces if x not in packed):
-            known = packed.old.pop(piece, None)
-            if known is None:
-                todo.append(piece)
-            else:
-                packed[piece] = known
-        for piece, made in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            packed[piece] = array("I", made.ids).tobytes()
-
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         for name, token in self.special.items():
             at = text.find(name)
             if at >= 0:
                 return self.encode(text[:at]) + array("I", [token]).tobytes() + self.encode(text[at + len(name) :])
-        pieces = PIECES.findall(text)
-        try:
-            return b"".join([self.packed.get(x) for x in pieces])
-        except TypeError:  # one isn't known
-            self.learn(set(pieces))
-        return b"".join(map(self.packed.__getitem__, pieces))
+        if self.fast is not None and max(map(len, text.split(" "))) <= self.LONG and " " * self.LONG not in text:
+            return self.fast.encode_to_numpy(text).tobytes()
+        return b"".join(map(self.packed.__getitem__, PIECES.findall(text)))
 
 
 @functools.lru_cache(maxsize=2)
