@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from parley.llm import decontamination, language, packing, simhash, substrings, tokens, toxicity
+from parley.llm import decontamination, language, licenses, packing, simhash, sketches, substrings, tokens, toxicity, urls
 from parley.llm.common import crc_mod
 
 #: The vocabulary that the queries use; the operators take a path.
@@ -26,6 +26,21 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), SEQUENCE)
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketches.edited_likeness(_table(spark, sf_dir, "documents"))
+    own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketches.as_text(own).alias("fingerprint"),
+        sketches.as_text(edited).alias("edited_fingerprint"),
+        sketches.likeness(own, edited).alias("near_edited"),
+        sketches.likeness(own, after).alias("near_next"),
+        sketches.containment(own, edited).alias("contained_edited"),
+    )
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -36,6 +51,11 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, crc_mod(F.col("doc_id"), 5) != 0)
@@ -48,6 +68,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: (verdict, host, path)
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.train(docs, crc_mod(F.col("doc_id"), 4) != 2)
@@ -58,13 +86,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_token_counts,
     op2_best_fit_packing,
+    op3_document_fingerprints,
     op4_simhash_near_dedup,
     op5_benchmark_decontamination,
+    op6_license_scan,
     op7_toxicity,
     op8_substring_dedup,
+    op9_url_filter,
     op10_language_id,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
+_URL_SQL = """
+    WITH parts AS (
+        SELECT page_id, coalesce(url LIKE '%://%', false) AS ok, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    split AS (
+        SELECT page_id,
+            translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+    fits AS (
+        SELECT *, host = 'org' OR ends_with(host, '.org') AS o, host = 'example.org' OR ends_with(host, '.example.org') AS e, host = 'com' OR ends_with(host, '.com') AS c FROM split)
+    SELECT page_id, host, path,
+        CASE WHEN e AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN e AND starts_with(path, '/es/') THEN 'example.org/es/' WHEN o AND starts_with(path, '/') THEN 'org/'
+             WHEN c AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN c AND starts_with(path, '/de/') THEN 'com/de/' END AS rule,
+        CASE WHEN e AND (starts_with(path, '/en/1') OR starts_with(path, '/es/')) THEN 'block' WHEN o AND starts_with(path, '/') THEN 'allow' WHEN c AND starts_with(path, '/de/') THEN 'block' ELSE 'allow' END AS verdict
+    FROM fits
+"""
+
 #: DuckDB SQL where it can express the query.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_license_scan": licenses.oracle_sql(),
+    "op9_url_filter": _URL_SQL,
+}
