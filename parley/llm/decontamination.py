@@ -228,9 +228,9 @@ def _without(text: str, spans: list[dict]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs without the spans that are hit; a document of which more than max_coverage of the words are hit goes.
 
-    Columns of docs named n_words, spans or items are left out.
+    Columns of docs named n_words, spans, items or _text are left out.
     """
-    docs = docs.drop("n_words", "spans", "items")
+    docs = docs.drop("n_words", "spans", "items", "_text")
     names = docs.columns
     kept = tuple(c for c in names if c != key)
     found = find_contamination(docs, benchmark, window, key, text, item, item_text, kept, shard_words)

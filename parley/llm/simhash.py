@@ -208,7 +208,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """One row of docs for each component: its representative, and of repeated such rows one."""
+    """One row of docs for each component: its representative, and of repeated such rows one.
+
+    Columns of docs named _k or _h are left out.
+    """
+    docs = docs.drop("_k", "_h")
     found = near_duplicates(docs, key, text, shingle)
     kept = found.where("representative").select(F.col(key).alias("_k"), F.col("text_hash").alias("_h"))
     at = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text)) == F.col("_h"))

@@ -217,10 +217,10 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     return dealt.mapInArrow(exact, T.StructType([fields[key], fields["_text_hash"], fields["_start"], fields["_n"]]))
 
 
-def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS) -> DataFrame:
+def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS, normalise: bool = True) -> DataFrame:
     """All columns of docs, text being the kept words joined by one space, and n_words long, n_removed long.
 
-    Texts that lose nothing are normalised to single spaces too, but for null, which stays null. Columns of docs
+    Texts that lose nothing are normalised to single spaces too if normalise is set; null stays null. Columns of docs
     that have the names of result columns or of _text_hash, _runs, _k, _h are left out.
     """
     docs = docs.drop("n_words", "n_removed", "_text_hash", "_runs", "_k", "_h")
@@ -244,7 +244,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                     np.add.at(depth, begin + np.array([x["_n"] for x in places]) + window - 1, -1)
                     parts = [parts[i] for i in np.flatnonzero(np.cumsum(depth[:-1]) == 0).tolist()]
                 removed.append(words[-1] - len(parts))
-                out.append(b" ".join(parts) if value is not None else None)
+                out.append(None if value is None else b" ".join(parts) if places or normalise else value.encode())
             columns = [batch.column(i) for i in range(len(names))]
             columns[where] = pa.array(out, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_words", "n_removed"])
