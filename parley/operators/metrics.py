@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.functions import text as tx
 
@@ -97,7 +98,7 @@ def bleu_1(pairs: DataFrame, key: str = "id", reference: str = "reference", hypo
     return made.select(key, F.when((F.col("_nh") == 0) | (F.col("_nr") == 0), 0.0).otherwise(penalty * F.col("precision")).alias("bleu"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
     """The length of the longest common subsequence of two token arrays, by bit-parallel rows."""
 
