@@ -14,15 +14,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: At most this many text bytes are looked at together in a Python worker.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
+
+
+#: Bytes of a batch on its way to a Python worker, and of an allocation that goes back to the system when it is freed.
+BATCH_BYTES, LARGE = 8 << 20, 1 << 18
 
 
 def share_code(spark: SparkSession) -> None:
-    """Let Python workers import this package even when the driver was not started in its folder."""
+    """Let Python workers import this package wherever the driver was started, and keep them small.
+
+    Batches are bounded by bytes, since texts differ much in length, and freed buffers go back to the system, as
+    a worker lives on between tasks.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    env |= {"MALLOC_MMAP_THRESHOLD_": str(LARGE), "MALLOC_TRIM_THRESHOLD_": str(LARGE), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

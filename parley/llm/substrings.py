@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import CHUNK_BYTES, chunks, share_code
+from parley.llm.common import BATCH_BYTES, chunks, share_code
 from parley.llm.words import Words, mix, pairs
 
 #: Cells in a row of the sketch, as a power of two, and rows. A merged row is a bit for each cell: twice or more.
 BITS, ROWS = 26, 2
 BLOCK = 16
+#: Text bytes, or bytes of hashes, that are looked at together.
+WINDOW_BYTES = BATCH_BYTES
 _SEEDS = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
 
 
@@ -90,7 +92,7 @@ def repeated_cells(docs: DataFrame, text: str = "text", window: int = 35, gram:
     share_code(docs.sparkSession)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text", 4 * CHUNK_BYTES):
+        for batch in chunks(batches, "_text", WINDOW_BYTES):
             found = Windows(batch.column(0), window, gram)
             if not found.n:
                 continue
@@ -148,7 +150,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [np.frombuffer(x, np.uint8) for x in shared.value]
-        for batch in chunks(batches, "_text", 4 * CHUNK_BYTES):
+        for batch in chunks(batches, "_text", WINDOW_BYTES):
             found = Windows(batch.column(2), window, gram)
             if not found.n:
                 continue
@@ -201,7 +203,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
             batch = batch.filter(pa.compute.is_valid(batch.column(5)))
             if not batch.num_rows:
                 continue
-            if size > CHUNK_BYTES:
+            if size > WINDOW_BYTES:
                 groups = batch.column(0).to_numpy()
                 cut = int(np.searchsorted(groups, held[-1].column(0)[-1].as_py(), side="right"))
                 if cut < batch.num_rows:

@@ -46,7 +46,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words = Words(column, WORD_BYTES)
     if not len(words.start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row, h = words.row(), words.hashes()
+    row, h = words.row().astype(np.int64), words.hashes()
     near, far = row[1:] == row[:-1], row[2:] == row[:-2]
     two, skip = pairs(h[:-1], h[1:])[near], pairs(h[:-2] ^ _GAP, h[2:])[far]
     rows, found = [row, row[:-1][near], row[:-2][far]], [mix(h), two, skip]

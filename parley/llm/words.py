@@ -48,7 +48,7 @@ class Words:
 
     def row(self) -> np.ndarray:
         """The row of each word."""
-        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        return np.repeat(np.arange(len(self.first) - 1, dtype=np.int32), np.diff(self.first))
 
     def _eight(self) -> np.ndarray:
         """The eight bytes from each position on, as an integer."""
