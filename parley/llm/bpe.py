@@ -19,6 +19,7 @@ PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W_]+| ?(?:[^\w{SPACE}]|_)+|[{SP
 #: The pieces again, as tiktoken takes them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Two white-space characters before another character: the last one belongs to the next piece.
+BLANK = re.compile(rf"[{SPACE}]+")
 RUNS = re.compile(rf"[{SPACE}]{{2,}}(?=[^{SPACE}])")
 ENTRIES = 300_000
 
@@ -195,7 +196,7 @@ class PrefixCounter:
         at = 0
         for piece, after in zip(pieces, pieces[1:]):
             at += len(piece)
-            if piece.isspace() and after[0].isspace():
+            if BLANK.fullmatch(piece) and BLANK.match(after):
                 # The prefix that ends after the run's last space has the whole run as one piece.
                 run = self.counted[piece + after[0]]
                 more = _signed(run[len(piece)]) - _signed(out[at])
