@@ -130,7 +130,7 @@ def reply_metrics(pairs: DataFrame, key: str = "id", reference: str = "reference
     longest = rouge_l(pairs, key, reference, hypothesis).select(key, F.col("f1").alias("rouge_l"))
     sizes = pairs.select(key, F.char_length(hypothesis).alias("_c"), F.size(tx.word_tokens(F.col(hypothesis))).alias("_t"))
     whole = sizes.join(one, key).join(two, key).join(longest, key).join(bleu_1(pairs, key, reference, hypothesis), key)
-    names = {"rouge_1": "rouge_1", "rouge_2": "rouge_2", "rouge_l": "rouge_l", "bleu": "bleu_1", "_c": "mean_chars", "_t": "mean_tokens"}
+    names = {"rouge_1": "rouge_1", "rouge_2": "rouge_2", "rouge_l": "rouge_l", "bleu": "bleu", "_c": "mean_chars", "_t": "mean_tokens"}
     return whole.agg(*(F.avg(k).alias(v) for k, v in names.items()), F.count(F.lit(1)).alias("pairs")).where("pairs > 0")
 
 
