@@ -25,7 +25,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what has no language: null texts and texts without a letter."""
-    found = language.predict(docs.select(*COLUMNS, F.col("text").alias("_body")), language.train(docs), text="_body", keep=tuple(COLUMNS[1:]))
+    found = language.predict(docs, language.train(docs), keep=tuple(COLUMNS[1:]))
     return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 

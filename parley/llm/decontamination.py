@@ -177,21 +177,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     automata = [sc.broadcast(Automaton(x, window)) for x in _shards(benchmark, item, item_text, shard_words)]
     pair = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([docs.schema[key], *(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(pair)), T.StructField("items", T.ArrayType(T.StringType()))])
+    chosen = docs.select(F.col(key), *(F.col(c) for c in keep), *([] if text in keep else [F.col(text).alias("_text")]))  # the text goes once
+    names_in, column = chosen.columns, text if text in keep else "_text"
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = [x.value for x in automata]
-        for batch in chunks(batches, "_text"):
+        for batch in chunks(batches, column):
             counts, spans, items = [], [], []
-            for value in byte_rows(batch.column(batch.num_columns - 1)):
+            for value in byte_rows(batch.column(names_in.index(column))):
                 words = words_of(value) if value else []
                 counts.append(len(words))
                 hits = [x.scan(words) for x in loaded]
                 spans.append([{"begin": a, "end": b} for a, b in (hits[0][0] if len(hits) == 1 else unite(y for x, _ in hits for y in x))] if hits else [])
                 items.append(sorted(set().union(*(x for _, x in hits))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 1], pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=schema.fieldNames())
 
-    return docs.select(F.col(key), *(F.col(c) for c in keep), F.col(text).alias("_text")).mapInArrow(scan, schema)
+    return chosen.mapInArrow(scan, schema)
 
 
 def unite(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
