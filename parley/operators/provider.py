@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from parley.session import share_code
+
 #: Parts of a message that tell of a rate limit.
 RATE_WORDS = ("429", "rate", "limit", "quota", "exhausted")
 Provider = Callable[[str], str]
@@ -39,6 +41,7 @@ def answers(rows: DataFrame, prompt: str, providers: Callable[[], list[Provider]
 
     providers is called once in each task: clients are made where they are used.
     """
+    share_code(rows.sparkSession)
     schema = T.StructType([*rows.schema.fields, T.StructField(column, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,5 +1,7 @@
 """A session with the settings that the package is tested with."""
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +15,11 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     for key, value in conf.items():
         made = made.config(key.replace("__", "."), value)
     return made.getOrCreate()
+
+
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
