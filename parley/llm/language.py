@@ -4,8 +4,8 @@ The family of languages comes first (a linear support vector machine for each fa
 the language: one machine for each pair of languages of that family, the most wins decide, and the sum of
 margins where wins are equal. Features are the relative frequencies of byte trigrams of the text, in lower case for A-Z and
 with all ASCII that isn't a letter taken as a space, hashed to 2 ** BITS places. Machines are fitted on the
-driver on at most `sample` rows of each language, those with the least hash of their key (a documented bound);
-every whole text is judged.
+driver on at most `sample` rows of each of the at most LANGUAGES languages with most rows, chosen by a hash of
+their key (documented bounds); every whole text is judged.
 
 Languages that FAMILIES doesn't name form a family of their own ("other"). Defined cases: text that is null or
 has no letter is `und` with score 0; so is all if nothing was learned. A single family or language needs no machine and
@@ -27,6 +27,8 @@ from parley.llm.words import buffer_of
 
 BITS = 12
 SAMPLE = 1500
+LANGUAGES = 200
+_PARTS = 10**9
 UNKNOWN = "und"
 #: ISO 639-1 codes by family.
 FAMILIES = {
@@ -135,8 +137,14 @@ def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", te
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_k"), "_k"))
-    chosen = rows.select(F.col(key).alias("_k"), F.col(lang).alias("_lang")).withColumn("_n", rank).where(F.col("_n") <= sample).drop("_n")
+    counts = rows.groupBy(F.col(lang).alias("_lang")).count().orderBy(F.col("count").desc(), "_lang").limit(LANGUAGES).collect()
+    if not counts:
+        return None
+    # A hash takes about twice the sample of each language before any row is sorted, however large the table.
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["_lang"], min(_PARTS, 2 * sample * _PARTS // r["count"] + 1))))
+    thin = rows.select(F.col(key).alias("_k"), F.col(lang).alias("_lang")).where(F.pmod(F.xxhash64("_k"), F.lit(_PARTS)) < F.try_element_at(share, F.col("_lang")))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64(F.xxhash64("_k")), "_k"))
+    chosen = thin.withColumn("_n", rank).where(F.col("_n") <= sample).drop("_n")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
@@ -145,8 +153,8 @@ def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", te
             live = [np.flatnonzero(x).astype("<u2") for x in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in live], pa.binary()), pa.array([x[i].tobytes() for x, i in zip(made, live)], pa.binary())], names=["k", "lang", "place", "count"])
 
-    # At most sample rows of a key and a code for each language, at most 200 languages: small enough to broadcast.
-    joined = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_l")).join(F.broadcast(chosen.limit(200 * sample)), (F.col("_key") == F.col("_k")) & (F.col("_l") == F.col("_lang")))
+    # At most sample rows of a key and a code for each of at most LANGUAGES languages: small enough to broadcast.
+    joined = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_l")).join(F.broadcast(chosen), (F.col("_key") == F.col("_k")) & (F.col("_l") == F.col("_lang")))
     made = joined.select(F.xxhash64("_key").alias("k"), "_text", "_lang").mapInArrow(counts, "k long, lang string, place binary, count binary").toArrow().to_pylist()
     if not made:
         return None
@@ -163,15 +171,17 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     share_code(docs.sparkSession)
     schema = T.StructType([docs.schema[key], *(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a machine has 2 ** BITS weights
+    chosen = docs.select(F.col(key), *(F.col(c) for c in keep), *([] if text in keep else [F.col(text).alias("_text")]))  # the text goes once
+    names_in, column = chosen.columns, text if text in keep else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in chunks(batches, "_text"):
-            text = batch.column(batch.num_columns - 1)
-            letters = has_letter(text)
+        for batch in chunks(batches, column):
+            body = batch.column(names_in.index(column))
+            letters = has_letter(body)
             names, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             if model is not None and letters.any():
-                at, bounds = places(text)
+                at, bounds = places(body)
                 size = np.maximum(1, np.diff(bounds))
 
                 def margin(machine: Machine) -> np.ndarray:
@@ -198,9 +208,9 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
                     mine = letters & (best == f)
                     names[mine] = np.array(codes, object)[chosen[mine]]
                     score[mine] = (sure * np.where(np.isinf(least[0]), 1, _sure(least[chosen, np.arange(batch.num_rows)])))[mine]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names.tolist(), pa.string()), pa.array(score)], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 1], pa.array(names.tolist(), pa.string()), pa.array(score)], names=schema.fieldNames())
 
-    return docs.select(F.col(key), *(F.col(c) for c in keep), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return chosen.mapInArrow(run, schema)
 
 
 def _sure(margin: np.ndarray) -> np.ndarray:
