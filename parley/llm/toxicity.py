@@ -3,8 +3,8 @@
 Features are the distinct words, the stems of longer words, pairs of neighbouring words and pairs with one word
 between, hashed to 2 ** BITS places. Each place has its own learning rate, and the L1 term keeps the weights of most at zero, so the model is
 a short list of places and weights that is broadcast. It is fitted on the driver on at most `sample` labelled
-rows, those with the least hash of their key (a documented bound: the rest of the labels are left out); all
-rows are scored, whole texts.
+rows, chosen by a hash of their key (a documented bound: the rest of the labels are left out); all rows are
+scored, whole texts.
 
 Defined cases: null and empty texts have no feature and get the score of the bias alone; rows whose label is
 null or not 0 or 1 aren't learned from; without usable labels every score is 0; repeated rows get equal scores; other
@@ -25,6 +25,7 @@ from parley.llm.words import WORD_BYTES, Words, mix, pairs
 
 BITS = 20
 SAMPLE = 10_000
+_PARTS = 10**9
 #: Beyond so many weights the model isn't broadcast but refused (12 bytes each).
 MOST_WEIGHTS = 1 << BITS
 #: Inflected words also count by their first bytes, so many of them.
@@ -87,7 +88,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key:
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
-    chosen = rows.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).distinct().orderBy(F.xxhash64("_k"), "_k", "_y").limit(sample)
+    # A hash takes about twice the sample before any row is sorted, however many labels there are.
+    share = 2 * sample * _PARTS // max(1, rows.count()) + 1
+    thin = rows.where(F.pmod(F.xxhash64(key), F.lit(_PARTS)) < share)
+    chosen = thin.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).distinct().orderBy(F.xxhash64(F.xxhash64("_k")), "_k", "_y").limit(sample)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
