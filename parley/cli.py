@@ -93,7 +93,7 @@ def eval_gold(spark: SparkSession, a: argparse.Namespace) -> None:
     gold = files.with_position(files.read_jsonl(spark, a.gold_path, files.GOLD))
     errors.require_valid(gold)
     if a.replay:
-        cached = files.with_position(files.read_predictions(spark, a.replay))
+        cached = files.with_position(files.read_predictions(spark, files.resolve(a.replay, [a.output_dir, os.path.dirname(a.gold_path), "reports"])))
         rows = files.replay(gold, cached)
         missing = rows.where("predicted_intent is null").count()
         if missing:

@@ -1,5 +1,7 @@
 """Sources and sinks: flat message CSV, JSON lines and documents, id lists, resumable results."""
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,14 @@ THREAD = T.StructType([*(T.StructField(c, _S) for c in ("thread_id", "customer_t
 GOLD = T.StructType([*(T.StructField(c, _S) for c in ("thread_id", "customer_tweet_id", "customer_text", "brand_text")), T.StructField("turn_count", T.IntegerType()), *(T.StructField(c, _S) for c in ("created_at", "notes", "intent")), T.StructField("escalate", T.BooleanType()), T.StructField("escalate_reason", _S)])
 
 
+def resolve(path: str, folders: list[str]) -> str:
+    """The path itself if it is there, else the first folder that has a file of that name."""
+    for candidate in (path, *(os.path.join(folder, os.path.basename(path)) for folder in folders)):
+        if os.path.exists(candidate):
+            return candidate
+    raise FileNotFoundError(path)
+
+
 def read_tweets(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text; quoted texts may hold line ends. file_pos is the order of the rows."""
     rows = spark.read.schema(TWEET).option("header", True).option("multiLine", True).option("escape", '"').csv(path)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import lexicon as lx
-from parley.operators import agents, errors, provider, sampling, search, threads
+from parley.operators import agents, assisted, errors, provider, sampling, search, threads
 from parley.sources import files
 from parley.streaming import triage
 
@@ -230,6 +230,29 @@ def test_provider(spark):
     assert {r.i: r.answer for r in provider.answers(rows, "prompt", lambda: [lambda p: p + "!"]).collect()} == {1: "q!", 2: None}
 
 
+def test_assisted(spark):
+    asked = spark.createDataFrame([("q1", "my battery drains")], "thread_id string, customer_text string")
+    says = lambda answer: lambda: [lambda prompt: answer]
+    assert assisted.classify(asked).first().predicted_intent == "battery_power_issue"
+    assert assisted.classify(asked, says('{"intent": "other"}')).first().predicted_intent == "other"
+    assert assisted.classify(asked, says("no idea")).first().predicted_intent == "battery_power_issue"
+    decided = spark.createDataFrame([("c", "other", None, "@1 past")], "customer_text string, predicted_intent string, predicted_reason string, top_reply string")
+    assert assisted.draft(decided).first().predicted_reply == "past"
+    assert assisted.draft(decided, says('"@you  hello"')).first().predicted_reply == "hello"
+    assert assisted.draft(decided, says('""')).first().predicted_reply == "past"
+    reply = spark.createDataFrame([("c", "restart it", False)], "customer_text string, reply string, escalate boolean")
+    plain, rated, broken = (assisted.rate(reply, p, 0).first() for p in (None, says('{"tone": 2, "overall_quality": 9, "safety_guardrail": false}'), says("{")))
+    assert (plain.judged_by, rated.judged_by, broken.judged_by) == ("rules", "model", "rules")
+    assert (rated.tone, rated.overall, rated.safe, rated.relevance) == (2, 5, False, 4) and broken.tone == plain.tone
+
+
+def test_resolve(tmp_path):
+    (tmp_path / "x.json").write_text("[]")
+    assert files.resolve("gone/x.json", ["nowhere", str(tmp_path)]) == str(tmp_path / "x.json")
+    with pytest.raises(FileNotFoundError):
+        files.resolve("y.json", [str(tmp_path)])
+
+
 def test_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     texts = spark.createDataFrame([("2024-01-01 00:00:00", "my lawyer"), ("2024-01-01 00:03:00", "charged twice"), ("2024-01-01 01:00:00", "fine")], "ts string, text string").withColumn("ts", F.to_timestamp("ts"))
