@@ -1,7 +1,8 @@
 """Operator 2, best-fit packing by sums of squares.
 
-Texts are encoded, cut into pieces of at most `limit` tokens and placed into sequences. A piece goes where the
-sum over all residual gaps of (number of open bins with that gap) squared becomes smallest. Pieces are dealt
+Texts are encoded, cut into pieces of at most `limit` tokens and placed into sequences, the longest first. Of the
+open bins with room, a piece goes to the one that makes the sum over all residual gaps of (number of open bins
+with that gap) squared smallest. Pieces are dealt
 by a hash of their key into groups of a bounded expected number of pieces, each packed on its own. The bins
 that stay partly open are then packed once more, as units and in larger groups, by the same rule, so that the groups of the first
 round cost next to no fill.
@@ -58,8 +59,9 @@ def place(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """The bin and the offset of each size, in the given order; the rule of sums of squares decides.
 
     Into a bin of level h: the number of bins at h falls by one and that at h + s rises by one, which changes
-    the sum of squares by 2 * (n[h + s] - n[h]) + 2 (a full bin isn't open and counts for nothing). A new bin
-    adds 2 * n[s] + 1. Ties go to the fullest bin, and to an open bin before a new one.
+    the sum of squares by 2 * (n[h + s] - n[h]) + 2, or by 1 - 2 * n[h] if that fills it (a full bin isn't open).
+    Ties go to the fullest bin. A new bin is opened only where no open one has room: sizes come in descending
+    order, so any room that is left must be used by what is still to come.
     """
     levels = np.zeros(limit + 1, np.int64)  # bins by level
     at: list[list[int]] = [[] for _ in range(limit + 1)]
@@ -73,9 +75,9 @@ def place(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         top = limit - s
         here, there = levels[1 : top + 1], levels[s + 1 : limit + 1]
         change = np.where(here > 0, 2 * (there - here) + 2, none)
-        change[-1] -= 1 if here[-1] else 0
+        change[-1] = 1 - 2 * here[-1] if here[-1] else none
         best = top - int(np.argmin(change[::-1]))
-        if not len(change) or change[best - 1] > 2 * levels[s] + 1:
+        if change[best - 1] == none:
             where, level = used, 0
             used += 1
         else:

@@ -84,7 +84,7 @@ def test_pieces_and_places(docs, no_docs, clashing, library):
 
 def test_place_minimises_the_sum_of_squares():
     rng = random.Random(3)
-    limit, sizes = 20, [rng.randint(1, 20) for _ in range(300)]
+    limit, sizes = 20, sorted((rng.randint(1, 20) for _ in range(300)), reverse=True)
     bins, offsets = packing.place(np.array(sizes), limit)
     fill: dict[int, int] = {}
     for size, where, offset in zip(sizes, bins.tolist(), offsets.tolist()):
@@ -95,10 +95,10 @@ def test_place_minimises_the_sum_of_squares():
 
         fits = [b for b, x in fill.items() if x + size <= limit]
         if size < limit:
-            assert squares(where) == min(squares(b) for b in [*fits, max(fill, default=-1) + 1])
+            assert squares(where) == min(squares(b) for b in fits) if fits else where not in fill
         assert fill.get(where, 0) == offset
         fill[where] = offset + size
-    assert len(fill) <= 1.1 * sum(sizes) / limit + 2
+    assert len(fill) <= 1.03 * sum(sizes) / limit + 2
 
 
 def test_packing_fill(spark):
@@ -106,4 +106,4 @@ def test_packing_fill(spark):
     rows = [(i, "w " * rng.randint(1, 900)) for i in range(1500)]
     packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 2048, group=200)
     n, total = packed.selectExpr("count(distinct sequence_id)", "sum(length)").first()
-    assert n <= total / 2048 * 1.03 + 1
+    assert n <= total / 2048 * 1.005 + 2
