@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.session import share_code as share_package
+
 #: At most this many text bytes are looked at together in a Python worker.
 CHUNK_BYTES = 2 << 20
 
@@ -27,10 +31,8 @@ def share_code(spark: SparkSession) -> None:
     Batches are bounded by bytes, since texts differ much in length, and freed buffers go back to the system, as
     a worker lives on between tasks.
     """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    share_package(spark)
     env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     env |= {"MALLOC_MMAP_THRESHOLD_": str(LARGE), "MALLOC_TRIM_THRESHOLD_": str(LARGE), "ARROW_DEFAULT_MEMORY_POOL": "system"}
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -41,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             base = tempfile.mkdtemp(prefix="parley-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
         else:
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/parley-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)

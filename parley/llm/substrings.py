@@ -4,7 +4,8 @@ A window is `window` consecutive words. It is keyed by the smallest hash among i
 neighbouring windows share a key and equal windows have equal keys. First pass: each task counts the occurrences
 of key grams into a count-min sketch of fixed size; merged, the sketches never say less than the true count of
 a key gram, which is never less than that of a window with that key. Second pass: only windows whose estimate is
-two or more are grouped, exactly, by key and hash of all their words. A task first settles the windows that
+two or more are grouped, exactly, by key and hash of all their words. Where a key gram is very frequent, a second
+sketch counts its windows whole, and only those that may repeat go on. A task first settles the windows that
 repeat within its own chunk, and sends one row for each different window, so a passage in a third of all
 documents arrives once from each chunk. The sketch has a fixed size: where it fills up, more windows
 go to the exact pass and the result stays the same.
@@ -17,7 +18,7 @@ of all its windows; texts shorter than a window lose nothing; other columns of t
 their names, and a null key is kept.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from parley.llm.words import Words, mix, pairs
 #: Cells in a row of the sketch, as a power of two, and rows. A merged row is a bit for each cell: twice or more.
 BITS, ROWS = 26, 2
 BLOCK = 16
+#: A key gram is hot if its count, of two at most from each chunk, comes to this.
+HOT = 64
 #: Text bytes, or bytes of hashes, that are looked at together.
 WINDOW_BYTES = BATCH_BYTES
 _SEEDS = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
@@ -87,8 +90,21 @@ def _cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(keys ^ _SEEDS[row]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def repeated_cells(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS, rows: int = ROWS) -> list[bytes]:
-    """The merged sketch: for each row a bitmap of the cells counted twice or more, 2 ** bits / 8 bytes each."""
+def _all_set(maps: list[np.ndarray], keys: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the cells of a key are set in every row."""
+    out = np.ones(len(keys), bool)
+    for row, bitmap in enumerate(maps):
+        cells = _cells(keys, row, bits)
+        out &= (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
+def merged_sketch(docs: DataFrame, counted: Callable[["Windows"], np.ndarray], text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS, hot_count: int = HOT, rows: int = ROWS) -> tuple[list[bytes], list[bytes] | None]:
+    """Bitmaps for each row of the sketch of what `counted` gives for a chunk: cells counted twice or more, and hot ones.
+
+    A cell's count in a chunk goes up to two; hot are cells with hot_count or more over all chunks (None if there are
+    none). A bitmap has 2 ** bits / 8 bytes.
+    """
     share_code(docs.sparkSession)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,37 +112,51 @@ def repeated_cells(docs: DataFrame, text: str = "text", window: int = 35, gram:
             found = Windows(batch.column(0), window, gram)
             if not found.n:
                 continue
-            keys = found.key_grams()
-            for row in range(rows):
+            keys = counted(found)
+            for row in range(rows if len(keys) else 0):
                 cells, counts = np.unique(_cells(keys, row, bits), return_counts=True)
-                cells = np.repeat(cells, np.minimum(counts, 2))  # a cell's count matters up to two
+                cells = np.repeat(cells, np.minimum(counts, 2))
                 blocks = cells >> BLOCK
                 cuts = np.flatnonzero(np.diff(blocks)) + 1
                 low = (cells & (1 << BLOCK) - 1).astype("<u2")
-                names = blocks[np.concatenate([[0], cuts])] if len(blocks) else blocks
-                yield pa.RecordBatch.from_arrays([pa.array(names * rows + row, pa.int64()), pa.array([x.tobytes() for x in np.split(low, cuts)] if len(blocks) else [], pa.binary())], names=["block", "cells"])
+                names = blocks[np.concatenate([[0], cuts])]
+                yield pa.RecordBatch.from_arrays([pa.array(names * rows + row, pa.int64()), pa.array([x.tobytes() for x in np.split(low, cuts)], pa.binary())], names=["block", "cells"])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), "<u2")
-        full = np.bincount(cells, minlength=1 << BLOCK) >= 2
-        return pa.table({"block": pa.array([key[0].as_py()] if full.any() else [], pa.int64()), "bitmap": pa.array([np.packbits(full, bitorder="little").tobytes()] if full.any() else [], pa.binary())})
+        count = np.bincount(np.frombuffer(b"".join(table.column("cells").to_pylist()), "<u2"), minlength=1 << BLOCK)
+        made = [np.packbits(x, bitorder="little").tobytes() if x.any() else None for x in (count >= 2, count >= hot_count)]
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "twice": pa.array(made[:1], pa.binary()), "hot": pa.array(made[1:], pa.binary())})
 
     parts = docs.select(F.col(text).alias("_text")).mapInArrow(partial, "block long, cells binary")
-    merged = [bytearray((1 << bits) // 8) for _ in range(rows)]
     size = (1 << BLOCK) // 8
+    twice, hot, any_hot = [bytearray((1 << bits) // 8) for _ in range(rows)], [bytearray((1 << bits) // 8) for _ in range(rows)], False
     # At most rows * 2 ** (bits - BLOCK) blocks of fixed size.
-    for name, bitmap in parts.groupBy("block").applyInArrow(merge, "block long, bitmap binary").toLocalIterator():
+    blocks = parts.groupBy("block").applyInArrow(merge, "block long, twice binary, hot binary").where("twice is not null").toArrow()
+    for name, more, most in zip(*(blocks.column(c).to_pylist() for c in ("block", "twice", "hot"))):
         block, row = divmod(name, rows)
-        merged[row][block * size : block * size + size] = bitmap
-    return [bytes(x) for x in merged]
-
-
+        twice[row][block * size : block * size + size] = more
+        if most is not None:
+            hot[row][block * size : block * size + size], any_hot = most, True
+    return [bytes(x) for x in twice], [bytes(x) for x in hot] if any_hot else None
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS) -> DataFrame:
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS, hot_count: int = HOT) -> DataFrame:
     """key, _text_hash, _start, _n: _n windows from word _start on whose sequences start elsewhere too."""
-    sketch = repeated_cells(docs, text, window, gram, bits)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
+    spark = docs.sparkSession.sparkContext
+    twice, hot = merged_sketch(docs, Windows.key_grams, text, window, gram, bits, hot_count)
+    # A passage in very many texts is a key of as many different windows, half in and half out of it: those are
+    # counted whole, so that only the ones that may repeat go on.
+    whole = None
+    if hot is not None:
+        hot_keys = spark.broadcast(hot)
+
+        def whole_windows(found: Windows) -> np.ndarray:
+            at = np.flatnonzero(found.valid)
+            at = at[_all_set([np.frombuffer(x, np.uint8) for x in hot_keys.value], found.key[at], bits)]
+            return _sequence(found.hashes, window)[at] if len(at) else np.zeros(0, np.uint64)
+
+        whole = merged_sketch(docs, whole_windows, text, window, gram, bits)[0]
+    shared = spark.broadcast((twice, hot, whole))  # of fixed size
     kind = docs.schema[key].dataType
     fields = T.StructType([T.StructField("_group", T.LongType()), T.StructField(key, kind), *(T.StructField(c, T.LongType()) for c in ("_text_hash", "_start", "_n")), T.StructField("_hashes", T.BinaryType())])
 
@@ -149,19 +179,21 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
         )
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = [np.frombuffer(x, np.uint8) for x in shared.value]
+        repeat, popular, exact_repeat = ([np.frombuffer(x, np.uint8) for x in maps or ()] for maps in shared.value)
         for batch in chunks(batches, "_text", WINDOW_BYTES):
             found = Windows(batch.column(2), window, gram)
             if not found.n:
                 continue
-            maybe = found.valid.copy()
-            for row, bitmap in enumerate(maps):
-                cells = _cells(found.key, row, bits)
-                maybe &= (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
-            at = np.flatnonzero(maybe)
+            at = np.flatnonzero(found.valid)
+            at = at[_all_set(repeat, found.key[at], bits)]
             if not len(at):
                 continue
             whole = _sequence(found.hashes, window)[at]
+            if popular:
+                keep = ~_all_set(popular, found.key[at], bits) | _all_set(exact_repeat, whole, bits)
+                at, whole = at[keep], whole[keep]
+                if not len(at):
+                    continue
             _, first, inverse, counts = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
             here = counts[inverse] > 1
             # Settled in this chunk; dealt by a group of their own, a different one for each run of a text.
@@ -219,14 +251,14 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     return dealt.mapInArrow(exact, T.StructType([fields[key], fields["_text_hash"], fields["_start"], fields["_n"]]))
 
 
-def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS, normalise: bool = True) -> DataFrame:
+def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS, hot_count: int = HOT, normalise: bool = True) -> DataFrame:
     """All columns of docs, text being the kept words joined by one space, and n_words long, n_removed long.
 
     Texts that lose nothing are normalised to single spaces too if normalise is set; null stays null. Columns of docs
     that have the names of result columns or of _text_hash, _runs, _k, _h are left out.
     """
     docs = docs.drop("n_words", "n_removed", "_text_hash", "_runs", "_k", "_h")
-    found = repeated_runs(docs, key, text, window, gram, bits)
+    found = repeated_runs(docs, key, text, window, gram, bits, hot_count)
     places = found.groupBy(F.col(key).alias("_k"), F.col("_text_hash").alias("_h")).agg(F.collect_set(F.struct("_start", "_n")).alias("_runs"))
     names = docs.columns
     marked = docs.withColumn("_text_hash", F.xxhash64(F.col(text)))

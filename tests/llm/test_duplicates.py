@@ -113,8 +113,8 @@ def test_substrings(docs, no_docs, clashing):
     given = [(r.doc_id, r.text) for r in docs.collect()]
     want = [(k, *x) for (k, _), x in zip(given, repeated([t for _, t in given], 35))]
     order = lambda r: (-1 if r[0] is None else r[0], r[1:])
-    for bits in (26, 16):  # a sketch that is full lets more through and changes nothing
-        rows = [(r.doc_id, r.n_words, r.n_removed, r.text or "") for r in substrings.remove_repeated(docs, bits=bits).collect()]
+    for bits, hot in ((26, 64), (16, 64), (26, 2)):  # a full sketch lets more through, hot keys less: nothing changes
+        rows = [(r.doc_id, r.n_words, r.n_removed, r.text or "") for r in substrings.remove_repeated(docs, bits=bits, hot_count=hot).collect()]
         assert sorted(rows, key=order) == sorted(want, key=order)
     assert substrings.remove_repeated(no_docs).count() == 0
     assert substrings.remove_repeated(clashing).count() == len(given)
@@ -124,8 +124,8 @@ def test_substrings_random(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["a " * 50, "b", None]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    for window, gram in ((6, 3), (9, 2), (5, 5)):
-        rows = {r.doc_id: (r.n_words, r.n_removed, r.text or "") for r in substrings.remove_repeated(frame, window=window, gram=gram).collect()}
+    for window, gram, hot in ((6, 3, 64), (9, 2, 3), (5, 5, 2)):
+        rows = {r.doc_id: (r.n_words, r.n_removed, r.text or "") for r in substrings.remove_repeated(frame, window=window, gram=gram, hot_count=hot).collect()}
         assert [rows[i] for i in range(len(texts))] == repeated(texts, window)
 
 
