@@ -159,12 +159,17 @@ class PrefixCounter:
 
     def table(self, piece: bytes) -> list[int]:
         """count[i] for i from 0 to len(piece)."""
-        ids, longest, agrees = self.vocabulary.ids, self.vocabulary.longest, self.agrees
+        known, longest, agrees = self.vocabulary.ids.get, self.vocabulary.longest, self.agrees
         count, last = [0], [-1]
         for i in range(1, len(piece) + 1):
-            for j in range(max(0, i - longest), i):
-                token = ids.get(piece[j:i])
-                if token is not None and (j == 0 or agrees[last[j] << 24 | token]):
+            token = known(piece[:i]) if i <= longest else None
+            if token is not None:
+                last.append(token)
+                count.append(1)
+                continue
+            for j in range(max(1, i - longest), i):
+                token = known(piece[j:i])
+                if token is not None and agrees[last[j] << 24 | token]:
                     last.append(token)
                     count.append(count[j] + 1)
                     break
@@ -172,21 +177,23 @@ class PrefixCounter:
 
     def _counted(self, piece: str) -> bytes:
         """Differences for a piece as PIECES finds it, one for each code point."""
+        body = piece[1:] if piece[0] == " " else piece
+        if not body.isalpha() and body.isalnum():
+            parts = _numeric_runs(piece)
+            if len(parts) > 1:
+                return b"".join(map(self._counted, parts))
+        raw = piece.encode()
+        count = self.table(raw)
         if piece in ("'re", "'ve", "'ll"):  # with one letter less these are two pieces
-            whole = self.table(piece.encode())[-1]
-            return array("b", [1, 1, whole - 2]).tobytes()
-        parts = split_pieces(piece)
-        if len(parts) > 1:
-            return b"".join(map(self._counted, parts))
-        count = self.table(piece.encode())
-        if len(count) == len(piece) + 1:
-            return array("b", [b - a for a, b in zip(count, count[1:])]).tobytes()
-        out, at, before = array("b"), 0, 0
+            return bytes((1, 1, (count[-1] - 2) & 255))
+        if len(raw) == len(piece):
+            return bytes([b - a & 255 for a, b in zip(count, count[1:])])
+        out, at, before = bytearray(), 0, 0
         for ch in piece:
             at += len(ch.encode())
-            out.append(count[at] - before)
+            out.append(count[at] - before & 255)
             before = count[at]
-        return out.tobytes()
+        return bytes(out)
 
     def _ordinary(self, text: str) -> bytes:
         if not RUNS.search(text):
@@ -212,7 +219,7 @@ class PrefixCounter:
             if at >= 0:
                 head = self._ordinary(text[: at + len(name) - 1])
                 own, so_far = total(self._ordinary(text[:at])), total(head)
-                return head + array("b", [own + 1 - so_far]).tobytes() + self.differences(text[at + len(name) :])
+                return head + bytes([own + 1 - so_far & 255]) + self.differences(text[at + len(name) :])
         return self._ordinary(text)
 
 
