@@ -14,7 +14,6 @@ in the items count once per item id; a null item id marks hits but is no item to
 hits nothing; other columns, whatever their names, are ignored. A null key is kept.
 """
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

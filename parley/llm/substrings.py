@@ -34,8 +34,10 @@ BITS, ROWS = 26, 2
 BLOCK = 16
 #: A key gram is hot if its count, of two at most from each chunk, comes to this.
 HOT = 64
+#: As a power of two, the cells that share a bit in what tells the hot ones.
+FOLD = 4
 #: Text bytes, or bytes of hashes, that are looked at together.
-WINDOW_BYTES = BATCH_BYTES
+WINDOW_BYTES = BATCH_BYTES // 2
 _SEEDS = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
 
 
@@ -90,11 +92,11 @@ def _cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(keys ^ _SEEDS[row]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _all_set(maps: list[np.ndarray], keys: np.ndarray, bits: int) -> np.ndarray:
-    """Whether the cells of a key are set in every row."""
+def _all_set(maps: list[np.ndarray], keys: np.ndarray, bits: int, fold: int = 0) -> np.ndarray:
+    """Whether the cells of a key are set in every row; 2 ** fold neighbouring cells share a bit."""
     out = np.ones(len(keys), bool)
     for row, bitmap in enumerate(maps):
-        cells = _cells(keys, row, bits)
+        cells = _cells(keys, row, bits) >> fold
         out &= (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
     return out
 
@@ -103,7 +105,7 @@ def merged_sketch(docs: DataFrame, counted: Callable[["Windows"], np.ndarray], t
     """Bitmaps for each row of the sketch of what `counted` gives for a chunk: cells counted twice or more, and hot ones.
 
     A cell's count in a chunk goes up to two; hot are cells with hot_count or more over all chunks (None if there are
-    none). A bitmap has 2 ** bits / 8 bytes.
+    none), and their neighbours. The bitmaps of a row have 2 ** bits / 8 bytes, and 2 ** FOLD times less.
     """
     share_code(docs.sparkSession)
 
@@ -122,21 +124,40 @@ def merged_sketch(docs: DataFrame, counted: Callable[["Windows"], np.ndarray], t
                 names = blocks[np.concatenate([[0], cuts])]
                 yield pa.RecordBatch.from_arrays([pa.array(names * rows + row, pa.int64()), pa.array([x.tobytes() for x in np.split(low, cuts)], pa.binary())], names=["block", "cells"])
 
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        count = np.bincount(np.frombuffer(b"".join(table.column("cells").to_pylist()), "<u2"), minlength=1 << BLOCK)
-        made = [np.packbits(x, bitorder="little").tobytes() if x.any() else None for x in (count >= 2, count >= hot_count)]
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "twice": pa.array(made[:1], pa.binary()), "hot": pa.array(made[1:], pa.binary())})
+    def marked(block: int, count: np.ndarray) -> pa.RecordBatch:
+        marks = (count >= 2, (count >= hot_count).reshape(-1, 1 << FOLD).any(axis=1))
+        made = [np.packbits(x, bitorder="little").tobytes() if x.any() else None for x in marks]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array(made[:1], pa.binary()), pa.array(made[1:], pa.binary())], names=["block", "twice", "hot"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block; one block's counts are held at a time."""
+        current, count = None, np.zeros(1 << BLOCK, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, cells = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            edges = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)]
+            for a, b in zip(edges, edges[1:]):
+                if names[a] != current:
+                    if current is not None:
+                        yield marked(current, count)
+                    current, count = int(names[a]), np.zeros(1 << BLOCK, np.int64)
+                count += np.bincount(np.frombuffer(b"".join(cells[a:b]), "<u2"), minlength=1 << BLOCK)
+        if current is not None:
+            yield marked(current, count)
 
     parts = docs.select(F.col(text).alias("_text")).mapInArrow(partial, "block long, cells binary")
     size = (1 << BLOCK) // 8
-    twice, hot, any_hot = [bytearray((1 << bits) // 8) for _ in range(rows)], [bytearray((1 << bits) // 8) for _ in range(rows)], False
+    small = size >> FOLD
+    twice, hot, any_hot = [bytearray((1 << bits) // 8) for _ in range(rows)], [bytearray((1 << bits - FOLD) // 8) for _ in range(rows)], False
     # At most rows * 2 ** (bits - BLOCK) blocks of fixed size.
-    blocks = parts.groupBy("block").applyInArrow(merge, "block long, twice binary, hot binary").where("twice is not null").toArrow()
+    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, twice binary, hot binary")
+    blocks = merged.where("twice is not null").toArrow()
     for name, more, most in zip(*(blocks.column(c).to_pylist() for c in ("block", "twice", "hot"))):
         block, row = divmod(name, rows)
         twice[row][block * size : block * size + size] = more
         if most is not None:
-            hot[row][block * size : block * size + size], any_hot = most, True
+            hot[row][block * small : block * small + small], any_hot = most, True
     return [bytes(x) for x in twice], [bytes(x) for x in hot] if any_hot else None
 
 
@@ -146,16 +167,16 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     twice, hot = merged_sketch(docs, Windows.key_grams, text, window, gram, bits, hot_count)
     # A passage in very many texts is a key of as many different windows, half in and half out of it: those are
     # counted whole, so that only the ones that may repeat go on.
-    whole = None
+    whole, fewer = None, max(BLOCK, bits - 2)
     if hot is not None:
         hot_keys = spark.broadcast(hot)
 
         def whole_windows(found: Windows) -> np.ndarray:
             at = np.flatnonzero(found.valid)
-            at = at[_all_set([np.frombuffer(x, np.uint8) for x in hot_keys.value], found.key[at], bits)]
+            at = at[_all_set([np.frombuffer(x, np.uint8) for x in hot_keys.value], found.key[at], bits, FOLD)]
             return _sequence(found.hashes, window)[at] if len(at) else np.zeros(0, np.uint64)
 
-        whole = merged_sketch(docs, whole_windows, text, window, gram, bits)[0]
+        whole = merged_sketch(docs, whole_windows, text, window, gram, fewer)[0]
     shared = spark.broadcast((twice, hot, whole))  # of fixed size
     kind = docs.schema[key].dataType
     fields = T.StructType([T.StructField("_group", T.LongType()), T.StructField(key, kind), *(T.StructField(c, T.LongType()) for c in ("_text_hash", "_start", "_n")), T.StructField("_hashes", T.BinaryType())])
@@ -190,7 +211,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
                 continue
             whole = _sequence(found.hashes, window)[at]
             if popular:
-                keep = ~_all_set(popular, found.key[at], bits) | _all_set(exact_repeat, whole, bits)
+                keep = ~_all_set(popular, found.key[at], bits, FOLD) | _all_set(exact_repeat, whole, fewer)
                 at, whole = at[keep], whole[keep]
                 if not len(at):
                     continue
