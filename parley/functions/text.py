@@ -1,5 +1,6 @@
 """Text columns: tokens, white space, and word-bounded patterns for Spark, with their DuckDB forms for the oracles."""
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ WORD_TOKEN = r"[\p{L}\p{N}_]+"
 LONG_WORD = r"[\p{L}\p{N}_]{4,}"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a function over array elements would compute it again for each."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ascii_tokens(text: Column) -> Column:
     """Runs of ASCII letters and digits in lower case: accents and underscores split."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(ASCII_TOKEN), F.lit(0))

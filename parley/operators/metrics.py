@@ -74,16 +74,23 @@ def majority(rows: DataFrame, column: str, position: str) -> DataFrame:
 
 def grams(tokens: Column, n: int) -> Column:
     """The n-grams of a token array, joined by a separator that no token has."""
-    size = F.size(tokens)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), "\u0001"))).otherwise(F.array().cast("array<string>"))
+    if n == 1:
+        return tokens
+
+    def windows_of(t: Column) -> Column:
+        size = F.size(t)
+        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(t, i, n), "\u0001"))).otherwise(F.array().cast("array<string>"))
+
+    return tx.let(tokens, windows_of)
 
 
 def rouge_n(pairs: DataFrame, n: int, key: str = "id", reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """key, precision, recall, f1 of the clipped n-gram overlap; 0 where either has no n-gram. One shuffle, on the key."""
     both = pairs.select(key, grams(tx.word_tokens(F.col(reference)), n).alias("_r"), grams(tx.word_tokens(F.col(hypothesis)), n).alias("_h"))
-    side = lambda c, r, h: both.select(key, F.explode(c).alias("gram"), F.lit(r).alias("r"), F.lit(h).alias("h"))
-    # A row without n-grams keeps its key by a null gram.
-    counts = side("_r", 1, 0).unionByName(side("_h", 0, 1)).unionByName(both.select(key, F.lit(None).cast("string").alias("gram"), F.lit(0).alias("r"), F.lit(0).alias("h")))
+    # Both sides in one explode; a row without n-grams keeps its key by a null gram.
+    named = lambda c, r, h: F.transform(c, lambda g: F.struct(g.alias("gram"), F.lit(r).alias("r"), F.lit(h).alias("h")))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("gram"), F.lit(0).alias("r"), F.lit(0).alias("h")))
+    counts = both.select(key, F.explode(F.concat(named("_r", 1, 0), named("_h", 0, 1), none)).alias("_g")).select(key, "_g.*")
     cells = counts.repartition(key).groupBy(key, "gram").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
     sums = cells.groupBy(key).agg(F.sum(F.least("r", "h")).alias("_o"), F.sum("r").alias("_r"), F.sum("h").alias("_h"))
     p, r = ratio(F.col("_o"), F.col("_h")), ratio(F.col("_o"), F.col("_r"))
