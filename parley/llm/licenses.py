@@ -1,16 +1,21 @@
 """Operator 6, license scans by sentence rules, with DataFrame functions only.
 
-A text is split into sentences (at line ends and after . ! ? ; : before white space), each is normalised (A-Z in
-lower case, runs of all but letters, digits and dots as one space, no dots or spaces at the ends) and looked up in a table of
-known license sentences. The identifiers of those found, in the order of the text, form a sequence; the
-ordered rules name licenses by runs of identifiers in it, the first rule of a license family that fits.
+A text is split into pieces (at line ends and after . ! ? ; : before white space), each is normalised (A-Z in
+lower case, runs of all but letters, digits and dots as one space, no dots or spaces at the ends, so comment marks at
+the beginning of a line are gone too). A sentence is a piece or a run of pieces with nothing but single line ends
+between them, as sentences are wrapped over lines; those in the table of known license sentences are found. Of
+sentences that end at the same piece the longest counts, and no piece counts twice. The identifiers of those found, in the order of
+the text, form a sequence; the ordered rules name licenses by runs of identifiers in it, the first rule of a
+license family that fits. n_sentences counts pieces, as the SQL does, which knows sentences of one piece only.
 
 Defined cases: null and empty texts have no sentence and no license; repeated sentences repeat their
 identifier, repeated rows their result; an empty table gives an empty result; other columns are ignored,
 whatever their names; the key may be null.
 """
 
+from functools import reduce
 from itertools import chain
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +71,10 @@ RULES = [
 #: Where sentences end, and what normalisation takes for a space. The same in Java and RE2.
 ENDS = r"[.!?;:]*[\n\r]+|[.!?;:]+[ \t]+"
 NOISE = r"[^a-z0-9.]+"
+#: Of ENDS, those that no sentence goes beyond; at the others, single line ends, a sentence may be wrapped.
+STOPS = r"[.!?;:]+(?:[\n\r]+|[ \t]+)"
+#: Each known sentence has one of these in it: texts without them need no look at their pieces.
+SIGNS = ("licens", "software", "reserved", "redistribut", "cc0")
 
 
 def normalised(sentence: str) -> str:
@@ -90,20 +99,40 @@ def known() -> dict[str, str]:
     return out
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text; an empty array for null."""
-    return F.split(F.coalesce(text, F.lit("")), ENDS)
+def pieces(text: Column) -> Column:
+    """The pieces of a text, with an empty one where a sentence can't go on; an array of an empty one for null."""
+    lines = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    return F.split(F.regexp_replace(lines, STOPS, "\n\n"), "\n")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_sentences long, sentence_ids array (in the order of the text), licenses array (in the order of the rules)."""
-    table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in known().items()))
-    raw = docs.select(F.col(key), sentences(F.col(text)).alias("_s"))
+def identifiers(parts: Column) -> Column:
+    """The identifiers of the known sentences in pieces, in order."""
+    sentences = known()
+    table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in sentences.items()))
+    begins = F.lit("\n" + "".join(f"{k} \n" for k in sentences))
+    none = F.array().cast("array<string>")
+
+    def step(state: Column, piece: Column) -> Column:
+        """open: the runs up to this piece that a known sentence begins with, the longest first."""
+        runs = F.concat(F.transform(state["open"], lambda r: F.concat(r, F.lit(" "), piece)), F.array(piece))
+        live = F.filter(runs, lambda r: F.contains(begins, F.concat(F.lit("\n"), r, F.lit(" "))))
+
+        def settled(live: Column) -> Column:
+            found = F.array_compact(F.transform(live, lambda r: F.try_element_at(table, r)))
+            return F.struct(F.concat(state["ids"], F.slice(found, 1, 1)).alias("ids"), F.when(F.size(found) > 0, none).otherwise(live).alias("open"))
 
-    def found(sentence: Column) -> Column:
-        return F.try_element_at(table, F.btrim(F.regexp_replace(ascii_lower(sentence), NOISE, " "), F.lit(" .")))
+        return F.when(F.size(live) == 0, F.struct(state["ids"].alias("ids"), none.alias("open"))).otherwise(F.get(F.transform(F.array(live), settled), F.lit(0)))
 
-    ids = F.filter(F.transform("_s", found), lambda x: x.isNotNull())
+    plain = F.transform(parts, lambda x: F.btrim(F.regexp_replace(ascii_lower(x), NOISE, " "), F.lit(" .")))
+    return F.aggregate(plain, F.struct(none.alias("ids"), none.alias("open")), step, lambda s: s["ids"])
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_sentences long, sentence_ids array (in the order of the text), licenses array (in the order of the rules)."""
+    low = ascii_lower(F.coalesce(F.col(text), F.lit("")))
+    signed = reduce(or_, (F.contains(low, F.lit(x)) for x in SIGNS))
+    raw = docs.select(F.col(key), signed.alias("_signed"), pieces(F.col(text)).alias("_s"))
+    ids = F.when(F.col("_signed"), identifiers(F.col("_s"))).otherwise(F.array().cast("array<string>"))
     counted = raw.select(F.col(key), F.size(F.filter("_s", lambda x: F.btrim(x) != "")).cast("long").alias("n_sentences"), ids.alias("sentence_ids"))
     return counted.withColumn("_line", F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))).withColumn("licenses", F.array_compact(F.array(*_rules()))).select(key, "n_sentences", "sentence_ids", "licenses")
 

@@ -118,6 +118,66 @@ def test_licenses(spark, docs, no_docs, clashing):
     assert licenses.scan(no_docs).count() == 0 and licenses.scan(clashing).count() == docs.count()
 
 
+#: Notices as they are published, wrapped as they are there.
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+"""
+BSD2 = """Copyright (c) 2001, Somebody
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def license_rows(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan(frame).collect()}
+    return [rows[i] for i in range(len(texts))]
+
+
+def test_wrapped_licenses(spark):
+    cases = {APACHE: "Apache-2.0", GPL2: "GPL-2.0-or-later", BSD2: "BSD-2-Clause", BSD3: "BSD-3-Clause", MPL: "MPL-2.0"}
+    # One word a line is the narrowest wrap; a line end of Windows or of old is one line end.
+    for change in (lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: t.replace("\n", "\r"), lambda t: "".join(f" * {x}\n" for x in t.split("\n")), lambda t: "Heading\n" + "".join(f"# {x}\n" for x in t.split("\n")), lambda t: re.sub(r"(?<=\S) (?=\S)", "\n", t)):
+        assert [",".join(r.licenses) for r in license_rows(spark, [change(t) for t in cases])] == list(cases.values())
+    wrapped = "Licensed under the Apache\n  // License, Version 2.0 (the\n// \"License\");"
+    texts = [wrapped, "Licensed under\nLicensed under CC BY\n4.0", "Released under\n\nthe MIT License", "Released under\n#\n# the MIT License", "Released under. the MIT License", "All rights\nreserved\nAll rights reserved"]
+    got = [list(r.sentence_ids) for r in license_rows(spark, texts)]
+    assert got == [["ApacheLicensed"], ["CcBy4"], [], [], [], ["AllRights", "AllRights"]]
+
+
+def test_license_table():
+    sentences = licenses.known()
+    assert all(any(x in s for x in licenses.SIGNS) for s in sentences)
+    assert all(sentences[a] == sentences[b] for a in sentences for b in sentences if b.startswith(a + " "))
+
+
 def test_toxicity(spark, docs, no_docs, clashing):
     rng = random.Random(8)
     plain = [f"p{i}" for i in range(300)]
