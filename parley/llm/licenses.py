@@ -4,7 +4,7 @@ A text is split into pieces (at line ends and after . ! ? ; : before white space
 lower case, runs of all but letters, digits and dots as one space, no dots or spaces at the ends, so comment marks at
 the beginning of a line are gone too). A sentence is a piece or a run of pieces with nothing but single line ends
 between them, as sentences are wrapped over lines; those in the table of known license sentences are found. Of
-sentences that end at the same piece the longest counts, and no piece counts twice. The identifiers of those found, in the order of
+sentences that end or begin at the same piece the longest counts, and no piece counts twice. The identifiers of those found, in the order of
 the text, form a sequence; the ordered rules name licenses by runs of identifiers in it, the first rule of a
 license family that fits. n_sentences counts pieces, as the SQL does, which knows sentences of one piece only.
 
@@ -46,6 +46,23 @@ SENTENCES = {
     "Mpl2Licensed": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "AllRights": ["All rights reserved"],
 }
+#: Further sentences as licenses and notices publish them, whole, by the identifiers that each stands
+#: for. The SQL doesn't know these.
+PUBLISHED = {
+    ("AsIsBasis",): ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'],
+    ("MitPermission",): ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'],
+    ("MitNotice",): ["The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"],
+    ("GplFree", "Gpl3OrLater"): ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    ("GplFree", "Gpl2OrLater"): ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"],
+    ("GplFree", "Gpl3Licensed"): ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"],
+    ("GplFree", "Gpl2Licensed"): ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"],
+    ("Lgpl3Licensed",): ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3"],
+    ("CcByNc4",): ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"],
+    ("CcBy4",): ["This work is licensed under a Creative Commons Attribution 4.0 International License", "This work is licensed under the Creative Commons Attribution 4.0 International License"],
+    ("CcBySa4",): ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"],
+    ("Cc0",): ["CC0 1.0 Universal"],
+    ("BsdNoEndorse",): ["Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+}
 #: Rules in order; of the rules of a family, the first that fits names the license. A fit is a run of
 #: identifiers in the sequence.
 RULES = [
@@ -99,6 +116,11 @@ def known() -> dict[str, str]:
     return out
 
 
+def published() -> dict[str, str]:
+    """known() and the further sentences; identifiers have commas between them where a sentence stands for several."""
+    return known() | {normalised(x): ",".join(names) for names, variants in PUBLISHED.items() for x in variants}
+
+
 def pieces(text: Column) -> Column:
     """The pieces of a text, with an empty one where a sentence can't go on; an array of an empty one for null."""
     lines = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
@@ -107,24 +129,30 @@ def pieces(text: Column) -> Column:
 
 def identifiers(parts: Column) -> Column:
     """The identifiers of the known sentences in pieces, in order."""
-    sentences = known()
+    sentences = published()
     table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in sentences.items()))
     begins = F.lit("\n" + "".join(f"{k} \n" for k in sentences))
     none = F.array().cast("array<string>")
 
     def step(state: Column, piece: Column) -> Column:
-        """open: the runs up to this piece that a known sentence begins with, the longest first."""
+        """open: the runs up to this piece that a known sentence begins with, the longest first. held: the identifiers
+        of run, the last sentence found, which a longer one that it begins may still replace."""
         runs = F.concat(F.transform(state["open"], lambda r: F.concat(r, F.lit(" "), piece)), F.array(piece))
         live = F.filter(runs, lambda r: F.contains(begins, F.concat(F.lit("\n"), r, F.lit(" "))))
+        after = lambda ids, held, run, open: F.struct(ids.alias("ids"), held.alias("held"), run.alias("run"), open.alias("open"))
 
         def settled(live: Column) -> Column:
-            found = F.array_compact(F.transform(live, lambda r: F.try_element_at(table, r)))
-            return F.struct(F.concat(state["ids"], F.slice(found, 1, 1)).alias("ids"), F.when(F.size(found) > 0, none).otherwise(live).alias("open"))
+            def hold(run: Column) -> Column:
+                longer = (state["run"] != "") & F.startswith(run, F.concat(state["run"], F.lit(" ")))
+                return after(F.when(longer, state["ids"]).otherwise(F.concat(state["ids"], state["held"])), F.split(F.element_at(table, run), ","), run, F.array(run))
+
+            found = F.transform(F.slice(F.filter(live, lambda r: F.try_element_at(table, r).isNotNull()), 1, 1), hold)
+            return F.coalesce(F.get(found, F.lit(0)), after(state["ids"], state["held"], state["run"], live))
 
-        return F.when(F.size(live) == 0, F.struct(state["ids"].alias("ids"), none.alias("open"))).otherwise(F.get(F.transform(F.array(live), settled), F.lit(0)))
+        return F.when(F.size(live) == 0, after(state["ids"], state["held"], state["run"], none)).otherwise(F.get(F.transform(F.array(live), settled), F.lit(0)))
 
     plain = F.transform(parts, lambda x: F.btrim(F.regexp_replace(ascii_lower(x), NOISE, " "), F.lit(" .")))
-    return F.aggregate(plain, F.struct(none.alias("ids"), none.alias("open")), step, lambda s: s["ids"])
+    return F.aggregate(plain, F.struct(none.alias("ids"), none.alias("held"), F.lit("").alias("run"), none.alias("open")), step, lambda s: F.concat(s["ids"], s["held"]))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
