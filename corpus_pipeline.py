@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from parley.llm import decontamination, language, packing, simhash, substrings
+from parley.llm import decontamination, language, packing, similar, substrings
 from parley.llm.common import cut
 from parley.llm.queries import SEQUENCE, VOCABULARY
 
@@ -30,8 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the least id stays."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """Of each group of documents that share 0.8 of their 5-word shingles the one with the least id stays."""
+    return similar.keep_one(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,23 @@ def test_stages_on_edge_tables(spark, folder, docs, no_docs, clashing):
 def test_run_is_the_stages(spark, folder):
     rows = corpus_pipeline.run(spark, folder)
     assert rows.selectExpr("count(distinct doc_id) n").first().n > 10 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_go(spark):
+    """Against brute force over 5-word shingles; one word in 60 changed is far beyond two bits."""
+    rng = random.Random(4)
+    rows, sets = [], []
+    for g in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(80, 300))]
+        for c in range(6):
+            words = [f"n{g}.{c}.{i}" if c and rng.random() < c / 150 else w for i, w in enumerate(base)]
+            rows.append((len(rows), (" " * (c % 2 + 1)).join(words), "en", None, None))
+            sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == sorted(set(label)) and 30 < len(kept) < 150
