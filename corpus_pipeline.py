@@ -24,8 +24,11 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what has no language: null texts and texts without a letter."""
-    found = language.predict(docs, language.train(docs), keep=tuple(COLUMNS[1:]))
+    """Rejects what has no language: null texts and texts without a letter, also where no row has a language to learn."""
+    model = language.train(docs)
+    if model is None:
+        return language.lettered(docs.select(*COLUMNS))
+    found = language.predict(docs, model, keep=tuple(COLUMNS[1:]))
     return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 

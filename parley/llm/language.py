@@ -91,6 +91,18 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return found
 
 
+def lettered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text has a letter."""
+    share_code(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text):
+            yield batch.filter(pa.array(has_letter(batch.column(at))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _machine(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 150) -> Machine:
     """A linear support vector machine with squared hinge loss, by Nesterov's accelerated gradient; y: 1 or -1."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)  # both sides weigh the same

@@ -101,3 +101,9 @@ def test_near_copies_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
     kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert kept == sorted(set(label)) and 30 < len(kept) < 150
+
+
+def test_no_language_to_learn(spark):
+    rows = [(1, "some words", None, "a", 10), (2, None, None, "a", None), (3, "12 ... 3", None, "a", 8), (4, "漢字", None, "a", 2), (5, "", None, "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(tuple(r) for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [rows[0], rows[3]]
