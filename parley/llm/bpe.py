@@ -97,6 +97,12 @@ class Vocabulary:
         return ids
 
 
+def splitter(special: dict[str, int]) -> re.Pattern:
+    """Splits a text into ordinary parts and, between them, the special strings; of two at one place the longer."""
+    names = sorted(special, key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, names)) + ")" if names else "((?!))")
+
+
 class Bounded(dict):
     """A dict that fills itself; of more than ENTRIES entries it keeps those used since the last turnover."""
 
@@ -130,7 +136,7 @@ class PrefixCounter:
         self.agrees = Bounded(self._agrees)
         self.spines = functools.lru_cache(maxsize=None)(self._spines)
         self.counted = Bounded(self._counted)
-        self.special = [(s, i) for s, i in self.vocabulary.special.items()]
+        self.special = splitter(self.vocabulary.special)
 
     def _spines(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts of a token that at some time reach its left (0) or right (1) edge, and the rank that ends each."""
@@ -214,13 +220,12 @@ class PrefixCounter:
 
     def differences(self, text: str) -> bytes:
         """A signed byte for each code point: how many tokens more that prefix has than the one before."""
-        for name, _ in self.special:
-            at = text.find(name)
-            if at >= 0:
-                head = self._ordinary(text[: at + len(name) - 1])
-                own, so_far = total(self._ordinary(text[:at])), total(head)
-                return head + bytes([own + 1 - so_far & 255]) + self.differences(text[at + len(name) :])
-        return self._ordinary(text)
+        parts, out = self.special.split(text), []
+        for plain, name in zip(parts[::2], parts[1::2]):
+            # Until its last character a special string is ordinary text.
+            head = self._ordinary(plain + name[:-1])
+            out.append(head + bytes([total(self._ordinary(plain)) + 1 - total(head) & 255]))
+        return b"".join([*out, self._ordinary(parts[-1])])
 
 
 def _signed(x: int) -> int:
@@ -232,12 +237,17 @@ def total(differences: bytes) -> int:
     return sum(memoryview(differences).cast("b"))
 
 
+#: Texts on which the two libraries have to agree before the faster one is used.
+PROBES = ["it's we'll THEY'RE", "a  b   c\t\n\r\n d ", "x1y22 3.14 ½²", "é ß 漢字 😀 e\u0301", "__a_b--c...", "\x1c\u00a0 \u3000x\x85y", "<|end", "Ünïcode ǅ ª İ", " \n\n\n  x", "\U0001d7d8\U00010a60 ꙮ"]
+
+
 class Encoder:
     """Ids of whole texts, as the tokenizers library gives them for this file.
 
     The same vocabulary, read from the same file, runs in tiktoken, which merges in the order of the ids and is
-    faster; it is used if that is the file's order of merges, for texts without very long pieces and special strings.
-    Others go to tokenizers, piece by piece.
+    faster; it is used if that is the file's order of merges and both agree on PROBES, for texts without very long
+    pieces (tiktoken merges those in quadratic time). Others go to tokenizers, piece by piece; special strings are
+    taken out before.
     """
 
     LONG = 500
@@ -249,25 +259,31 @@ class Encoder:
 
         vocabulary = Vocabulary(path)
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = dict(vocabulary.special)
+        self.special = vocabulary.special
+        self.split = splitter(self.special).split
         self.packed = Bounded(self._packed)
         self.fast = None
         if all(rank + 256 == made for rank, made in vocabulary.ranks.values()):
-            self.fast = tiktoken.Encoding("fast", pat_str=PATTERN, mergeable_ranks=vocabulary.ids, special_tokens={})
+            fast = tiktoken.Encoding("fast", pat_str=PATTERN, mergeable_ranks=vocabulary.ids, special_tokens={})
+            if all(fast.encode_ordinary(x) == self.tokenizer.encode(x, add_special_tokens=False).ids for x in PROBES):
+                self.fast = fast
 
     def _packed(self, piece: str) -> bytes:
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        for name, token in self.special.items():
-            at = text.find(name)
-            if at >= 0:
-                return self.encode(text[:at]) + array("I", [token]).tobytes() + self.encode(text[at + len(name) :])
+    def _plain(self, text: str) -> bytes:
         if self.fast is not None and max(map(len, text.split(" "))) <= self.LONG and " " * self.LONG not in text:
             return self.fast.encode_to_numpy(text).tobytes()
         return b"".join(map(self.packed.__getitem__, PIECES.findall(text)))
 
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        parts = self.split(text)
+        if len(parts) == 1:
+            return self._plain(text)
+        out = [array("I", [self.special[x]]).tobytes() if i % 2 else self._plain(x) for i, x in enumerate(parts)]
+        return b"".join(out)
+
 
 @functools.lru_cache(maxsize=2)
 def prefix_counter(path: str) -> PrefixCounter:

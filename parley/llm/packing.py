@@ -2,10 +2,11 @@
 
 Texts are encoded, cut into pieces of at most `limit` tokens and placed into sequences, the longest first. Of the
 open bins with room, a piece goes to the one that makes the sum over all residual gaps of (number of open bins
-with that gap) squared smallest. Pieces are dealt
-by a hash of their key into groups of a bounded expected number of pieces, each packed on its own. The bins
-that stay partly open are then packed once more, as units and in larger groups, by the same rule, so that the groups of the first
-round cost next to no fill.
+with that gap) squared smallest. A piece of the full length is a sequence by itself and isn't dealt at all; of the
+others a document has one at most, so that their number, which sets the number of groups, is bounded by that of the
+documents. They are dealt by a hash of their place in a written table, so that equal rows are spread too, into
+groups of about `group` pieces, each packed on its own. The bins that stay partly open are then packed once more, as
+units and in larger groups, by the same rule, so that the groups of the first round cost next to no fill.
 
 Defined cases: a null text is an empty one (its only token is the end token). Repeated rows are packed as often
 as they occur; an empty table gives an empty result; other columns are ignored; a null key is carried along.
@@ -92,16 +93,17 @@ def place(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(docs: DataFrame, path: str, limit: int = 2048, end: int = 0, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """pieces() with sequence_id long and offset long: where each piece stands."""
-    parts = pieces(docs, path, limit, end, key, text)
-    groups = max(1, -(-docs.count() // group))
-    names = [*parts.columns, "_group", "_bin", "_offset"]
-    # A full piece fills a bin alone, wherever it is; the others decide how even the groups are.
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    parts = cut(pieces(docs, path, limit, end, key, text), "pieces")
+    names = parts.columns
+    # The files of a written table are always read in the same parts, so this number doesn't change if a task runs again.
+    numbered = parts.withColumn("_at", F.monotonically_increasing_id())
+    groups = max(1, -(-parts.where(F.col("length") < limit).count() // group))
+    dealt = numbered.where(F.col("length") < limit).withColumn("_group", F.pmod(F.xxhash64("_at"), F.lit(groups)).cast("long"))
 
     def first(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "ids_crc32", key, "piece"], ascending=[False, True, True, True], kind="stable")
+        rows = rows.sort_values(["length", "ids_crc32", "_at"], ascending=[False, True, True], kind="stable")
         bins, offsets = place(rows["length"].to_numpy(), limit)
-        return rows.assign(_bin=bins, _offset=offsets)[names]
+        return rows.assign(_bin=bins, _offset=offsets)[[*names, "_group", "_bin", "_offset"]]
 
     schema = T.StructType([*parts.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_group", "_bin", "_offset"))])
     placed = cut(dealt.groupBy("_group").applyInPandas(first, schema), "packed")
@@ -118,7 +120,9 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end: int = 0, key: str =
 
     moved = units.groupBy("_second").applyInPandas(second, "_group long, _bin long, _second long, _new long, _base long")
     out = placed.join(moved, ["_group", "_bin"], "left")
-    # Numbers of the first round are even, those of the second odd; a group has fewer than 2^31 bins.
+    # Numbers of the first round are even, those of the second odd; a group has fewer than 2^31 bins. Full pieces count down from -1.
     one = F.shiftleft(F.shiftleft(F.col("_group"), 31) + F.col("_bin"), 1)
     two = F.shiftleft(F.shiftleft(F.col("_second"), 31) + F.col("_new"), 1) + 1
-    return out.select(*parts.columns, F.coalesce(two, one).alias("sequence_id"), (F.coalesce("_base", F.lit(0)) + F.col("_offset")).alias("offset"))
+    shared = out.select(*names, F.coalesce(two, one).alias("sequence_id"), (F.coalesce("_base", F.lit(0)) + F.col("_offset")).alias("offset"))
+    full = numbered.where(F.col("length") >= limit).select(*names, (-1 - F.col("_at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return shared.unionByName(full)

@@ -107,3 +107,47 @@ def test_packing_fill(spark):
     packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 2048, group=200)
     n, total = packed.selectExpr("count(distinct sequence_id)", "sum(length)").first()
     assert n <= total / 2048 * 1.005 + 2
+
+
+def test_many_special_strings(library):
+    """Ten thousand of them, apart and adjacent: no recursion, the library's ids."""
+    mark = "<|endoftext|>"
+    counter, encoder = PrefixCounter(PATH), Encoder(PATH)
+    for text in (mark * 10_000, "ab " + f" x{mark}yz"  * 10_000, mark + "a" + mark[:-1] + mark):
+        ids = ids_of(library, text)
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids
+        assert sum(np.frombuffer(counter.differences(text), np.int8).tolist()) == len(ids)
+
+
+def test_full_pieces_and_equal_rows(spark, library):
+    """One long document next to many equal rows: full pieces stand alone, equal rows are spread over the groups."""
+    rows = [(None, "same words again")] * 400 + [(1, "word " * 5000)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 64, group=50).collect()
+    bins: dict = {}
+    for r in packed:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(n for b in bins.values() for _, n in b) == 400 * (len(ids_of(library, rows[0][1])) + 1) + len(ids_of(library, rows[-1][1])) + 1
+    assert all(sum(n for _, n in b) <= 64 and sorted(b)[0][0] == 0 for b in bins.values())
+    assert sum(b == [(0, 64)] for b in bins.values()) >= 5000 // 64
+
+
+def test_digests_of_the_queries(spark, texts, library, tmp_path):
+    """Every column of the contract, recomputed."""
+    from parley.llm import queries
+
+    rows = [(i, t, "en", None, None) for i, t in enumerate(texts)] + [(90, "w " * 1500, "en", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: ids_of(library, t) for i, t, *_ in rows}
+    found = queries.op1_token_counts(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()
+    assert sorted(map(tuple, found)) == [(i, len((t or "").encode()), len(want[i]), len(want[i]) > 1024) for i, t, *_ in rows]
+    assert {r.over_limit for r in found} == {True, False}
+    pieces: dict = {}
+    for r in queries.op2_best_fit_packing(spark, str(tmp_path)).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        part = [*want[r.doc_id], 0][r.start : r.start + r.length]
+        assert r.length == len(part) <= 2048 and r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+    for i, own in pieces.items():
+        own.sort(key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own))) and sum(r.length for r in own) == len(want[i]) + 1
+        assert all(a.start + a.length == b.start for a, b in zip(own, own[1:])) and all(r.length == 2048 for r in own[1:])
+    assert len(pieces) == len(rows)
