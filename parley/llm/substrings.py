@@ -6,12 +6,12 @@ of key grams into a count-min sketch of fixed size; merged, the sketches never s
 a key gram, which is never less than that of a window with that key. Second pass: only windows whose estimate is
 two or more are grouped, exactly, by key and hash of all their words. Where a key gram is very frequent, a second
 sketch counts its windows whole, and only those that may repeat go on. A task first settles the windows that
-repeat within its own chunk, and sends one row for each different window, so a passage in a third of all
-documents arrives once from each chunk. The sketch has a fixed size: where it fills up, more windows
-go to the exact pass and the result stays the same.
+repeat within what it has read, and sends a different window on twice at most (its first place, and that it
+repeats), so a passage in a third of all documents arrives a few times from each task. The sketch has a fixed size:
+where it fills up, more windows go to the exact pass and the result stays the same.
 
-Windows are judged on the input. Equality is that of word sequences, by the 64-bit hash of the window among the
-windows with the same 64-bit key.
+Windows are judged on the input. Equality is that of word sequences, by two 64-bit hashes that must both be equal:
+that of all words of the window, and its key.
 
 Defined cases: a null text has no words; an empty table gives an empty result; a repeated row is a second place
 of all its windows; texts shorter than a window lose nothing; other columns of the input are ignored, whatever
@@ -37,7 +37,9 @@ HOT = 64
 #: As a power of two, the cells that share a bit in what tells the hot ones.
 FOLD = 4
 #: Text bytes, or bytes of hashes, that are looked at together.
-WINDOW_BYTES = BATCH_BYTES // 2
+WINDOW_BYTES = BATCH_BYTES // 4
+#: At most this many windows that a task has sent are remembered (16 bytes each), so that a passage goes on once from a task.
+MEMORY = 1 << 18
 _SEEDS = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
 
 
@@ -101,6 +103,34 @@ def _all_set(maps: list[np.ndarray], keys: np.ndarray, bits: int, fold: int = 0)
     return out
 
 
+def _distinct(whole: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (whole, key): the first place of each different one, which one each is, and how often it occurs."""
+    _, first, inverse, counts = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+    if (key[first][inverse] != key).any():  # equal hashes of windows with different keys
+        _, first, inverse, counts = np.unique(np.stack([whole, key], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return first, inverse.reshape(-1), counts
+
+
+class Seen:
+    """Windows (whole, key) that were met; at most MEMORY of them, after that it begins anew. No window is met that wasn't added."""
+
+    def __init__(self):
+        self.whole, self.key = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def has(self, whole: np.ndarray, key: np.ndarray) -> np.ndarray:
+        if not len(self.whole):
+            return np.zeros(len(whole), bool)
+        at = np.minimum(np.searchsorted(self.whole, whole), len(self.whole) - 1)
+        return (self.whole[at] == whole) & (self.key[at] == key)
+
+    def add(self, whole: np.ndarray, key: np.ndarray) -> None:
+        if len(self.whole) + len(whole) > MEMORY:
+            self.whole, self.key = self.whole[:0], self.key[:0]
+        both = np.concatenate([self.whole, whole])
+        self.whole, first = np.unique(both, return_index=True)
+        self.key = np.concatenate([self.key, key])[first]
+
+
 def merged_sketch(docs: DataFrame, counted: Callable[["Windows"], np.ndarray], text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS, hot_count: int = HOT, rows: int = ROWS) -> tuple[list[bytes], list[bytes] | None]:
     """Bitmaps for each row of the sketch of what `counted` gives for a chunk: cells counted twice or more, and hot ones.
 
@@ -201,6 +231,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeat, popular, exact_repeat = ([np.frombuffer(x, np.uint8) for x in maps or ()] for maps in shared.value)
+        once, told = Seen(), Seen()  # windows that this task has sent on with their place, and those it has said to repeat
         for batch in chunks(batches, "_text", WINDOW_BYTES):
             found = Windows(batch.column(2), window, gram)
             if not found.n:
@@ -215,28 +246,29 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
                 at, whole = at[keep], whole[keep]
                 if not len(at):
                     continue
-            _, first, inverse, counts = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-            here = counts[inverse] > 1
-            # Settled in this chunk; dealt by a group of their own, a different one for each run of a text.
-            settled = at[here]
+            group = found.key[at]
+            first, inverse, counts = _distinct(whole, group)
+            known = told.has(whole[first], group[first])
+            again = known | (counts > 1) | once.has(whole[first], group[first])
+            # Settled in this task; dealt by a group of their own, a different one for each run of a text.
+            settled = at[again[inverse]]
             spread = mix(found.hashes[found.words.first[found.row[settled]]] + found.row[settled].astype(np.uint64))
             yield rows_of(batch, found, settled, spread, None)
-            # One row for each different window; for one that is settled here it only tells the others. Its
-            # place is told as -1 then.
-            one = np.sort(first)
-            told = here[one]
-            single = at[one[~told]]
-            yield rows_of(batch, found, single, found.key[single], whole[one[~told]])
-            known = rows_of(batch, found, at[one[told]], found.key[at[one[told]]], whole[one[told]])
-            yield known.set_column(3, "_start", pa.array(np.full(known.num_rows, -1), pa.int64()))
+            # One row for each different window, with its place; where it is settled here it only tells the others
+            # (its place is -1 then), once.
+            single, tell = np.sort(first[~again]), np.sort(first[again & ~known])
+            yield rows_of(batch, found, at[single], group[single], whole[single])
+            said = rows_of(batch, found, at[tell], group[tell], whole[tell])
+            yield said.set_column(3, "_start", pa.array(np.full(said.num_rows, -1), pa.int64()))
+            once.add(whole[single], group[single])
+            told.add(whole[tell], group[tell])
 
     def settle(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(tables).combine_chunks()
         n = table.column("_n").to_numpy()
         start = table.column("_start").to_numpy()
         whole = np.frombuffer(b"".join(table.column("_hashes").to_pylist()), "<u8")
-        group = np.repeat(table.column("_group").to_numpy().view(np.uint64), n)
-        _, inverse, counts = np.unique(pairs(whole, group), return_inverse=True, return_counts=True)
+        _, inverse, counts = _distinct(whole, np.repeat(table.column("_group").to_numpy().view(np.uint64), n))
         row = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         keep = np.flatnonzero((counts[inverse] > 1) & (start[row] >= 0))
