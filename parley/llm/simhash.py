@@ -1,7 +1,7 @@
 """Operator 4, SimHash near-dedup by anchor-point covering.
 
 Fingerprints have 64 bits, each the majority of that bit over the hashes of a text's word shingles. Two
-fingerprints link if at most two bits differ. The anchors are the words of a covering code: the perfect Hamming
+fingerprints link if at most `threshold` bits differ (two; fewer can be asked for). The anchors are the words of a covering code: the perfect Hamming
 code over 63 bits (radius 1), once for either value of the 64th bit. Linked fingerprints have a point midway, at
 most one bit from both; the anchor that covers it is at most radius + 1 bits from both. So each distinct
 fingerprint is copied to every anchor within the radius plus half the threshold, 33 of them at most, and links
@@ -12,9 +12,13 @@ Per anchor only a forest that connects the linked fingerprints goes on, no list
 rounds of contraction: each fingerprint takes the least neighbour in a pseudo-random order, and the edges are
 drawn between those; a constant share of the fingerprints goes in each round. Every round is a written table.
 
+With `similarity` given, texts link by the Jaccard index of their shingles instead of by bits (see similar.py): what the
+anchors bring together is a candidate then, and bands of minimum hashes bring the candidates that two bits can't reach.
+
 Defined cases: texts without words, null ones too, have fingerprint zero and link like any other; an empty table
 gives an empty result; repeated rows are copies; other columns of the input, whatever their names, are ignored.
-A null key is kept in its row and never names a component unless all keys of the component are null.
+A null key is kept in its row and never names a component unless all keys of the component are null. Texts of fewer
+words than a shingle are one shingle.
 """
 
 from collections.abc import Iterator
@@ -26,32 +30,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.llm import similar
 from parley.llm.common import byte_rows, chunks, cut, discard, share_code
 
 SEED = 42
+#: The widest link that the anchors cover: twice the radius of the code.
+THRESHOLD = 2
 #: Fingerprints with more than this share of the rows are joined by broadcast, at most its inverse of them.
 HOT_SHARE = 1 / 1000
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The fingerprint of a text's bytes, as a signed 64-bit integer."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The unsigned hashes of a text's shingles, repeats included."""
     words = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(line, SEED)]
-    else:
-        gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-        starts = [0, *(gaps[: len(words) - shingle] + 1).tolist()]
-        ends = [*gaps[shingle - 1 :].tolist(), len(line)]
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts, ends)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return np.array([digest(line, SEED)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    starts = [0, *(gaps[: len(words) - shingle] + 1).tolist()]
+    ends = [*gaps[shingle - 1 :].tolist(), len(line)]
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint, as a signed 64-bit integer: the bits that are set in over half of the hashes."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     most = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(most, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    """The fingerprint of a text's bytes."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """key, fp long, text_hash long."""
     share_code(docs.sparkSession)
@@ -84,7 +101,8 @@ def anchors(fp: np.ndarray) -> np.ndarray:
 
 
 def _forest(fp: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
-    """(fingerprint, least one) for those of one anchor that links connect."""
+    """(fingerprint, least one), signed, for those of one anchor that links connect."""
+    signed = fp.view(np.int64)
     near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= threshold
     label = np.arange(len(fp))
     while True:
@@ -93,11 +111,13 @@ def _forest(fp: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
             break
         label = least
     for i in np.flatnonzero(label != np.arange(len(fp))).tolist():
-        yield int(fp[i]), int(fp[label[i]])
+        yield int(signed[i]), int(signed[label[i]])
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """a, b long: edges that connect exactly the fingerprints (column fp, distinct) that links connect."""
+    if not 0 <= threshold <= THRESHOLD:
+        raise ValueError(f"the anchors cover links of up to {THRESHOLD} bits")
     share_code(distinct.sparkSession)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +151,10 @@ def links(distinct: DataFrame) -> DataFrame:
             edges = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(anchor)]])
             size = np.diff(edges)
             two = edges[:-1][size == 2]
-            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= 2]
+            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= threshold]
             found = [(int(a), int(b)) for a, b in zip(fp[two].view(np.int64).tolist(), fp[two + 1].view(np.int64).tolist())]
             for a, n in zip(edges[:-1][size > 2].tolist(), size[size > 2].tolist()):
-                found.extend(_forest_signed(fp[a : a + n]))
+                found.extend(_forest(fp[a : a + n], threshold))
             for a, b in found:
                 x, y = find(a), find(b)
                 if x != y:
@@ -160,11 +180,6 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _forest_signed(fp: np.ndarray) -> list[tuple[int, int]]:
-    sign = lambda x: x - (1 << 64) if x >> 63 else x
-    return [(sign(a), sign(b)) for a, b in _forest(fp, 2)]
-
-
 def components(edges: DataFrame) -> list[DataFrame]:
     """Contraction maps (node long, to long), in order: following them from any node ends at one node per component."""
     maps, current = [], cut(edges, "edges")
@@ -181,39 +196,81 @@ def components(edges: DataFrame) -> list[DataFrame]:
     return maps
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+def follow(nodes: DataFrame, maps: list[DataFrame]) -> DataFrame:
+    """nodes with _root moved to the node that stands for its component."""
+    for step in maps:
+        nodes = nodes.join(step.withColumnRenamed("node", "_root"), "_root", "left").withColumn("_root", F.coalesce("to", "_root")).drop("to")
+    return nodes
+
+
+def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """key, node long (one for each set of shingles), text_hash long, size long, buckets array of long: anchors and bands."""
+    share_code(docs.sparkSession)
+    count = similar.bands_for(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "_text"):
+            hashes = [shingle_hashes(x or b"", shingle) for x in byte_rows(batch.column(1))]
+            at = anchors(np.array([majority(x) for x in hashes], np.int64).view(np.uint64)).view(np.int64)
+            sets = [np.unique(x) for x in hashes]
+            nodes = [xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in sets]
+            # Texts without words are one set: nothing else can be like them.
+            buckets = [[*similar.bands(x, count), *np.unique(a).tolist()] if len(x) else [] for x, a in zip(sets, at)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), batch.column(2), pa.array(list(map(len, sets)), pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=[key, "node", "text_hash", "size", "buckets"])
+
+    schema = T.StructType([docs.schema[key], *(T.StructField(c, T.LongType()) for c in ("node", "text_hash", "size")), T.StructField("buckets", T.ArrayType(T.LongType()))])
+    return docs.select(F.col(key), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("text_hash")).mapInArrow(run, schema)
+
+
+def _named(docs: DataFrame, key: str, text: str, shingle: int, threshold: int, similarity: float | None, most: int) -> tuple[DataFrame, DataFrame]:
+    """(key, node, text_hash) of every row, and of every node _first (the least key and text hash of its component) and _copies."""
+    least = F.min(F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("key"), F.col("text_hash").alias("hash")))
+    if similarity is None:
+        marked = cut(fingerprints(docs, key, text, shingle).withColumnRenamed("fp", "node"), "fingerprints")
+        distinct = cut(marked.groupBy("node").agg(least.alias("_least"), F.count(F.lit(1)).alias("_copies")), "distinct")
+        edges = links(distinct.withColumnRenamed("node", "fp"), threshold)
+    else:
+        marked = cut(marks(docs, key, text, shingle, similarity), "fingerprints")
+        distinct = cut(marked.groupBy("node").agg(least.alias("_least"), F.count(F.lit(1)).alias("_copies"), F.first("size").alias("size"), F.first("buckets").alias("buckets")), "distinct")
+        edges = similar.links(docs, distinct, key, text, lambda x: shingle_hashes(x, shingle), similarity, components, follow, most)
+    # Where nothing was linked, a node is its own component.
+    maps = components(edges)
+    root = cut(follow(distinct.select("node", "_least", "_copies", F.col("node").alias("_root")), maps), "roots")
+    named = cut(root.join(root.groupBy("_root").agg(F.min("_least").alias("_first")), "_root").select("node", "_first", "_copies"), "components")
+    for table in (distinct, root, *maps):
+        discard(table)
+    return marked.select(key, "node", "text_hash"), named
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, threshold: int = THRESHOLD, similarity: float | None = None, most: int = similar.MOST) -> DataFrame:
     """key, fp long, text_hash long, component_id, representative boolean.
 
-    component_id is the least key reachable over links of at most two differing bits; the representative rows
-    are those with that key and, if different texts have it, the least text hash.
+    component_id is the least key reachable over links of at most threshold differing bits; the representative rows
+    are those with that key and, if different texts have it, the least text hash. With similarity, links are those of
+    similar.py (most: sets in a block there), and instead of fp there is node, a hash of the set of shingles.
     """
-    marked = cut(fingerprints(docs, key, text, shingle), "fingerprints")
-    least = F.min(F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("key"), F.col("text_hash").alias("hash")))
-    distinct = cut(marked.groupBy("fp").agg(least.alias("_least"), F.count(F.lit(1)).alias("_copies")), "distinct")
-    # Where nothing was linked, a fingerprint is its own component.
-    root = distinct.withColumn("_root", F.col("fp"))
-    for step in components(links(distinct)):
-        root = root.join(step.withColumnRenamed("node", "_root"), "_root", "left").withColumn("_root", F.coalesce("to", "_root")).drop("to")
-    root = cut(root, "roots")
-    named = cut(root.join(root.groupBy("_root").agg(F.min("_least").alias("_first")), "_root").select("fp", "_first", "_copies"), "components")
-    # One fingerprint may have a third of the rows: the few with so many are told to every task, the others are joined.
-    rows = distinct.agg(F.sum("_copies")).first()[0] or 0
-    most = max(1, int(rows * HOT_SHARE))
-    hot = named.where(F.col("_copies") > most).select("fp", F.col("_first").alias("_hot"))
-    cold = named.where(F.col("_copies") <= most).select("fp", "_first")
-    known = marked.join(F.broadcast(hot), "fp", "left")
-    both = known.where(F.col("_hot").isNotNull()).withColumnRenamed("_hot", "_first").unionByName(known.where(F.col("_hot").isNull()).drop("_hot").join(cold, "fp"))
+    marked, named = _named(docs, key, text, shingle, threshold, similarity, most)
+    # One node may have a third of the rows: the few with so many are told to every task, the others are joined.
+    hot_at = max(1, int((named.agg(F.sum("_copies")).first()[0] or 0) * HOT_SHARE))
+    hot = named.where(F.col("_copies") > hot_at).select("node", F.col("_first").alias("_hot"))
+    cold = named.where(F.col("_copies") <= hot_at).select("node", "_first")
+    known = marked.join(F.broadcast(hot), "node", "left")
+    both = known.where(F.col("_hot").isNotNull()).withColumnRenamed("_hot", "_first").unionByName(known.where(F.col("_hot").isNull()).drop("_hot").join(cold, "node"))
     chosen = F.col("_first.key").eqNullSafe(F.col(key)) & F.col("_first.hash").eqNullSafe(F.col("text_hash"))
-    return both.select(key, "fp", "text_hash", F.col("_first.key").alias("component_id"), chosen.alias("representative"))
+    name = F.col("node").alias("fp" if similarity is None else "node")
+    return both.select(key, name, "text_hash", F.col("_first.key").alias("component_id"), chosen.alias("representative"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """One row of docs for each component: its representative, and of repeated such rows one.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, threshold: int = THRESHOLD, similarity: float | None = None, most: int = similar.MOST) -> DataFrame:
+    """One row of docs for each component of near_duplicates(): that of its least key, and of repeated such rows one.
 
-    Columns of docs named _k or _h are left out.
+    Columns of docs named _k, _h or _many are left out.
     """
-    docs = docs.drop("_k", "_h")
-    found = near_duplicates(docs, key, text, shingle)
-    kept = found.where("representative").select(F.col(key).alias("_k"), F.col("text_hash").alias("_h"))
-    at = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text)) == F.col("_h"))
-    return docs.join(kept, at, "left_semi").withColumn("_h", F.xxhash64(F.col(text))).dropDuplicates([key, "_h"]).drop("_h")
+    docs = docs.drop("_k", "_h", "_many")
+    _, named = _named(docs, key, text, shingle, threshold, similarity, most)
+    kept = cut(named.groupBy(F.col("_first.key").alias("_k"), F.col("_first.hash").alias("_h")).agg((F.sum("_copies") > 1).alias("_many")), "kept")
+    discard(named)
+    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text)) == F.col("_h")))
+    # Only of copies can the row itself be repeated: the other texts aren't shuffled once more.
+    once = rows.where("_many").dropDuplicates(["_k", "_h"])
+    return rows.where("not _many").unionByName(once).select(*docs.columns)

@@ -1,16 +1,18 @@
-"""Near-dedup by the Jaccard index of word shingles, for stages that aren't bound to operator 4's fingerprints.
-
-Two texts link if the sets of their word shingles (A-Z in lower case) have a Jaccard index of at least `similarity`.
-Candidates come from bands of minimum hashes, as many as leave a pair at that very index unmet in one case of 10,000 (fewer
-above it); every candidate is then judged by the whole sets of shingle hashes (64 bits), so no link is wrong. In a bucket all that
-could connect two components is compared. A bucket is one task's work: a very large group of near copies
-makes such a task long.
-
-Defined cases: texts without words are copies of each other; a text of fewer words is one shingle; an empty table gives an
-empty result; repeated rows are copies; the key may be null.
+"""The similarity rule of operator 4: texts link if their word shingles have a Jaccard index of at least `similarity`.
+
+Two bits of SimHash are a narrow rule: at an index of 0.8 fingerprints differ in about ten of 64 bits, and no covering
+code reaches that far with a bearable number of copies. So the anchors of simhash.py are one source of candidates here
+(fingerprints within two bits) and bands of minimum hashes the other, as many bands as leave a pair at that very index
+unmet in one case of 10,000 (fewer above it). Every candidate is judged by the whole sets of shingle hashes (64 bits), so
+no link is wrong.
+
+Anchors and bands are buckets. In a bucket all that could connect two components is compared. A bucket of more than
+`most` sets, or of more hashes than HASHES, is dealt into blocks, differently in each bucket, and each block is
+compared on its own. Where the members of such a bucket aren't in one component after that, the pairs of its blocks are
+compared too, in tasks of two blocks each. So a task never holds more than two blocks, and no link is lost.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, log
 
 import numpy as np
@@ -19,43 +21,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import byte_rows, chunks, cut, share_code
-from parley.llm.simhash import components
-
-SEED, SHINGLE, SIMILARITY, ROWS, MISSED = 43, 5, 0.8, 5, 1e-4
+from parley.llm.common import byte_rows, chunks, cut, discard, share_code
 
-
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    words = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([digest(line, SEED)] if words else [], np.uint64)
-    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    starts = [0, *(gaps[: len(words) - shingle] + 1).tolist()]
-    ends = [*gaps[shingle - 1 :].tolist(), len(line)]
-    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends)], np.uint64))
+ROWS, MISSED, SEED = 5, 1e-4, 43
+#: Sets in a block, and hashes in one (8 bytes each), on average.
+MOST, HASHES = 1000, 1 << 20
+#: Bits of the bitmap that tells which texts are candidates at all: 8 MB, whatever the input.
+BITS = 26
+#: Bits of one of Spark's bitmaps.
+_PART = 1 << 15
 
 
 def bands_for(similarity: float) -> int:
     return 1 if similarity >= 1 else ceil(log(MISSED) / log(1 - similarity**ROWS))
 
 
-def buckets(hashes: np.ndarray, bands: int) -> list[int]:
+def bands(hashes: np.ndarray, count: int) -> list[int]:
     """A signed number for each band of minimum hashes."""
     if not len(hashes):
         return []
     rng = np.random.default_rng(SEED)
-    turn, add = rng.integers(0, 1 << 63, (2, bands * ROWS), np.uint64)
-    least = np.full(bands * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    turn, add = rng.integers(0, 1 << 63, (2, count * ROWS), np.uint64)
+    least = np.full(count * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 2048):  # small blocks, however long the text
         mixed = hashes[at : at + 2048, None] * (turn | np.uint64(1)) + add
         np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(axis=0), out=least)
-    rows = least.reshape(bands, ROWS)
-    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(rows)]
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(count, ROWS))]
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Of two sorted sets."""
     low, high = sorted((len(a), len(b)))
     if low < similarity * high:
         return False
@@ -63,86 +58,102 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (low + high - common) - 1e-9
 
 
-def connect(sets: list[tuple[int, np.ndarray]], similarity: float) -> Iterator[tuple[int, int]]:
-    """Edges that connect exactly what links connect; those that had most links are tried first."""
-    groups: list[list[list]] = []  # of [links, name, set]
-    for name, own in sets:
-        mine, rest = [[0, name, own]], []
-        for group in groups:
-            hit = next((i for i, (_, _, other) in enumerate(group) if alike(own, other, similarity)), None)
-            if hit is None:
-                rest.append(group)
-                continue
-            group[hit][0] += 1
-            yield name, group[hit][1]
-            if hit and group[hit][0] > group[0][0]:
-                group[0], group[hit] = group[hit], group[0]
-            mine = group + mine if len(group) >= len(mine) else mine + group
-        groups = [*rest, mine]
-
-
-def links(docs: DataFrame, distinct: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """a, b long: edges between the sets (column sid) of distinct, with _least and bands."""
-    met = distinct.select("sid", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.array_sort(F.collect_set("sid")).alias("members"))
-    # The same members in several bands are looked at once.
-    met = met.where(F.size("members") > 1).groupBy(F.xxhash64("members").alias("bucket")).agg(F.first("members").alias("members"))
-    pairs = cut(met.select("bucket", F.explode("members").alias("sid")), "candidates")
-    named = cut(distinct.join(pairs.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("_least.key").alias("_k"), F.col("_least.hash").alias("_h")), "named")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x or b"", shingle).tobytes() for x in byte_rows(batch.column(1))], pa.binary())], names=["sid", "hashes"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by bucket."""
-        at, held = None, []
-
-        def flush() -> pa.RecordBatch:
-            found = list(connect(held, similarity))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+def connect(sets: list[tuple[int, int, int, np.ndarray]], similarity: float, cross: bool = False) -> Iterator[tuple[int, int]]:
+    """Edges that connect exactly what links connect, for (name, label, block, set); those that had most links are tried first.
 
+    Equal labels are connected already. cross: only sets of different blocks are compared.
+    """
+    groups: list[tuple[set, list[list]]] = []  # labels; [links, name, block, set]
+    for name, label, block, own in sets:
+        labels, mine, rest = {label}, [[0, name, block, own]], []
+        for group in groups:
+            has, members = group
+            if label not in has:
+                hit = next((i for i, (_, _, place, other) in enumerate(members) if not (cross and place == block) and alike(own, other, similarity)), None)
+                if hit is None:
+                    rest.append(group)
+                    continue
+                members[hit][0] += 1
+                yield name, members[hit][1]
+                if hit and members[hit][0] > members[0][0]:
+                    members[0], members[hit] = members[hit], members[0]
+            labels |= has
+            mine = members + mine if len(members) >= len(mine) else mine + members
+        groups = [*rest, (labels, mine)]
+
+
+def _candidate_texts(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """node and _text of the texts that names (node, _k, _h) tells. A bitmap of fixed size keeps others out of the shuffle."""
+    cell = F.pmod(F.col("_h"), F.lit(1 << BITS)) + 1  # Spark's bitmaps count from 1
+    parts = names.select(cell.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")).collect()
+    bitmap = bytearray((1 << BITS) // 8)
+    for r in parts:  # of at most 2 ** BITS / _PART parts
+        start = (r["part"] - 1) * _PART // 8
+        bitmap[start : start + _PART // 8] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            for bucket, sid, body in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != at and held:
-                    yield flush()
-                at = bucket
-                held.append((sid, np.frombuffer(body, np.uint64)))
-        yield flush()
-
-    at = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text)) == F.col("_h"))
-    made = docs.select(F.col(key), F.col(text)).join(named, at).select("sid", F.col(text).alias("_text")).mapInArrow(sets, "sid long, hashes binary")
-    whole = cut(made.dropDuplicates(["sid"]), "sets")
-    return pairs.join(whole, "sid").select("bucket", "sid", "hashes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a long, b long").distinct()
+            cells = batch.column(1).to_numpy() & ((1 << BITS) - 1)
+            yield batch.filter(pa.array(bits[cells >> 3] >> (cells & 7).astype(np.uint8) & 1, pa.uint8()).cast(pa.bool_()))
 
+    plain = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_hash"), F.col(text).alias("_text"))
+    return plain.mapInArrow(told, plain.schema).join(names, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))).select("node", "_text")
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of docs for each component: that of the least key, and of repeated such rows one.
 
-    Columns of docs named _k, _h, _many or sid are left out.
-    """
-    share_code(docs.sparkSession)
-    docs = docs.drop("_k", "_h", "_many", "sid")
-    bands = bands_for(similarity)
+def links(docs: DataFrame, distinct: DataFrame, key: str, text: str, hashes_of: Callable[[bytes], np.ndarray], similarity: float, components: Callable[[DataFrame], list[DataFrame]], follow: Callable[[DataFrame, list[DataFrame]], DataFrame], most: int = MOST) -> DataFrame:
+    """a, b long: edges between the sets of distinct (node, size, buckets, and _least with a text of each), as a written table."""
+    met = distinct.select("node", "size", F.explode("buckets").alias("bucket"))
+    counted = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"), F.sum("size").alias("hashes")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("hashes") / HASHES)).cast("int")
+    # Small buckets with the same members are looked at once.
+    once = counted.withColumn("blocks", F.greatest(blocks, F.lit(1))).groupBy("n", "who", "blocks", F.when(F.col("blocks") > 1, F.col("bucket")).alias("own")).agg(F.min("bucket").alias("bucket"))
+    block = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
+    pairs = cut(met.join(once.select("bucket", "blocks"), "bucket").select("bucket", "blocks", block.alias("block"), "node"), "candidates")
+    names = cut(distinct.join(pairs.select("node").distinct(), "node", "left_semi").select("node", F.col("_least.key").alias("_k"), F.col("_least.hash").alias("_h")), "named")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
-            found = [shingles(x or b"", shingle) for x in byte_rows(batch.column(1))]
-            sid = [xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.int64()), batch.column(2), pa.array([buckets(x, bands) for x in found], pa.list_(pa.int64()))], names=["_k", "sid", "_h", "bands"])
-
-    chosen = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_h"))
-    kind = docs.schema[key].dataType.simpleString()
-    marked = chosen.mapInArrow(run, f"_k {kind}, sid long, _h long, bands array<long>")
-    least = F.min(F.struct(F.col("_k").isNull().alias("no"), F.col("_k").alias("key"), F.col("_h").alias("hash")))
-    distinct = cut(marked.groupBy("sid").agg(least.alias("_least"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("_copies")), "distinct")
-    root = distinct.select(F.struct("_least.*", "_copies").alias("_least"), F.col("sid").alias("_root"))
-    for step in components(links(docs, distinct, key, text, shingle, similarity)):
-        root = root.join(step.withColumnRenamed("node", "_root"), "_root", "left").withColumn("_root", F.coalesce("to", "_root")).drop("to")
-    first = root.groupBy("_root").agg(F.min("_least").alias("_l"))
-    kept = cut(first.select(F.col("_l.key").alias("_k"), F.col("_l.hash").alias("_h"), (F.col("_l._copies") > 1).alias("_many")), "kept")
-    at = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text)) == F.col("_h"))
-    rows = docs.join(kept, at)
-    # Only of copies can the row itself be repeated: the other texts aren't shuffled once more.
-    once = rows.where("_many").dropDuplicates(["_k", "_h"])
-    return rows.where("not _many").unionByName(once).select(*docs.columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(hashes_of(x or b"")).tobytes() for x in byte_rows(batch.column(1))], pa.binary())], names=["node", "hashes"])
+
+    sets = cut(_candidate_texts(docs, names, key, text).mapInArrow(sets_of, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+
+    def compare(cross: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Sorted by bucket and part."""
+            at, held = None, []
+
+            def flush() -> pa.RecordBatch:
+                found = list(connect(held, similarity, cross))
+                held.clear()
+                return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+            for batch in batches:
+                for bucket, part, node, label, block, body in zip(*(c.to_pylist() for c in batch.columns)):
+                    if (bucket, part) != at and held:
+                        yield flush()
+                    at = bucket, part
+                    held.append((node, label, block, np.frombuffer(body, np.uint64)))
+            yield flush()
+
+        return run
+
+    def compared(rows: DataFrame, cross: bool) -> DataFrame:
+        """rows: bucket, part, node, label, block."""
+        dealt = rows.join(sets, "node").select("bucket", "part", "node", "label", "block", "hashes").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+        return dealt.mapInArrow(compare(cross), "a long, b long").distinct()
+
+    edges = cut(compared(pairs.select("bucket", F.col("block").cast("string").alias("part"), "node", F.col("node").alias("label"), "block"), False), "edges")
+    dealt = pairs.where("blocks > 1")
+    if not dealt.isEmpty():
+        root = follow(dealt.select("node").distinct().withColumn("_root", F.col("node")), components(edges)).select("node", F.col("_root").alias("label"))
+        marked = cut(dealt.join(root, "node"), "dealt")
+        apart = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        rest = marked.join(apart, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+        part = F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other"))
+        edges = cut(edges.unionByName(compared(rest.select("bucket", part.alias("part"), "node", "label", "block"), True)), "edges")
+        discard(marked)
+    for table in (pairs, names, sets):
+        discard(table)
+    return edges

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from parley.llm import simhash, sketches, substrings
@@ -91,6 +92,56 @@ def test_anchors_cover():
         assert own & set(simhash.anchors(other)[0].tolist())
 
 
+def alike_groups(sets, similarity=0.8):
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+def test_similarity_in_blocks(spark):
+    """Large groups of near copies, chains of them, and texts that share much but not enough, in blocks of a few sets."""
+    rng = random.Random(14)
+    texts = []
+    for g in range(4):
+        base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for c in range(25):
+            words = [*base]
+            if g % 2:  # a chain: each differs from the one before
+                base[rng.randrange(120)] = f"n{g}.{c}"
+            else:
+                words[rng.randrange(120)] = f"n{g}.{c}"
+            texts.append(" ".join(words))
+        texts += [" ".join([*base[:70], *(f"x{rng.randrange(5000)}" for _ in range(50))]) for _ in range(10)]
+    texts += ["", None, " ", "a b", "A b", *texts[:2]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := split((t or "").lower())) else set() for t in texts]
+    label = alike_groups([s or {()} for s in sets])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for most in (1000, 3):
+        rows = {r.doc_id: r for r in simhash.near_duplicates(frame, shingle=5, similarity=0.8, most=most).collect()}
+        assert [rows[i].component_id for i in range(len(texts))] == label
+        assert sorted(r.doc_id for r in simhash.keep_one(frame, shingle=5, similarity=0.8, most=most).collect()) == sorted(set(label))
+
+
+def test_narrower_links(spark):
+    prints = [0, 1, 3, 1 << 63, 7 << 40]
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    for threshold in (0, 1, 2):
+        edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), threshold).collect()
+        label = groups(prints, threshold)
+        assert len(prints) - len({frozenset(e) for e in map(tuple, edges)}) == len(set(label))
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
+
+
+def test_similarity_edges(docs, no_docs, clashing):
+    assert simhash.near_duplicates(no_docs, similarity=0.8).count() == 0 and simhash.keep_one(no_docs, similarity=0.8).count() == 0
+    assert simhash.near_duplicates(clashing, similarity=0.8).count() == docs.count()
+    assert simhash.keep_one(clashing, similarity=0.8).count() == simhash.keep_one(docs, similarity=0.8).count() < docs.count()
+
+
 def repeated(texts, window):
     count: dict = {}
     for t in texts:

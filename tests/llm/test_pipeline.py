@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 import public_tokenizers
 from parley.llm.common import cut
-from tests.llm.test_duplicates import by_hand, groups, repeated
+from tests.llm.test_duplicates import alike_groups, repeated, split
 from tests.llm.test_filters import contaminated
 
 
@@ -43,7 +43,8 @@ def test_stages(spark, folder):
     one = get("language_id")
     assert one == {k: t for k, t in held.items() if t and any(map(str.isalpha, t))}
     keys = sorted(one)
-    label = groups([by_hand(one[k]) for k in keys])
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    label = alike_groups([shingles(split(one[k].lower())) for k in keys])
     two = get("simhash_near_dedup")
     assert sorted(two) == sorted({keys[g] for g in label})
     order = sorted(two)
@@ -93,11 +94,7 @@ def test_near_copies_go(spark):
             words = [f"n{g}.{c}.{i}" if c and rng.random() < c / 150 else w for i, w in enumerate(base)]
             rows.append((len(rows), (" " * (c % 2 + 1)).join(words), "en", None, None))
             sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
-    label = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    label = alike_groups(sets)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
     kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert kept == sorted(set(label)) and 30 < len(kept) < 150
@@ -107,3 +104,14 @@ def test_no_language_to_learn(spark):
     rows = [(1, "some words", None, "a", 10), (2, None, None, "a", None), (3, "12 ... 3", None, "a", 8), (4, "漢字", None, "a", 2), (5, "", None, "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(tuple(r) for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [rows[0], rows[3]]
+
+
+def test_the_language_that_is_found_is_told(spark):
+    """The stage's rows follow the model: labels that are missing or wrong are set right."""
+    rng = random.Random(6)
+    speak = {"en": "the and of that with which house", "fr": "le et que avec dans une maison"}
+    rows = [(i, " ".join(rng.choice(speak[k].split()) for _ in range(40)), k, None, None) for i, k in enumerate(["en", "fr"] * 40)]
+    rows += [(100, rows[0][1], None, None, None), (101, rows[1][1], "en", None, None), (102, "...", "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert found == {**{i: k for i, _, k, *_ in rows[:80]}, 100: "en", 101: "fr"}
