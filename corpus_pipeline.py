@@ -3,13 +3,17 @@
 STAGES are (name, function); a function takes (spark, docs, sf_dir) and gives a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents, with n_chars as
 the length of what is left of the text.
+
+Defined cases, for every stage: a null text and one without a letter go in the first stage, and a later stage that meets
+one loses it or counts it as empty; repeated rows are copies, of which one stays; of equals the least doc_id stays, null
+counting as the greatest; an empty table gives an empty result; columns other than those of documents are left out.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from parley.llm import decontamination, language, packing, similar, substrings
+from parley.llm import decontamination, language, packing, simhash, substrings
 from parley.llm.common import cut
 from parley.llm.queries import SEQUENCE, VOCABULARY
 
@@ -24,17 +28,20 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what has no language: null texts and texts without a letter, also where no row has a language to learn."""
+    """Rejects what has no language, null texts and texts without a letter, and sets lang to the language found.
+
+    Where no row has a language to learn from, lang stays as it is and only the rejection takes effect.
+    """
     model = language.train(docs)
     if model is None:
         return language.lettered(docs.select(*COLUMNS))
     found = language.predict(docs, model, keep=tuple(COLUMNS[1:]))
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != language.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 0.8 of their 5-word shingles the one with the least id stays."""
-    return similar.keep_one(docs.select(*COLUMNS))
+    """Of each group of documents that links of 0.8 (5-word shingles, Jaccard) connect, the one with the least id stays."""
+    return simhash.keep_one(docs.select(*COLUMNS), shingle=5, similarity=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
