@@ -6,8 +6,9 @@ item words, or a whole item that has fewer. Words inside an occurrence are hit.
 that are long enough for the shortest window go through the automaton.
 
 The items are read to the driver in shards of at most `shard_words` words each (a parameter with a fixed
-default), one automaton for each; a shard's automaton is broadcast, and hits of several shards are united. No broadcast
-grows beyond that.
+default), one automaton for each, and at most `shards` automata are on the driver, broadcast and held by a worker at a
+time. A larger benchmark is scanned for in several passes: what a pass found is written with the texts, and the next one adds
+to it. Hits of all shards are united, so the result is the same whatever the shards.
 
 Defined cases: null or empty texts have no words and no hits; an item without words has no window; rows repeated
 in the items count once per item id; a null item id marks hits but is no item to be listed; an empty benchmark
@@ -15,6 +16,7 @@ hits nothing; other columns, whatever their names, are ignored. A null key is ke
 """
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import byte_rows, chunks, share_code
+from parley.llm.common import byte_rows, chunks, cut, discard, share_code
 from parley.llm.words import WORD_BYTES
 
-SHARD_WORDS = 100_000
+SHARD_WORDS, SHARDS = 50_000, 4
 #: A-Z in lower case; what isn't in a word as a space. Words are digits, letters and all that isn't ASCII.
 _TO_WORDS = WORD_BYTES.tobytes()
 
@@ -169,30 +171,51 @@ def _shards(benchmark: DataFrame, item: str, text: str, shard_words: int) -> Ite
         yield held
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), shard_words: int = SHARD_WORDS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), shard_words: int = SHARD_WORDS, shards: int = SHARDS) -> DataFrame:
     """key, the kept columns, n_words long, spans array of (begin, end) word numbers, items array of strings (sorted)."""
-    share_code(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    automata = [sc.broadcast(Automaton(x, window)) for x in _shards(benchmark, item, item_text, shard_words)]
+    spark = docs.sparkSession
+    share_code(spark)
     pair = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([docs.schema[key], *(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(pair)), T.StructField("items", T.ArrayType(T.StringType()))])
-    chosen = docs.select(F.col(key), *(F.col(c) for c in keep), *([] if text in keep else [F.col(text).alias("_text")]))  # the text goes once
-    names_in, column = chosen.columns, text if text in keep else "_text"
-    kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = [x.value for x in automata]
-        for batch in chunks(batches, column):
-            counts, spans, items = [], [], []
-            for value in byte_rows(batch.column(names_in.index(column))):
-                words = words_of(value) if value else []
-                counts.append(len(words))
-                hits = [x.scan(words) for x in loaded]
-                spans.append([{"begin": a, "end": b} for a, b in (hits[0][0] if len(hits) == 1 else unite(y for x, _ in hits for y in x))] if hits else [])
-                items.append(sorted(set().union(*(x for _, x in hits))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 1], pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=schema.fieldNames())
-
-    return chosen.mapInArrow(scan, schema)
+    found = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(pair)), T.StructField("items", T.ArrayType(T.StringType()))]
+    column = text if text in keep else "_text"  # the text goes once
+    current = docs.select(F.col(key), *(F.col(c) for c in keep), *([] if text in keep else [F.col(text).alias("_text")]))
+    whole = current.schema
+    where, kind = current.columns.index(column), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+    def scan(automata: list, width: int, first: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loaded = [x.value for x in automata]
+            for batch in chunks(batches, column):
+                counts, spans, items = [], [], []
+                before = [None] * batch.num_rows if first else zip(batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist())
+                for value, past in zip(byte_rows(batch.column(where)), before):
+                    words = words_of(value) if value else []
+                    counts.append(len(words))
+                    hits = [x.scan(words) for x in loaded]
+                    if past:
+                        hits.append(([(y["begin"], y["end"]) for y in past[0]], set(past[1])))
+                    spans.append([{"begin": a, "end": b} for a, b in (hits[0][0] if len(hits) == 1 else unite(y for x, _ in hits for y in x))])
+                    items.append(sorted(set().union(*(x for _, x in hits))))
+                kept = batch.columns[: len(keep) + 1] if last else batch.columns[:width]
+                names = [*batch.schema.names[: len(kept)], *(f.name for f in found)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=names)
+
+        return run
+
+    parts, passes = _shards(benchmark, item, item_text, shard_words), 0
+    ahead = list(islice(parts, shards))
+    while True:
+        automata = [spark.sparkContext.broadcast(Automaton(x, window)) for x in ahead]
+        ahead = list(islice(parts, shards))
+        kept = whole.fields if ahead else whole.fields[: len(keep) + 1]
+        made = current.mapInArrow(scan(automata, len(whole), passes == 0, not ahead), T.StructType([*kept, *found]))
+        if not ahead:
+            return made
+        before, current, passes = current, cut(made, "scanned"), passes + 1
+        if passes > 1:
+            discard(before)
+        for x in automata:
+            x.destroy()
 
 
 def unite(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -226,7 +249,7 @@ def _without(text: str, spans: list[dict]) -> str:
     return b" ".join(x for x in (y.strip() for y in parts) if x).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", shard_words: int = SHARD_WORDS, shards: int = SHARDS) -> DataFrame:
     """docs without the spans that are hit; a document of which more than max_coverage of the words are hit goes.
 
     Columns of docs named n_words, spans, items or _text are left out.
@@ -234,7 +257,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     docs = docs.drop("n_words", "spans", "items", "_text")
     names = docs.columns
     kept = tuple(c for c in names if c != key)
-    found = find_contamination(docs, benchmark, window, key, text, item, item_text, kept, shard_words)
+    found = find_contamination(docs, benchmark, window, key, text, item, item_text, kept, shard_words, shards)
     share = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
     found = found.where((F.col("n_words") == 0) | (share <= F.col("n_words") * F.lit(max_coverage)))
     where = names.index(text)
