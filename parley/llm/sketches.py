@@ -2,7 +2,9 @@
 
 A sketch keeps every hash of a shingle of `shingle` words that lies in the lowest 1/scaled of the hash range, so it grows with its
 document; sketches of parts merge by union, and containment can be estimated between documents of very
-different lengths. Where no hash is that low, the least one is kept: no text with words has an empty sketch.
+different lengths. Where no hash is that low, the least one (of the signed numbers) stands in: no text with words has an
+empty sketch. merge() drops a stand-in where the other part has a hash that is low enough, so that a merged sketch is always
+that of all shingles of both.
 
 Shingles are of words as they are, [^\\x20\\x09-\\x0D]+; a text of fewer words is one shingle. Defined cases: a
 null text is an empty one; texts without words have an empty sketch, and two empty sketches are alike (1.0);
@@ -12,7 +14,7 @@ repeated rows have equal sketches; other columns, whatever their names, are igno
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHINGLE, SCALED = 5, 8
+SHINGLE, SCALED = 5, 4
 #: At most this many ranges of keys; their bounds are told to every task.
 MOST_RANGES = 1 << 16
 RANGE_ROWS = 1000
@@ -22,18 +24,19 @@ _BLANK = r"[\x20\x09-\x0D]+"
 def sketch(text: Column, shingle: int = SHINGLE, scaled: int = SCALED) -> Column:
     """The sorted distinct hashes (array of long) of a text that is not null."""
     words = F.filter(F.split(text, _BLANK), lambda w: w != "")
-    least = (1 << 64) // scaled
 
     def of(w: Column) -> Column:
         n = F.size(w)
         return F.when(n == 0, F.array().cast("array<bigint>")).when(n <= shingle, F.array(F.xxhash64(w))).otherwise(F.transform(F.sequence(F.lit(1), n - shingle + 1), lambda i: F.xxhash64(F.slice(w, i, shingle))))
 
-    def keep(h: Column) -> Column:
-        low = F.filter(h, lambda x: (x >= 0) & (x < F.lit(least)))
-        # Hashes that are negative as signed numbers are the upper half of the range.
-        return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(h)
+    return _let(_let(words, of), lambda h: _retained(h, scaled))
 
-    return _let(_let(words, of), keep)
+
+def _retained(hashes: Column, scaled: int) -> Column:
+    """Of hashes those in the lowest 1/scaled of the range, or else the least; sorted and distinct."""
+    # Hashes that are negative as signed numbers are the upper half of the range.
+    low = F.filter(hashes, lambda x: (x >= 0) & (x < F.lit((1 << 64) // scaled)))
+    return _let(low, lambda x: F.when(F.size(x) > 0, F.array_sort(F.array_distinct(x))).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(hashes))
 
 
 def _let(value: Column, use) -> Column:
@@ -41,9 +44,9 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def merge(a: Column, b: Column) -> Column:
+def merge(a: Column, b: Column, scaled: int = SCALED) -> Column:
     """The sketch of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+    return _let(F.concat(a, b), lambda h: _retained(h, scaled))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -68,9 +71,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return docs.select(F.col(key), sketch(F.coalesce(F.col(text), F.lit("")), shingle, scaled).alias("sketch"))
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", order: tuple[str, ...] = ()) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", order: tuple[str, ...] = (), made: dict[str, Column] | None = None) -> DataFrame:
     """docs with next_<column> of the row that follows in ascending order of a numeric key; after the last, the first.
 
+    made: further columns, which are computed after the shuffle, so that they don't take part in it.
+
     The rows are dealt to ranges of keys of about RANGE_ROWS rows each, and the first row of each range is also
     dealt to the range before, so that no order over all rows is needed. Ties stand by the columns in order.
     Null keys come first. The ranges' bounds and first keys are on the driver, MOST_RANGES at most.
@@ -94,8 +99,9 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", order: t
     small = F.broadcast(spark.createDataFrame(before, "_r int, _f long"))
     ends = keyed.join(small, F.coalesce("_k", F.lit(-(1 << 63))) == F.col("_f")).drop("_f").withColumn("_end", F.lit(1))
     window = Window.partitionBy("_r").orderBy("_end", F.col("_k").asc_nulls_first(), *order)
-    led = own.unionByName(ends).withColumn("_next", F.lead(F.struct(*columns)).over(window))
-    return led.where("_end = 0").select(*docs.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
+    dealt = own.unionByName(ends).repartition("_r").withColumns(made or {})
+    led = dealt.withColumn("_next", F.lead(F.struct(*columns)).over(window))
+    return led.where("_end = 0").select(*docs.columns, *(made or {}), *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
 
 
 def _range_of(key: Column, bounds: list[int], width: int = 256) -> Column:
@@ -115,8 +121,7 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     2) code points give way to as many of the next document, or all it has.
     """
     plain = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    made = plain.select(key, "_text", sketch(F.col("_text"), shingle, scaled).alias("sketch"), F.xxhash64("_text").alias("_hash"))
-    led = with_next(made, ["_text", "sketch"], key, ("_hash",))
+    led = with_next(plain.withColumn("_hash", F.xxhash64("_text")), ["_text", "sketch"], key, ("_hash",), {"sketch": sketch(F.col("_text"), shingle, scaled)})
     n = F.length("_text").cast("long")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next__text", F.lit(1), half))
