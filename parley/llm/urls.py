@@ -5,8 +5,8 @@ the labels of the host from the last to the first, then the segments of the path
 be the beginning of a segment. Of the rules that fit, the one with more host labels wins, then the one with the
 longer path; of an allow and a block entry for the same place, the block. Without a rule, the default holds.
 
-The trie is broadcast. Its size is checked: beyond `most_rules` entries, rules are joined instead, on the
-host suffix, so nothing large is sent.
+The trie is broadcast. Its size is checked: beyond `most_rules` entries, rules are joined instead, on host suffix and
+beginning of the path, so nothing large is sent.
 
 Host: after the first :// up to /, ? or #, A-Z in lower case; path: from there up to ? or #. Defined cases: null
 urls and those without :// have an empty host and path, and no rule fits an empty host; an empty table gives an
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from parley.llm.common import ascii_lower, share_code
 
-MOST_RULES = 200_000
+MOST_RULES, SALT = 200_000, 16
 Rule = tuple[str, str, str]
 
 
@@ -119,13 +119,23 @@ def judge(pages: DataFrame, rules: DataFrame | list[Rule], default: str = "allow
 
 
 def _joined(pages: DataFrame, rules: DataFrame, default: str, key: str) -> DataFrame:
-    """The same for rules too many to broadcast: join distinct hosts and paths on each suffix of the host."""
+    """The same for rules too many to broadcast: an equi-join of distinct hosts and paths with the rules.
+
+    A page meets only rules that fit it: it is looked up by each suffix of its host with each beginning of its path that
+    is as long as some rule's path (lengths are small numbers, no more than the longest path). Rules are one for each
+    place, and each is copied SALT times, so that a rule that a third of all pages fit is SALT keys.
+    """
+    named = rules.groupBy(F.col("host").alias("_rh"), F.col("path").alias("_rp")).agg(F.max("verdict").alias("_v"))  # block comes after allow
+    sizes = sorted(r[0] for r in named.select(F.length("_rp")).distinct().collect())
     labels = F.split("host", r"\.")
-    suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
-    places = pages.where("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(suffix).alias("_suffix"))
-    named = rules.select(F.col("verdict").alias("_v"), F.col("host").alias("_rh"), F.col("path").alias("_rp"))
-    fits = places.join(named, (F.col("_suffix") == F.col("_rh")) & F.col("path").startswith(F.col("_rp")))
-    best = F.max_by(F.struct(F.concat("_rh", "_rp").alias("rule"), F.col("_v").alias("verdict")), F.struct(F.length("_rh"), F.length("_rp"), F.col("_v") == "block"))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
+    begins = F.transform(F.filter(F.lit(sizes), lambda n: n <= F.length("path")), lambda n: F.substr("path", F.lit(1), n))
+    salt = F.pmod(F.xxhash64("host", "path"), F.lit(SALT)).cast("int")
+    places = pages.where("host <> ''").select("host", "path").distinct().select("host", "path", salt.alias("_s"), F.explode(suffixes).alias("_suffix"), begins.alias("_b"))
+    places = places.select("host", "path", "_s", "_suffix", F.explode("_b").alias("_begin"))
+    copies = named.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    fits = places.join(copies, (F.col("_suffix") == F.col("_rh")) & (F.col("_begin") == F.col("_rp")) & (F.col("_s") == F.col("_c")))
+    best = F.max_by(F.struct(F.concat("_rh", "_rp").alias("rule"), F.col("_v").alias("verdict")), F.struct(F.length("_rh"), F.length("_rp")))
     won = fits.groupBy(F.col("host").alias("_h"), F.col("path").alias("_p")).agg(best.alias("_best"))
     out = pages.join(won, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
     return out.select(key, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
