@@ -4,10 +4,14 @@ The family of languages comes first (a linear support vector machine for each fa
 the language: one machine for each pair of languages of that family, the most wins decide, and the sum of
 margins where wins are equal. Features are the relative frequencies of byte trigrams of the text, in lower case for A-Z and
 with all ASCII that isn't a letter taken as a space, hashed to 2 ** BITS places. Machines are fitted on the
-driver on at most `sample` rows of each of the at most LANGUAGES languages with most rows, chosen by a hash of
-their key (documented bounds); every whole text is judged.
-
-Languages that FAMILIES doesn't name form a family of their own ("other"). Defined cases: text that is null or
+driver on at most `sample` rows of each language and about `total` rows in all, chosen by a hash of their key
+(documented bounds: with n languages each has at most max(20, total / n) rows); every whole text is judged. Every value of
+lang is learned; more than `languages` different ones are an error, so that none is left out unseen.
+
+Languages that FAMILIES doesn't name form a family of their own ("other"). A family of more than LARGEST languages is
+split, in their order, so the number of pair machines grows with the languages, not with their square; the model that
+is broadcast has at most languages * (LARGEST + 1) / 2 machines of 2 ** BITS weights (100 MB at the default). Rows that repeat
+a key, a text and a language are learned from once. Defined cases: text that is null or
 has no letter is `und` with score 0; so is all if nothing was learned. A single family or language needs no machine and
 has score 1. Repeated rows get equal results; an empty table an empty one; other columns, whatever their names, are ignored.
 """
@@ -26,8 +30,10 @@ from parley.llm.common import chunks, share_code
 from parley.llm.words import buffer_of
 
 BITS = 12
-SAMPLE = 1500
-LANGUAGES = 200
+SAMPLE, TOTAL = 1500, 12_000
+LANGUAGES, LARGEST = 500, 24
+#: No larger model is broadcast: so many machines are what `languages` at its default can come to.
+MACHINES = LANGUAGES * (LARGEST + 1) // 2 + LANGUAGES
 _PARTS = 10**9
 UNKNOWN = "und"
 #: ISO 639-1 codes by family.
@@ -70,11 +76,11 @@ class Model:
 
 
 def places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each trigram of a chunk and the n + 1 bounds of its rows in it; a row is closed by two spaces."""
+    """The place of each trigram of a chunk and the n + 1 bounds of its rows in it; a row stands between spaces, so that no trigram has letters of two rows."""
     data, offsets = buffer_of(column)
     n = len(offsets) - 1
     wide = np.full(len(data) + 3 * n + 2, 32, np.uint8)
-    shift = np.repeat(3 * np.arange(n) + 1, np.diff(offsets))
+    shift = np.repeat(3 * np.arange(n) + 2, np.diff(offsets))
     wide[np.arange(len(data)) + shift] = _LETTERS[data]
     wide = wide.astype(np.uint32)
     grams = (wide[:-2] | wide[1:-1] << 8 | wide[2:] << 16) * np.uint32(2654435761)
@@ -107,8 +113,8 @@ def _machine(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 150) ->
     """A linear support vector machine with squared hinge loss, by Nesterov's accelerated gradient; y: 1 or -1."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)  # both sides weigh the same
     w, b, v, d = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
-    reach = float(np.sqrt((x * x).sum(axis=1) + 1).max()) ** 2
-    step = 1 / (1e-3 + 2 * c * min(reach, float((share * ((x * x).sum(axis=1) + 1)).mean())))
+    length = np.einsum("ij,ij->i", x, x) + 1
+    step = 1 / (1e-3 + 2 * c * min(float(length.max()), float((share * length).mean())))
     for t in range(rounds):
         short = np.maximum(0, 1 - y * (x @ v + d))
         pull = (2 * c * share * y * short / len(y)).astype(np.float32)
@@ -119,55 +125,72 @@ def _machine(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 150) ->
     return Machine(w, b)
 
 
-def fit(x: np.ndarray, languages: list[str]) -> Model:
-    """x: a row of relative frequencies for each text."""
-    named = np.array(languages)
-    families: dict[str, list[str]] = {}
+def families_of(languages: list[str], largest: int = LARGEST) -> dict[str, list[str]]:
+    """The languages by family, in order; a family of more than largest is split into numbered ones."""
+    whole: dict[str, list[str]] = {}
     for code in sorted(set(languages)):
-        families.setdefault(family_of(code), []).append(code)
-    scale = (1 / (x.std(axis=0) + 1e-4)).astype(np.float32) / np.float32(np.sqrt(x.shape[1]))
-    x = x * scale
+        whole.setdefault(family_of(code), []).append(code)
+    out: dict[str, list[str]] = {}
+    for family, codes in whole.items():
+        parts = -(-len(codes) // largest)
+        for i in range(parts):
+            out[family if parts == 1 else f"{family}-{i + 1}"] = codes[len(codes) * i // parts : len(codes) * (i + 1) // parts]
+    return out
+
+
+def fit(x: np.ndarray, languages: list[str], largest: int = LARGEST) -> Model:
+    """x: a row of relative frequencies for each text; it is scaled in place."""
+    named = np.array(languages)
+    families = families_of(languages, largest)
+    spread = np.concatenate([x[:, at : at + 256].std(axis=0) for at in range(0, x.shape[1], 256)])
+    scale = (1 / (spread + 1e-4)).astype(np.float32) / np.float32(np.sqrt(x.shape[1]))
+    x *= scale
     model = Model(families)
-    own = np.array([family_of(code) for code in languages])
+    family = {code: name for name, codes in families.items() for code in codes}
+    own = np.array([family[code] for code in languages])
 
-    def machine(rows: np.ndarray, yes: np.ndarray) -> Machine:
-        made = _machine(x[rows], np.where(yes[rows], 1, -1).astype(np.float32))
+    def machine(rows: np.ndarray | None, yes: np.ndarray) -> Machine:
+        made = _machine(x if rows is None else x[rows], np.where(yes if rows is None else yes[rows], 1, -1).astype(np.float32))
         return Machine((made.weight * scale).astype(np.float32), made.bias)
 
     if len(families) > 1:
-        for family in families:
-            model.family[family] = machine(np.arange(len(x)), own == family)
+        for name in families:
+            model.family[name] = machine(None, own == name)
     for codes in families.values():
         for a, b in combinations(codes, 2):
             model.pair[a, b] = machine(np.flatnonzero((named == a) | (named == b)), named == a)
     return model
 
 
-def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """A model from at most sample rows of each language; usable: a condition over the columns of docs."""
+def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, total: int = TOTAL, languages: int = LANGUAGES) -> Model | None:
+    """A model from at most sample rows of each language, about total in all; usable: a condition over the columns of docs."""
     share_code(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
-    counts = rows.groupBy(F.col(lang).alias("_lang")).count().orderBy(F.col("count").desc(), "_lang").limit(LANGUAGES).collect()
+    rows = rows.select(F.col(lang).alias("_l"), F.xxhash64(F.col(key), F.col(text)).alias("_h"), F.col(text).alias("_text"))
+    counts = rows.groupBy("_l").agg(F.approx_count_distinct("_h").alias("n")).orderBy("_l").limit(languages + 1).collect()
     if not counts:
         return None
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages: raise `languages`, or merge rare values of {lang}")
+    sample = min(sample, max(20, total // len(counts)))
     # A hash takes about twice the sample of each language before any row is sorted, however large the table.
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["_lang"], min(_PARTS, 2 * sample * _PARTS // r["count"] + 1))))
-    thin = rows.select(F.col(key).alias("_k"), F.col(lang).alias("_lang")).where(F.pmod(F.xxhash64("_k"), F.lit(_PARTS)) < F.try_element_at(share, F.col("_lang")))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["_l"], min(_PARTS, 2 * sample * _PARTS // max(1, r["n"]) + 1))))
+    thin = rows.select(F.col("_l").alias("_lang"), F.col("_h").alias("_k")).where(F.pmod(F.xxhash64("_k"), F.lit(_PARTS)) < F.try_element_at(share, F.col("_lang"))).distinct()
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64(F.xxhash64("_k")), "_k"))
     chosen = thin.withColumn("_n", rank).where(F.col("_n") <= sample).drop("_n")
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
             at, bounds = places(batch.column(1))
             made = [np.bincount(at[a:b], minlength=1 << BITS).astype("<u4") for a, b in zip(bounds, bounds[1:])]
             live = [np.flatnonzero(x).astype("<u2") for x in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in live], pa.binary()), pa.array([x[i].tobytes() for x, i in zip(made, live)], pa.binary())], names=["k", "lang", "place", "count"])
 
-    # At most sample rows of a key and a code for each of at most LANGUAGES languages: small enough to broadcast.
-    joined = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_l")).join(F.broadcast(chosen), (F.col("_key") == F.col("_k")) & (F.col("_l") == F.col("_lang")))
-    made = joined.select(F.xxhash64("_key").alias("k"), "_text", "_lang").mapInArrow(counts, "k long, lang string, place binary, count binary").toArrow().to_pylist()
+    # At most sample rows of a hash and a code for each of at most `languages` languages: small enough to broadcast.
+    joined = rows.join(F.broadcast(chosen), (F.col("_h") == F.col("_k")) & (F.col("_l") == F.col("_lang"))).dropDuplicates(["_h", "_l"])
+    made = joined.select(F.col("_h").alias("k"), "_text", F.col("_l").alias("_lang")).mapInArrow(counted, "k long, lang string, place binary, count binary").toArrow().to_pylist()
     if not made:
         return None
     made.sort(key=lambda r: (r["k"], r["lang"], r["place"], r["count"]))
@@ -182,7 +205,9 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     """key, the kept columns, lang_pred string, score double (0 to 1)."""
     share_code(docs.sparkSession)
     schema = T.StructType([docs.schema[key], *(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a machine has 2 ** BITS weights
+    if model is not None and len(model.family) + len(model.pair) > MACHINES:
+        raise ValueError("the model is too large to broadcast")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(F.col(key), *(F.col(c) for c in keep), *([] if text in keep else [F.col(text).alias("_text")]))  # the text goes once
     names_in, column = chosen.columns, text if text in keep else "_text"
 
