@@ -193,7 +193,7 @@ def test_sketches(spark, docs, no_docs, clashing):
         assert rows[key].next_sketch == prints[after_key] and rows[key].sketch == prints[key]
         n = len(set(zip(*(split(text)[k:] for k in range(5)))))
         if n > 200:
-            assert abs(len(prints[key]) - n / 8) < 5 * (n / 8) ** 0.5
+            assert abs(len(prints[key]) - n / sketches.SCALED) < 5 * (n / sketches.SCALED) ** 0.5
     assert bool(prints[1]) is False and prints[3] and prints[7] == prints[8]
     assert sketches.edited_likeness(no_docs).count() == 0
     assert sketches.edited_likeness(clashing).count() == docs.count()
@@ -217,3 +217,74 @@ def test_likeness_estimates_the_jaccard_index(spark):
     row = frame.alias("x").join(frame.alias("y"), on=None, how="cross").where("x.doc_id = 1 and y.doc_id = 2").selectExpr("x.sketch a", "y.sketch b")
     got = row.select(sketches.likeness(row.a, row.b), sketches.containment(row.a, row.b)).first()
     assert abs(got[0] - 1 / 3) < 0.08 and abs(got[1] - 0.5) < 0.1
+
+
+def test_sketch_recomputed_and_merged(spark):
+    rng = random.Random(21)
+    some = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    texts = ["", "one", some(4), some(5), some(7), some(9), some(30), some(3000)]
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(i, t, [w[k : k + 5] for k in range(max(1, len(w) - 4))] if (w := t.split()) else []) for i, t in enumerate(texts)], "doc_id long, text string, grams array<array<string>>")
+    rows = frame.select("doc_id", sketches.sketch(F.col("text")).alias("s"), F.transform("grams", lambda g: F.xxhash64(g)).alias("h")).orderBy("doc_id").collect()
+    least = (1 << 64) // sketches.SCALED
+    keep = lambda h: sorted({x for x in h if 0 <= x < least}) or sorted(h)[:1]
+    assert [r.s for r in rows] == [keep(r.h) for r in rows]
+    # The merged sketch is that of the shingles of both, also of very unequal texts.
+    pairs = spark.createDataFrame([(i, j, rows[i].s, rows[j].s) for i in range(len(rows)) for j in range(len(rows))], "i int, j int, a array<long>, b array<long>")
+    for r in pairs.select("i", "j", sketches.merge(F.col("a"), F.col("b")).alias("m"), sketches.containment(F.col("a"), F.col("b")).alias("c")).collect():
+        assert r.m == keep(rows[r.i].h + rows[r.j].h)
+        a, b = set(rows[r.i].s), set(rows[r.j].s)
+        assert r.c == (len(a & b) / len(a) if a else 1.0)
+
+
+def test_digests_of_the_queries(spark, texts, tmp_path):
+    """Every column of the contracts of operators 3, 4, 5 and 8, recomputed."""
+    import hashlib
+
+    from parley.llm import queries
+    from tests.llm.test_filters import contaminated
+
+    rows = [(i, t, "en", None, None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    words = split(texts[10])
+    items = [(i, " ".join(words[3 * i : 3 * i + 14])) for i in range(12)] + [(90, "a"), (91, None), (92, " ".join(split(texts[7])[5:18]))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    plain = [t or "" for t in texts]
+
+    three = {r.doc_id: r for r in queries.op3_document_fingerprints(spark, str(tmp_path)).collect()}
+    prints = {t: three[i].fingerprint for i, t in enumerate(plain)}
+    numbers = lambda s: {s[k : k + 16] for k in range(0, len(s), 16)}
+    near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, text in enumerate(plain):
+        after = plain[(i + 1) % len(plain)]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        own = numbers(three[i].fingerprint)
+        assert three[i].n_chars == len(text) and three[i].edited_sha256 == sha(edited) and three[i].fingerprint == prints[text]
+        assert three[i].near_next == near(own, numbers(prints[after])) and three[i].near_edited == near(own, numbers(three[i].edited_fingerprint))
+
+    four = {r.doc_id: r for r in queries.op4_simhash_near_dedup(spark, str(tmp_path)).collect()}
+    fps = [by_hand(t) for t in texts]
+    assert [(four[i].fingerprint, four[i].component_id) for i in range(len(texts))] == [(f"{x:016x}", g) for x, g in zip(fps, groups(fps))]
+
+    five = {r.doc_id: r for r in queries.op5_benchmark_decontamination(spark, str(tmp_path)).collect()}
+    want = contaminated(texts, [(str(k), t) for k, t in items], 10)
+    assert [tuple(five[i])[1:] for i in range(len(texts))] == [(n, hit, len(found), sha(",".join(found)), hit > 0) for n, hit, found in want]
+    assert sum(hit > 0 for _, hit, _ in want) > 3
+
+    eight = {r.doc_id: r for r in queries.op8_substring_dedup(spark, str(tmp_path)).collect()}
+    assert [tuple(eight[i])[1:] for i in range(len(texts))] == [(n, gone, sha(kept)) for n, gone, kept in repeated(texts, 35)]
+
+
+def test_a_passage_in_every_chunk(spark, monkeypatch):
+    """Single occurrences that a later chunk of the same task, or another task, meets again; memory of few windows."""
+    rng = random.Random(17)
+    passage = [f"p{i}" for i in range(20)]
+    texts = [" ".join([*(f"u{rng.randrange(10**6)}" for _ in range(12)), *(passage if i % 3 == 0 else []), *(passage[:9] if i % 7 == 0 else [])]) for i in range(90)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts, size, memory in ((1, 300, 1 << 18), (3, 300, 1 << 18), (2, 300, 8), (1, 1 << 20, 4)):
+        monkeypatch.setattr(substrings, "WINDOW_BYTES", size)
+        monkeypatch.setattr(substrings, "MEMORY", memory)
+        rows = {r.doc_id: (r.n_words, r.n_removed, r.text or "") for r in substrings.remove_repeated(frame.repartition(parts), window=6, gram=3, hot_count=4).collect()}
+        assert [rows[i] for i in range(len(texts))] == repeated(texts, 6)

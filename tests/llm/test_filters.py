@@ -1,6 +1,8 @@
 import random
 import re
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,8 +37,9 @@ def contaminated(texts, items, window):
     return out
 
 
-@pytest.mark.parametrize("shard_words", [100_000, 8])
-def test_contamination(spark, shard_words):
+@pytest.mark.parametrize("shard_words, shards", [(100_000, 4), (8, 2), (8, 1)])
+def test_contamination(spark, shard_words, shards):
+    """Also in several passes, for benchmarks of more shards than a worker holds."""
     rng = random.Random(3)
     make = lambda n: " ".join(rng.choice(["ab", "C", "dé", "x1"]) for _ in range(rng.randint(0, n)))
     items = [(i, make(9)) for i in range(8)] + [(8, None), (9, ""), (None, "x1 x1 x1"), (3, "ab, ab; AB")]
@@ -44,7 +47,7 @@ def test_contamination(spark, shard_words):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     for window in (2, 4):
-        rows = {r.doc_id: (r.n_words, sum(s.end - s.begin for s in r.spans), r["items"]) for r in decontamination.find_contamination(docs, bench, window, shard_words=shard_words).collect()}
+        rows = {r.doc_id: (r.n_words, sum(s.end - s.begin for s in r.spans), r["items"]) for r in decontamination.find_contamination(docs, bench, window, shard_words=shard_words, shards=shards).collect()}
         want = contaminated(texts, [(None if k is None else str(k), t) for k, t in items], window)
         assert [rows[i] for i in range(len(texts))] == want
 
@@ -97,6 +100,18 @@ def test_url_precedence(spark):
         assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, frame, most_rules=most).collect()} == want
 
 
+def test_urls_in_many_rules(spark):
+    """The join against the trie on random rules and pages: a hot host, very long paths, repeated rows."""
+    rng = random.Random(11)
+    hosts = ["com", "a.com", "b.a.com", "org", "x.org"]
+    path = lambda n: "".join(rng.choice("/ab") for _ in range(rng.randint(0, n)))
+    rules = [(rng.choice(["allow", "block"]), rng.choice(hosts), "/" + path(4)) for _ in range(60)]
+    pages = [(i, f"h://{rng.choice(['', 'w.', 'v.w.'])}{rng.choice(hosts)}/{path(9)}") for i in range(400)] + [(400, "h://a.com/" + "ab/" * 3000), (401, "h://a.com/a"), (401, "h://a.com/a")]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    one, two = (sorted(map(tuple, urls.judge(frame, rules, most_rules=most).collect()), key=str) for most in (1000, 5))
+    assert one == two and len(one) == len(pages)
+
+
 def test_licenses(spark, docs, no_docs, clashing):
     cases = {
         "Some text.\nReleased under the MIT License.": "MIT",
@@ -245,9 +260,110 @@ def test_toxicity(spark, docs, no_docs, clashing):
     assert all((r.score >= 0.5) == bool(truth[r.doc_id]) for r in held) and len(held) > 80
     assert toxicity.score(docs, model).where("score between 0 and 1").count() == docs.count() == toxicity.score(clashing, model).count()
     assert toxicity.score(no_docs, model).count() == 0
+    # A key with a third of all rows and labels is learned from once for each text; the bounds hold.
+    many = frame.unionByName(frame.where("doc_id = 3").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("n"))
+    again = toxicity.train(many, marks.unionByName(marks.where("doc_id = 3")).unionByName(marks.where("doc_id = 3")), crc_mod(F.col("doc_id"), 5) != 0)
+    assert again.place.tolist() == model.place.tolist() and again.weight.tolist() == model.weight.tolist()
+    few = toxicity.train(frame, marks, sample=50, most_places=2000)
+    assert few is not None and len(few.place) < len(model.place) + 100
     assert toxicity.train(frame, marks.limit(0)) is None and toxicity.score(docs, None).where("score = 0").count() == docs.count()
 
 
+def test_ftrl_step_by_step():
+    """The fit against the rule for one coordinate at a time."""
+    rng = random.Random(2)
+    rows = [(sorted(rng.sample(range(30), 4)), rng.randint(0, 1)) for _ in range(60)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 1.0
+    z, n = {}, {}
+
+    def weight(i):
+        free = 0.0 if i == "bias" else l1
+        if abs(z.get(i, 0.0)) <= free:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * free) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for places, label in rows:
+            own = [*places, "bias"]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in own:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    model = toxicity.fit(((np.array(p), y) for p, y in rows), alpha=alpha, beta=beta, l1=l1, l2=l2, rounds=3)
+    want = {i: weight(i) for i in range(30) if weight(i)}
+    assert model.place.tolist() == sorted(want) and np.allclose(model.weight, [want[i] for i in sorted(want)]) and abs(model.bias - weight("bias")) < 1e-9
+
+
+def test_language_votes(spark):
+    """Family first, then one vote for each pair of languages: against the rule written out for every text."""
+    rng, texts = np.random.default_rng(5), ["der hund", "le chat noir", "x", "und und und", "die katze, das haus! " * 40]
+    codes = ["de", "en", "nl", "fr", "es"]
+    machine = lambda: language.Machine(rng.normal(size=1 << language.BITS).astype(np.float32), float(rng.normal()) / 10)
+    families = language.families_of(codes)
+    pairs = [(a, b) for own in families.values() for i, a in enumerate(own) for b in own[i + 1 :]]
+    model = language.Model(families, {f: machine() for f in families}, {p: machine() for p in pairs})
+
+    def counts(text):
+        low = "  " + re.sub("[^a-z]", " ", text.lower()) + "   "
+        out = np.zeros(1 << language.BITS)
+        for i in range(len(low) - 2):
+            value = int.from_bytes(low[i : i + 3].encode(), "little") * 2654435761 & 0xFFFFFFFF
+            out[value >> 32 - language.BITS] += 1
+        return out / out.sum()
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in language.predict(frame, model).collect()}
+    for i, text in enumerate(texts):
+        margin = lambda m: float(counts(text) @ m.weight) + m.bias
+        family = max(families, key=lambda f: margin(model.family[f]))
+        votes = {c: [0, 0.0] for c in families[family]}
+        for a, b in pairs:
+            if a in votes:
+                m = margin(model.pair[a, b])
+                votes[a if m > 0 else b][0] += 1
+                votes[a][1] += m
+                votes[b][1] -= m
+        assert found[i] == max(votes, key=lambda c: tuple(votes[c])), text
+
+
+def test_many_languages(spark):
+    """Large families are split, so the machines grow with the languages; too many are an error, none is left out unseen."""
+    codes = [f"q{i:03}" for i in range(100)] + ["de", "en"]
+    families = language.families_of(codes)
+    assert sorted(c for own in families.values() for c in own) == sorted(codes) and max(map(len, families.values())) <= language.LARGEST
+    frame = spark.createDataFrame([(i, f"{c} {c}x{c} " * 5, c) for i, c in enumerate(codes[:30] * 4)], "doc_id long, text string, lang string")
+    assert sum(map(len, language.train(frame).families.values())) == 30
+    with pytest.raises(ValueError):
+        language.train(frame, languages=29)
+    # A row with a third of all rows, and equal rows, are learned from once.
+    many = frame.unionByName(frame.where("doc_id = 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("n"))
+    one, two = language.train(frame), language.train(many)
+    assert all(np.array_equal(one.pair[p].weight, two.pair[p].weight) for p in one.pair)
+
+
+def test_digests_of_the_learned_queries(spark, texts, tmp_path):
+    from parley.llm import queries
+
+    rng = random.Random(10)
+    rows = [(i, t, "en", None, None) for i, t in enumerate(texts)]
+    rows += [(i, " ".join(rng.choice(("the of and " if i % 2 else "le la et ").split()) for _ in range(20)) + (" nasty" if i % 3 else ""), "en" if i % 2 else "fr", None, None) for i in range(100, 300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 3 > 0)) for i in range(100, 300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    crc = lambda i, n: zlib.crc32(str(i).encode()) % n
+    seven = queries.op7_toxicity(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.held_out, r.predicted) for r in seven) == sorted((r.doc_id, crc(r.doc_id, 5) == 0, int(r.score >= 0.5)) for r in seven)
+    assert len(seven) == len(rows) and all(0 <= r.score <= 1 for r in seven)
+    assert all(r.predicted == int(r.doc_id % 3 > 0) for r in seven if r.doc_id >= 100)
+    ten = queries.op10_language_id(spark, str(tmp_path)).collect()
+    blank = {i for i, t, *_ in rows if not any(map(str.isalpha, t or ""))}
+    assert len(ten) == len(rows) and all(r.held_out == (crc(r.doc_id, 4) == 2) and 0 <= r.score <= 1 for r in ten)
+    assert {r.doc_id for r in ten if r.lang_pred == "und"} == blank
+    assert all(r.lang_pred == ("en" if r.doc_id % 2 else "fr") for r in ten if r.doc_id >= 100)
+
+
 def test_language(spark, docs, no_docs, clashing):
     rng = random.Random(9)
     speak = {"en": "the and of that with which house", "de": "der und das nicht mit welche haus", "fr": "le et que avec dans une maison", "es": "el y que con los una casa", "xx": "zq qz zzq qqz zqz"}
