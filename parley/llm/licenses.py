@@ -5,8 +5,10 @@ lower case, runs of all but letters, digits and dots as one space, no dots or sp
 the beginning of a line are gone too). A sentence is a piece or a run of pieces with nothing but single line ends
 between them, as sentences are wrapped over lines; those in the table of known license sentences are found. Of
 sentences that end or begin at the same piece the longest counts, and no piece counts twice. The identifiers of those found, in the order of
-the text, form a sequence; the ordered rules name licenses by runs of identifiers in it, the first rule of a
-license family that fits. n_sentences counts pieces, as the SQL does, which knows sentences of one piece only.
+the text, form a sequence; the ordered rules name licenses by runs of identifiers in it. A rule takes the runs that it fits
+away from the later rules of its license family, so a text under two licenses of a family has both, and what is part of
+a longer run isn't named again. n_sentences counts pieces, as the SQL does, which knows sentences of one piece only.
+The table of sentences and the rules can be given by the caller.
 
 Defined cases: null and empty texts have no sentence and no license; repeated sentences repeat their
 identifier, repeated rows their result; an empty table gives an empty result; other columns are ignored,
@@ -61,10 +63,17 @@ PUBLISHED = {
     ("CcBy4",): ["This work is licensed under a Creative Commons Attribution 4.0 International License", "This work is licensed under the Creative Commons Attribution 4.0 International License"],
     ("CcBySa4",): ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"],
     ("Cc0",): ["CC0 1.0 Universal"],
+    ("Lgpl3OrLater",): ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    ("Lgpl21OrLater",): ["either version 2.1 of the License, or (at your option) any later version", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version"],
+    ("Agpl3OrLater",): ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    ("IscPermission",): ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    ("ZlibPermission",): ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    ("Unencumbered",): ["This is free and unencumbered software released into the public domain"],
+    ("Boost1",): ["Distributed under the Boost Software License, Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"],
+    ("Epl2",): ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"],
     ("BsdNoEndorse",): ["Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
 }
-#: Rules in order; of the rules of a family, the first that fits names the license. A fit is a run of
-#: identifiers in the sequence.
+#: Rules in order, as (family, license, run of identifiers).
 RULES = [
     ("apache", "Apache-2.0", ["ApacheLicensed"]),
     ("apache", "Apache-2.0", ["ApacheNotUse", "ApacheCopy"]),
@@ -75,7 +84,10 @@ RULES = [
     ("gpl", "GPL-2.0-or-later", ["GplFree", "GplFree", "Gpl2OrLater"]),
     ("gpl", "GPL-3.0-only", ["Gpl3Licensed"]),
     ("gpl", "GPL-2.0-only", ["Gpl2Licensed"]),
+    ("lgpl", "LGPL-3.0-or-later", ["Lgpl3OrLater"]),
+    ("lgpl", "LGPL-2.1-or-later", ["Lgpl21OrLater"]),
     ("lgpl", "LGPL-3.0-only", ["Lgpl3Licensed"]),
+    ("agpl", "AGPL-3.0-or-later", ["Agpl3OrLater"]),
     ("cc-by-nc", "CC-BY-NC-4.0", ["CcByNc4"]),
     ("cc-by-sa", "CC-BY-SA-4.0", ["CcBySa4"]),
     ("cc-by", "CC-BY-4.0", ["CcBy4"]),
@@ -83,6 +95,11 @@ RULES = [
     ("bsd", "BSD-3-Clause", ["BsdRedistribution", "BsdNoEndorse"]),
     ("bsd", "BSD-2-Clause", ["BsdRedistribution"]),
     ("mpl", "MPL-2.0", ["Mpl2Licensed"]),
+    ("isc", "ISC", ["IscPermission"]),
+    ("zlib", "Zlib", ["ZlibPermission"]),
+    ("unlicense", "Unlicense", ["Unencumbered"]),
+    ("boost", "BSL-1.0", ["Boost1"]),
+    ("epl", "EPL-2.0", ["Epl2"]),
     ("reserved", "All-Rights-Reserved", ["AllRights"]),
 ]
 #: Where sentences end, and what normalisation takes for a space. The same in Java and RE2.
@@ -127,9 +144,8 @@ def pieces(text: Column) -> Column:
     return F.split(F.regexp_replace(lines, STOPS, "\n\n"), "\n")
 
 
-def identifiers(parts: Column) -> Column:
+def identifiers(parts: Column, sentences: dict[str, str]) -> Column:
     """The identifiers of the known sentences in pieces, in order."""
-    sentences = published()
     table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in sentences.items()))
     begins = F.lit("\n" + "".join(f"{k} \n" for k in sentences))
     none = F.array().cast("array<string>")
@@ -155,23 +171,30 @@ def identifiers(parts: Column) -> Column:
     return F.aggregate(plain, F.struct(none.alias("ids"), none.alias("held"), F.lit("").alias("run"), none.alias("open")), step, lambda s: F.concat(s["ids"], s["held"]))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_sentences long, sentence_ids array (in the order of the text), licenses array (in the order of the rules)."""
-    low = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    signed = reduce(or_, (F.contains(low, F.lit(x)) for x in SIGNS))
-    raw = docs.select(F.col(key), signed.alias("_signed"), pieces(F.col(text)).alias("_s"))
-    ids = F.when(F.col("_signed"), identifiers(F.col("_s"))).otherwise(F.array().cast("array<string>"))
-    counted = raw.select(F.col(key), F.size(F.filter("_s", lambda x: F.btrim(x) != "")).cast("long").alias("n_sentences"), ids.alias("sentence_ids"))
-    return counted.withColumn("_line", F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))).withColumn("licenses", F.array_compact(F.array(*_rules()))).select(key, "n_sentences", "sentence_ids", "licenses")
-
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, str, list[str]]] | None = None) -> DataFrame:
+    """key, n_sentences long, sentence_ids array (in the order of the text), licenses array (in the order of the rules).
 
-def _rules() -> list[Column]:
-    """A column for each family: the license of its first rule that fits, or null."""
-    families: dict[str, Column] = {}
-    for family, license_id, run in RULES:
-        fits = F.col("_line").contains("," + ",".join(run) + ",")
-        families[family] = families[family].when(fits, license_id) if family in families else F.when(fits, license_id)
-    return list(families.values())
+    sentences: identifiers, with commas between them, by normalised() sentence (published() if left out); rules: as RULES.
+    """
+    raw = docs.select(F.col(key), F.col(text).alias("_text"), pieces(F.col(text)).alias("_s"))
+    ids = identifiers(F.col("_s"), sentences or published())
+    if not sentences:
+        low = ascii_lower(F.coalesce(F.col("_text"), F.lit("")))
+        ids = F.when(reduce(or_, (F.contains(low, F.lit(x)) for x in SIGNS)), ids).otherwise(F.array().cast("array<string>"))
+    counted = raw.select(F.col(key), F.size(F.filter("_s", lambda x: F.btrim(x) != "")).cast("long").alias("n_sentences"), ids.alias("sentence_ids"))
+    return counted.withColumn("licenses", named("sentence_ids", rules or RULES))
+
+
+def named(ids: str, rules: list[tuple[str, str, list[str]]]) -> Column:
+    """The licenses that rules name in a column of identifiers; each identifier stands in brackets of its own, so runs don't overlap by them."""
+    whole = F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
+    found: list[Column] = []
+    left: dict[str, Column] = {}
+    for family, license_id, run in rules:
+        line, body = left.get(family, whole), F.lit("".join(f"<{x}>" for x in run))
+        found.append(F.when(F.contains(line, body), license_id))
+        left[family] = F.replace(line, body, F.lit("|"))
+    return F.array_distinct(F.array_compact(F.array(*found)))
 
 
 def oracle_sql() -> str:

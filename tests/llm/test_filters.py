@@ -236,6 +236,34 @@ def test_published_licenses(spark):
         assert [(",".join(r.licenses), ",".join(r.sentence_ids)) for r in got] == list(cases.values())
 
 
+def test_several_licenses_of_a_family(spark):
+    gpl3, gpl2 = (f"This work is licensed under the GNU General Public License, version {n}." for n in (3, 2))
+    notices = [GPL3.replace("GNU General", "GNU Affero General"), GPL3.replace("GNU General", "GNU Lesser General"), GPL2.replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1"), "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n", "This is free and unencumbered software released into the public domain.", "// Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file)", "  This program and the accompanying materials are made\n  available under the terms of the Eclipse Public License 2.0\n  which is available at https://www.eclipse.org/legal/epl-2.0/\n", "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n"]
+    texts = [f"{gpl2}\n{gpl3}", GPL3 + "\n" + gpl2, BSD3 + "\n" + BSD3, BSD3 + "\n" + BSD2, *notices]
+    want = ["GPL-3.0-only,GPL-2.0-only", "GPL-3.0-or-later,GPL-2.0-only", "BSD-3-Clause", "BSD-3-Clause,BSD-2-Clause", "AGPL-3.0-or-later", "LGPL-3.0-or-later", "LGPL-2.1-or-later", "ISC", "Unlicense", "BSL-1.0", "EPL-2.0", "Zlib"]
+    assert [",".join(r.licenses) for r in license_rows(spark, texts)] == want
+
+
+def test_own_sentences_and_rules(spark):
+    frame = spark.createDataFrame([(1, "Use it\nfreely. Pay nothing!"), (2, "Pay nothing. Use it freely."), (3, None)], "doc_id long, text string")
+    table = {licenses.normalised("Use it freely"): "Free", licenses.normalised("Pay nothing"): "Gratis"}
+    rows = licenses.scan(frame, sentences=table, rules=[("own", "Both", ["Free", "Gratis"]), ("own", "One", ["Gratis"])]).orderBy("doc_id").collect()
+    assert [(list(r.sentence_ids), list(r.licenses)) for r in rows] == [(["Free", "Gratis"], ["Both"]), (["Gratis", "Free"], ["One"]), ([], [])]
+
+
+def test_very_long_texts(spark):
+    """Operators 6, 7, 9 and 10 on texts of millions of bytes, ties and repeated rows among them."""
+    long = "word " * 400_000
+    frame = spark.createDataFrame([(1, long + "\nReleased under the MIT License.", "en"), (2, long, "en"), (2, long, "en"), (3, "mot " * 9, "fr")], "doc_id long, text string, lang string")
+    assert {r.doc_id: list(r.licenses) for r in licenses.scan(frame).collect()} == {1: ["MIT"], 2: [], 3: []}
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    scores = toxicity.score(frame, toxicity.train(frame, marks)).collect()
+    assert len(scores) == 4 and len({r.score for r in scores if r.doc_id == 2}) == 1
+    assert [r.lang_pred for r in language.predict(frame, language.train(frame)).orderBy("doc_id").collect()] == ["en", "en", "en", "fr"]
+    pages = spark.createDataFrame([(1, "h://a.org/" + "x/" * 100_000)], "page_id long, url string")
+    assert urls.judge(pages, URL_RULES).first().rule == "org/"
+
+
 def test_license_table():
     sentences = licenses.published()
     assert all(any(x in s for x in licenses.SIGNS) for s in sentences)
