@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.session import share_code as share_package
+from parley.session import shared_dir
 
 #: At most this many text bytes are looked at together in a Python worker.
 CHUNK_BYTES = 2 << 20
@@ -37,19 +35,6 @@ def share_code(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for lineage cuts: spark.checkpoint.dir; without it a temporary folder in local mode, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            base = tempfile.mkdtemp(prefix="parley-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/parley-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: executors may be lost after that."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ from parley.llm.common import byte_rows, chunks, cut, discard, share_code
 
 ROWS, MISSED, SEED = 5, 1e-4, 43
 #: Sets in a block, and hashes in one (8 bytes each), on average.
-MOST, HASHES = 1000, 1 << 20
+MOST, HASHES = 250, 1 << 20
 #: Bits of the bitmap that tells which texts are candidates at all: 8 MB, whatever the input.
 BITS = 26
 #: Bits of one of Spark's bitmaps.

@@ -5,7 +5,7 @@ neighbouring windows share a key and equal windows have equal keys. First pass:
 of key grams into a count-min sketch of fixed size; merged, the sketches never say less than the true count of
 a key gram, which is never less than that of a window with that key. Second pass: only windows whose estimate is
 two or more are grouped, exactly, by key and hash of all their words. Where a key gram is very frequent, a second
-sketch counts its windows whole, and only those that may repeat go on. A task first settles the windows that
+sketch counts its windows whole, and only those that may repeat go on, each in a group of its own. A task first settles the windows that
 repeat within what it has read, and sends a different window on twice at most (its first place, and that it
 repeats), so a passage in a third of all documents arrives a few times from each task. The sketch has a fixed size:
 where it fills up, more windows go to the exact pass and the result stays the same.
@@ -105,10 +105,13 @@ def _all_set(maps: list[np.ndarray], keys: np.ndarray, bits: int, fold: int = 0)
 
 def _distinct(whole: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the pairs (whole, key): the first place of each different one, which one each is, and how often it occurs."""
-    _, first, inverse, counts = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-    if (key[first][inverse] != key).any():  # equal hashes of windows with different keys
-        _, first, inverse, counts = np.unique(np.stack([whole, key], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-    return first, inverse.reshape(-1), counts
+    order = np.lexsort((key, whole))
+    new = np.ones(len(order), bool)
+    new[1:] = (whole[order[1:]] != whole[order[:-1]]) | (key[order[1:]] != key[order[:-1]])
+    starts = np.flatnonzero(new)
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[starts], inverse, np.diff(np.append(starts, len(order)))
 
 
 class Seen:
@@ -240,16 +243,19 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
             at = at[_all_set(repeat, found.key[at], bits)]
             if not len(at):
                 continue
-            whole = _sequence(found.hashes, window)[at]
+            whole, gram_key = _sequence(found.hashes, window)[at], found.key[at]
+            hot_here = np.zeros(len(at), bool)
             if popular:
-                keep = ~_all_set(popular, found.key[at], bits, FOLD) | _all_set(exact_repeat, whole, fewer)
-                at, whole = at[keep], whole[keep]
+                hot_here = _all_set(popular, gram_key, bits, FOLD)
+                keep = ~hot_here | _all_set(exact_repeat, whole, fewer)
+                at, whole, gram_key, hot_here = at[keep], whole[keep], gram_key[keep], hot_here[keep]
                 if not len(at):
                     continue
-            group = found.key[at]
-            first, inverse, counts = _distinct(whole, group)
-            known = told.has(whole[first], group[first])
-            again = known | (counts > 1) | once.has(whole[first], group[first])
+            # Grouped by the key, with the other hash beside it; where the key is frequent, the other way round.
+            group, beside = np.where(hot_here, whole, gram_key), np.where(hot_here, gram_key, whole)
+            first, inverse, counts = _distinct(whole, gram_key)
+            known = told.has(whole[first], gram_key[first])
+            again = known | (counts > 1) | once.has(whole[first], gram_key[first])
             # Settled in this task; dealt by a group of their own, a different one for each run of a text.
             settled = at[again[inverse]]
             spread = mix(found.hashes[found.words.first[found.row[settled]]] + found.row[settled].astype(np.uint64))
@@ -257,11 +263,11 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
             # One row for each different window, with its place; where it is settled here it only tells the others
             # (its place is -1 then), once.
             single, tell = np.sort(first[~again]), np.sort(first[again & ~known])
-            yield rows_of(batch, found, at[single], group[single], whole[single])
-            said = rows_of(batch, found, at[tell], group[tell], whole[tell])
+            yield rows_of(batch, found, at[single], group[single], beside[single])
+            said = rows_of(batch, found, at[tell], group[tell], beside[tell])
             yield said.set_column(3, "_start", pa.array(np.full(said.num_rows, -1), pa.int64()))
-            once.add(whole[single], group[single])
-            told.add(whole[tell], group[tell])
+            once.add(whole[single], gram_key[single])
+            told.add(whole[tell], gram_key[tell])
 
     def settle(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(tables).combine_chunks()
