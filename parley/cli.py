@@ -1,14 +1,16 @@
 """Command line: python -m parley <command>. Commands read and write the files of sources.files."""
 
 import argparse
+import importlib
 import json
 import os
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import lexicon as lx
-from parley.operators import agents, errors, judge, metrics, rules, sampling, threads
+from parley.operators import agents, assisted, errors, judge, metrics, rules, sampling, threads
 from parley.plans import report
 from parley.session import session
 from parley.sources import files
@@ -21,8 +23,36 @@ def _write(folder: str, name: str, text: str) -> None:
 
 
 def _corpus(spark: SparkSession, path: str, holdout: str | None) -> DataFrame:
+    """The threads to search in; none of them may be held out."""
     rows = files.with_position(files.read_jsonl(spark, path, files.THREAD))
-    return sampling.corpus_minus_holdout(rows, files.read_lines(spark, holdout)) if holdout else rows
+    if not holdout:
+        return rows
+    ids = files.read_lines(spark, holdout)
+    kept = sampling.corpus_minus_holdout(rows, ids)
+    leaks = [r.thread_id for r in sampling.leaked(kept, ids).limit(5).collect()]
+    if leaks:
+        raise SystemExit(f"held out, yet searched: {', '.join(leaks)}")
+    return kept
+
+
+def _made(where: str, model: str | None) -> list:
+    module, name = where.split(":")
+    return getattr(importlib.import_module(module), name)(model)
+
+
+def _providers(a: argparse.Namespace):
+    """What makes the language models' clients: `module:function`, called with --model where they are used; None for the rules alone."""
+    if not getattr(a, "provider", None) or getattr(a, "offline", False):
+        return None
+    return partial(_made, a.provider, a.model)
+
+
+def _valid(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The labelled rows with their positions; breaches of the rules, or of the order of held-out ids, end the command."""
+    gold = files.with_position(files.read_jsonl(spark, a.gold_path, files.GOLD))
+    holdout = files.read_lines(spark, a.holdout_path) if a.holdout_path else None
+    errors.require_valid(gold, holdout, a.expected or None)
+    return gold
 
 
 def subsample(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -51,12 +81,12 @@ def sample_gold(spark: SparkSession, a: argparse.Namespace) -> None:
     _write(os.path.dirname(a.output_sampling_doc) or ".", os.path.basename(a.output_sampling_doc), report.sampling(kept, pool.count()))
 
 
-def _predicted(kind: str, gold: DataFrame, corpus: DataFrame) -> DataFrame:
+def _predicted(kind: str, gold: DataFrame, corpus: DataFrame, providers=None, pace: float = 0.0) -> DataFrame:
     """gold (with pos) and the predictions of a baseline or agent."""
     asked = gold.select("thread_id", "customer_text")
     none = F.lit(None).cast("string")
     if kind == "agent":
-        made = agents.full(asked, corpus).drop("candidates")
+        made = agents.full(asked, corpus, providers=providers, pace=pace).drop("candidates")
     elif kind == "simple":
         made = agents.simple(asked, corpus)
     elif kind == "trivial":
@@ -70,7 +100,7 @@ def _predicted(kind: str, gold: DataFrame, corpus: DataFrame) -> DataFrame:
 def _scored(rows: DataFrame) -> DataFrame:
     named = rows.withColumns({"gold_intent": F.col("intent"), "gold_escalate": F.col("escalate"), "gold_reason": F.col("escalate_reason"), "gold_reply": F.col("brand_text")})
     pairs = named.select(F.col("thread_id").alias("id"), F.col("gold_reply").alias("reference"), F.col("predicted_reply").alias("hypothesis"))
-    return named.join(metrics.rouge_n(pairs, 1).select(F.col("id").alias("thread_id"), F.col("f1").alias("rouge_1")), "thread_id")
+    return named.join(metrics.reply_scores(pairs).withColumnRenamed("id", "thread_id"), "thread_id")
 
 
 def _evaluate(scored: DataFrame, folder: str, name: str) -> None:
@@ -90,21 +120,55 @@ KINDS = ["agent", "simple", "trivial", "majority_intent", "always_escalate"]
 
 
 def eval_gold(spark: SparkSession, a: argparse.Namespace) -> None:
-    gold = files.with_position(files.read_jsonl(spark, a.gold_path, files.GOLD))
-    errors.require_valid(gold)
+    gold = _valid(spark, a)
     if a.replay:
-        cached = files.with_position(files.read_predictions(spark, files.resolve(a.replay, [a.output_dir, os.path.dirname(a.gold_path), "reports"])))
-        rows = files.replay(gold, cached)
-        missing = rows.where("predicted_intent is null").count()
-        if missing:
-            raise SystemExit(f"{missing} rows have no cached prediction")
+        path = files.resolve(a.replay, [a.output_dir, os.path.dirname(a.gold_path), "reports"])
+        cached = files.read_predictions(spark, path)
+        rows = files.matched(gold, cached)
         _evaluate(_scored(rows.withColumnRenamed("predicted_escalate_reason", "predicted_reason") if "predicted_escalate_reason" in rows.columns else rows), a.output_dir, "replay")
         return
     corpus = _corpus(spark, a.corpus, a.holdout_path)
     for kind in KINDS if a.baseline == "all" else [a.baseline]:
+        _evaluate(_scored(_predicted(kind, gold, corpus, _providers(a) if a.use_llm else None, a.delay)), a.output_dir, kind)
+
+
+def run_baseline(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The baselines alone."""
+    gold, corpus = _valid(spark, a), _corpus(spark, a.corpus, a.holdout_path)
+    for kind in KINDS[1:] if a.type == "all" else [a.type]:
         _evaluate(_scored(_predicted(kind, gold, corpus)), a.output_dir, kind)
 
 
+def audit_gold(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Breaches of a labelled set: its rules, labels that must escalate, missing notes, texts that differ from the source's."""
+    gold = files.with_position(files.read_jsonl(spark, a.gold_path, files.GOLD))
+    source = files.read_jsonl(spark, a.corpus, files.THREAD)
+    bare = files.with_position(files.read_jsonl(spark, a.unlabelled, files.GOLD)) if a.unlabelled else None
+    holdout = files.read_lines(spark, a.holdout_path) if a.holdout_path else None
+    found = errors.violations(gold, holdout, a.expected or None).unionByName(errors.audit(gold, source, bare))
+    total = found.count()
+    for r in found.orderBy(F.col("pos").asc_nulls_first(), "rule").limit(15).collect():
+        print(f"{r.rule}: row {r.pos}, id {r.thread_id}")
+    if total:
+        raise SystemExit(f"{total} breaches")
+    print("no breach")
+
+
+def check_labels(spark: SparkSession, a: argparse.Namespace) -> None:
+    """How far labelling has come; --dump writes all rows as text."""
+    gold = files.with_position(files.read_jsonl(spark, a.gold_path, files.GOLD))
+    counts = errors.label_counts(gold).first()
+    print(f"{counts.labelled} of {counts.total} rows are labelled, numbers {counts.first_labelled} to {counts.last_labelled}")
+    for r in errors.label_distribution(gold).orderBy("field", F.col("n").desc(), "value").collect():
+        print(f"{r.field} {r.value}: {r.n} ({r.share})")
+    lines = errors.label_dump(gold)
+    for r in lines.where("status = 'LABELED'").orderBy("number").limit(10).collect():
+        print(f"{r.number} {r.thread_id}: {r.customer_short} / {r.brand_short}")
+    if a.dump:
+        text = F.format_string("%03d %s %s\n  customer: %s\n  brand: %s", *(F.coalesce(F.col(c).cast("string") if c != "number" else F.col(c), F.lit("") if c != "number" else F.lit(0)) for c in ("number", "thread_id", "status", "customer", "brand")))
+        lines.orderBy("number").select(text.alias("value")).write.mode("overwrite").text(a.dump)
+
+
 def dump_errors(spark: SparkSession, a: argparse.Namespace) -> None:
     scored = spark.read.json(a.predictions)
     files.write_jsonl(errors.records(scored), os.path.join(a.output_dir, "errors"))
@@ -112,31 +176,36 @@ def dump_errors(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def online_eval(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Answers what has no finished result yet and adds it to the output."""
-    gold = files.with_position(files.read_jsonl(spark, a.gold_path, files.GOLD))
+    """Answers what has no finished result yet and adds it to the output, `--batch` rows at a time, so that a stop loses one batch at most."""
+    gold = _valid(spark, a)
     if a.max_items:
         gold = gold.orderBy("pos").limit(a.max_items)
     todo = gold
     if not a.no_resume and os.path.exists(a.output_file):
         todo = files.pending(gold, spark.read.json(a.output_file))
-    made = _predicted("agent", todo, _corpus(spark, a.corpus, a.holdout_path))
-    made.write.mode("overwrite" if a.no_resume else "append").json(a.output_file)
+    corpus, mode = _corpus(spark, a.corpus, a.holdout_path), "overwrite" if a.no_resume else "append"
+    # A stage's batches are as many as --max-items or the labelled set ask for: each is a plan of its own.
+    bounds = todo.agg(F.min("pos"), F.max("pos")).first()
+    for start in range(bounds[0], bounds[1] + 1, a.batch) if bounds[0] is not None else ():
+        part = todo.where((F.col("pos") >= start) & (F.col("pos") < start + a.batch))
+        _predicted("agent", part, corpus, _providers(a), a.delay).write.mode(mode).json(a.output_file)
+        mode = "append"
 
 
 def run_agent(spark: SparkSession, a: argparse.Namespace) -> None:
     texts = [a.text] if a.text else [f"{p} ({i})" for i, p in enumerate(["my battery drains", "how do i sort photos", "charged twice"][: a.samples])]
     asked = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "thread_id string, customer_text string")
-    for row in agents.full(asked, _corpus(spark, a.corpus, a.holdout_path), a.top_k).orderBy("thread_id").toJSON().collect():
+    for row in agents.full(asked, _corpus(spark, a.corpus, a.holdout_path), a.top_k, _providers(a)).orderBy("thread_id").toJSON().collect():
         print(json.dumps(json.loads(row), indent=2, ensure_ascii=False))
 
 
 def run_judge(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.mode == "single":
-        one = spark.createDataFrame([(a.query, a.reply, a.escalate)], "customer_text string, reply string, escalate boolean")
-        print(judge.judge(one).toJSON().first())
+        one = spark.createDataFrame([(a.query, a.reply, a.intent, a.escalate)], "customer_text string, reply string, predicted_intent string, escalate boolean")
+        print(assisted.rate(one, _providers(a), 0.0).toJSON().first())
         return
     rows = spark.read.json(a.calibration_file).withColumns({"reply": F.col("candidate_reply"), "escalate": F.col("predicted_escalate")})
-    rated = judge.judge(rows).cache()
+    rated = assisted.rate(rows, _providers(a), a.delay).cache()
     files.write_jsonl(rated, os.path.join(a.output_dir, "judged"))
     dims = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(f"human_{d}").alias("t"), F.col(d).alias("p")) for d in ("overall", "relevance", "tone", "actionability"))))
     same = rated.agg(F.avg((F.col("human_safety") == F.col("safe")).cast("double")).alias("s")).first().s or 0.0
@@ -164,11 +233,15 @@ def parser() -> argparse.ArgumentParser:
 
     command(subsample, "subsample", input=str, output_dir=str, brand=str, target_threads=5000)
     command(sample_gold, "sample-gold", input=str, output_jsonl=str, output_holdout=str, output_sampling_doc=str, target_size=200, seed=42)
-    command(eval_gold, "eval-gold", gold_path=str, corpus=None, holdout_path=None, output_dir=str, baseline=["all", *KINDS], replay=None)
+    model = dict(provider=None, model=None)
+    command(eval_gold, "eval-gold", gold_path=str, corpus=None, holdout_path=None, expected=0, output_dir=str, baseline=["all", *KINDS], replay=None, use_llm=bool, delay=0.0, **model)
+    command(run_baseline, "run-baseline", gold_path=str, corpus=str, holdout_path=None, expected=0, output_dir=str, type=["simple", "trivial", "majority_intent", "always_escalate", "all"])
+    command(audit_gold, "audit-gold", gold_path=str, corpus=str, unlabelled=None, holdout_path=None, expected=0)
+    command(check_labels, "check-labels", gold_path=str, dump=None)
     command(dump_errors, "dump-errors", predictions=str, output_dir=str)
-    command(online_eval, "online-eval", gold_path=str, corpus=str, holdout_path=None, output_file=str, max_items=0, no_resume=bool)
-    command(run_agent, "run-agent", corpus=str, holdout_path=None, text=None, samples=3, top_k=3)
-    command(run_judge, "run-judge", mode=["single", "calibrate"], query="", reply="", escalate=bool, calibration_file=None, output_dir=".")
+    command(online_eval, "online-eval", gold_path=str, corpus=str, holdout_path=None, expected=0, output_file=str, max_items=0, batch=10, delay=0.35, no_resume=bool, **model)
+    command(run_agent, "run-agent", corpus=str, holdout_path=None, text=None, samples=3, top_k=3, offline=bool, **model)
+    command(run_judge, "run-judge", mode=["single", "calibrate"], query="", reply="", intent="other", escalate=bool, calibration_file=None, output_dir=".", delay=4.5, offline=bool, **model)
     return top
 
 

@@ -4,12 +4,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import lexicon as lx
-from parley.operators import metrics, rules, search
+from parley.operators import assisted, metrics, rules, search
+from parley.operators.assisted import Providers
 
 
-def full(inquiries: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
+def full(inquiries: DataFrame, corpus: DataFrame, k: int = 3, providers: Providers = None, pace: float = 0.0) -> DataFrame:
     """inquiries (thread_id, customer_text) with predicted_intent, predicted_escalate, predicted_reason, predicted_reply,
     retrieved_thread_id, retrieval_score and the candidates. corpus: thread_id, pos, customer_text, brand_text.
+    With providers, a language model labels and drafts; the rules answer where it doesn't.
     """
     asked = inquiries.select(F.col("thread_id").alias("query_id"), F.col("customer_text").alias("text"))
     known = corpus.select(F.col("thread_id").alias("doc_id"), "pos", F.col("customer_text").alias("text"))
@@ -19,14 +21,14 @@ def full(inquiries: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").alias("thread_id"), F.col("_c").alias("customer_text"), F.col("_b").alias("brand_text"), F.round("score", 4).alias("score"))))
     best = found.groupBy(F.col("query_id").alias("thread_id")).agg(listed.alias("candidates"))
     rows = inquiries.join(best, "thread_id", "left").withColumn("_top", F.get("candidates", F.lit(0)))
-    return _decided(rows, rules.triage_reason)
-
-
-def _decided(rows: DataFrame, decide) -> DataFrame:
     label, reason = F.col("predicted_intent"), F.col("predicted_reason")
-    rows = rows.withColumn("predicted_intent", rules.intent(F.col("customer_text")))
-    rows = rows.withColumn("predicted_reason", decide(F.col("customer_text"), label, F.col("_top.score"), F.col("_top.brand_text")))
-    rows = rows.withColumn("predicted_escalate", reason.isNotNull()).withColumn("predicted_reply", rules.draft(label, reason, F.col("_top.brand_text")))
+    rows = assisted.classify(rows, providers, pace) if providers else rows.withColumn("predicted_intent", rules.intent(F.col("customer_text")))
+    rows = rows.withColumn("predicted_reason", rules.triage_reason(F.col("customer_text"), label, F.col("_top.score"), F.col("_top.brand_text")))
+    rows = rows.withColumn("predicted_escalate", reason.isNotNull())
+    if providers:
+        rows = assisted.draft(rows.withColumn("top_reply", F.col("_top.brand_text")), providers, pace).drop("top_reply")
+    else:
+        rows = rows.withColumn("predicted_reply", rules.draft(label, reason, F.col("_top.brand_text")))
     return rows.withColumn("retrieved_thread_id", F.col("_top.thread_id")).withColumn("retrieval_score", F.coalesce("_top.score", F.lit(0.0))).drop("_top")
 
 

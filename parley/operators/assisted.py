@@ -16,9 +16,14 @@ def _prompt(*parts: str | Column) -> Column:
     return F.concat_ws("\n", *(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
+_LABEL_ASK = ("Name the one label that fits the message, as JSON with the key intent.", "Labels: " + ", ".join(lx.LABELS))
+#: Characters of the prompt for a label before the message.
+LABEL_PROMPT = sum(len(x) + 1 for x in _LABEL_ASK)
+
+
 def classify(inquiries: DataFrame, providers: Providers = None, pace: float = 0.0) -> DataFrame:
     """inquiries with predicted_intent: the model's, if its answer names one of the labels, else the rules'."""
-    ask = _prompt("Name the one label that fits the message, as JSON with the key intent.", "Labels: " + ", ".join(lx.LABELS), F.col("customer_text"))
+    ask = _prompt(*_LABEL_ASK, F.col("customer_text"))
     rows = answers(inquiries.withColumn("_prompt", ask), "_prompt", providers, pace, "_answer")
     label = judge.parsed_intent(F.col("_answer"), rules.intent(F.col("customer_text")))
     return rows.withColumn("predicted_intent", label).drop("_prompt", "_answer")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import lexicon as lx
 from parley.functions import text as tx
+from parley.operators import windows
 
 LEAST_ROUGE = 0.15
 
@@ -35,7 +36,8 @@ def hypothesis(mode: Column, gold: Column, said: Column, reason: Column) -> Colu
 def records(scored: DataFrame) -> DataFrame:
     """Rows that are wrong: in intent, in escalation, or with ROUGE-1 under 0.15; with the kind of error and the mode.
 
-    scored has gold_intent, predicted_intent, gold_escalate, predicted_escalate, gold_reason, customer_text, rouge_1.
+    scored has gold_intent, predicted_intent, gold_escalate, predicted_escalate, gold_reason, customer_text, rouge_1; its
+    other columns, as metrics.reply_scores() gives them, stay.
     """
     intent = ~F.col("gold_intent").eqNullSafe(F.col("predicted_intent"))
     kind = F.when(F.col("predicted_escalate") & ~F.col("gold_escalate"), "false_positive").when(F.col("gold_escalate") & ~F.col("predicted_escalate"), "false_negative").otherwise("none")
@@ -129,6 +131,30 @@ def audit(gold: DataFrame, source: DataFrame, unlabelled: DataFrame | None = Non
     return out
 
 
+def label_dump(gold: DataFrame, short: int = 90) -> DataFrame:
+    """number (from 1, by pos), thread_id, status, and both texts on one line each, whole and cut to `short` characters."""
+    line = {name: F.replace(F.col(c), F.lit("\n"), F.lit(" ")) for name, c in (("customer", "customer_text"), ("brand", "brand_text"))}
+    cut = {f"{name}_short": F.substring(name, 1, short) for name in line}
+    rows = windows.position(gold, "pos", "_at").withColumns(line)
+    status = F.when(F.col("intent").isNull(), "EMPTY").otherwise("LABELED")
+    return rows.select((F.col("_at") + 1).alias("number"), "thread_id", status.alias("status"), *line, *(c.alias(n) for n, c in cut.items()))
+
+
+def label_counts(gold: DataFrame) -> DataFrame:
+    """One row: rows with and without an intent, and the numbers (from 1) of the first and the last with one."""
+    rows = windows.position(gold, "pos", "_at")
+    number = F.when(F.col("intent").isNotNull(), F.col("_at") + 1)
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count("intent").alias("labelled"), F.count_if(F.col("intent").isNull()).alias("unlabelled"), F.min(number).alias("first_labelled"), F.max(number).alias("last_labelled"))
+
+
+def label_distribution(gold: DataFrame) -> DataFrame:
+    """field, value, n and the share as text, of the rows with an intent; the values are a few labels."""
+    fields = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in ("intent", "escalate", "escalate_reason")))
+    counted = gold.where("intent is not null").select(F.explode(fields).alias("f")).groupBy("f.field", "f.value").agg(F.count(F.lit(1)).alias("n"))
+    share = F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("field")), 2)
+    return counted.withColumn("share", F.format_string("%.2f%%", share))
+
+
 def summary(gold: DataFrame) -> DataFrame:
     """One row: records, unique ids, the intents found (sorted)."""
     return gold.agg(F.count(F.lit(1)).alias("records"), F.countDistinct("thread_id").alias("unique_ids"), F.array_sort(F.collect_set("intent")).alias("intents"))

@@ -131,6 +131,13 @@ def rouge_l(pairs: DataFrame, key: str = "id", reference: str = "reference", hyp
     return made.select(key, "lcs", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
 
+def reply_scores(pairs: DataFrame, key: str = "id", reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
+    """key, rouge_1, rouge_l (F1 each) and bleu."""
+    one = rouge_n(pairs, 1, key, reference, hypothesis).select(key, F.col("f1").alias("rouge_1"))
+    longest = rouge_l(pairs, key, reference, hypothesis).select(key, F.col("f1").alias("rouge_l"))
+    return one.join(longest, key).join(bleu_1(pairs, key, reference, hypothesis), key)
+
+
 def reply_metrics(pairs: DataFrame, key: str = "id", reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """One row of means over pairs; no row for no pairs."""
     one, two = (rouge_n(pairs, n, key, reference, hypothesis).select(key, F.col("f1").alias(f"rouge_{n}")) for n in (1, 2))

@@ -38,9 +38,14 @@ def strata(sample: DataFrame) -> DataFrame:
     return sample.groupBy("region", "turn_type", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+def draw(key: Column, seed: int) -> Column:
+    """What a repeatable random order goes by."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key))
+
+
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """A repeatable random order."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key)
+    """A repeatable random order; null keys come first."""
+    return rows.orderBy(draw(F.col(key), seed), key)
 
 
 def corpus_minus_holdout(threads: DataFrame, holdout: DataFrame, keep_null_ids: bool = False) -> DataFrame:

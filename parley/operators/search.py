@@ -8,26 +8,38 @@ from parley.functions import text as tx
 K1, B = 1.5, 0.75
 
 
-def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf and len (the tokens of the document)."""
-    tokens = docs.select(key, tx.ascii_tokens(F.col(text)).alias("_t")).select(key, F.size("_t").alias("len"), F.explode("_t").alias("term"))
-    return tokens.groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+#: Each term's postings are dealt to so many parts by document, so that a term of most documents isn't one task's work.
+SALT = 16
 
 
-def index(corpus: DataFrame, scheme: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings: key, term, idf, w (the weight of the term in the document).
+def term_counts(docs: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
+    """key, the carried columns, term, tf and len (the tokens of the document)."""
+    tokens = docs.select(key, *carried, tx.ascii_tokens(F.col(text)).alias("_t")).select(key, *carried, F.size("_t").alias("len"), F.explode("_t").alias("term"))
+    return tokens.groupBy(key, *carried, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _terms(counts: DataFrame, corpus: DataFrame, scheme: str, text: str) -> DataFrame:
+    """term, idf and _mean, the mean length of the documents.
 
     Document counts and mean length are over all documents, empty ones too. Two numbers go through the driver's
     plan as a one-row table.
     """
-    counts = term_counts(corpus, key, text)
     whole = corpus.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size(tx.ascii_tokens(F.col(text)))).alias("_mean"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("_n") + 1) / (F.col("df") + 1)) + 1 if scheme == "tfidf" else F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     # One row: its size doesn't depend on the data.
-    terms = df.join(F.broadcast(whole)).select("term", idf.alias("idf"), "_mean")
+    return df.join(F.broadcast(whole)).select("term", idf.alias("idf"), "_mean")
+
+
+def _postings(counts: DataFrame, terms: DataFrame, scheme: str, *names: str) -> DataFrame:
     weight = F.col("tf") * F.col("idf") if scheme == "tfidf" else F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("len") / F.col("_mean"))) * F.col("idf")
-    return counts.join(terms, "term").select(key, "term", "idf", weight.alias("w"))
+    return counts.join(terms, "term").select(*names, "term", "idf", weight.alias("w"))
+
+
+def index(corpus: DataFrame, scheme: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Postings: key, term, idf, w (the weight of the term in the document)."""
+    counts = term_counts(corpus, key, text)
+    return _postings(counts, _terms(counts, corpus, scheme, text), scheme, key)
 
 
 def document_frequency(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -35,7 +47,7 @@ def document_frequency(corpus: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def inverse_frequency(corpus: DataFrame, scheme: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return index(corpus, scheme, key, text).select("term", "idf").distinct()
+    return _terms(term_counts(corpus, key, text), corpus, scheme, text).select("term", "idf")
 
 
 def norms(corpus: DataFrame, scheme: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,19 +62,25 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, scheme: str = "bm25",
     queries has (query, text), corpus (doc, position, text). Equal scores rank by the place in the query of its first term
     that the document has, then by position. A query without a hit gets the first document, with score 0.
     """
-    postings = index(corpus, scheme, doc, text)
-    norm = postings.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    counts = term_counts(corpus, doc, text, position)
+    terms = _terms(counts, corpus, scheme, text)
+    # The norm goes with the postings of its document, which meet once for that.
+    listed = F.collect_list(F.struct("term", "w"))
+    whole = _postings(counts, terms, scheme, doc, position).groupBy(doc, position).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), listed.alias("_p"))
+    salt = F.pmod(F.xxhash64(doc), F.lit(SALT)).cast("int").alias("_salt")
+    postings = whole.select(doc, position, "_norm", salt, F.explode("_p").alias("_e")).select(doc, position, "_norm", "_salt", "_e.*")
+
     words = queries.select(query, F.posexplode(tx.ascii_tokens(F.col(text))).alias("_at", "term"))
     asked = words.groupBy(query, "term").agg(F.count(F.lit(1)).alias("_qtf"), F.min("_at").alias("_at"))
-    hits = asked.join(postings, "term").withColumn("_qw", F.col("_qtf") * F.col("idf"))
-    known = hits.select(query, "term", "_qw").distinct().groupBy(query).agg(F.sqrt(F.sum(F.col("_qw") * F.col("_qw"))).alias("_qnorm"))
-    dots = hits.groupBy(query, doc).agg(F.sum(F.col("_qw") * F.col("w")).alias("_dot"), F.min("_at").alias("_first"))
-    scored = dots.join(known, query).join(norm, doc).select(query, doc, (F.col("_dot") / (F.col("_qnorm") * F.col("_norm"))).alias("score"), "_first")
-    placed = scored.join(corpus.select(doc, position), doc)
+    known = asked.join(terms, "term").withColumn("_qw", F.col("_qtf") * F.col("idf"))
+    known = known.withColumn("_qnorm", F.sqrt(F.sum(F.col("_qw") * F.col("_qw")).over(Window.partitionBy(query)))).select(query, "term", "_qw", "_qnorm", "_at")
+    hits = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).join(postings, ["term", "_salt"])
+    dots = hits.groupBy(query, doc, position, "_norm", "_qnorm").agg(F.sum(F.col("_qw") * F.col("w")).alias("_dot"), F.min("_at").alias("_first"))
+    placed = dots.withColumn("score", F.col("_dot") / (F.col("_qnorm") * F.col("_norm")))
     order = Window.partitionBy(query).orderBy(F.round("score", 10).desc(), "_first", position)
     best = placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, "rank", doc, "score")
     first = F.broadcast(corpus.agg(F.min_by(F.col(doc), F.col(position)).alias(doc)).where(F.col(doc).isNotNull()))
-    missed = queries.select(query).join(known, query, "left_anti").join(first).select(query, F.lit(1).alias("rank"), doc, F.lit(0.0).alias("score"))
+    missed = queries.select(query).join(known.select(query), query, "left_anti").join(first).select(query, F.lit(1).alias("rank"), doc, F.lit(0.0).alias("score"))
     return best.unionByName(missed)
 
 

@@ -83,6 +83,26 @@ def needed_customers(tweets: DataFrame, brand: str) -> DataFrame:
     return tweets.where(F.col("author_id") != brand).join(ids, F.col("tweet_id") == F.col("id"), "left_semi")
 
 
+def is_inbound(flag: Column) -> Column:
+    """`true` in any case; a missing flag counts as true."""
+    return F.lower(F.coalesce(flag, F.lit("true"))) == "true"
+
+
+_SAID = ("tweet_id", "author_id", "text", "inbound", "created_at")
+
+
+def first_replies(tweets: DataFrame, brand: str) -> DataFrame:
+    """parent and answer (a struct): the brand's first message, by file_pos, to each message that it answers."""
+    own = tweets.where((F.col("author_id") == brand) & F.col("in_response_to_tweet_id").isNotNull())
+    return own.groupBy(F.col("in_response_to_tweet_id").alias("parent")).agg(F.min_by(F.struct(*_SAID), "file_pos").alias("answer"))
+
+
+def roots(tweets: DataFrame, brand: str) -> DataFrame:
+    """Customers' messages that the brand's refer to and whose own parent, if any, is no message of the brand."""
+    own = tweets.where(F.col("author_id") == brand).select(F.col("tweet_id").alias("_brand_id"))
+    return needed_customers(tweets, brand).join(own, F.col("in_response_to_tweet_id") == F.col("_brand_id"), "left_anti")
+
+
 def rebuild(tweets: DataFrame, brand: str, limit: int | None = None, prefix: str = "thread") -> DataFrame:
     """Threads out of flat messages (file_pos is their order): thread_id and the exchange with its further turns.
 
@@ -90,20 +110,19 @@ def rebuild(tweets: DataFrame, brand: str, limit: int | None = None, prefix: str
     is the first by file_pos. Customers' messages that follow that answer come next, each with the brand's first
     answer to it. Threads are numbered by the roots' file_pos; limit keeps the first so many.
     """
-    inbound = F.lower(F.coalesce("inbound", F.lit("true"))) == "true"
-    seen = tweets.withColumn("inbound", inbound)
-    said = F.struct("tweet_id", "author_id", "text", "inbound", "created_at")
-    own = seen.where(F.col("author_id") == brand)
-    answers = own.where(F.col("in_response_to_tweet_id").isNotNull()).groupBy(F.col("in_response_to_tweet_id").alias("_parent")).agg(F.min_by(said, "file_pos").alias("_answer"))
-    customers = needed_customers(seen, brand)
-    roots = customers.join(own.select(F.col("tweet_id").alias("_brand_id")), F.col("in_response_to_tweet_id") == F.col("_brand_id"), "left_anti").join(answers, F.col("tweet_id") == F.col("_parent"))
-    follow = customers.where(F.col("in_response_to_tweet_id").isNotNull()).join(answers, F.col("tweet_id") == F.col("_parent"), "left").groupBy(F.col("in_response_to_tweet_id").alias("_to")).agg(F.array_sort(F.collect_list(F.struct("file_pos", said.alias("said"), F.col("_answer").alias("reply")))).alias("_follow"))
+    seen = tweets.withColumn("inbound", is_inbound(F.col("inbound")))
+    said = F.struct(*_SAID)
+    answers = first_replies(seen, brand).withColumnRenamed("answer", "_answer")
+    opened = roots(seen, brand).join(answers, F.col("tweet_id") == F.col("parent"))
+    replying = needed_customers(seen, brand).where(F.col("in_response_to_tweet_id").isNotNull()).join(answers, F.col("tweet_id") == F.col("parent"), "left")
+    listed = F.collect_list(F.struct("file_pos", said.alias("said"), F.col("_answer").alias("reply")))
+    follow = replying.groupBy(F.col("in_response_to_tweet_id").alias("_to")).agg(F.array_sort(listed).alias("_follow"))
 
     def turn(x: Column, role: str) -> Column:
         return F.struct(x["tweet_id"].alias("tweet_id"), x["author_id"].alias("author_id"), F.lit(role).alias("role"), x["text"].alias("text"), x["inbound"].alias("inbound"), x["created_at"].alias("created_at"))
 
     more = F.flatten(F.transform(F.coalesce("_follow", F.array()), lambda x: F.when(x["reply"].isNotNull(), F.array(turn(x["said"], "customer"), turn(x["reply"], "agent"))).otherwise(F.array(turn(x["said"], "customer")))))
-    threads = roots.join(follow, F.col("_answer.tweet_id") == F.col("_to"), "left").withColumn("_said", said)
+    threads = opened.join(follow, F.col("_answer.tweet_id") == F.col("_to"), "left").withColumn("_said", said)
     turns = F.concat(F.array(turn(F.col("_said"), "customer"), turn(F.col("_answer"), "agent")), more)
     out = threads.select("file_pos", F.col("tweet_id").alias("customer_tweet_id"), F.col("author_id").alias("customer_author_id"), F.col("text").alias("customer_text"), F.col("_answer.tweet_id").alias("brand_tweet_id"), F.col("_answer.author_id").alias("brand_author_id"), F.col("_answer.text").alias("brand_text"), "created_at", turns.alias("turns"))
     if limit is not None:

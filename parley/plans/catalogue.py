@@ -414,12 +414,12 @@ def llm_json_parse(spark, sf_dir):
 def _scored(spark, sf_dir):
     rows = _labelled(spark, sf_dir).withColumn("reply", rules.draft(F.col("predicted_intent"), F.col("predicted_reason"), F.lit(None).cast("string")))
     pairs = rows.select(F.col("thread_id").alias("id"), F.coalesce("brand_text", F.lit("")).alias("reference"), F.col("reply").alias("hypothesis"))
-    return rows.join(metrics.rouge_n(pairs, 1).select(F.col("id").alias("thread_id"), F.col("f1").alias("rouge_1")), "thread_id")
+    return rows.join(metrics.reply_scores(pairs).withColumnRenamed("id", "thread_id"), "thread_id")
 
 
 @query
 def error_records(spark, sf_dir):
-    return _rounded(errors.records(_scored(spark, sf_dir)).select("thread_id", "intent_error", "escalate_error_type", "failure_mode", "rouge_1"), "rouge_1")
+    return _rounded(errors.records(_scored(spark, sf_dir)).select("thread_id", "intent_error", "escalate_error_type", "failure_mode", "rouge_1", "rouge_l", "bleu"), "rouge_1", "rouge_l", "bleu")
 
 
 @query

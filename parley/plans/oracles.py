@@ -84,16 +84,25 @@ _BINARY = """cells AS (SELECT count(*) FILTER (gold_escalate AND predicted_escal
 PAIRS = "pairs AS (SELECT thread_id AS id, brand_text AS reference, customer_text AS hypothesis FROM exchanges WHERE brand_text IS NOT NULL)"
 
 
-def _rouge(n: int) -> str:
-    """Counts of n-grams of the table pairs, and precision and recall of each."""
+def _rouge(n: int, tag: str = "") -> str:
+    """Counts of n-grams of the table pairs, and precision and recall of each; tag tells apart several n in one statement."""
     gram = lambda c: f"list_transform(range(1, greatest(len({c}) - {n - 1}, 0) + 1), lambda i: array_to_string({c}[i:i + {n - 1}], chr(1)))"
     return f"""
-    toks AS (SELECT id, {_unicode('reference')} AS r, {_unicode('hypothesis')} AS h FROM pairs),
-    rg AS (SELECT id, gram, count(*) AS n FROM (SELECT id, unnest({gram('r')}) AS gram FROM toks) GROUP BY ALL),
-    hg AS (SELECT id, gram, count(*) AS n FROM (SELECT id, unnest({gram('h')}) AS gram FROM toks) GROUP BY ALL),
-    shared AS (SELECT id, sum(least(rg.n, hg.n)) AS o FROM rg JOIN hg USING (id, gram) GROUP BY id),
-    rouges AS (SELECT id, {_ratio('coalesce(o, 0)', f'greatest(len(h) - {n - 1}, 0)')} AS precision, {_ratio('coalesce(o, 0)', f'greatest(len(r) - {n - 1}, 0)')} AS recall, len(r) AS nr, len(h) AS nh FROM toks LEFT JOIN shared USING (id))"""
-
+    toks{tag} AS (SELECT id, {_unicode('reference')} AS r, {_unicode('hypothesis')} AS h FROM pairs),
+    rg{tag} AS (SELECT id, gram, count(*) AS n FROM (SELECT id, unnest({gram('r')}) AS gram FROM toks{tag}) GROUP BY ALL),
+    hg{tag} AS (SELECT id, gram, count(*) AS n FROM (SELECT id, unnest({gram('h')}) AS gram FROM toks{tag}) GROUP BY ALL),
+    shared{tag} AS (SELECT id, sum(least(r_.n, h_.n)) AS o FROM rg{tag} r_ JOIN hg{tag} h_ USING (id, gram) GROUP BY id),
+    rouges{tag} AS (SELECT id, {_ratio('coalesce(o, 0)', f'greatest(len(h) - {n - 1}, 0)')} AS precision, {_ratio('coalesce(o, 0)', f'greatest(len(r) - {n - 1}, 0)')} AS recall, len(r) AS nr, len(h) AS nh FROM toks{tag} LEFT JOIN shared{tag} USING (id))"""
+
+
+#: The longest common subsequence of r and h of toks, a row of the table of lengths after another: the next row is the running
+#: maximum of what each place has from above or from above left by a match.
+_ROW = """list_transform([list_transform(range(1, len(eq) + 1), lambda j: greatest(acc[j], CASE WHEN eq[j] = 1 THEN 1 + CASE WHEN j > 1 THEN acc[j - 1] ELSE 0 END ELSE 0 END))],
+    lambda c: list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])))[1]"""
+_LCS = f"""lcs AS (SELECT id, len(r) AS nr, len(h) AS nh, CASE WHEN len(r) = 0 OR len(h) = 0 THEN 0 ELSE
+    list_reduce(list_transform(h, lambda w: list_transform(r, lambda x: CAST(x = w AS INT))), lambda acc, eq: {_ROW}, list_transform(r, lambda x: CAST(0 AS INT)))[len(r)] END AS lcs FROM toks),
+longest AS (SELECT id, CAST(lcs AS INT) AS lcs, {_ratio('lcs', 'nh')} AS precision, {_ratio('lcs', 'nr')} AS recall FROM lcs)"""
+_BLEU = "CASE WHEN nh = 0 OR nr = 0 THEN 0 ELSE precision * CASE WHEN nh > nr THEN 1 ELSE exp(1 - CAST(nr AS DOUBLE) / nh) END END"
 
 _ROUGE_OUT = f"SELECT id, round(precision, 6) AS precision, round(recall, 6) AS recall, round({_f1('precision', 'recall')}, 6) AS f1 FROM rouges"
 
@@ -131,10 +140,10 @@ def _mode() -> str:
 ERRORS = f"""{LABELLED},
 drafted AS (SELECT *, {rules.sql_draft('predicted_intent', 'predicted_reason', "CAST(NULL AS VARCHAR)")} AS reply FROM labelled),
 pairs AS (SELECT thread_id AS id, coalesce(brand_text, '') AS reference, reply AS hypothesis FROM drafted),
-{_rouge(1)},
-scored AS (SELECT d.*, {_f1('precision', 'recall')} AS rouge_1, gold_intent <> predicted_intent AS intent_error,
+{_rouge(1)}, {_LCS},
+scored AS (SELECT d.*, {_f1('rouges.precision', 'rouges.recall')} AS rouge_1, {_f1('longest.precision', 'longest.recall')} AS rouge_l, {_BLEU.replace('nh', 'rouges.nh').replace('nr', 'rouges.nr').replace('precision', 'rouges.precision')} AS bleu, gold_intent <> predicted_intent AS intent_error,
     CASE WHEN predicted_escalate AND NOT gold_escalate THEN 'false_positive' WHEN gold_escalate AND NOT predicted_escalate THEN 'false_negative' ELSE 'none' END AS escalate_error_type,
-    {_mode()} AS failure_mode FROM drafted d JOIN rouges ON thread_id = id),
+    {_mode()} AS failure_mode FROM drafted d JOIN rouges ON thread_id = rouges.id JOIN longest ON thread_id = longest.id),
 records AS (SELECT * FROM scored WHERE intent_error OR escalate_error_type <> 'none' OR rouge_1 < 0.15)
 """
 
@@ -236,7 +245,12 @@ SQL: dict[str, str] = {
             round({_ratio("count(*) FILTER (NOT predicted_escalate AND contains(lower(reply), 'dm'))", 'count(*) FILTER (NOT predicted_escalate)')}, 6) AS soft_dm FROM drafted""",
     "rouge1": f"{BASE}, {PAIRS}, {_rouge(1)} {_ROUGE_OUT}",
     "rouge2": f"{BASE}, {PAIRS}, {_rouge(2)} {_ROUGE_OUT}",
-    "bleu1": f"{BASE}, {PAIRS}, {_rouge(1)} SELECT id, round(CASE WHEN nh = 0 OR nr = 0 THEN 0 ELSE precision * CASE WHEN nh > nr THEN 1 ELSE exp(1 - CAST(nr AS DOUBLE) / nh) END END, 6) AS bleu FROM rouges",
+    "bleu1": f"{BASE}, {PAIRS}, {_rouge(1)} SELECT id, round({_BLEU}, 6) AS bleu FROM rouges",
+    "rouge_l": f"{BASE}, {PAIRS}, {_rouge(1)}, {_LCS} SELECT id, lcs, round(precision, 6) AS precision, round(recall, 6) AS recall, round({_f1('precision', 'recall')}, 6) AS f1 FROM longest",
+    "reply_metrics": f"""{BASE}, {PAIRS}, {_rouge(1)}, {_rouge(2, '2')}, {_LCS}
+        SELECT round(avg({_f1('a.precision', 'a.recall')}), 6) AS rouge_1, round(avg({_f1('b.precision', 'b.recall')}), 6) AS rouge_2, round(avg({_f1('l.precision', 'l.recall')}), 6) AS rouge_l,
+            round(avg({_BLEU.replace('nh', 'a.nh').replace('nr', 'a.nr').replace('precision', 'a.precision')}), 6) AS bleu, round(avg(length(hypothesis)), 6) AS mean_chars, round(avg(a.nh), 6) AS mean_tokens, count(*) AS pairs
+        FROM rouges a JOIN rouges2 b USING (id) JOIN longest l USING (id) JOIN pairs USING (id)""",
     "pearson": f"{RATINGS} SELECT dimension, round({_pearson('t', 'p')}, 6) AS pearson FROM ratings GROUP BY dimension",
     "spearman": f"{RATINGS}, {_ranked('dimension')} SELECT dimension, round({_pearson('rt', 'rp')}, 6) AS spearman FROM ranks GROUP BY dimension",
     "qwk": f"{RATINGS} SELECT dimension, round({_KAPPA}, 6) AS kappa FROM ratings GROUP BY dimension",
@@ -246,7 +260,7 @@ SQL: dict[str, str] = {
     "judge_heuristic": f"""{LABELLED}, rows_ AS (SELECT *, brand_text AS reply, predicted_escalate AS escalate FROM labelled WHERE brand_text IS NOT NULL)
         SELECT thread_id, relevance, tone, actionability, safe, overall FROM ({jd.sql_judge('rows_')})""",
     "llm_json_parse": f"{BASE} SELECT thread_id, intent, CAST(relevance AS INT) AS relevance, safe FROM exchanges JOIN {_PARSED} ON pos % {len(base.ANSWERS)} = i",
-    "error_records": f"{ERRORS} SELECT thread_id, intent_error, escalate_error_type, failure_mode, round(rouge_1, 6) AS rouge_1 FROM records",
+    "error_records": f"{ERRORS} SELECT thread_id, intent_error, escalate_error_type, failure_mode, round(rouge_1, 6) AS rouge_1, round(rouge_l, 6) AS rouge_l, round(bleu, 6) AS bleu FROM records",
     "error_roll_up": f"""{ERRORS}, found AS (SELECT count(*) AS errors, count(*) FILTER (intent_error) AS intent_errors, count(*) FILTER (escalate_error_type <> 'none') AS escalation_errors, count(*) FILTER (escalate_error_type = 'false_positive') AS false_positives,
             count(*) FILTER (escalate_error_type = 'false_negative') AS false_negatives FROM records), n AS (SELECT count(*) AS total FROM scored)
         SELECT *, round(errors / total, 6) AS errors_share, round(intent_errors / total, 6) AS intent_errors_share, round(escalation_errors / total, 6) AS escalation_errors_share FROM n, found""",

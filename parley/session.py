@@ -1,6 +1,9 @@
 """A session with the settings that the package is tested with."""
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +26,21 @@ def share_code(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for written tables: spark.checkpoint.dir; without it a temporary folder in local mode, else one below the warehouse.
+
+    A warehouse on a machine's own disk isn't taken on a cluster: executors wouldn't see each other's files.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            base = tempfile.mkdtemp(prefix="parley-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+        else:
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/parley-checkpoints"
+            if base.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base

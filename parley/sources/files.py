@@ -2,11 +2,12 @@
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions import text as tx
+from parley.operators import windows
 
 _S = T.StringType()
 TWEET = T.StructType([T.StructField(c, _S) for c in ("tweet_id", "author_id", "inbound", "created_at", "text", "response_tweet_id", "in_response_to_tweet_id")])
@@ -24,7 +25,10 @@ def resolve(path: str, folders: list[str]) -> str:
 
 
 def read_tweets(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; quoted texts may hold line ends. file_pos is the order of the rows."""
+    """All columns as text; quoted texts may hold line ends. file_pos is the order of the rows.
+
+    A file whose quoted texts hold line ends can't be split: where files are large, write the result as Parquet once.
+    """
     rows = spark.read.schema(TWEET).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return with_position(rows, "file_pos").select(*(_stripped(c) for c in TWEET.fieldNames()), "file_pos")
 
@@ -35,14 +39,23 @@ def _stripped(name: str):
 
 
 def with_position(rows: DataFrame, name: str = "pos") -> DataFrame:
-    """An increasing number in the order in which files and rows are read; it has gaps between partitions."""
-    return rows.withColumn(name, F.monotonically_increasing_id())
+    """The number of rows before, by the names of the files and the order of the rows in them; rows come straight from a file source.
+
+    Spark reads the parts of files in an order of its own, so each part is counted first; the rows of a part are numbered
+    without gaps. Only the counts, a row for each part, meet in one task.
+    """
+    own = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    placed = rows.select("*", own.alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    parts = placed.groupBy("_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    ahead = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    begin = parts.select(F.col("_part").alias("_of"), (F.coalesce(ahead, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.join(begin, F.col("_part") == F.col("_of")).select(*rows.columns, (F.col("_id") + F.col("_shift")).alias(name))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """pos, thread_id: the lines of a text file that aren't blank, stripped, in order."""
-    rows = with_position(spark.read.text(path)).select("pos", tx.strip(F.col("value")).alias("thread_id"))
-    return rows.where("thread_id <> ''")
+    """pos, thread_id: the lines of a text file that aren't blank, stripped, in order; pos has no gaps."""
+    rows = with_position(spark.read.text(path), "_line").select("_line", tx.strip(F.col("value")).alias("thread_id")).where("thread_id <> ''")
+    return windows.position(rows, "_line", "pos").select("pos", "thread_id")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> DataFrame:
@@ -51,9 +64,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: boo
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON document: a list of predictions, or an object with such a list."""
+    """JSON lines (a name that ends in .jsonl) or a JSON document, which is a list of predictions or an object with such a list; pos is their order."""
+    if path.rstrip("/").endswith(".jsonl"):
+        return with_position(spark.read.json(path))
     rows = spark.read.option("multiLine", True).json(path)
-    return rows.select(F.explode("predictions").alias("p")).select("p.*") if "predictions" in rows.columns else rows
+    if "predictions" not in rows.columns:
+        return with_position(rows)
+    listed = with_position(rows, "_doc").select("_doc", F.posexplode("predictions").alias("_at", "p")).withColumn("_order", F.col("_doc") * (1 << 31) + F.col("_at"))
+    return windows.position(listed.select("_order", "p.*"), "_order", "pos").drop("_order")
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
@@ -77,3 +95,22 @@ def replay(gold: DataFrame, cached: DataFrame, key: str = "thread_id", position:
     names = [c for c in cached.columns if c not in (key, position)]
     last = cached.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*names), position).alias("_p"))
     return gold.join(last, F.col(key) == F.col("_k"), "left").select(*gold.columns, *(F.col(f"_p.{c}").alias(c) for c in names if c not in gold.columns))
+
+
+def matched(gold: DataFrame, cached: DataFrame, key: str = "thread_id", position: str = "pos") -> DataFrame:
+    """gold with the cached predictions that are scored; both have key and position.
+
+    With as many different ids as gold has rows, by id, and a gold row without a prediction is an error; else, with as
+    many predictions as gold has rows, by position; else only the gold rows whose id has a prediction.
+    """
+    rows = gold.count()
+    counts = cached.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("ids")).first() if key in cached.columns else cached.agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("ids")).first()
+    if counts["ids"] != rows and counts["n"] == rows:
+        names = [c for c in cached.columns if c not in gold.columns]
+        return gold.join(cached.select(F.col(position).alias("_q"), *names), F.col(position) == F.col("_q")).drop("_q")
+    found = replay(gold, cached.withColumn("_there", F.lit(True)), key, position)
+    if counts["ids"] == rows:
+        lost = found.where("_there is null").select(key).limit(1).collect()
+        if lost:
+            raise ValueError(f"no cached prediction for {lost[0][0]}")
+    return found.where("_there").drop("_there")

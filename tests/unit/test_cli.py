@@ -6,8 +6,14 @@ import os
 import pytest
 
 from parley import cli
+from parley.operators import errors
 from tests.unit.test_threads import CSV
 
+def clients(model):
+    """Stands for a language model that gives one label to all."""
+    return [lambda prompt: json.dumps({"intent": "apps_feature_howto"}) if model == "howto" else ""]
+
+
 GOLD = [
     {"thread_id": "g1", "customer_tweet_id": "1", "customer_text": "my battery drains", "brand_text": "check settings", "intent": "battery_power_issue", "escalate": False},
     {"thread_id": "g2", "customer_tweet_id": "2", "customer_text": "i want a refund", "brand_text": "send us a dm", "intent": "other", "escalate": True, "escalate_reason": "channel_transition"},
@@ -47,6 +53,29 @@ def test_from_messages_to_reports(run, tmp_path, capsys):
     run("eval-gold", "--gold-path", tmp_path / "gold.jsonl", "--output-dir", tmp_path / "eval", "--replay", tmp_path / "cache.json")
     assert (tmp_path / "eval/replay.md").exists()
 
+    # A partial cache is scored for the rows that it has; by position where ids don't tell rows apart.
+    (tmp_path / "part.jsonl").write_text(json.dumps(cached[0]))
+    run("eval-gold", "--gold-path", tmp_path / "gold.jsonl", "--output-dir", tmp_path / "part", "--replay", tmp_path / "part.jsonl")
+    assert json.loads((tmp_path / "part/replay.json").read_text())["escalation"]["total"] == 1
+    (tmp_path / "same.json").write_text(json.dumps([{**x, "thread_id": "same"} for x in cached]))
+    run("eval-gold", "--gold-path", tmp_path / "gold.jsonl", "--output-dir", tmp_path / "same", "--replay", tmp_path / "same.json")
+    assert json.loads((tmp_path / "same/replay.json").read_text())["escalation"]["total"] == 2
+
+    (tmp_path / "held.txt").write_text("g2\ng1\n")
+    with pytest.raises(errors.ValidationError, match="holdout_order"):
+        run("eval-gold", "--gold-path", tmp_path / "gold.jsonl", "--holdout-path", tmp_path / "held.txt", "--corpus", tmp_path / "sub/threads", "--output-dir", tmp_path / "eval")
+    (tmp_path / "held.txt").write_text("g1\n\n g2 \n")
+    run("run-baseline", "--gold-path", tmp_path / "gold.jsonl", "--holdout-path", tmp_path / "held.txt", "--corpus", tmp_path / "sub/threads", "--output-dir", tmp_path / "base", "--type", "trivial")
+    assert (tmp_path / "base/trivial.md").exists() and not (tmp_path / "base/agent.md").exists()
+    with pytest.raises(SystemExit, match="breaches"):
+        run("audit-gold", "--gold-path", tmp_path / "gold.jsonl", "--corpus", tmp_path / "sub/threads")
+    said = capsys.readouterr().out
+    assert "not_in_source: row 0, id g1" in said and "missing_notes" in said
+    run("check-labels", "--gold-path", tmp_path / "gold.jsonl", "--dump", tmp_path / "dump")
+    assert "2 of 2 rows are labelled, numbers 1 to 2" in capsys.readouterr().out
+    run("eval-gold", "--gold-path", tmp_path / "gold.jsonl", "--corpus", tmp_path / "sub/threads", "--output-dir", tmp_path / "llm", "--baseline", "agent", "--use-llm", "--provider", "tests.unit.test_cli:clients", "--model", "howto")
+    assert json.loads((tmp_path / "llm/agent.json").read_text())["intent"]["accuracy"] == 0.0
+
     capsys.readouterr()
     run("run-agent", "--corpus", tmp_path / "sub/threads", "--text", "the wifi is off")
     assert json.loads(capsys.readouterr().out)["predicted_intent"] == "connectivity_network_issue"

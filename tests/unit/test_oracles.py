@@ -5,8 +5,7 @@ import os
 import duckdb
 import pytest
 
-from parley.plans.catalogue import QUERIES
-from parley.plans.oracles import SQL
+from parley.plans import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -31,8 +30,5 @@ def test_query(spark, engine, name):
     columns = sorted(found.columns)
     rows = found.select(*columns).collect()
     assert rows or name in ("dup_ids", "top_confusion_pairs")
-    if name in SQL:
-        want = engine.execute(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall()
-        assert sorted(map(plain, rows)) == sorted(map(plain, want))
-    else:
-        assert name in ("rouge_l", "reply_metrics")
+    want = engine.execute(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall()
+    assert sorted(map(plain, rows)) == sorted(map(plain, want))

@@ -49,6 +49,34 @@ def test_rebuild(spark, tweets):
     assert times.first_text.startswith("Fri") and times.first_time < times.last_time and times.last_time.day == 1
 
 
+def test_order_over_files(spark, tmp_path):
+    """Spark reads large files first; positions go by the names of the files, without gaps."""
+    head = CSV.splitlines()[0]
+    (tmp_path / "a.csv").write_text(head + "\n1,100,True,,first,,\n")
+    (tmp_path / "b.csv").write_text(head + "\n" + "".join(f"{i},100,True,,{'long ' * 50},,\n" for i in range(2, 40)))
+    rows = {r.tweet_id: r.file_pos for r in files.read_tweets(spark, str(tmp_path / "*.csv")).collect()}
+    assert rows == {str(i): i - 1 for i in range(1, 40)}
+    (tmp_path / "a.txt").write_text("x\n\n  y \n")
+    (tmp_path / "b.txt").write_text("z\n" * 5000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        lines = files.read_lines(spark, str(tmp_path / "*.txt")).orderBy("pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.pos for r in lines] == list(range(5002)) and [r.thread_id for r in lines[:3]] == ["x", "y", "z"]
+
+
+def test_matched_predictions(spark):
+    gold = spark.createDataFrame([(0, "a"), (1, "b")], "pos long, thread_id string")
+    said = lambda rows: spark.createDataFrame([(i, k, f"p{i}") for i, k in enumerate(rows)], "pos long, thread_id string, predicted string")
+    got = lambda rows: {r.thread_id: r.predicted for r in files.matched(gold, said(rows)).collect()}
+    assert got(["b", "a"]) == {"b": "p0", "a": "p1"} and got(["x", None]) == {"a": "p0", "b": "p1"}
+    assert got(["b"]) == {"b": "p0"} and got(["b", "b", "b"]) == {"b": "p2"} and files.matched(gold, said(["x", "y", "z"])).count() == 0
+    with pytest.raises(ValueError, match="no cached prediction"):
+        got(["a", "x"])
+    assert {r.predicted for r in files.matched(gold, said(["x", "y"]).drop("thread_id")).collect()} == {"p0", "p1"}
+
+
 def test_response_ids(tweets):
     assert sorted(tuple(r) for r in threads.response_ids(tweets).collect()) == [("1", "2"), ("2", "3"), ("2", "9"), ("3", "4"), ("5", "6")]
 
