@@ -113,8 +113,34 @@ _URL_SQL = """
     FROM fits
 """
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+_ITEM_WORDS = rf"regexp_extract_all({_LOWER('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_CONTAMINATION_SQL = f"""
+    WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(len(w), 10) AS n FROM (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS body FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+    docs AS (SELECT doc_id, coalesce({_ITEM_WORDS}, []) AS w FROM documents),
+    starts AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM items) WHERE len(w) >= n),
+    found AS (SELECT doc_id, i, s.n, item FROM starts s JOIN windows v ON s.n = v.n AND array_to_string(s.w[i:i + s.n - 1], ' ') = v.body),
+    hit AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS spot FROM found) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM found GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+_SUBSTRING_SQL = r"""
+    WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^ 	-
+]+'), []) AS w FROM documents),
+    starts AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS body FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)),
+    repeated AS (SELECT body FROM starts GROUP BY body HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS spot FROM starts JOIN repeated USING (body)),
+    words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS spot FROM docs),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY spot) AS text FROM words ANTI JOIN gone USING (doc_id, spot) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
 #: DuckDB SQL where it can express the query.
 SQL: dict[str, str] = {
+    "op5_benchmark_decontamination": _CONTAMINATION_SQL,
     "op6_license_scan": licenses.oracle_sql(),
+    "op8_substring_dedup": _SUBSTRING_SQL,
     "op9_url_filter": _URL_SQL,
 }
