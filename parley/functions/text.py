@@ -68,8 +68,8 @@ def _spaced(term: str) -> str:
 
 
 def template(pattern: str) -> str:
-    """A pattern with W for a word character and S for white space (S inside [^ ] too)."""
-    return pattern.replace("[^S]", f"[^{SPACE}]").replace("S", f"[{SPACE}]").replace("W", WORD)
+    """A pattern with {W} for a word character and {S} for white space ([^{S}] for all else)."""
+    return pattern.replace("[^{S}]", f"[^{SPACE}]").replace("{S}", f"[{SPACE}]").replace("{W}", WORD)
 
 
 # The same for DuckDB, whose patterns know no look-around: existence is all that is asked for.

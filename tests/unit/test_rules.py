@@ -43,6 +43,53 @@ def test_intents(spark):
     assert values(spark, rules.intent, INTENTS) == list(INTENTS.values())
 
 
+#: Two messages and more for each label, and for each rule of precedence, with the label that a person gives them.
+SPOKEN = {
+    "The percentage falls from 40 to 3 within minutes": "battery_power_issue",
+    "Cable is in, yet it is not charging at all": "battery_power_issue",
+    "Every app I open closes and the phone is frozen": "performance_crash_freeze",
+    "So slow when I type": "performance_crash_freeze",
+    "Since iOS 11 a box shows up instead of a letter": "software_update_glitch",
+    "The new patch moved my icons": "software_update_glitch",
+    "Bluetooth does not find my car": "connectivity_network_issue",
+    "It says no sim five times a day": "connectivity_network_issue",
+    "One AirPod is silent": "hardware_physical_accessory",
+    "Water damage after a swim": "hardware_physical_accessory",
+    "I forgot my passcode and the security questions": "account_access_security",
+    "Someone compromised my account": "account_access_security",
+    "There is an unauthorized charge on the card": "billing_purchases_subscriptions",
+    "Where did my subscription money go": "billing_purchases_subscriptions",
+    "How can I sort notes by name": "apps_feature_howto",
+    "The podcast list has no search": "apps_feature_howto",
+    "This is useless": "vague_complaint_unclear",
+    "Can somebody tell me?": "vague_complaint_unclear",
+    "thx, solved": "other",
+    "gracias, la pantalla": "other",
+    "The phone is dying and my Apple ID is locked": "account_access_security",
+    "Dropped it, cracked, and it drains": "hardware_physical_accessory",
+    "Want a refund for the broken speaker": "billing_purchases_subscriptions",
+    "Worst update, the battery is dying": "battery_power_issue",
+}
+REASONED = {
+    "I already sent a DM": "channel_transition",
+    "pm'd you about the wifi": "channel_transition",
+    "You will hear from my attorney": "legal_regulatory_dispute",
+    "This is against consumer rights": "legal_regulatory_dispute",
+    "The case is swollen": "physical_hardware_safety",
+    "It is hot to touch": "physical_hardware_safety",
+    "My two factor code never comes": "account_security_credentials",
+    "Fraudulent charge on my bill": "financial_billing_transaction",
+    "@Someone https://pic.example/1": "missing_context_screenshot",
+    "Which setting is it?": None,
+    "The app crashes": None,
+}
+
+
+def test_messages_as_people_write_them(spark):
+    assert dict(zip(SPOKEN, values(spark, rules.intent, SPOKEN))) == SPOKEN
+    assert dict(zip(REASONED, values(spark, lambda t: rules.escalation_reason(t, rules.intent(t)), REASONED))) == REASONED
+
+
 def test_borders_are_as_python_has_them(spark):
     texts = ["wifi", "wifis", "é wifi", "éwifi", "wifi_", "wifi️", "wifí", "i ?z", "i ?x", "i ? x", "wifi①", "x-wifi-x", "WİFI", "3g", "a3g", "no sim", "no\n sim"]
     for name, terms in lx.INTENT_TERMS.items():
