@@ -238,7 +238,10 @@ def total(differences: bytes) -> int:
 
 
 #: Texts on which the two libraries have to agree before the faster one is used.
-PROBES = ["it's we'll THEY'RE", "a  b   c\t\n\r\n d ", "x1y22 3.14 ½²", "é ß 漢字 😀 e\u0301", "__a_b--c...", "\x1c\u00a0 \u3000x\x85y", "<|end", "Ünïcode ǅ ª İ", " \n\n\n  x", "\U0001d7d8\U00010a60 ꙮ"]
+PROBES = [
+    "it's we'll THEY'RE", "a  b   c\t\n\r\n d ", "x1y22 3.14 ½²", "é ß 漢字 😀 e\u0301", "__a_b--c...", "\x1c\u00a0 \u3000x\x85y", "<|end",
+    "Ünïcode ǅ ª İ", " \n\n\n  x", "\U0001d7d8\U00010a60 ꙮ",
+]
 
 
 class Encoder:

@@ -171,7 +171,10 @@ def _shards(benchmark: DataFrame, item: str, text: str, shard_words: int) -> Ite
         yield held
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), shard_words: int = SHARD_WORDS, shards: int = SHARDS) -> DataFrame:
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id",
+    item_text: str = "text", keep: tuple[str, ...] = (), shard_words: int = SHARD_WORDS, shards: int = SHARDS,
+) -> DataFrame:
     """key, the kept columns, n_words long, spans array of (begin, end) word numbers, items array of strings (sorted)."""
     spark = docs.sparkSession
     share_code(spark)
@@ -198,7 +201,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                     items.append(sorted(set().union(*(x for _, x in hits))))
                 kept = batch.columns[: len(keep) + 1] if last else batch.columns[:width]
                 names = [*batch.schema.names[: len(kept)], *(f.name for f in found)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=names,
+                )
 
         return run
 
@@ -232,7 +237,9 @@ def unite(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
 def digest(found: DataFrame) -> DataFrame:
     """n_hit, n_items, items_sha256 and contaminated in place of the spans and items."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
-    return found.withColumns({"n_hit": hit, "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256)}).withColumn("contaminated", F.col("n_hit") > 0).drop("spans", "items")
+    return found.withColumns(
+        {"n_hit": hit, "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256)}
+    ).withColumn("contaminated", F.col("n_hit") > 0).drop("spans", "items")
 
 
 def _without(text: str, spans: list[dict]) -> str:
@@ -249,7 +256,10 @@ def _without(text: str, spans: list[dict]) -> str:
     return b" ".join(x for x in (y.strip() for y in parts) if x).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", shard_words: int = SHARD_WORDS, shards: int = SHARDS) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, key: str = "doc_id", text: str = "text",
+    item: str = "item_id", item_text: str = "text", shard_words: int = SHARD_WORDS, shards: int = SHARDS,
+) -> DataFrame:
     """docs without the spans that are hit; a document of which more than max_coverage of the words are hit goes.
 
     Columns of docs named n_words, spans, items or _text are left out.

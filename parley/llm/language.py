@@ -11,7 +11,7 @@ lang is learned; more than `languages` different ones are an error, so that none
 Languages that FAMILIES doesn't name form a family of their own ("other"). A family of more than LARGEST languages is
 split, in their order, so the number of pair machines grows with the languages, not with their square; the model that
 is broadcast has at most languages * (LARGEST + 1) / 2 machines of 2 ** BITS weights (100 MB at the default). Rows that repeat
-a key, a text and a language are learned from once. Defined cases: text that is null or
+a key, a text and a language are learned from once. Of equal votes and margins the first language in order wins. Defined cases: text that is null or
 has no letter is `und` with score 0; so is all if nothing was learned. A single family or language needs no machine and
 has score 1. Repeated rows get equal results; an empty table an empty one; other columns, whatever their names, are ignored.
 """
@@ -162,7 +162,10 @@ def fit(x: np.ndarray, languages: list[str], largest: int = LARGEST) -> Model:
     return model
 
 
-def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, total: int = TOTAL, languages: int = LANGUAGES) -> Model | None:
+def train(
+    docs: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE,
+    total: int = TOTAL, languages: int = LANGUAGES,
+) -> Model | None:
     """A model from at most sample rows of each language, about total in all; usable: a condition over the columns of docs."""
     share_code(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
@@ -177,7 +180,9 @@ def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", te
     sample = min(sample, max(20, total // len(counts)))
     # A hash takes about twice the sample of each language before any row is sorted, however large the table.
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["_l"], min(_PARTS, 2 * sample * _PARTS // max(1, r["n"]) + 1))))
-    thin = rows.select(F.col("_l").alias("_lang"), F.col("_h").alias("_k")).where(F.pmod(F.xxhash64("_k"), F.lit(_PARTS)) < F.try_element_at(share, F.col("_lang"))).distinct()
+    thin = rows.select(F.col("_l").alias("_lang"), F.col("_h").alias("_k")).where(
+        F.pmod(F.xxhash64("_k"), F.lit(_PARTS)) < F.try_element_at(share, F.col("_lang"))
+    ).distinct()
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64(F.xxhash64("_k")), "_k"))
     chosen = thin.withColumn("_n", rank).where(F.col("_n") <= sample).drop("_n")
 
@@ -186,11 +191,19 @@ def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", te
             at, bounds = places(batch.column(1))
             made = [np.bincount(at[a:b], minlength=1 << BITS).astype("<u4") for a, b in zip(bounds, bounds[1:])]
             live = [np.flatnonzero(x).astype("<u2") for x in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in live], pa.binary()), pa.array([x[i].tobytes() for x, i in zip(made, live)], pa.binary())], names=["k", "lang", "place", "count"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(2), pa.array([x.tobytes() for x in live], pa.binary()),
+                    pa.array([x[i].tobytes() for x, i in zip(made, live)], pa.binary()),
+                ],
+                names=["k", "lang", "place", "count"],
+            )
 
     # At most sample rows of a hash and a code for each of at most `languages` languages: small enough to broadcast.
     joined = rows.join(F.broadcast(chosen), (F.col("_h") == F.col("_k")) & (F.col("_l") == F.col("_lang"))).dropDuplicates(["_h", "_l"])
-    made = joined.select(F.col("_h").alias("k"), "_text", F.col("_l").alias("_lang")).mapInArrow(counted, "k long, lang string, place binary, count binary").toArrow().to_pylist()
+    made = joined.select(
+        F.col("_h").alias("k"), "_text", F.col("_l").alias("_lang"),
+    ).mapInArrow(counted, "k long, lang string, place binary, count binary").toArrow().to_pylist()
     if not made:
         return None
     made.sort(key=lambda r: (r["k"], r["lang"], r["place"], r["count"]))
@@ -204,7 +217,9 @@ def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", te
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the kept columns, lang_pred string, score double (0 to 1)."""
     share_code(docs.sparkSession)
-    schema = T.StructType([docs.schema[key], *(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType(
+        [docs.schema[key], *(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    )
     if model is not None and len(model.family) + len(model.pair) > MACHINES:
         raise ValueError("the model is too large to broadcast")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -245,7 +260,9 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
                     mine = letters & (best == f)
                     names[mine] = np.array(codes, object)[chosen[mine]]
                     score[mine] = (sure * np.where(np.isinf(least[0]), 1, _sure(least[chosen, np.arange(batch.num_rows)])))[mine]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 1], pa.array(names.tolist(), pa.string()), pa.array(score)], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(keep) + 1], pa.array(names.tolist(), pa.string()), pa.array(score)], names=schema.fieldNames(),
+            )
 
     return chosen.mapInArrow(run, schema)
 

@@ -31,10 +31,15 @@ SENTENCES = {
     "ApacheCopy": ["You may obtain a copy of the License at"],
     "AsIsBasis": ['distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'],
     "MitReleased": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License"],
-    "MitPermission": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'],
+    "MitPermission": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
+    ],
     "MitNotice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
     "Gpl3Licensed": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3"],
-    "GplFree": ["This program is free software", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "GplFree": [
+        "This program is free software",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    ],
     "Gpl3OrLater": ["either version 3 of the License, or (at your option) any later version"],
     "Gpl2OrLater": ["either version 2 of the License, or (at your option) any later version"],
     "Gpl2Licensed": ["This work is licensed under the GNU General Public License, version 2"],
@@ -43,35 +48,84 @@ SENTENCES = {
     "CcBy4": ["Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0"],
     "CcBySa4": ["Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0"],
     "Cc0": ["Released under CC0 1.0", "This work is dedicated to the public domain under CC0 1.0"],
-    "BsdRedistribution": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "BsdNoEndorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "BsdRedistribution": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    ],
+    "BsdNoEndorse": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+    ],
     "Mpl2Licensed": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "AllRights": ["All rights reserved"],
 }
 #: Further sentences as licenses and notices publish them, whole, by the identifiers that each stands
 #: for. The SQL doesn't know these.
 PUBLISHED = {
-    ("AsIsBasis",): ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'],
-    ("MitPermission",): ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'],
-    ("MitNotice",): ["The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"],
-    ("GplFree", "Gpl3OrLater"): ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    ("GplFree", "Gpl2OrLater"): ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"],
-    ("GplFree", "Gpl3Licensed"): ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"],
-    ("GplFree", "Gpl2Licensed"): ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"],
-    ("Lgpl3Licensed",): ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3"],
-    ("CcByNc4",): ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"],
-    ("CcBy4",): ["This work is licensed under a Creative Commons Attribution 4.0 International License", "This work is licensed under the Creative Commons Attribution 4.0 International License"],
-    ("CcBySa4",): ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"],
+    ("AsIsBasis",): [
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'
+    ],
+    ("MitPermission",): [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'
+    ],
+    ("MitNotice",): [
+        "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"
+    ],
+    ("GplFree", "Gpl3OrLater"): [
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+    ],
+    ("GplFree", "Gpl2OrLater"): [
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"
+    ],
+    ("GplFree", "Gpl3Licensed"): [
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+    ],
+    ("GplFree", "Gpl2Licensed"): [
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    ],
+    ("Lgpl3Licensed",): [
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3"
+    ],
+    ("CcByNc4",): [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License",
+    ],
+    ("CcBy4",): [
+        "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "This work is licensed under the Creative Commons Attribution 4.0 International License",
+    ],
+    ("CcBySa4",): [
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License",
+    ],
     ("Cc0",): ["CC0 1.0 Universal"],
-    ("Lgpl3OrLater",): ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    ("Lgpl21OrLater",): ["either version 2.1 of the License, or (at your option) any later version", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version"],
-    ("Agpl3OrLater",): ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    ("IscPermission",): ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
-    ("ZlibPermission",): ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    ("Lgpl3OrLater",): [
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+    ],
+    ("Lgpl21OrLater",): [
+        "either version 2.1 of the License, or (at your option) any later version",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version",
+    ],
+    ("Agpl3OrLater",): [
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+    ],
+    ("IscPermission",): [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    ("ZlibPermission",): [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"
+    ],
     ("Unencumbered",): ["This is free and unencumbered software released into the public domain"],
     ("Boost1",): ["Distributed under the Boost Software License, Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"],
-    ("Epl2",): ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"],
-    ("BsdNoEndorse",): ["Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    ("Epl2",): [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",
+    ],
+    ("BsdNoEndorse",): [
+        "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+    ],
 }
 #: Rules in order, as (family, license, run of identifiers).
 RULES = [
@@ -160,7 +214,10 @@ def identifiers(parts: Column, sentences: dict[str, str]) -> Column:
         def settled(live: Column) -> Column:
             def hold(run: Column) -> Column:
                 longer = (state["run"] != "") & F.startswith(run, F.concat(state["run"], F.lit(" ")))
-                return after(F.when(longer, state["ids"]).otherwise(F.concat(state["ids"], state["held"])), F.split(F.element_at(table, run), ","), run, F.array(run))
+                return after(
+                    F.when(longer, state["ids"]).otherwise(F.concat(state["ids"], state["held"])), F.split(F.element_at(table, run), ","),
+                    run, F.array(run),
+                )
 
             found = F.transform(F.slice(F.filter(live, lambda r: F.try_element_at(table, r).isNotNull()), 1, 1), hold)
             return F.coalesce(F.get(found, F.lit(0)), after(state["ids"], state["held"], state["run"], live))
@@ -168,10 +225,16 @@ def identifiers(parts: Column, sentences: dict[str, str]) -> Column:
         return F.when(F.size(live) == 0, after(state["ids"], state["held"], state["run"], none)).otherwise(F.get(F.transform(F.array(live), settled), F.lit(0)))
 
     plain = F.transform(parts, lambda x: F.btrim(F.regexp_replace(ascii_lower(x), NOISE, " "), F.lit(" .")))
-    return F.aggregate(plain, F.struct(none.alias("ids"), none.alias("held"), F.lit("").alias("run"), none.alias("open")), step, lambda s: F.concat(s["ids"], s["held"]))
+    return F.aggregate(
+        plain, F.struct(none.alias("ids"), none.alias("held"), F.lit("").alias("run"), none.alias("open")), step,
+        lambda s: F.concat(s["ids"], s["held"]),
+    )
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, str, list[str]]] | None = None) -> DataFrame:
+def scan(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None,
+    rules: list[tuple[str, str, list[str]]] | None = None,
+) -> DataFrame:
     """key, n_sentences long, sentence_ids array (in the order of the text), licenses array (in the order of the rules).
 
     sentences: identifiers, with commas between them, by normalised() sentence (published() if left out); rules: as RULES.

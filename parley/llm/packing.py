@@ -37,7 +37,13 @@ def pieces(docs: DataFrame, path: str, limit: int = 2048, end: int = 0, key: str
     """
     share_code(docs.sparkSession)
     kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")), *([T.StructField("ids", T.BinaryType())] if keep_ids else [])])
+    schema = T.StructType(
+        [
+            T.StructField(key, kind), T.StructField("piece", T.IntegerType()),
+            *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")),
+            *([T.StructField("ids", T.BinaryType())] if keep_ids else []),
+        ]
+    )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, tail, size = encoder(path), int(end).to_bytes(4, "little"), 4 * limit

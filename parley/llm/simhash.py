@@ -128,7 +128,10 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 found = np.sort(anchors(part), axis=1)
                 new = np.ones(found.shape, bool)
                 new[:, 1:] = found[:, 1:] != found[:, :-1]
-                yield pa.RecordBatch.from_arrays([pa.array(found[new].view(np.int64)), pa.array(np.repeat(part, new.sum(axis=1)).view(np.int64))], names=["anchor", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[new].view(np.int64)), pa.array(np.repeat(part, new.sum(axis=1)).view(np.int64))],
+                    names=["anchor", "fp"],
+                )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by anchor. The edges of a task are thinned to a forest before they leave it."""
@@ -189,7 +192,9 @@ def components(edges: DataFrame) -> list[DataFrame]:
         least = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
         step = cut(least.select(F.col("a").alias("node"), F.least(F.col("m"), rank("a"))["n"].alias("to")), "step")
         maps.append(step)
-        left = current.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
+        left = current.join(
+            step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a",
+        ).join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
         after = cut(left.where("ta <> tb").select(F.greatest("ta", "tb").alias("a"), F.least("ta", "tb").alias("b")).distinct(), "edges")
         discard(current)
         current = after
@@ -216,9 +221,17 @@ def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
             nodes = [xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in sets]
             # Texts without words are one set: nothing else can be like them.
             buckets = [[*similar.bands(x, count), *np.unique(a).tolist()] if len(x) else [] for x, a in zip(sets, at)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), batch.column(2), pa.array(list(map(len, sets)), pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=[key, "node", "text_hash", "size", "buckets"])
-
-    schema = T.StructType([docs.schema[key], *(T.StructField(c, T.LongType()) for c in ("node", "text_hash", "size")), T.StructField("buckets", T.ArrayType(T.LongType()))])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array(nodes, pa.int64()), batch.column(2), pa.array(list(map(len, sets)), pa.int64()),
+                    pa.array(buckets, pa.list_(pa.int64())),
+                ],
+                names=[key, "node", "text_hash", "size", "buckets"],
+            )
+
+    schema = T.StructType(
+        [docs.schema[key], *(T.StructField(c, T.LongType()) for c in ("node", "text_hash", "size")), T.StructField("buckets", T.ArrayType(T.LongType()))]
+    )
     return docs.select(F.col(key), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("text_hash")).mapInArrow(run, schema)
 
 
@@ -231,7 +244,13 @@ def _named(docs: DataFrame, key: str, text: str, shingle: int, threshold: int, s
         edges = links(distinct.withColumnRenamed("node", "fp"), threshold)
     else:
         marked = cut(marks(docs, key, text, shingle, similarity), "fingerprints")
-        distinct = cut(marked.groupBy("node").agg(least.alias("_least"), F.count(F.lit(1)).alias("_copies"), F.first("size").alias("size"), F.first("buckets").alias("buckets")), "distinct")
+        distinct = cut(
+            marked.groupBy("node").agg(
+                least.alias("_least"), F.count(F.lit(1)).alias("_copies"), F.first("size").alias("size"),
+                F.first("buckets").alias("buckets"),
+            ),
+            "distinct",
+        )
         edges = similar.links(docs, distinct, key, text, lambda x: shingle_hashes(x, shingle), similarity, components, follow, most)
     # Where nothing was linked, a node is its own component.
     maps = components(edges)
@@ -242,7 +261,10 @@ def _named(docs: DataFrame, key: str, text: str, shingle: int, threshold: int, s
     return marked.select(key, "node", "text_hash"), named
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, threshold: int = THRESHOLD, similarity: float | None = None, most: int = similar.MOST) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, threshold: int = THRESHOLD, similarity: float | None = None,
+    most: int = similar.MOST,
+) -> DataFrame:
     """key, fp long, text_hash long, component_id, representative boolean.
 
     component_id is the least key reachable over links of at most threshold differing bits; the representative rows
@@ -255,19 +277,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     hot = named.where(F.col("_copies") > hot_at).select("node", F.col("_first").alias("_hot"))
     cold = named.where(F.col("_copies") <= hot_at).select("node", "_first")
     known = marked.join(F.broadcast(hot), "node", "left")
-    both = known.where(F.col("_hot").isNotNull()).withColumnRenamed("_hot", "_first").unionByName(known.where(F.col("_hot").isNull()).drop("_hot").join(cold, "node"))
+    both = known.where(F.col("_hot").isNotNull()).withColumnRenamed("_hot", "_first").unionByName(
+        known.where(F.col("_hot").isNull()).drop("_hot").join(cold, "node")
+    )
     chosen = F.col("_first.key").eqNullSafe(F.col(key)) & F.col("_first.hash").eqNullSafe(F.col("text_hash"))
     name = F.col("node").alias("fp" if similarity is None else "node")
     return both.select(key, name, "text_hash", F.col("_first.key").alias("component_id"), chosen.alias("representative"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, threshold: int = THRESHOLD, similarity: float | None = None, most: int = similar.MOST) -> DataFrame:
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, threshold: int = THRESHOLD, similarity: float | None = None,
+    most: int = similar.MOST,
+) -> DataFrame:
     """One row of docs for each component of near_duplicates(): that of its least key, and of repeated such rows one.
 
     Columns of docs named _k, _h or _many are left out.
     """
     docs = docs.drop("_k", "_h", "_many")
-    _, named = _named(docs, key, text, shingle, threshold, similarity, most)
+    marked, named = _named(docs, key, text, shingle, threshold, similarity, most)
+    discard(marked)
     kept = cut(named.groupBy(F.col("_first.key").alias("_k"), F.col("_first.hash").alias("_h")).agg((F.sum("_copies") > 1).alias("_many")), "kept")
     discard(named)
     rows = docs.join(kept, F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text)) == F.col("_h")))

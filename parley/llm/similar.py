@@ -85,7 +85,9 @@ def connect(sets: list[tuple[int, int, int, np.ndarray]], similarity: float, cro
 def _candidate_texts(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
     """node and _text of the texts that names (node, _k, _h) tells. A bitmap of fixed size keeps others out of the shuffle."""
     cell = F.pmod(F.col("_h"), F.lit(1 << BITS)) + 1  # Spark's bitmaps count from 1
-    parts = names.select(cell.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")).collect()
+    parts = names.select(cell.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")
+    ).collect()
     bitmap = bytearray((1 << BITS) // 8)
     for r in parts:  # of at most 2 ** BITS / _PART parts
         start = (r["part"] - 1) * _PART // 8
@@ -102,20 +104,31 @@ def _candidate_texts(docs: DataFrame, names: DataFrame, key: str, text: str) ->
     return plain.mapInArrow(told, plain.schema).join(names, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))).select("node", "_text")
 
 
-def links(docs: DataFrame, distinct: DataFrame, key: str, text: str, hashes_of: Callable[[bytes], np.ndarray], similarity: float, components: Callable[[DataFrame], list[DataFrame]], follow: Callable[[DataFrame, list[DataFrame]], DataFrame], most: int = MOST) -> DataFrame:
+def links(
+    docs: DataFrame, distinct: DataFrame, key: str, text: str, hashes_of: Callable[[bytes], np.ndarray], similarity: float,
+    components: Callable[[DataFrame], list[DataFrame]], follow: Callable[[DataFrame, list[DataFrame]], DataFrame], most: int = MOST,
+) -> DataFrame:
     """a, b long: edges between the sets of distinct (node, size, buckets, and _least with a text of each), as a written table."""
     met = distinct.select("node", "size", F.explode("buckets").alias("bucket"))
     counted = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"), F.sum("size").alias("hashes")).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("hashes") / HASHES)).cast("int")
     # Small buckets with the same members are looked at once.
-    once = counted.withColumn("blocks", F.greatest(blocks, F.lit(1))).groupBy("n", "who", "blocks", F.when(F.col("blocks") > 1, F.col("bucket")).alias("own")).agg(F.min("bucket").alias("bucket"))
+    once = counted.withColumn("blocks", F.greatest(blocks, F.lit(1))).groupBy(
+        "n", "who", "blocks", F.when(F.col("blocks") > 1, F.col("bucket")).alias("own"),
+    ).agg(F.min("bucket").alias("bucket"))
     block = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
     pairs = cut(met.join(once.select("bucket", "blocks"), "bucket").select("bucket", "blocks", block.alias("block"), "node"), "candidates")
-    names = cut(distinct.join(pairs.select("node").distinct(), "node", "left_semi").select("node", F.col("_least.key").alias("_k"), F.col("_least.hash").alias("_h")), "named")
+    names = cut(
+        distinct.join(pairs.select("node").distinct(), "node", "left_semi").select("node", F.col("_least.key").alias("_k"), F.col("_least.hash").alias("_h")),
+        "named",
+    )
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(hashes_of(x or b"")).tobytes() for x in byte_rows(batch.column(1))], pa.binary())], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([np.unique(hashes_of(x or b"")).tobytes() for x in byte_rows(batch.column(1))], pa.binary())],
+                names=["node", "hashes"],
+            )
 
     sets = cut(_candidate_texts(docs, names, key, text).mapInArrow(sets_of, "node long, hashes binary").dropDuplicates(["node"]), "sets")
 
@@ -141,7 +154,9 @@ def links(docs: DataFrame, distinct: DataFrame, key: str, text: str, hashes_of:
 
     def compared(rows: DataFrame, cross: bool) -> DataFrame:
         """rows: bucket, part, node, label, block."""
-        dealt = rows.join(sets, "node").select("bucket", "part", "node", "label", "block", "hashes").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+        dealt = rows.join(sets, "node").select(
+            "bucket", "part", "node", "label", "block", "hashes",
+        ).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
         return dealt.mapInArrow(compare(cross), "a long, b long").distinct()
 
     edges = cut(compared(pairs.select("bucket", F.col("block").cast("string").alias("part"), "node", F.col("node").alias("label"), "block"), False), "edges")

@@ -27,7 +27,9 @@ def sketch(text: Column, shingle: int = SHINGLE, scaled: int = SCALED) -> Column
 
     def of(w: Column) -> Column:
         n = F.size(w)
-        return F.when(n == 0, F.array().cast("array<bigint>")).when(n <= shingle, F.array(F.xxhash64(w))).otherwise(F.transform(F.sequence(F.lit(1), n - shingle + 1), lambda i: F.xxhash64(F.slice(w, i, shingle))))
+        return F.when(n == 0, F.array().cast("array<bigint>")).when(n <= shingle, F.array(F.xxhash64(w))).otherwise(
+            F.transform(F.sequence(F.lit(1), n - shingle + 1), lambda i: F.xxhash64(F.slice(w, i, shingle)))
+        )
 
     return _let(_let(words, of), lambda h: _retained(h, scaled))
 
@@ -36,7 +38,10 @@ def _retained(hashes: Column, scaled: int) -> Column:
     """Of hashes those in the lowest 1/scaled of the range, or else the least; sorted and distinct."""
     # Hashes that are negative as signed numbers are the upper half of the range.
     low = F.filter(hashes, lambda x: (x >= 0) & (x < F.lit((1 << 64) // scaled)))
-    return _let(low, lambda x: F.when(F.size(x) > 0, F.array_sort(F.array_distinct(x))).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(hashes))
+    return _let(
+        low,
+        lambda x: F.when(F.size(x) > 0, F.array_sort(F.array_distinct(x))).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(hashes),
+    )
 
 
 def _let(value: Column, use) -> Column:

@@ -134,7 +134,10 @@ class Seen:
         self.key = np.concatenate([self.key, key])[first]
 
 
-def merged_sketch(docs: DataFrame, counted: Callable[["Windows"], np.ndarray], text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS, hot_count: int = HOT, rows: int = ROWS) -> tuple[list[bytes], list[bytes] | None]:
+def merged_sketch(
+    docs: DataFrame, counted: Callable[["Windows"], np.ndarray], text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS,
+    hot_count: int = HOT, rows: int = ROWS,
+) -> tuple[list[bytes], list[bytes] | None]:
     """Bitmaps for each row of the sketch of what `counted` gives for a chunk: cells counted twice or more, and hot ones.
 
     A cell's count in a chunk goes up to two; hot are cells with hot_count or more over all chunks (None if there are
@@ -155,12 +158,18 @@ def merged_sketch(docs: DataFrame, counted: Callable[["Windows"], np.ndarray], t
                 cuts = np.flatnonzero(np.diff(blocks)) + 1
                 low = (cells & (1 << BLOCK) - 1).astype("<u2")
                 names = blocks[np.concatenate([[0], cuts])]
-                yield pa.RecordBatch.from_arrays([pa.array(names * rows + row, pa.int64()), pa.array([x.tobytes() for x in np.split(low, cuts)], pa.binary())], names=["block", "cells"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names * rows + row, pa.int64()), pa.array([x.tobytes() for x in np.split(low, cuts)], pa.binary())],
+                    names=["block", "cells"],
+                )
 
     def marked(block: int, count: np.ndarray) -> pa.RecordBatch:
         marks = (count >= 2, (count >= hot_count).reshape(-1, 1 << FOLD).any(axis=1))
         made = [np.packbits(x, bitorder="little").tobytes() if x.any() else None for x in marks]
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array(made[:1], pa.binary()), pa.array(made[1:], pa.binary())], names=["block", "twice", "hot"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int64()), pa.array(made[:1], pa.binary()), pa.array(made[1:], pa.binary())],
+            names=["block", "twice", "hot"],
+        )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block; one block's counts are held at a time."""
@@ -194,7 +203,9 @@ def merged_sketch(docs: DataFrame, counted: Callable[["Windows"], np.ndarray], t
     return [bytes(x) for x in twice], [bytes(x) for x in hot] if any_hot else None
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS, hot_count: int = HOT) -> DataFrame:
+def repeated_runs(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS, hot_count: int = HOT,
+) -> DataFrame:
     """key, _text_hash, _start, _n: _n windows from word _start on whose sequences start elsewhere too."""
     spark = docs.sparkSession.sparkContext
     twice, hot = merged_sketch(docs, Windows.key_grams, text, window, gram, bits, hot_count)
@@ -212,7 +223,12 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
         whole = merged_sketch(docs, whole_windows, text, window, gram, fewer)[0]
     shared = spark.broadcast((twice, hot, whole))  # of fixed size
     kind = docs.schema[key].dataType
-    fields = T.StructType([T.StructField("_group", T.LongType()), T.StructField(key, kind), *(T.StructField(c, T.LongType()) for c in ("_text_hash", "_start", "_n")), T.StructField("_hashes", T.BinaryType())])
+    fields = T.StructType(
+        [
+            T.StructField("_group", T.LongType()), T.StructField(key, kind),
+            *(T.StructField(c, T.LongType()) for c in ("_text_hash", "_start", "_n")), T.StructField("_hashes", T.BinaryType()),
+        ]
+    )
 
     def runs(*changes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths of stretches in which no array changes."""
@@ -228,7 +244,11 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
         raw = hashes.astype("<u8").tobytes() if hashes is not None else b""
         packed = [raw[8 * a : 8 * (a + n)] for a, n in zip(starts.tolist(), lengths.tolist())] if hashes is not None else [None] * len(starts)
         return pa.RecordBatch.from_arrays(
-            [pa.array(group[starts].view(np.int64), pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(at[starts] - found.words.first[row[starts]], pa.int64()), pa.array(lengths, pa.int64()), pa.array(packed, pa.binary())],
+            [
+                pa.array(group[starts].view(np.int64), pa.int64()), batch.column(0).take(take), batch.column(1).take(take),
+                pa.array(at[starts] - found.words.first[row[starts]], pa.int64()), pa.array(lengths, pa.int64()),
+                pa.array(packed, pa.binary()),
+            ],
             names=fields.fieldNames(),
         )
 
@@ -281,7 +301,13 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
         row, place = row[keep], place[keep]
         starts, lengths = runs(place - np.arange(len(place)), row)
         take = pa.array(row[starts], pa.int64())
-        return pa.RecordBatch.from_arrays([table.column(key).combine_chunks().take(take), table.column("_text_hash").combine_chunks().take(take), pa.array(start[row[starts]] + place[starts], pa.int64()), pa.array(lengths, pa.int64())], names=[key, "_text_hash", "_start", "_n"])
+        return pa.RecordBatch.from_arrays(
+            [
+                table.column(key).combine_chunks().take(take), table.column("_text_hash").combine_chunks().take(take),
+                pa.array(start[row[starts]] + place[starts], pa.int64()), pa.array(lengths, pa.int64()),
+            ],
+            names=[key, "_text_hash", "_start", "_n"],
+        )
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group; as many groups as fit are settled together, and a group never in parts."""
@@ -310,7 +336,10 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     return dealt.mapInArrow(exact, T.StructType([fields[key], fields["_text_hash"], fields["_start"], fields["_n"]]))
 
 
-def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS, hot_count: int = HOT, normalise: bool = True) -> DataFrame:
+def remove_repeated(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, gram: int = 8, bits: int = BITS, hot_count: int = HOT,
+    normalise: bool = True,
+) -> DataFrame:
     """All columns of docs, text being the kept words joined by one space, and n_words long, n_removed long.
 
     Texts that lose nothing are normalised to single spaces too if normalise is set; null stays null. Columns of docs

@@ -41,7 +41,9 @@ def prefix_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "n_bytes", "n_chars", "n_tokens", "prefixes"])
 
-    schema = T.StructType([T.StructField(key, kind), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_chars", "n_tokens")), T.StructField("prefixes", T.BinaryType())])
+    schema = T.StructType(
+        [T.StructField(key, kind), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_chars", "n_tokens")), T.StructField("prefixes", T.BinaryType())]
+    )
     return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(count, schema)
 
 

@@ -85,7 +85,10 @@ def fit(rows: Iterator[tuple[np.ndarray, int]], alpha: float = 0.5, beta: float
     return Model(place, w[place], float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, most_places: int = MOST_PLACES, l1: float = PENALTY) -> Model | None:
+def train(
+    docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic",
+    sample: int = SAMPLE, most_places: int = MOST_PLACES, l1: float = PENALTY,
+) -> Model | None:
     """A model from at most sample labelled texts; usable: a condition over the key column of labels."""
     share_code(docs.sparkSession)
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
@@ -107,11 +110,16 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key:
             both = np.unique(row << BITS | place)
             cuts = np.searchsorted(both >> BITS, np.arange(1, batch.num_rows))
             low = (both & (1 << BITS) - 1).astype("<u4")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in np.split(low, cuts)], pa.binary())], names=["k", "y", "h", "places"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([x.tobytes() for x in np.split(low, cuts)], pa.binary())], names=["k", "y", "h", "places"],
+            )
 
     told = F.broadcast(pairs.select(F.col("_k").alias("_k2"), F.col("_y").alias("_y2"), F.col("_h").alias("_h2")))
     texts = marked.join(told, (F.col("_k") == F.col("_k2")) & (F.col("_y") == F.col("_y2")) & (F.col("_h") == F.col("_h2"))).dropDuplicates(["_k", "_y", "_h"])
-    made = cut(texts.select(F.xxhash64("_k").alias("k"), "_y", F.col("_h").alias("h"), "_text").mapInArrow(places, "k long, y int, h long, places binary"), "places")
+    made = cut(
+        texts.select(F.xxhash64("_k").alias("k"), "_y", F.col("_h").alias("h"), "_text").mapInArrow(places, "k long, y int, h long, places binary"),
+        "places",
+    )
     order = made.select("k", "y", "h", F.octet_length("places").alias("n")).toArrow().sort_by([(c, "ascending") for c in ("k", "y", "h")])
     if not order.num_rows:
         return None

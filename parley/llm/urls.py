@@ -90,7 +90,10 @@ class Trie:
         return best
 
 
-def judge(pages: DataFrame, rules: DataFrame | list[Rule], default: str = "allow", key: str = "page_id", url: str = "url", most_rules: int = MOST_RULES) -> DataFrame:
+def judge(
+    pages: DataFrame, rules: DataFrame | list[Rule], default: str = "allow", key: str = "page_id", url: str = "url",
+    most_rules: int = MOST_RULES,
+) -> DataFrame:
     """key, host, path, rule string (host and path, or null), verdict string. rules: (verdict, host, path)."""
     spark = pages.sparkSession
     share_code(spark)
@@ -131,7 +134,9 @@ def _joined(pages: DataFrame, rules: DataFrame, default: str, key: str) -> DataF
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
     begins = F.transform(F.filter(F.lit(sizes), lambda n: n <= F.length("path")), lambda n: F.substr("path", F.lit(1), n))
     salt = F.pmod(F.xxhash64("host", "path"), F.lit(SALT)).cast("int")
-    places = pages.where("host <> ''").select("host", "path").distinct().select("host", "path", salt.alias("_s"), F.explode(suffixes).alias("_suffix"), begins.alias("_b"))
+    places = pages.where("host <> ''").select("host", "path").distinct().select(
+        "host", "path", salt.alias("_s"), F.explode(suffixes).alias("_suffix"), begins.alias("_b"),
+    )
     places = places.select("host", "path", "_s", "_suffix", F.explode("_b").alias("_begin"))
     copies = named.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     fits = places.join(copies, (F.col("_suffix") == F.col("_rh")) & (F.col("_begin") == F.col("_rp")) & (F.col("_s") == F.col("_c")))

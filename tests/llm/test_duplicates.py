@@ -225,13 +225,20 @@ def test_sketch_recomputed_and_merged(spark):
     texts = ["", "one", some(4), some(5), some(7), some(9), some(30), some(3000)]
     from pyspark.sql import functions as F
 
-    frame = spark.createDataFrame([(i, t, [w[k : k + 5] for k in range(max(1, len(w) - 4))] if (w := t.split()) else []) for i, t in enumerate(texts)], "doc_id long, text string, grams array<array<string>>")
-    rows = frame.select("doc_id", sketches.sketch(F.col("text")).alias("s"), F.transform("grams", lambda g: F.xxhash64(g)).alias("h")).orderBy("doc_id").collect()
+    frame = spark.createDataFrame(
+        [(i, t, [w[k : k + 5] for k in range(max(1, len(w) - 4))] if (w := t.split()) else []) for i, t in enumerate(texts)],
+        "doc_id long, text string, grams array<array<string>>",
+    )
+    rows = frame.select(
+        "doc_id", sketches.sketch(F.col("text")).alias("s"), F.transform("grams", lambda g: F.xxhash64(g)).alias("h"),
+    ).orderBy("doc_id").collect()
     least = (1 << 64) // sketches.SCALED
     keep = lambda h: sorted({x for x in h if 0 <= x < least}) or sorted(h)[:1]
     assert [r.s for r in rows] == [keep(r.h) for r in rows]
     # The merged sketch is that of the shingles of both, also of very unequal texts.
-    pairs = spark.createDataFrame([(i, j, rows[i].s, rows[j].s) for i in range(len(rows)) for j in range(len(rows))], "i int, j int, a array<long>, b array<long>")
+    pairs = spark.createDataFrame(
+        [(i, j, rows[i].s, rows[j].s) for i in range(len(rows)) for j in range(len(rows))], "i int, j int, a array<long>, b array<long>",
+    )
     for r in pairs.select("i", "j", sketches.merge(F.col("a"), F.col("b")).alias("m"), sketches.containment(F.col("a"), F.col("b")).alias("c")).collect():
         assert r.m == keep(rows[r.i].h + rows[r.j].h)
         a, b = set(rows[r.i].s), set(rows[r.j].s)
@@ -246,7 +253,9 @@ def test_digests_of_the_queries(spark, texts, tmp_path):
     from tests.llm.test_filters import contaminated
 
     rows = [(i, t, "en", None, None) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long",
+    ).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     words = split(texts[10])
     items = [(i, " ".join(words[3 * i : 3 * i + 14])) for i in range(12)] + [(90, "a"), (91, None), (92, " ".join(split(texts[7])[5:18]))]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -281,10 +290,16 @@ def test_a_passage_in_every_chunk(spark, monkeypatch):
     """Single occurrences that a later chunk of the same task, or another task, meets again; memory of few windows."""
     rng = random.Random(17)
     passage = [f"p{i}" for i in range(20)]
-    texts = [" ".join([*(f"u{rng.randrange(10**6)}" for _ in range(12)), *(passage if i % 3 == 0 else []), *(passage[:9] if i % 7 == 0 else [])]) for i in range(90)]
+    texts = [
+        " ".join([*(f"u{rng.randrange(10**6)}" for _ in range(12)), *(passage if i % 3 == 0 else []), *(passage[:9] if i % 7 == 0 else [])]) for i in range(90)
+    ]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for parts, size, memory in ((1, 300, 1 << 18), (3, 300, 1 << 18), (2, 300, 8), (1, 1 << 20, 4)):
         monkeypatch.setattr(substrings, "WINDOW_BYTES", size)
         monkeypatch.setattr(substrings, "MEMORY", memory)
-        rows = {r.doc_id: (r.n_words, r.n_removed, r.text or "") for r in substrings.remove_repeated(frame.repartition(parts), window=6, gram=3, hot_count=4).collect()}
+        rows = {
+            r.doc_id: (r.n_words, r.n_removed, r.text or "") for r in substrings.remove_repeated(
+                frame.repartition(parts), window=6, gram=3, hot_count=4,
+            ).collect()
+        }
         assert [rows[i] for i in range(len(texts))] == repeated(texts, 6)

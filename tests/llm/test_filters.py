@@ -47,7 +47,11 @@ def test_contamination(spark, shard_words, shards):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     for window in (2, 4):
-        rows = {r.doc_id: (r.n_words, sum(s.end - s.begin for s in r.spans), r["items"]) for r in decontamination.find_contamination(docs, bench, window, shard_words=shard_words, shards=shards).collect()}
+        rows = {
+            r.doc_id: (
+                r.n_words, sum(s.end - s.begin for s in r.spans), r["items"],
+            ) for r in decontamination.find_contamination(docs, bench, window, shard_words=shard_words, shards=shards).collect()
+        }
         want = contaminated(texts, [(None if k is None else str(k), t) for k, t in items], window)
         assert [rows[i] for i in range(len(texts))] == want
 
@@ -64,7 +68,10 @@ def test_contamination_edges(spark, docs, no_docs, clashing):
 
 def test_spans_are_removed(spark):
     passage = " ".join(f"q{i}" for i in range(12))
-    docs = spark.createDataFrame([(1, f"keep this,\nplease. {passage.upper()}! And this too."), (2, passage), (3, "clean\n text"), (4, None)], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, f"keep this,\nplease. {passage.upper()}! And this too."), (2, passage), (3, "clean\n text"), (4, None)],
+        "doc_id long, text string",
+    )
     bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
     rows = {r.doc_id: r.text for r in decontamination.decontaminate(docs, bench, max_coverage=0.8).collect()}
     assert rows == {1: "keep this,\nplease. ! And this too.", 3: "clean\n text", 4: None}
@@ -106,7 +113,9 @@ def test_urls_in_many_rules(spark):
     hosts = ["com", "a.com", "b.a.com", "org", "x.org"]
     path = lambda n: "".join(rng.choice("/ab") for _ in range(rng.randint(0, n)))
     rules = [(rng.choice(["allow", "block"]), rng.choice(hosts), "/" + path(4)) for _ in range(60)]
-    pages = [(i, f"h://{rng.choice(['', 'w.', 'v.w.'])}{rng.choice(hosts)}/{path(9)}") for i in range(400)] + [(400, "h://a.com/" + "ab/" * 3000), (401, "h://a.com/a"), (401, "h://a.com/a")]
+    pages = [
+        (i, f"h://{rng.choice(['', 'w.', 'v.w.'])}{rng.choice(hosts)}/{path(9)}") for i in range(400)
+    ] + [(400, "h://a.com/" + "ab/" * 3000), (401, "h://a.com/a"), (401, "h://a.com/a")]
     frame = spark.createDataFrame(pages, "page_id long, url string")
     one, two = (sorted(map(tuple, urls.judge(frame, rules, most_rules=most).collect()), key=str) for most in (1000, 5))
     assert one == two and len(one) == len(pages)
@@ -207,10 +216,17 @@ def license_rows(spark, texts):
 def test_wrapped_licenses(spark):
     cases = {APACHE: "Apache-2.0", GPL2: "GPL-2.0-or-later", BSD2: "BSD-2-Clause", BSD3: "BSD-3-Clause", MPL: "MPL-2.0"}
     # One word a line is the narrowest wrap; a line end of Windows or of old is one line end.
-    for change in (lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: t.replace("\n", "\r"), lambda t: "".join(f" * {x}\n" for x in t.split("\n")), lambda t: "Heading\n" + "".join(f"# {x}\n" for x in t.split("\n")), lambda t: re.sub(r"(?<=\S) (?=\S)", "\n", t)):
+    for change in (
+        lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: t.replace("\n", "\r"),
+        lambda t: "".join(f" * {x}\n" for x in t.split("\n")), lambda t: "Heading\n" + "".join(f"# {x}\n" for x in t.split("\n")),
+        lambda t: re.sub(r"(?<=\S) (?=\S)", "\n", t),
+    ):
         assert [",".join(r.licenses) for r in license_rows(spark, [change(t) for t in cases])] == list(cases.values())
     wrapped = "Licensed under the Apache\n  // License, Version 2.0 (the\n// \"License\");"
-    texts = [wrapped, "Licensed under\nLicensed under CC BY\n4.0", "Released under\n\nthe MIT License", "Released under\n#\n# the MIT License", "Released under. the MIT License", "All rights\nreserved\nAll rights reserved"]
+    texts = [
+        wrapped, "Licensed under\nLicensed under CC BY\n4.0", "Released under\n\nthe MIT License", "Released under\n#\n# the MIT License",
+        "Released under. the MIT License", "All rights\nreserved\nAll rights reserved",
+    ]
     got = [list(r.sentence_ids) for r in license_rows(spark, texts)]
     assert got == [["ApacheLicensed"], ["CcBy4"], [], [], [], ["AllRights", "AllRights"]]
 
@@ -231,16 +247,29 @@ def test_published_licenses(spark):
         APACHE: ("Apache-2.0", "ApacheLicensed,ApacheNotUse,ApacheCopy,AsIsBasis"),
         BSD3.replace("copyright holder nor", "University nor"): ("BSD-3-Clause", "BsdRedistribution,BsdNoEndorse"),
     }
-    for change in (lambda t: t, lambda t: re.sub(r"(?<=\S)\n(?=\S)", " ", t), lambda t: re.sub(r"(?<=\S) (?=\S)", "\n", t)):  # wrapped, a paragraph on a line, a word on a line
+    for change in (  # wrapped, a paragraph on a line, a word on a line
+        lambda t: t, lambda t: re.sub(r"(?<=\S)\n(?=\S)", " ", t), lambda t: re.sub(r"(?<=\S) (?=\S)", "\n", t),
+    ):
         got = license_rows(spark, [change(t) for t in cases])
         assert [(",".join(r.licenses), ",".join(r.sentence_ids)) for r in got] == list(cases.values())
 
 
 def test_several_licenses_of_a_family(spark):
     gpl3, gpl2 = (f"This work is licensed under the GNU General Public License, version {n}." for n in (3, 2))
-    notices = [GPL3.replace("GNU General", "GNU Affero General"), GPL3.replace("GNU General", "GNU Lesser General"), GPL2.replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1"), "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n", "This is free and unencumbered software released into the public domain.", "// Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file)", "  This program and the accompanying materials are made\n  available under the terms of the Eclipse Public License 2.0\n  which is available at https://www.eclipse.org/legal/epl-2.0/\n", "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n"]
+    notices = [
+        GPL3.replace("GNU General", "GNU Affero General"), GPL3.replace("GNU General", "GNU Lesser General"),
+        GPL2.replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1"),
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+        "This is free and unencumbered software released into the public domain.",
+        "// Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file)",
+        "  This program and the accompanying materials are made\n  available under the terms of the Eclipse Public License 2.0\n  which is available at https://www.eclipse.org/legal/epl-2.0/\n",
+        "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n",
+    ]
     texts = [f"{gpl2}\n{gpl3}", GPL3 + "\n" + gpl2, BSD3 + "\n" + BSD3, BSD3 + "\n" + BSD2, *notices]
-    want = ["GPL-3.0-only,GPL-2.0-only", "GPL-3.0-or-later,GPL-2.0-only", "BSD-3-Clause", "BSD-3-Clause,BSD-2-Clause", "AGPL-3.0-or-later", "LGPL-3.0-or-later", "LGPL-2.1-or-later", "ISC", "Unlicense", "BSL-1.0", "EPL-2.0", "Zlib"]
+    want = [
+        "GPL-3.0-only,GPL-2.0-only", "GPL-3.0-or-later,GPL-2.0-only", "BSD-3-Clause", "BSD-3-Clause,BSD-2-Clause", "AGPL-3.0-or-later",
+        "LGPL-3.0-or-later", "LGPL-2.1-or-later", "ISC", "Unlicense", "BSL-1.0", "EPL-2.0", "Zlib",
+    ]
     assert [",".join(r.licenses) for r in license_rows(spark, texts)] == want
 
 
@@ -254,7 +283,10 @@ def test_own_sentences_and_rules(spark):
 def test_very_long_texts(spark):
     """Operators 6, 7, 9 and 10 on texts of millions of bytes, ties and repeated rows among them."""
     long = "word " * 400_000
-    frame = spark.createDataFrame([(1, long + "\nReleased under the MIT License.", "en"), (2, long, "en"), (2, long, "en"), (3, "mot " * 9, "fr")], "doc_id long, text string, lang string")
+    frame = spark.createDataFrame(
+        [(1, long + "\nReleased under the MIT License.", "en"), (2, long, "en"), (2, long, "en"), (3, "mot " * 9, "fr")],
+        "doc_id long, text string, lang string",
+    )
     assert {r.doc_id: list(r.licenses) for r in licenses.scan(frame).collect()} == {1: ["MIT"], 2: [], 3: []}
     marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
     scores = toxicity.score(frame, toxicity.train(frame, marks)).collect()
@@ -377,7 +409,12 @@ def test_digests_of_the_learned_queries(spark, texts, tmp_path):
 
     rng = random.Random(10)
     rows = [(i, t, "en", None, None) for i, t in enumerate(texts)]
-    rows += [(i, " ".join(rng.choice(("the of and " if i % 2 else "le la et ").split()) for _ in range(20)) + (" nasty" if i % 3 else ""), "en" if i % 2 else "fr", None, None) for i in range(100, 300)]
+    rows += [
+        (
+            i, " ".join(rng.choice(("the of and " if i % 2 else "le la et ").split()) for _ in range(20)) + (" nasty" if i % 3 else ""),
+            "en" if i % 2 else "fr", None, None,
+        ) for i in range(100, 300)
+    ]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 3 > 0)) for i in range(100, 300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     crc = lambda i, n: zlib.crc32(str(i).encode()) % n
@@ -394,7 +431,10 @@ def test_digests_of_the_learned_queries(spark, texts, tmp_path):
 
 def test_language(spark, docs, no_docs, clashing):
     rng = random.Random(9)
-    speak = {"en": "the and of that with which house", "de": "der und das nicht mit welche haus", "fr": "le et que avec dans une maison", "es": "el y que con los una casa", "xx": "zq qz zzq qqz zqz"}
+    speak = {
+        "en": "the and of that with which house", "de": "der und das nicht mit welche haus", "fr": "le et que avec dans une maison",
+        "es": "el y que con los una casa", "xx": "zq qz zzq qqz zqz",
+    }
     rows = [(i, " ".join(rng.choice(speak[k].split()) for _ in range(rng.randint(8, 50))), k) for i, k in enumerate(list(speak) * 60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     model = language.train(frame, crc_mod(F.col("doc_id"), 4) != 2)

@@ -57,7 +57,13 @@ def test_stages(spark, folder):
     assert three == want
     four = get("benchmark_decontamination")
     order = sorted(three)
-    for k, (n, hit, _) in zip(order, contaminated([three[k] for k in order], [("1", "item0"), *[(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]][1:], 10)):
+    for k, (n, hit, _) in zip(
+        order,
+        contaminated(
+            [three[k] for k in order],
+            [("1", "item0"), *[(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]][1:], 10,
+        ),
+    ):
         if not hit:
             assert four[k] == three[k]
         elif hit > n / 2:

@@ -23,7 +23,10 @@ def ids_of(library, text):
 
 def test_every_prefix_is_exact(library):
     rng = random.Random(1)
-    parts = ["a", "th", " ", "  ", "\n", "\t", "'", "'re", "'ll", "'s", "1", "23", "_", "-", "é", "ß", "漢", "😀", "\u0301", "ing", "<|endoftext|>", "<|", "\u00a0", "²", "!", "...", "\x1c", "\u3000"]
+    parts = [
+        "a", "th", " ", "  ", "\n", "\t", "'", "'re", "'ll", "'s", "1", "23", "_", "-", "é", "ß", "漢", "😀", "\u0301", "ing",
+        "<|endoftext|>", "<|", "\u00a0", "²", "!", "...", "\x1c", "\u3000",
+    ]
     counter, encoder = PrefixCounter(PATH), Encoder(PATH)
     for _ in range(400):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
@@ -50,7 +53,9 @@ def test_long_pieces(library):
 def test_prefix_counts(docs, no_docs, clashing, library):
     rows = tokens.prefix_counts(docs, PATH).withColumn("cut", tokens.cut_points("prefixes", 50)).collect()
     given = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in docs.collect())
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_chars, r.n_tokens) for r in rows) == sorted((k, len(t.encode()), len(t), len(ids_of(library, t))) for k, t in given)
+    assert sorted(
+        (r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_chars, r.n_tokens) for r in rows
+    ) == sorted((k, len(t.encode()), len(t), len(ids_of(library, t))) for k, t in given)
     by = dict(given)
     for r in rows:
         text = by[r.doc_id if r.doc_id is not None else -1]
