@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from parley.llm import decontamination, language, packing, simhash, substrings
-from parley.llm.common import cut
+from parley.llm.common import cut, discard
 from parley.llm.queries import SEQUENCE, VOCABULARY
 
 
@@ -72,8 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each stage's result is a table in the shared folder."""
+    """The stages over documents; each stage's result is a table in the shared folder, and goes when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        made = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:
+            discard(docs)
+        docs = made
     return docs

@@ -75,7 +75,13 @@ def sample_gold(spark: SparkSession, a: argparse.Namespace) -> None:
     # The sample is as large as its targets say, not as the pool.
     kept = sampling.shuffled(drawn, "thread_id", a.seed).limit(a.target_size).cache()
     blank = [F.lit(None).cast("string").alias(c) for c in ("intent", "escalate_reason", "notes")]
-    files.write_jsonl(kept.select("thread_id", "customer_tweet_id", "customer_text", "brand_text", "turn_count", "created_at", *blank, F.lit(None).cast("boolean").alias("escalate")), a.output_jsonl)
+    files.write_jsonl(
+        kept.select(
+            "thread_id", "customer_tweet_id", "customer_text", "brand_text", "turn_count", "created_at", *blank,
+            F.lit(None).cast("boolean").alias("escalate"),
+        ),
+        a.output_jsonl,
+    )
     ids = [r.thread_id for r in kept.select("thread_id").collect()]
     _write(os.path.dirname(a.output_holdout) or ".", os.path.basename(a.output_holdout), "\n".join(ids))
     _write(os.path.dirname(a.output_sampling_doc) or ".", os.path.basename(a.output_sampling_doc), report.sampling(kept, pool.count()))
@@ -98,7 +104,9 @@ def _predicted(kind: str, gold: DataFrame, corpus: DataFrame, providers=None, pa
 
 
 def _scored(rows: DataFrame) -> DataFrame:
-    named = rows.withColumns({"gold_intent": F.col("intent"), "gold_escalate": F.col("escalate"), "gold_reason": F.col("escalate_reason"), "gold_reply": F.col("brand_text")})
+    named = rows.withColumns(
+        {"gold_intent": F.col("intent"), "gold_escalate": F.col("escalate"), "gold_reason": F.col("escalate_reason"), "gold_reply": F.col("brand_text")}
+    )
     pairs = named.select(F.col("thread_id").alias("id"), F.col("gold_reply").alias("reference"), F.col("predicted_reply").alias("hypothesis"))
     return named.join(metrics.reply_scores(pairs).withColumnRenamed("id", "thread_id"), "thread_id")
 
@@ -110,9 +118,15 @@ def _evaluate(scored: DataFrame, folder: str, name: str) -> None:
     pairs = scored.select(F.col("thread_id").alias("id"), F.col("gold_reply").alias("reference"), F.col("predicted_reply").alias("hypothesis"))
     files.write_jsonl(scored, os.path.join(folder, f"{name}_predictions"))
     replies = metrics.reply_metrics(pairs).first()
-    found = {"intent": metrics.multiclass(classes, lx.LABELS).first().asDict(), "escalation": metrics.binary(decisions).first().asDict(), "replies": replies.asDict() if replies else {}, "errors": errors.roll_up(scored).first().asDict()}
+    found = {
+        "intent": metrics.multiclass(classes, lx.LABELS).first().asDict(), "escalation": metrics.binary(decisions).first().asDict(),
+        "replies": replies.asDict() if replies else {}, "errors": errors.roll_up(scored).first().asDict(),
+    }
     _write(folder, f"{name}.json", json.dumps(found, indent=2))
-    parts = ["# " + name, report.multiclass(classes), "```\n" + report.confusion(classes) + "\n```", report.binary(decisions), report.replies(pairs), report.error_report(scored)]
+    parts = [
+        "# " + name, report.multiclass(classes), "```\n" + report.confusion(classes) + "\n```", report.binary(decisions),
+        report.replies(pairs), report.error_report(scored),
+    ]
     _write(folder, f"{name}.md", "\n\n".join(parts))
 
 
@@ -125,7 +139,10 @@ def eval_gold(spark: SparkSession, a: argparse.Namespace) -> None:
         path = files.resolve(a.replay, [a.output_dir, os.path.dirname(a.gold_path), "reports"])
         cached = files.read_predictions(spark, path)
         rows = files.matched(gold, cached)
-        _evaluate(_scored(rows.withColumnRenamed("predicted_escalate_reason", "predicted_reason") if "predicted_escalate_reason" in rows.columns else rows), a.output_dir, "replay")
+        _evaluate(
+            _scored(rows.withColumnRenamed("predicted_escalate_reason", "predicted_reason") if "predicted_escalate_reason" in rows.columns else rows),
+            a.output_dir, "replay",
+        )
         return
     corpus = _corpus(spark, a.corpus, a.holdout_path)
     for kind in KINDS if a.baseline == "all" else [a.baseline]:
@@ -165,7 +182,14 @@ def check_labels(spark: SparkSession, a: argparse.Namespace) -> None:
     for r in lines.where("status = 'LABELED'").orderBy("number").limit(10).collect():
         print(f"{r.number} {r.thread_id}: {r.customer_short} / {r.brand_short}")
     if a.dump:
-        text = F.format_string("%03d %s %s\n  customer: %s\n  brand: %s", *(F.coalesce(F.col(c).cast("string") if c != "number" else F.col(c), F.lit("") if c != "number" else F.lit(0)) for c in ("number", "thread_id", "status", "customer", "brand")))
+        text = F.format_string(
+            "%03d %s %s\n  customer: %s\n  brand: %s",
+            *(
+                F.coalesce(
+                    F.col(c).cast("string") if c != "number" else F.col(c), F.lit("") if c != "number" else F.lit(0),
+                ) for c in ("number", "thread_id", "status", "customer", "brand")
+            ),
+        )
         lines.orderBy("number").select(text.alias("value")).write.mode("overwrite").text(a.dump)
 
 
@@ -207,7 +231,15 @@ def run_judge(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = spark.read.json(a.calibration_file).withColumns({"reply": F.col("candidate_reply"), "escalate": F.col("predicted_escalate")})
     rated = assisted.rate(rows, _providers(a), a.delay).cache()
     files.write_jsonl(rated, os.path.join(a.output_dir, "judged"))
-    dims = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(f"human_{d}").alias("t"), F.col(d).alias("p")) for d in ("overall", "relevance", "tone", "actionability"))))
+    dims = F.explode(
+        F.array(
+            *(
+                F.struct(
+                    F.lit(d).alias("dimension"), F.col(f"human_{d}").alias("t"), F.col(d).alias("p"),
+                ) for d in ("overall", "relevance", "tone", "actionability")
+            )
+        )
+    )
     same = rated.agg(F.avg((F.col("human_safety") == F.col("safe")).cast("double")).alias("s")).first().s or 0.0
     _write(a.output_dir, "agreement.md", report.agreement(rated.select(dims.alias("x")).select("x.*")) + f"\n\nSafety: {report.percent(same)} equal.")
 
@@ -234,14 +266,26 @@ def parser() -> argparse.ArgumentParser:
     command(subsample, "subsample", input=str, output_dir=str, brand=str, target_threads=5000)
     command(sample_gold, "sample-gold", input=str, output_jsonl=str, output_holdout=str, output_sampling_doc=str, target_size=200, seed=42)
     model = dict(provider=None, model=None)
-    command(eval_gold, "eval-gold", gold_path=str, corpus=None, holdout_path=None, expected=0, output_dir=str, baseline=["all", *KINDS], replay=None, use_llm=bool, delay=0.0, **model)
-    command(run_baseline, "run-baseline", gold_path=str, corpus=str, holdout_path=None, expected=0, output_dir=str, type=["simple", "trivial", "majority_intent", "always_escalate", "all"])
+    command(
+        eval_gold, "eval-gold", gold_path=str, corpus=None, holdout_path=None, expected=0, output_dir=str, baseline=["all", *KINDS],
+        replay=None, use_llm=bool, delay=0.0, **model,
+    )
+    command(
+        run_baseline, "run-baseline", gold_path=str, corpus=str, holdout_path=None, expected=0, output_dir=str,
+        type=["simple", "trivial", "majority_intent", "always_escalate", "all"],
+    )
     command(audit_gold, "audit-gold", gold_path=str, corpus=str, unlabelled=None, holdout_path=None, expected=0)
     command(check_labels, "check-labels", gold_path=str, dump=None)
     command(dump_errors, "dump-errors", predictions=str, output_dir=str)
-    command(online_eval, "online-eval", gold_path=str, corpus=str, holdout_path=None, expected=0, output_file=str, max_items=0, batch=10, delay=0.35, no_resume=bool, **model)
+    command(
+        online_eval, "online-eval", gold_path=str, corpus=str, holdout_path=None, expected=0, output_file=str, max_items=0, batch=10,
+        delay=0.35, no_resume=bool, **model,
+    )
     command(run_agent, "run-agent", corpus=str, holdout_path=None, text=None, samples=3, top_k=3, offline=bool, **model)
-    command(run_judge, "run-judge", mode=["single", "calibrate"], query="", reply="", intent="other", escalate=bool, calibration_file=None, output_dir=".", delay=4.5, offline=bool, **model)
+    command(
+        run_judge, "run-judge", mode=["single", "calibrate"], query="", reply="", intent="other", escalate=bool, calibration_file=None,
+        output_dir=".", delay=4.5, offline=bool, **model,
+    )
     return top
 
 

@@ -18,7 +18,14 @@ def full(inquiries: DataFrame, corpus: DataFrame, k: int = 3, providers: Provide
     hits = search.search(asked, known, k, "bm25")
     # Texts join only what was found.
     found = hits.join(corpus.select(F.col("thread_id").alias("doc_id"), F.col("customer_text").alias("_c"), F.col("brand_text").alias("_b")), "doc_id")
-    listed = F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").alias("thread_id"), F.col("_c").alias("customer_text"), F.col("_b").alias("brand_text"), F.round("score", 4).alias("score"))))
+    listed = F.array_sort(
+        F.collect_list(
+            F.struct(
+                "rank", F.col("doc_id").alias("thread_id"), F.col("_c").alias("customer_text"), F.col("_b").alias("brand_text"),
+                F.round("score", 4).alias("score"),
+            )
+        )
+    )
     best = found.groupBy(F.col("query_id").alias("thread_id")).agg(listed.alias("candidates"))
     rows = inquiries.join(best, "thread_id", "left").withColumn("_top", F.get("candidates", F.lit(0)))
     label, reason = F.col("predicted_intent"), F.col("predicted_reason")
@@ -37,19 +44,29 @@ def simple(inquiries: DataFrame, corpus: DataFrame) -> DataFrame:
     asked = inquiries.select(F.col("thread_id").alias("query_id"), F.col("customer_text").alias("text"))
     known = corpus.select(F.col("thread_id").alias("doc_id"), "pos", F.col("customer_text").alias("text"))
     hits = search.search(asked, known, 1, "tfidf")
-    best = hits.join(corpus.select(F.col("thread_id").alias("doc_id"), F.col("brand_text").alias("_b")), "doc_id").select(F.col("query_id").alias("thread_id"), F.col("doc_id").alias("retrieved_thread_id"), F.round("score", 4).alias("retrieval_score"), "_b")
+    best = hits.join(corpus.select(F.col("thread_id").alias("doc_id"), F.col("brand_text").alias("_b")), "doc_id").select(
+        F.col("query_id").alias("thread_id"), F.col("doc_id").alias("retrieved_thread_id"), F.round("score", 4).alias("retrieval_score"),
+        "_b",
+    )
     label = rules.intent(F.col("customer_text"))
     rows = inquiries.join(best, "thread_id", "left").withColumn("predicted_intent", label)
     rows = rows.withColumn("predicted_reason", rules.escalation_reason(F.col("customer_text"), F.col("predicted_intent")))
     reply = F.when(F.col("retrieved_thread_id").isNull(), F.lit(lx.CANNED_REPLY)).otherwise(F.col("_b"))
-    return rows.withColumns({"predicted_escalate": F.col("predicted_reason").isNotNull(), "predicted_reply": reply, "retrieval_score": F.coalesce("retrieval_score", F.lit(0.0))}).drop("_b")
+    return rows.withColumns(
+        {"predicted_escalate": F.col("predicted_reason").isNotNull(), "predicted_reply": reply, "retrieval_score": F.coalesce("retrieval_score", F.lit(0.0))}
+    ).drop("_b")
 
 
 def trivial(inquiries: DataFrame, gold: DataFrame) -> DataFrame:
     """The most frequent label, decision and reason of gold (pos, intent, escalate, escalate_reason) for all, and the canned reply."""
     reason = gold.where(F.coalesce("escalate_reason", F.lit("")) != "")
-    model = metrics.majority(gold, "intent", "pos").join(F.broadcast(metrics.majority(gold, "escalate", "pos"))).join(F.broadcast(metrics.majority(reason, "escalate_reason", "pos")))
-    named = model.select(F.coalesce("intent", F.lit("other")).alias("predicted_intent"), F.coalesce("escalate", F.lit(True)).alias("predicted_escalate"), F.col("escalate_reason").alias("_r"))
+    model = metrics.majority(gold, "intent", "pos").join(F.broadcast(metrics.majority(gold, "escalate", "pos"))).join(
+        F.broadcast(metrics.majority(reason, "escalate_reason", "pos"))
+    )
+    named = model.select(
+        F.coalesce("intent", F.lit("other")).alias("predicted_intent"), F.coalesce("escalate", F.lit(True)).alias("predicted_escalate"),
+        F.col("escalate_reason").alias("_r"),
+    )
     decided = named.withColumn("predicted_reason", F.when(F.col("predicted_escalate"), F.coalesce("_r", F.lit("channel_transition")))).drop("_r")
     # One row: its size doesn't depend on the data.
     return inquiries.join(F.broadcast(decided)).withColumn("predicted_reply", F.lit(lx.CANNED_REPLY))
@@ -66,7 +83,15 @@ def always_escalate(inquiries: DataFrame) -> DataFrame:
 
 def targets(rows: DataFrame) -> DataFrame:
     """For the two escalation targets: D1 all escalations, D2 those for safety; rows with actual, predicted and target."""
-    wide = F.explode(F.array(_target("D1", F.col("gold_escalate"), F.col("predicted_escalate")), _target("D2", F.col("gold_escalate") & F.coalesce(F.col("gold_reason").isin(lx.SAFETY_REASONS), F.lit(False)), F.col("predicted_escalate") & F.coalesce(F.col("predicted_reason").isin(lx.SAFETY_REASONS), F.lit(False)))))
+    wide = F.explode(
+        F.array(
+            _target("D1", F.col("gold_escalate"), F.col("predicted_escalate")),
+            _target(
+                "D2", F.col("gold_escalate") & F.coalesce(F.col("gold_reason").isin(lx.SAFETY_REASONS), F.lit(False)),
+                F.col("predicted_escalate") & F.coalesce(F.col("predicted_reason").isin(lx.SAFETY_REASONS), F.lit(False)),
+            ),
+        )
+    )
     return rows.select(wide.alias("_t")).select("_t.*")
 
 

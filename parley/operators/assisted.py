@@ -31,7 +31,11 @@ def classify(inquiries: DataFrame, providers: Providers = None, pace: float = 0.
 
 def draft(decided: DataFrame, providers: Providers = None, pace: float = 0.0) -> DataFrame:
     """decided (customer_text, predicted_intent, predicted_reason, top_reply) with predicted_reply: the model's, cleaned, else the rules'."""
-    ask = _prompt("Write a short, friendly reply to the message, in the way of the example.", F.col("customer_text"), "Label: ", F.col("predicted_intent"), "Hand over to a person: ", F.coalesce("predicted_reason", F.lit("no")), "Example: ", F.coalesce("top_reply", F.lit("")))
+    ask = _prompt(
+        "Write a short, friendly reply to the message, in the way of the example.", F.col("customer_text"), "Label: ",
+        F.col("predicted_intent"), "Hand over to a person: ", F.coalesce("predicted_reason", F.lit("no")), "Example: ",
+        F.coalesce("top_reply", F.lit("")),
+    )
     rows = answers(decided.withColumn("_prompt", ask), "_prompt", providers, pace, "_answer")
     plain = rules.draft(F.col("predicted_intent"), F.col("predicted_reason"), F.col("top_reply"))
     return rows.withColumn("predicted_reply", F.coalesce(rules.cleaned_reply(F.col("_answer")), plain)).drop("_prompt", "_answer")
@@ -39,7 +43,10 @@ def draft(decided: DataFrame, providers: Providers = None, pace: float = 0.0) ->
 
 def rate(replies: DataFrame, providers: Providers = None, pace: float = 4.5) -> DataFrame:
     """replies (customer_text, reply, escalate) with the judge's columns, and judged_by: `model` or `rules`."""
-    ask = _prompt("Rate the reply from 1 to 5 as JSON with the keys relevance, tone, actionability, overall_quality, and safety_guardrail (true or false).", "Message: ", F.col("customer_text"), "Reply: ", F.col("reply"))
+    ask = _prompt(
+        "Rate the reply from 1 to 5 as JSON with the keys relevance, tone, actionability, overall_quality, and safety_guardrail (true or false).",
+        "Message: ", F.col("customer_text"), "Reply: ", F.col("reply"),
+    )
     rows = judge.judge(answers(replies.withColumn("_prompt", ask), "_prompt", providers, pace, "_answer"))
     said = {"relevance": "relevance", "tone": "tone", "actionability": "actionability", "overall": "overall_quality"}
     rows = rows.withColumn("_ok", judge.parsed_rating(F.col("_answer"), "overall_quality").isNotNull())

@@ -19,7 +19,9 @@ def failure_mode(text: Column, gold: Column, said: Column, gold_escalate: Column
     media = tx.contains_any(low, lx.MODE_FOREIGN) | (low.contains("http") & (tx.word_count(low) < 8))
     update = pair("software_update_glitch", "performance_crash_freeze") | ((gold == "software_update_glitch") & tx.contains_any(low, lx.MODE_PERFORMANCE))
     howto = pair("apps_feature_howto", "other") | pair("vague_complaint_unclear", "other")
-    return F.when(media, lx.MODES["media"]).when(update, lx.MODES["update"]).when(gold_escalate & ~said_escalate, lx.MODES["under"]).when(howto, lx.MODES["howto"]).otherwise(lx.MODES["lexical"])
+    return F.when(media, lx.MODES["media"]).when(update, lx.MODES["update"]).when(
+        gold_escalate & ~said_escalate, lx.MODES["under"],
+    ).when(howto, lx.MODES["howto"]).otherwise(lx.MODES["lexical"])
 
 
 def hypothesis(mode: Column, gold: Column, said: Column, reason: Column) -> Column:
@@ -40,19 +42,29 @@ def records(scored: DataFrame) -> DataFrame:
     other columns, as metrics.reply_scores() gives them, stay.
     """
     intent = ~F.col("gold_intent").eqNullSafe(F.col("predicted_intent"))
-    kind = F.when(F.col("predicted_escalate") & ~F.col("gold_escalate"), "false_positive").when(F.col("gold_escalate") & ~F.col("predicted_escalate"), "false_negative").otherwise("none")
+    kind = F.when(
+        F.col("predicted_escalate") & ~F.col("gold_escalate"), "false_positive",
+    ).when(F.col("gold_escalate") & ~F.col("predicted_escalate"), "false_negative").otherwise("none")
     mode = failure_mode(F.col("customer_text"), F.col("gold_intent"), F.col("predicted_intent"), F.col("gold_escalate"), F.col("predicted_escalate"))
-    wrong = scored.withColumns({"intent_error": intent, "escalate_error_type": kind}).where("intent_error or escalate_error_type <> 'none'" + f" or rouge_1 < {LEAST_ROUGE}")
-    return wrong.withColumn("failure_mode", mode).withColumn("root_cause", hypothesis(F.col("failure_mode"), F.col("gold_intent"), F.col("predicted_intent"), F.col("gold_reason")))
+    wrong = scored.withColumns({"intent_error": intent, "escalate_error_type": kind}).where(
+        "intent_error or escalate_error_type <> 'none'" + f" or rouge_1 < {LEAST_ROUGE}"
+    )
+    return wrong.withColumn("failure_mode", mode).withColumn(
+        "root_cause", hypothesis(F.col("failure_mode"), F.col("gold_intent"), F.col("predicted_intent"), F.col("gold_reason")),
+    )
 
 
 def roll_up(scored: DataFrame) -> DataFrame:
     """One row: counts of all rows and of errors by kind, and their shares."""
     found = records(scored).agg(
-        F.count(F.lit(1)).alias("errors"), F.count_if("intent_error").alias("intent_errors"), F.count_if(F.col("escalate_error_type") != "none").alias("escalation_errors"), F.count_if(F.col("escalate_error_type") == "false_positive").alias("false_positives"), F.count_if(F.col("escalate_error_type") == "false_negative").alias("false_negatives")
+        F.count(F.lit(1)).alias("errors"), F.count_if("intent_error").alias("intent_errors"), F.count_if(F.col("escalate_error_type") != "none").alias("escalation_errors"), F.count_if(
+            F.col("escalate_error_type") == "false_positive"
+        ).alias("false_positives"), F.count_if(F.col("escalate_error_type") == "false_negative").alias("false_negatives")
     )
     share = lambda c: F.coalesce(F.col(c) / F.nullif("total", F.lit(0)), F.lit(0.0)).alias(f"{c}_share")
-    return scored.agg(F.count(F.lit(1)).alias("total")).join(F.broadcast(found)).select("*", share("errors"), share("intent_errors"), share("escalation_errors"))
+    return scored.agg(F.count(F.lit(1)).alias("total")).join(F.broadcast(found)).select(
+        "*", share("errors"), share("intent_errors"), share("escalation_errors"),
+    )
 
 
 def modes(scored: DataFrame) -> DataFrame:
@@ -61,7 +73,9 @@ def modes(scored: DataFrame) -> DataFrame:
 
 def top_pairs(scored: DataFrame, position: str, k: int = 10) -> DataFrame:
     """The k most frequent (gold, predicted) pairs of labels that differ; of equals the one seen first."""
-    pairs = scored.where("gold_intent <> predicted_intent").groupBy("gold_intent", "predicted_intent").agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("first_pos"))
+    pairs = scored.where("gold_intent <> predicted_intent").groupBy("gold_intent", "predicted_intent").agg(
+        F.count(F.lit(1)).alias("n"), F.min(position).alias("first_pos"),
+    )
     return pairs.orderBy(F.col("n").desc(), "first_pos").limit(k)
 
 
@@ -94,7 +108,9 @@ def violations(gold: DataFrame, holdout: DataFrame | None = None, expected: int
     parts = [gold.select("pos", "thread_id", F.explode(broken).alias("rule"))]
     repeated = gold.where(~blank("thread_id")).groupBy("thread_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts.append(repeated.select(F.lit(None).cast("long").alias("pos"), "thread_id", F.lit("duplicate_id").alias("rule")))
-    whole = lambda df, n, rule: df.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != n).select(F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("thread_id"), F.lit(rule).alias("rule"))
+    whole = lambda df, n, rule: df.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != n).select(
+        F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("thread_id"), F.lit(rule).alias("rule"),
+    )
     if expected is not None:
         parts.append(whole(gold, expected, "record_count"))
     if holdout is not None:
@@ -144,7 +160,10 @@ def label_counts(gold: DataFrame) -> DataFrame:
     """One row: rows with and without an intent, and the numbers (from 1) of the first and the last with one."""
     rows = windows.position(gold, "pos", "_at")
     number = F.when(F.col("intent").isNotNull(), F.col("_at") + 1)
-    return rows.agg(F.count(F.lit(1)).alias("total"), F.count("intent").alias("labelled"), F.count_if(F.col("intent").isNull()).alias("unlabelled"), F.min(number).alias("first_labelled"), F.max(number).alias("last_labelled"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("total"), F.count("intent").alias("labelled"), F.count_if(F.col("intent").isNull()).alias("unlabelled"),
+        F.min(number).alias("first_labelled"), F.max(number).alias("last_labelled"),
+    )
 
 
 def label_distribution(gold: DataFrame) -> DataFrame:
@@ -157,7 +176,10 @@ def label_distribution(gold: DataFrame) -> DataFrame:
 
 def summary(gold: DataFrame) -> DataFrame:
     """One row: records, unique ids, the intents found (sorted)."""
-    return gold.agg(F.count(F.lit(1)).alias("records"), F.countDistinct("thread_id").alias("unique_ids"), F.array_sort(F.collect_set("intent")).alias("intents"))
+    return gold.agg(
+        F.count(F.lit(1)).alias("records"), F.countDistinct("thread_id").alias("unique_ids"),
+        F.array_sort(F.collect_set("intent")).alias("intents"),
+    )
 
 
 class ValidationError(ValueError):

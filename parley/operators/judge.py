@@ -83,5 +83,7 @@ def parsed_safety(raw: Column) -> Column:
     as_text = F.try_variant_get(value, "$.safety_guardrail", "string")
     kind = F.regexp_extract(F.schema_of_variant(part), r"^[A-Z]+", 0)
     has_key = F.array_contains(F.json_object_keys(unfenced(raw)), "safety_guardrail")
-    truth = F.when(kind == "STRING", as_text != "").when(kind == "BOOLEAN", as_text == "true").when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), as_text.try_cast("double") != 0).otherwise(~as_text.isin("[]", "{}"))
+    truth = F.when(kind == "STRING", as_text != "").when(kind == "BOOLEAN", as_text == "true").when(
+        kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), as_text.try_cast("double") != 0,
+    ).otherwise(~as_text.isin("[]", "{}"))
     return F.when(_is_object(unfenced(raw)), F.when(~has_key, True).when(part.isNull() | (kind == "VOID"), False).otherwise(F.coalesce(truth, F.lit(True))))

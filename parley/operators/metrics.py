@@ -21,7 +21,9 @@ def _grid(spark, labels: list[str]) -> DataFrame:
 def confusion(rows: DataFrame, labels: list[str]) -> DataFrame:
     """actual, predicted, n for every pair of labels; rows with another label are left out."""
     counted = rows.where(F.col("actual").isin(labels) & F.col("predicted").isin(labels)).groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    return _grid(rows.sparkSession, labels).join(F.broadcast(counted), ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+    return _grid(rows.sparkSession, labels).join(F.broadcast(counted), ["actual", "predicted"], "left").select(
+        "actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"),
+    )
 
 
 def per_class(rows: DataFrame, labels: list[str]) -> DataFrame:
@@ -49,10 +51,16 @@ def label_set(rows: DataFrame) -> DataFrame:
 def binary(rows: DataFrame) -> DataFrame:
     """tp, fp, tn, fn, accuracy, precision, recall, f1 of the booleans actual and predicted; nulls are in no cell."""
     a, p = F.col("actual"), F.col("predicted")
-    cells = rows.agg(F.count_if(a & p).alias("tp"), F.count_if(~a & p).alias("fp"), F.count_if(~a & ~p).alias("tn"), F.count_if(a & ~p).alias("fn"), F.count(F.lit(1)).alias("total"))
+    cells = rows.agg(
+        F.count_if(a & p).alias("tp"), F.count_if(~a & p).alias("fp"), F.count_if(~a & ~p).alias("tn"), F.count_if(a & ~p).alias("fn"),
+        F.count(F.lit(1)).alias("total"),
+    )
     c = {k: F.col(k) for k in ("tp", "fp", "tn", "fn", "total")}
     precision, recall = ratio(c["tp"], c["tp"] + c["fp"]), ratio(c["tp"], c["tp"] + c["fn"])
-    return cells.select("tp", "fp", "tn", "fn", "total", ratio(c["tp"] + c["tn"], c["total"]).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"))
+    return cells.select(
+        "tp", "fp", "tn", "fn", "total", ratio(c["tp"] + c["tn"], c["total"]).alias("accuracy"), precision.alias("precision"),
+        recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"),
+    )
 
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> Column:
@@ -79,7 +87,9 @@ def grams(tokens: Column, n: int) -> Column:
 
     def windows_of(t: Column) -> Column:
         size = F.size(t)
-        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(t, i, n), "\u0001"))).otherwise(F.array().cast("array<string>"))
+        return F.when(
+            size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(t, i, n), "\u0001")),
+        ).otherwise(F.array().cast("array<string>"))
 
     return tx.let(tokens, windows_of)
 
@@ -183,13 +193,17 @@ def kappa(t: Column, p: Column, low: int = 1, high: int = 5) -> Column:
     seen = F.sum((t - p) * (t - p))
     expected = F.sum(t * t) + F.sum(p * p) - 2 * F.sum(t) * F.sum(p) / F.nullif(n, F.lit(0))
     flat = F.abs(expected) < 1e-12
-    return F.when(n == 0, 0.0).when(flat, F.when(seen == 0, 1.0).otherwise(0.0)).otherwise(1 - seen / F.nullif(F.when(flat, 0.0).otherwise(expected), F.lit(0.0)))
+    return F.when(n == 0, 0.0).when(flat, F.when(seen == 0, 1.0).otherwise(0.0)).otherwise(
+        1 - seen / F.nullif(F.when(flat, 0.0).otherwise(expected), F.lit(0.0))
+    )
 
 
 def agreement(rows: DataFrame, by: list[str]) -> DataFrame:
     """n, pearson, spearman, kappa, exact, within_one, mae for each group."""
     d = F.abs(F.col("t") - F.col("p"))
     plain = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), _pearson("t", "p").alias("pearson"), kappa(F.col("t"), F.col("p")).alias("kappa"), F.avg((d == 0).cast("double")).alias("exact"), F.avg((d <= 1).cast("double")).alias("within_one"), F.avg(d.cast("double")).alias("mae")
+        F.count(F.lit(1)).alias("n"), _pearson("t", "p").alias("pearson"), kappa(F.col("t"), F.col("p")).alias("kappa"), F.avg(
+            (d == 0).cast("double")
+        ).alias("exact"), F.avg((d <= 1).cast("double")).alias("within_one"), F.avg(d.cast("double")).alias("mae")
     )
     return plain.join(spearman(rows, by), by)

@@ -27,7 +27,10 @@ def escalation_reason(text: Column, label: Column) -> Column:
     """The reason to hand over to a person, or null; a text of handles and a link only comes first."""
     low = F.lower(text)
     bare = tx.strip(text).rlike("(?iu)" + tx.template(lx.SCREENSHOT_ONLY))
-    cases = [(bare, "missing_context_screenshot"), *((tx.matches(low, terms), reason) for reason, terms in lx.ESCALATION_TERMS.items()), *((label == x, reason) for x, reason in lx.MANDATORY.items())]
+    cases = [
+        (bare, "missing_context_screenshot"), *((tx.matches(low, terms), reason) for reason, terms in lx.ESCALATION_TERMS.items()),
+        *((label == x, reason) for x, reason in lx.MANDATORY.items()),
+    ]
     return first_of(cases, None)
 
 
@@ -86,7 +89,10 @@ def weak_labels(rows: DataFrame, position: str = "pos", customer: str = "custome
     label = F.col("_label")
     owed = [(label == name, F.when(asked_dm | has(lx.LABELLER_REASON_TERMS[reason]), reason)) for name, reason in lx.MANDATORY.items()]
     reason = first_of(
-        [*owed, (has(lx.LABELLER_LEGAL), "legal_regulatory_dispute"), (asked_dm | has(lx.LABELLER_CUSTOMER_DM), "channel_transition"), (c.contains("t.co/") & (words <= 3) & ~has(lx.LABELLER_NOT_MEDIA), "missing_context_screenshot")], None
+        [
+            *owed, (has(lx.LABELLER_LEGAL), "legal_regulatory_dispute"), (asked_dm | has(lx.LABELLER_CUSTOMER_DM), "channel_transition"),
+            (c.contains("t.co/") & (words <= 3) & ~has(lx.LABELLER_NOT_MEDIA), "missing_context_screenshot"),
+        ], None
     )
     kept = F.col(position).between(*lx.LABELLER_KEPT_ROWS) & F.col("intent").isNotNull()
     told = tx.contains_any(b, lx.LABELLER_KEPT_DM)
@@ -95,7 +101,9 @@ def weak_labels(rows: DataFrame, position: str = "pos", customer: str = "custome
         {
             "weak_intent": F.when(kept, F.col("intent")).otherwise(label),
             "weak_escalate": F.when(kept, F.coalesce("escalate", told)).otherwise(F.col("_reason").isNotNull()),
-            "weak_reason": F.when(kept & F.col("escalate").isNotNull(), F.col("escalate_reason")).when(kept, F.when(told, "channel_transition")).otherwise(F.col("_reason")),
+            "weak_reason": F.when(
+                kept & F.col("escalate").isNotNull(), F.col("escalate_reason"),
+            ).when(kept, F.when(told, "channel_transition")).otherwise(F.col("_reason")),
         }
     ).drop("_label", "_reason")
 
@@ -119,7 +127,9 @@ def sql_escalation(text: str, label: str) -> str:
 
 
 def sql_triage(text: str, label: str, score: str, reply: str) -> str:
-    return f"coalesce({sql_escalation(text, label)}, CASE WHEN {score} >= {lx.DM_SCORE} AND {tx.sql_contains_any(f'lower({reply})', lx.DM_PHRASES)} THEN 'channel_transition' END)"
+    return f"coalesce({sql_escalation(text, label)}, CASE WHEN {score} >= {lx.DM_SCORE} AND {
+        tx.sql_contains_any(f'lower({reply})', lx.DM_PHRASES)
+    } THEN 'channel_transition' END)"
 
 
 def sql_without_handle(reply: str) -> str:
@@ -148,8 +158,13 @@ def sql_weak_labels(rows: str, position: str = "pos", customer: str = "customer_
         but = f" AND NOT {has(lx.LABELLER_NOT_HARDWARE)}" if name == "hardware_physical_accessory" else ""
         whens.append(f"WHEN {has(terms)}{but} THEN '{name}'")
     label = f"CASE {' '.join(whens)} WHEN contains({c}, 't.co/') AND {words} <= 4 THEN 'vague_complaint_unclear' ELSE 'other' END"
-    owed = " ".join(f"WHEN label_ = '{name}' THEN CASE WHEN {asked} OR {has(lx.LABELLER_REASON_TERMS[reason])} THEN '{reason}' END" for name, reason in lx.MANDATORY.items())
-    reason = f"CASE {owed} WHEN {has(lx.LABELLER_LEGAL)} THEN 'legal_regulatory_dispute' WHEN {asked} OR {has(lx.LABELLER_CUSTOMER_DM)} THEN 'channel_transition' WHEN contains({c}, 't.co/') AND {words} <= 3 AND NOT {has(lx.LABELLER_NOT_MEDIA)} THEN 'missing_context_screenshot' END"
+    owed = " ".join(
+        f"WHEN label_ = '{name}' THEN CASE WHEN {asked} OR {has(lx.LABELLER_REASON_TERMS[reason])} THEN '{reason}' END" for name,
+        reason in lx.MANDATORY.items()
+    )
+    reason = f"CASE {owed} WHEN {has(lx.LABELLER_LEGAL)} THEN 'legal_regulatory_dispute' WHEN {asked} OR {
+        has(lx.LABELLER_CUSTOMER_DM)
+    } THEN 'channel_transition' WHEN contains({c}, 't.co/') AND {words} <= 3 AND NOT {has(lx.LABELLER_NOT_MEDIA)} THEN 'missing_context_screenshot' END"
     first, last = lx.LABELLER_KEPT_ROWS
     kept, told = f"({position} BETWEEN {first} AND {last} AND intent IS NOT NULL)", tx.sql_contains_any(b, lx.LABELLER_KEPT_DM)
     return f"""SELECT *, CASE WHEN {kept} THEN intent ELSE label_ END AS weak_intent, CASE WHEN {kept} THEN coalesce(escalate, {told}) ELSE reason_ IS NOT NULL END AS weak_escalate,

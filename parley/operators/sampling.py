@@ -27,7 +27,9 @@ def round_robin(threads: DataFrame, shuffle: Column, bucket_order: Column, targe
     rows = rows.withColumn("_draw", F.row_number().over(Window.partitionBy("region", "turn_type", "bucket").orderBy(shuffle)))
     # More than the target can't be needed from one bucket: that goes before the second shuffle.
     most = max(max(x) for x in targets.values())
-    rows = rows.where(F.col("_draw") <= most).withColumn("_turn", F.row_number().over(Window.partitionBy("region", "turn_type").orderBy("_draw", bucket_order, "bucket")))
+    rows = rows.where(F.col("_draw") <= most).withColumn(
+        "_turn", F.row_number().over(Window.partitionBy("region", "turn_type").orderBy("_draw", bucket_order, "bucket")),
+    )
     wanted = F.lit(0)
     for region, (two, more) in targets.items():
         wanted = F.when(F.col("region") == region, F.when(F.col("turn_type") == "2_turn", two).otherwise(more)).otherwise(wanted)

@@ -14,7 +14,9 @@ SALT = 16
 
 def term_counts(docs: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
     """key, the carried columns, term, tf and len (the tokens of the document)."""
-    tokens = docs.select(key, *carried, tx.ascii_tokens(F.col(text)).alias("_t")).select(key, *carried, F.size("_t").alias("len"), F.explode("_t").alias("term"))
+    tokens = docs.select(key, *carried, tx.ascii_tokens(F.col(text)).alias("_t")).select(
+        key, *carried, F.size("_t").alias("len"), F.explode("_t").alias("term"),
+    )
     return tokens.groupBy(key, *carried, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -32,7 +34,9 @@ def _terms(counts: DataFrame, corpus: DataFrame, scheme: str, text: str) -> Data
 
 
 def _postings(counts: DataFrame, terms: DataFrame, scheme: str, *names: str) -> DataFrame:
-    weight = F.col("tf") * F.col("idf") if scheme == "tfidf" else F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("len") / F.col("_mean"))) * F.col("idf")
+    weight = F.col("tf") * F.col("idf") if scheme == "tfidf" else F.col("tf") * (K1 + 1) / (
+        F.col("tf") + K1 * ((1 - B) + B * F.col("len") / F.col("_mean"))
+    ) * F.col("idf")
     return counts.join(terms, "term").select(*names, "term", "idf", weight.alias("w"))
 
 
@@ -56,7 +60,10 @@ def norms(corpus: DataFrame, scheme: str, key: str = "doc_id", text: str = "text
     return corpus.select(key).join(found, key, "left").select(key, F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(1.0).alias("norm"))
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, scheme: str = "bm25", query: str = "query_id", doc: str = "doc_id", position: str = "pos", text: str = "text") -> DataFrame:
+def search(
+    queries: DataFrame, corpus: DataFrame, k: int, scheme: str = "bm25", query: str = "query_id", doc: str = "doc_id",
+    position: str = "pos", text: str = "text",
+) -> DataFrame:
     """query, rank, doc, score: the k best documents of each query.
 
     queries has (query, text), corpus (doc, position, text). Equal scores rank by the place in the query of its first term
@@ -66,7 +73,9 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, scheme: str = "bm25",
     terms = _terms(counts, corpus, scheme, text)
     # The norm goes with the postings of its document, which meet once for that.
     listed = F.collect_list(F.struct("term", "w"))
-    whole = _postings(counts, terms, scheme, doc, position).groupBy(doc, position).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), listed.alias("_p"))
+    whole = _postings(counts, terms, scheme, doc, position).groupBy(doc, position).agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), listed.alias("_p"),
+    )
     salt = F.pmod(F.xxhash64(doc), F.lit(SALT)).cast("int").alias("_salt")
     postings = whole.select(doc, position, "_norm", salt, F.explode("_p").alias("_e")).select(doc, position, "_norm", "_salt", "_e.*")
 
@@ -80,12 +89,16 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, scheme: str = "bm25",
     order = Window.partitionBy(query).orderBy(F.round("score", 10).desc(), "_first", position)
     best = placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, "rank", doc, "score")
     first = F.broadcast(corpus.agg(F.min_by(F.col(doc), F.col(position)).alias(doc)).where(F.col(doc).isNotNull()))
-    missed = queries.select(query).join(known.select(query), query, "left_anti").join(first).select(query, F.lit(1).alias("rank"), doc, F.lit(0.0).alias("score"))
+    missed = queries.select(query).join(known.select(query), query, "left_anti").join(first).select(
+        query, F.lit(1).alias("rank"), doc, F.lit(0.0).alias("score"),
+    )
     return best.unionByName(missed)
 
 
 def context(hits: DataFrame) -> DataFrame:
     """query_id, context: the found exchanges as numbered blocks. hits has query_id, rank, customer_text, brand_text."""
     blocks = F.array_sort(F.collect_list(F.struct("rank", "customer_text", "brand_text")))
-    block = lambda x: F.concat(F.lit("Example "), x["rank"].cast("string"), F.lit(":\nCustomer: "), x["customer_text"], F.lit("\nReply: "), x["brand_text"])
+    block = lambda x: F.concat(
+        F.lit("Example "), x["rank"].cast("string"), F.lit(":\nCustomer: "), x["customer_text"], F.lit("\nReply: "), x["brand_text"],
+    )
     return hits.groupBy("query_id").agg(blocks.alias("_b")).select("query_id", F.array_join(F.transform("_b", block), "\n\n").alias("context"))

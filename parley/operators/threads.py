@@ -34,7 +34,9 @@ def reply_edges(turns: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn")
     after = F.lead(F.struct("turn", "role")).over(order)
     linked = F.when(F.col("_next.turn") == F.col("turn") + 1, F.col("_next"))
-    return turns.withColumn("_next", after).withColumn("_next", linked).select("conv_id", "turn", "role", F.col("_next.turn").alias("reply_turn"), F.col("_next.role").alias("reply_role"))
+    return turns.withColumn("_next", after).withColumn("_next", linked).select(
+        "conv_id", "turn", "role", F.col("_next.turn").alias("reply_turn"), F.col("_next.role").alias("reply_role"),
+    )
 
 
 def nested(turns: DataFrame) -> DataFrame:
@@ -67,7 +69,10 @@ def typed_time(created_at: Column) -> Column:
 
 def date_range(rows: DataFrame, column: str = "created_at") -> DataFrame:
     """The least and greatest as strings, and as times."""
-    return rows.agg(F.min(column).alias("first_text"), F.max(column).alias("last_text"), F.min(typed_time(F.col(column))).alias("first_time"), F.max(typed_time(F.col(column))).alias("last_time"))
+    return rows.agg(
+        F.min(column).alias("first_text"), F.max(column).alias("last_text"), F.min(typed_time(F.col(column))).alias("first_time"),
+        F.max(typed_time(F.col(column))).alias("last_time"),
+    )
 
 
 def response_ids(tweets: DataFrame) -> DataFrame:
@@ -79,7 +84,9 @@ def response_ids(tweets: DataFrame) -> DataFrame:
 def needed_customers(tweets: DataFrame, brand: str) -> DataFrame:
     """Messages that brand messages answer or are answered by: a semi-join, read in one scan."""
     own = tweets.where(F.col("author_id") == brand)
-    ids = own.select(F.col("in_response_to_tweet_id").alias("id")).unionByName(response_ids(own).select(F.col("response_id").alias("id"))).where("id is not null").distinct()
+    ids = own.select(F.col("in_response_to_tweet_id").alias("id")).unionByName(
+        response_ids(own).select(F.col("response_id").alias("id"))
+    ).where("id is not null").distinct()
     return tweets.where(F.col("author_id") != brand).join(ids, F.col("tweet_id") == F.col("id"), "left_semi")
 
 
@@ -119,12 +126,26 @@ def rebuild(tweets: DataFrame, brand: str, limit: int | None = None, prefix: str
     follow = replying.groupBy(F.col("in_response_to_tweet_id").alias("_to")).agg(F.array_sort(listed).alias("_follow"))
 
     def turn(x: Column, role: str) -> Column:
-        return F.struct(x["tweet_id"].alias("tweet_id"), x["author_id"].alias("author_id"), F.lit(role).alias("role"), x["text"].alias("text"), x["inbound"].alias("inbound"), x["created_at"].alias("created_at"))
+        return F.struct(
+            x["tweet_id"].alias("tweet_id"), x["author_id"].alias("author_id"), F.lit(role).alias("role"), x["text"].alias("text"),
+            x["inbound"].alias("inbound"), x["created_at"].alias("created_at"),
+        )
 
-    more = F.flatten(F.transform(F.coalesce("_follow", F.array()), lambda x: F.when(x["reply"].isNotNull(), F.array(turn(x["said"], "customer"), turn(x["reply"], "agent"))).otherwise(F.array(turn(x["said"], "customer")))))
+    more = F.flatten(
+        F.transform(
+            F.coalesce("_follow", F.array()),
+            lambda x: F.when(
+                x["reply"].isNotNull(), F.array(turn(x["said"], "customer"), turn(x["reply"], "agent")),
+            ).otherwise(F.array(turn(x["said"], "customer"))),
+        )
+    )
     threads = opened.join(follow, F.col("_answer.tweet_id") == F.col("_to"), "left").withColumn("_said", said)
     turns = F.concat(F.array(turn(F.col("_said"), "customer"), turn(F.col("_answer"), "agent")), more)
-    out = threads.select("file_pos", F.col("tweet_id").alias("customer_tweet_id"), F.col("author_id").alias("customer_author_id"), F.col("text").alias("customer_text"), F.col("_answer.tweet_id").alias("brand_tweet_id"), F.col("_answer.author_id").alias("brand_author_id"), F.col("_answer.text").alias("brand_text"), "created_at", turns.alias("turns"))
+    out = threads.select(
+        "file_pos", F.col("tweet_id").alias("customer_tweet_id"), F.col("author_id").alias("customer_author_id"),
+        F.col("text").alias("customer_text"), F.col("_answer.tweet_id").alias("brand_tweet_id"),
+        F.col("_answer.author_id").alias("brand_author_id"), F.col("_answer.text").alias("brand_text"), "created_at", turns.alias("turns"),
+    )
     if limit is not None:
         out = out.orderBy("file_pos").limit(limit)
     return numbered(out, "file_pos", prefix).withColumn("turn_count", F.size("turns"))

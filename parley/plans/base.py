@@ -38,7 +38,10 @@ PHRASES = [
     ("voici ma question http://x.y", "other", None),
     ("so so", "other", "channel_transition"),
 ]
-BRAND_PHRASES = ["@115858 We're happy to help.", "We've received your DM.", "Let's check your Settings and restart.", "Please DM us your password.", "Which version are you on?"]
+BRAND_PHRASES = [
+    "@115858 We're happy to help.", "We've received your DM.", "Let's check your Settings and restart.", "Please DM us your password.",
+    "Which version are you on?",
+]
 #: Answers of a language model, well-formed and not.
 ANSWERS = [
     '```json\n{"intent": "billing_purchases_subscriptions", "relevance": 4.7, "safety_guardrail": true}\n```',

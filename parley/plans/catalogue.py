@@ -125,7 +125,9 @@ def token_counts(spark, sf_dir):
 @query
 def unicode_tokens(spark, sf_dir):
     tokens = tx.word_tokens(F.col("text"))
-    return base.table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.size(tx.long_words(F.col("text"))).cast("long").alias("n_long_words"))
+    return base.table(spark, sf_dir, "documents").select(
+        "doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.size(tx.long_words(F.col("text"))).cast("long").alias("n_long_words"),
+    )
 
 
 def _corpus(spark, sf_dir):
@@ -211,7 +213,10 @@ def _past(rows):
 def triage_dm_signal(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     score = (F.col("pos") % 100) / 100
-    return rows.select("thread_id", rules.triage_reason(F.col("customer_text"), F.col("predicted_intent"), score, F.coalesce("brand_text", F.lit(""))).alias("reason"))
+    return rows.select(
+        "thread_id",
+        rules.triage_reason(F.col("customer_text"), F.col("predicted_intent"), score, F.coalesce("brand_text", F.lit(""))).alias("reason"),
+    )
 
 
 @query
@@ -221,7 +226,13 @@ def draft_reply(spark, sf_dir):
 
 @query
 def weak_labels(spark, sf_dir):
-    rows = base.exchanges(spark, sf_dir).withColumns({"intent": F.when(F.col("pos") % 4 == 0, F.col("gold_intent")), "escalate": F.when(F.col("pos") % 8 == 0, F.col("gold_escalate")), "escalate_reason": F.when(F.col("pos") % 8 == 0, F.col("gold_reason"))})
+    rows = base.exchanges(spark, sf_dir).withColumns(
+        {
+            "intent": F.when(F.col("pos") % 4 == 0, F.col("gold_intent")),
+            "escalate": F.when(F.col("pos") % 8 == 0, F.col("gold_escalate")),
+            "escalate_reason": F.when(F.col("pos") % 8 == 0, F.col("gold_reason")),
+        }
+    )
     return rules.weak_labels(rows).select("thread_id", "weak_intent", "weak_escalate", "weak_reason")
 
 
@@ -229,14 +240,20 @@ def weak_labels(spark, sf_dir):
 def agent_pipeline(spark, sf_dir):
     rows = base.exchanges(spark, sf_dir)
     made = agents.full(rows.where("holdout").select("thread_id", "customer_text"), _past(rows.where("not holdout")))
-    return _rounded(made.select("thread_id", "predicted_intent", "predicted_escalate", "predicted_reason", "predicted_reply", "retrieved_thread_id", "retrieval_score"), "retrieval_score")
+    return _rounded(
+        made.select("thread_id", "predicted_intent", "predicted_escalate", "predicted_reason", "predicted_reply", "retrieved_thread_id", "retrieval_score"),
+        "retrieval_score",
+    )
 
 
 @query
 def simple_agent(spark, sf_dir):
     rows = base.exchanges(spark, sf_dir)
     made = agents.simple(rows.where("holdout").select("thread_id", "customer_text"), _past(rows.where("not holdout")))
-    return _rounded(made.select("thread_id", "predicted_intent", "predicted_escalate", "predicted_reason", "predicted_reply", "retrieved_thread_id", "retrieval_score"), "retrieval_score")
+    return _rounded(
+        made.select("thread_id", "predicted_intent", "predicted_escalate", "predicted_reason", "predicted_reply", "retrieved_thread_id", "retrieval_score"),
+        "retrieval_score",
+    )
 
 
 def _fitted(rows):
@@ -309,8 +326,15 @@ def binary_escalation(spark, sf_dir):
 def escalation_d1_d2(spark, sf_dir):
     rows = agents.targets(_labelled(spark, sf_dir))
     a, p = F.col("actual"), F.col("predicted")
-    cells = rows.groupBy("target").agg(F.count_if(a & p).alias("tp"), F.count_if(~a & p).alias("fp"), F.count_if(~a & ~p).alias("tn"), F.count_if(a & ~p).alias("fn"))
-    return _rounded(cells.withColumns({"precision": metrics.ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": metrics.ratio(F.col("tp"), F.col("tp") + F.col("fn"))}), "precision", "recall")
+    cells = rows.groupBy("target").agg(
+        F.count_if(a & p).alias("tp"), F.count_if(~a & p).alias("fp"), F.count_if(~a & ~p).alias("tn"), F.count_if(a & ~p).alias("fn"),
+    )
+    return _rounded(
+        cells.withColumns(
+            {"precision": metrics.ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": metrics.ratio(F.col("tp"), F.col("tp") + F.col("fn"))}
+        ),
+        "precision", "recall",
+    )
 
 
 @query
@@ -324,7 +348,10 @@ def deflection_soft_dm(spark, sf_dir):
     rows = _labelled(spark, sf_dir).withColumn("reply", rules.draft(F.col("predicted_intent"), F.col("predicted_reason"), F.col("brand_text")))
     soft = F.lower("reply").contains("dm")
     return _rounded(
-        rows.agg(metrics.ratio(F.count_if(~F.col("gold_escalate") & ~F.col("predicted_escalate")), F.count_if(~F.col("gold_escalate"))).alias("deflection"), metrics.ratio(F.count_if(~F.col("predicted_escalate") & soft), F.count_if(~F.col("predicted_escalate"))).alias("soft_dm")), "deflection", "soft_dm"
+        rows.agg(
+            metrics.ratio(F.count_if(~F.col("gold_escalate") & ~F.col("predicted_escalate")), F.count_if(~F.col("gold_escalate"))).alias("deflection"),
+            metrics.ratio(F.count_if(~F.col("predicted_escalate") & soft), F.count_if(~F.col("predicted_escalate"))).alias("soft_dm"),
+        ), "deflection", "soft_dm"
     )
 
 
@@ -362,7 +389,12 @@ def _ratings(spark, sf_dir):
     clip = lambda x: F.least(F.lit(5), 1 + F.floor(x)).cast("int")
     pair = lambda name, t, p: F.struct(F.lit(name).alias("dimension"), t.cast("int").alias("t"), p.cast("int").alias("p"))
     c, d = F.col("n_chars"), F.col("doc_id")
-    rows = F.explode(F.array(pair("overall", clip(c / 800), clip(tx.word_count(F.col("text")) / 150)), pair("relevance", 1 + d % 5, 1 + (d * 3 + c) % 5), pair("tone", F.lit(3), F.lit(3)), pair("actionability", 1 + (c % 7) % 5, clip((c % 7) / 2))))
+    rows = F.explode(
+        F.array(
+            pair("overall", clip(c / 800), clip(tx.word_count(F.col("text")) / 150)), pair("relevance", 1 + d % 5, 1 + (d * 3 + c) % 5),
+            pair("tone", F.lit(3), F.lit(3)), pair("actionability", 1 + (c % 7) % 5, clip((c % 7) / 2)),
+        )
+    )
     return base.table(spark, sf_dir, "documents").select("lang", rows.alias("r")).select("lang", "r.*")
 
 
@@ -405,7 +437,10 @@ def judge_heuristic(spark, sf_dir):
 def llm_json_parse(spark, sf_dir):
     rows = base.exchanges(spark, sf_dir).withColumn("raw", base.pick(base.ANSWERS, F.col("pos") % len(base.ANSWERS)))
     raw = F.col("raw")
-    return rows.select("thread_id", jd.parsed_intent(raw, F.lit("fallback")).alias("intent"), jd.parsed_rating(raw, "relevance").alias("relevance"), jd.parsed_safety(raw).alias("safe"))
+    return rows.select(
+        "thread_id", jd.parsed_intent(raw, F.lit("fallback")).alias("intent"), jd.parsed_rating(raw, "relevance").alias("relevance"),
+        jd.parsed_safety(raw).alias("safe"),
+    )
 
 
 # Errors.
@@ -419,7 +454,10 @@ def _scored(spark, sf_dir):
 
 @query
 def error_records(spark, sf_dir):
-    return _rounded(errors.records(_scored(spark, sf_dir)).select("thread_id", "intent_error", "escalate_error_type", "failure_mode", "rouge_1", "rouge_l", "bleu"), "rouge_1", "rouge_l", "bleu")
+    return _rounded(
+        errors.records(_scored(spark, sf_dir)).select("thread_id", "intent_error", "escalate_error_type", "failure_mode", "rouge_1", "rouge_l", "bleu"),
+        "rouge_1", "rouge_l", "bleu",
+    )
 
 
 @query
@@ -471,13 +509,18 @@ def validation_violations(spark, sf_dir):
 @query
 def mandatory_escalation_audit(spark, sf_dir):
     rows = base.exchanges(spark, sf_dir)
-    bare = _gold(spark, sf_dir).where("pos % 2 = 0").select("pos", "thread_id", F.when(F.col("pos") % 6 == 0, F.col("intent")).alias("intent"), F.lit(None).cast("boolean").alias("escalate"), F.lit(None).cast("string").alias("escalate_reason"), F.lit(None).cast("string").alias("notes"))
+    bare = _gold(spark, sf_dir).where("pos % 2 = 0").select(
+        "pos", "thread_id", F.when(F.col("pos") % 6 == 0, F.col("intent")).alias("intent"), F.lit(None).cast("boolean").alias("escalate"),
+        F.lit(None).cast("string").alias("escalate_reason"), F.lit(None).cast("string").alias("notes"),
+    )
     return errors.audit(_gold(spark, sf_dir), rows, bare)
 
 
 @query
 def source_fidelity(spark, sf_dir):
-    return errors.audit(_gold(spark, sf_dir), base.exchanges(spark, sf_dir)).where(F.col("rule").isin("not_in_source", "customer_text_differs", "brand_text_differs"))
+    return errors.audit(_gold(spark, sf_dir), base.exchanges(spark, sf_dir)).where(
+        F.col("rule").isin("not_in_source", "customer_text_differs", "brand_text_differs")
+    )
 
 
 @query
@@ -496,8 +539,14 @@ def holdout_order(spark, sf_dir):
 def _cached(spark, sf_dir):
     """Predictions of two runs; in the first, some are empty."""
     rows = _labelled(spark, sf_dir).where("pos % 3 <> 0")
-    one = rows.select("thread_id", "pos", F.when(F.col("pos") % 5 != 0, F.col("predicted_intent")).otherwise("").alias("predicted_intent"), F.lit("reply").alias("predicted_reply"))
-    two = rows.where("pos % 7 = 0").select("thread_id", (F.col("pos") + 1_000_000_000).alias("pos"), F.lit("other").alias("predicted_intent"), F.lit("later").alias("predicted_reply"))
+    one = rows.select(
+        "thread_id", "pos", F.when(F.col("pos") % 5 != 0, F.col("predicted_intent")).otherwise("").alias("predicted_intent"),
+        F.lit("reply").alias("predicted_reply"),
+    )
+    two = rows.where("pos % 7 = 0").select(
+        "thread_id", (F.col("pos") + 1_000_000_000).alias("pos"), F.lit("other").alias("predicted_intent"),
+        F.lit("later").alias("predicted_reply"),
+    )
     return one.unionByName(two)
 
 

@@ -41,15 +41,24 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = base.table(spark, sf_dir, "conversations")
     own = Window.partitionBy("conv_id")
     order = own.orderBy("turn")
-    known = turns.withColumns({"_before": F.lag("turn").over(order), "_after": F.lead("turn").over(order), "_answer": F.min(F.when(F.col("role") == "assistant", F.col("turn"))).over(own)})
+    known = turns.withColumns(
+        {
+            "_before": F.lag("turn").over(order), "_after": F.lead("turn").over(order),
+            "_answer": F.min(F.when(F.col("role") == "assistant", F.col("turn"))).over(own),
+        }
+    )
     c, t = F.col("conv_id"), F.col("turn")
     number = lambda x: (c * 100 + x).cast("string")
     late = (c % 5 == 0) & (F.col("role") == "user") & (t > F.col("_answer"))
     parent = F.when(c % 11 != 3, F.when(late, number(F.col("_answer"))).otherwise(number(F.col("_before"))))
-    after = F.when(F.col("_after").isNull(), F.when(c % 2 == 0, "")).when(c % 7 == 2, F.concat(number(F.col("_after")), F.lit(", ,"), number(F.lit(99)))).otherwise(number(F.col("_after")))
+    after = F.when(F.col("_after").isNull(), F.when(c % 2 == 0, "")).when(
+        c % 7 == 2, F.concat(number(F.col("_after")), F.lit(", ,"), number(F.lit(99))),
+    ).otherwise(number(F.col("_after")))
     return known.select(
         number(t).alias("tweet_id"),
-        F.when(F.col("role") == "assistant", BRAND).when(F.col("role") == "user", F.concat(F.lit("c"), (c % 40).cast("string"))).otherwise("robot").alias("author_id"),
+        F.when(F.col("role") == "assistant", BRAND).when(
+            F.col("role") == "user", F.concat(F.lit("c"), (c % 40).cast("string")),
+        ).otherwise("robot").alias("author_id"),
         F.when(F.col("role") == "assistant", "False").otherwise(base.pick(["True", "true", None], (c + t) % 3)).alias("inbound"),
         F.format_string("Fri Dec 01 %02d:%02d:00 +0000 2017", c % 24, t % 60).alias("created_at"),
         F.when(c % 3 == 0, F.concat(F.lit('say "hi", or\n'), "text")).otherwise(F.col("text")).alias("text"),
@@ -124,7 +133,11 @@ def message_inbound(spark, sf_dir):
     return messages(spark, sf_dir).select("tweet_id", th.is_inbound(F.col("inbound")).alias("inbound"))
 
 
-@query(f"{MESSAGES}, timed AS (SELECT *, CAST(epoch(strptime(created_at[5:], '%b %d %H:%M:%S %z %Y')) AS BIGINT) AS t FROM messages) SELECT min(created_at) AS first_text, max(created_at) AS last_text, min(t) AS first_time, max(t) AS last_time FROM timed")
+@query(
+    f"{
+        MESSAGES
+    }, timed AS (SELECT *, CAST(epoch(strptime(created_at[5:], '%b %d %H:%M:%S %z %Y')) AS BIGINT) AS t FROM messages) SELECT min(created_at) AS first_text, max(created_at) AS last_text, min(t) AS first_time, max(t) AS last_time FROM timed"
+)
 def message_dates(spark, sf_dir):
     return th.date_range(messages(spark, sf_dir)).withColumns({c: F.unix_timestamp(c) for c in ("first_time", "last_time")})
 
@@ -132,7 +145,11 @@ def message_dates(spark, sf_dir):
 # Files: each is written and read back.
 
 
-@query(f"""{MESSAGES} SELECT tweet_id, author_id, inbound, created_at, text, nullif(response_tweet_id, '') AS response_tweet_id, in_response_to_tweet_id, row_number() OVER (ORDER BY file_pos) - 1 AS file_pos FROM messages""")
+@query(
+    f"""{
+        MESSAGES
+    } SELECT tweet_id, author_id, inbound, created_at, text, nullif(response_tweet_id, '') AS response_tweet_id, in_response_to_tweet_id, row_number() OVER (ORDER BY file_pos) - 1 AS file_pos FROM messages"""
+)
 def csv_scan(spark, sf_dir):
     """All values as text, quoted line ends, empty values as null, the order of rows over several files."""
     path = _folder(spark, "messages")
@@ -169,8 +186,12 @@ def json_document(spark, sf_dir):
     """Documents with a list of predictions each, 16 at most, in the order of their names."""
     path = _folder(spark, "documents")
     listed = F.array_sort(F.collect_list(F.struct("pos", "thread_id", "predicted_intent")))
-    made = _predicted(spark, sf_dir).groupBy(F.floor(F.col("pos") / 16).alias("part")).agg(F.transform(listed, lambda x: x.dropFields("pos")).alias("predictions"))
-    made.select(F.format_string("%010d", "part").alias("part"), F.to_json(F.struct("predictions")).alias("value")).repartition("part").write.partitionBy("part").text(path)
+    made = _predicted(spark, sf_dir).groupBy(F.floor(F.col("pos") / 16).alias("part")).agg(
+        F.transform(listed, lambda x: x.dropFields("pos")).alias("predictions")
+    )
+    made.select(
+        F.format_string("%010d", "part").alias("part"), F.to_json(F.struct("predictions")).alias("value"),
+    ).repartition("part").write.partitionBy("part").text(path)
     return files.read_predictions(spark, path).select("pos", "thread_id", "predicted_intent")
 
 
@@ -204,12 +225,20 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold(spark, sf_dir)
 
 
-@query(f"""{_LABELS} SELECT number, thread_id, CASE WHEN intent IS NULL THEN 'EMPTY' ELSE 'LABELED' END AS status, {_LINE('customer_text')} AS customer, {_LINE('brand_text')} AS brand, substr({_LINE('customer_text')}, 1, 90) AS customer_short, substr({_LINE('brand_text')}, 1, 90) AS brand_short FROM placed""")
+@query(
+    f"""{_LABELS} SELECT number, thread_id, CASE WHEN intent IS NULL THEN 'EMPTY' ELSE 'LABELED' END AS status, {
+        _LINE('customer_text')
+    } AS customer, {_LINE('brand_text')} AS brand, substr({_LINE('customer_text')}, 1, 90) AS customer_short, substr({_LINE('brand_text')}, 1, 90) AS brand_short FROM placed"""
+)
 def label_dump(spark, sf_dir):
     return errors.label_dump(_gold(spark, sf_dir))
 
 
-@query(f"{_LABELS} SELECT count(*) AS total, count(intent) AS labelled, count(*) - count(intent) AS unlabelled, min(number) FILTER (intent IS NOT NULL) AS first_labelled, max(number) FILTER (intent IS NOT NULL) AS last_labelled FROM placed")
+@query(
+    f"{
+        _LABELS
+    } SELECT count(*) AS total, count(intent) AS labelled, count(*) - count(intent) AS unlabelled, min(number) FILTER (intent IS NOT NULL) AS first_labelled, max(number) FILTER (intent IS NOT NULL) AS last_labelled FROM placed"
+)
 def label_counts(spark, sf_dir):
     return errors.label_counts(_gold(spark, sf_dir))
 
@@ -242,7 +271,10 @@ def retrieval_context(spark, sf_dir):
 
 
 #: Replies as models write them, and what is left of each, worked out by hand.
-REPLIES = [('"Hello there"', "Hello there"), ("'@user42 We can help.'", "We can help."), ("  plain  ", "plain"), ('""', None), ("@only_handle", None), (None, None), ("It's fine", "It's fine"), ("@A  @B hi", "@B hi")]
+REPLIES = [
+    ('"Hello there"', "Hello there"), ("'@user42 We can help.'", "We can help."), ("  plain  ", "plain"), ('""', None),
+    ("@only_handle", None), (None, None), ("It's fine", "It's fine"), ("@A  @B hi", "@B hi"),
+]
 
 
 @query(f"{base.SQL} SELECT thread_id, {base.sql_pick([x[1] for x in REPLIES], f'pos % {len(REPLIES)}')} AS reply FROM exchanges")

@@ -166,8 +166,13 @@ _row_rules = {
     "invalid_reason": f"escalate AND NOT {_blank('escalate_reason')} AND escalate_reason NOT IN ({_REASONS})",
     "reason_forbidden": f"NOT escalate AND NOT {_blank('escalate_reason')}",
 }
-_each = lambda rows, rules_: " UNION ALL ".join(f"SELECT pos, thread_id, '{name}' AS rule FROM {rows} WHERE {test}" for name, test in rules_.items())
-_fidelity = {"not_in_source": "id_ IS NULL", "customer_text_differs": "id_ IS NOT NULL AND customer_text IS DISTINCT FROM c_", "brand_text_differs": "id_ IS NOT NULL AND brand_text IS DISTINCT FROM b_"}
+_each = lambda rows, rules_: " UNION ALL ".join(
+    f"SELECT pos, thread_id, '{name}' AS rule FROM {rows} WHERE {test}" for name, test in rules_.items()
+)
+_fidelity = {
+    "not_in_source": "id_ IS NULL", "customer_text_differs": "id_ IS NOT NULL AND customer_text IS DISTINCT FROM c_",
+    "brand_text_differs": "id_ IS NOT NULL AND brand_text IS DISTINCT FROM b_",
+}
 _SOURCED = ", sourced AS (SELECT g.*, e.thread_id AS id_, e.customer_text AS c_, e.brand_text AS b_ FROM gold g LEFT JOIN exchanges e ON g.thread_id = e.thread_id)"
 _BARE = ", bare AS (SELECT pos, thread_id, CASE WHEN pos % 6 = 0 THEN intent END AS intent FROM gold WHERE pos % 2 = 0)"
 _CACHED = """, cached AS (
@@ -191,11 +196,15 @@ SQL: dict[str, str] = {
     "round_robin_sample": f"{SAMPLE} SELECT thread_id, region, turn_type, bucket FROM sample",
     "strata_counts": f"{SAMPLE} SELECT region, turn_type, bucket, count(*) AS n FROM sample GROUP BY ALL",
     "corpus_minus_holdout": f"{BASE} SELECT thread_id, customer_text FROM exchanges WHERE NOT holdout",
-    "leakage_check": f"{BASE} SELECT count(*) AS leaked FROM exchanges a WHERE NOT holdout AND EXISTS (SELECT 1 FROM exchanges b WHERE b.holdout AND a.thread_id = b.thread_id)",
+    "leakage_check": f"{
+        BASE
+    } SELECT count(*) AS leaked FROM exchanges a WHERE NOT holdout AND EXISTS (SELECT 1 FROM exchanges b WHERE b.holdout AND a.thread_id = b.thread_id)",
     "sym_diff": f"{BASE} SELECT thread_id, CASE WHEN pos % 3 = 0 THEN 'left' ELSE 'right' END AS side FROM exchanges WHERE (pos % 3 = 0) <> (pos % 2 = 0)",
     "dup_ids": f"{GOLD} SELECT thread_id, count(*) AS n FROM gold WHERE thread_id IS NOT NULL GROUP BY thread_id HAVING count(*) > 1",
     "token_counts": f"SELECT doc_id, CAST(len({_ascii('text')}) AS BIGINT) AS n_tokens FROM documents",
-    "unicode_tokens": f"SELECT doc_id, CAST(len({_unicode('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct(regexp_extract_all(lower(text), {tx.quote(tx.LONG_WORD)}))) AS BIGINT) AS n_long_words FROM documents",
+    "unicode_tokens": f"SELECT doc_id, CAST(len({_unicode('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct(regexp_extract_all(lower(text), {
+        tx.quote(tx.LONG_WORD)
+    }))) AS BIGINT) AS n_long_words FROM documents",
     "doc_freq": f"{BASE}, {CORPUS} {_index('bm25')} SELECT term, df FROM dfs",
     "tfidf_idf": f"{BASE}, {CORPUS} {_index('tfidf')} SELECT term, round(idf, 6) AS idf FROM idfs",
     "bm25_idf": f"{BASE}, {CORPUS} {_index('bm25')} SELECT term, round(idf, 6) AS idf FROM idfs",
@@ -203,11 +212,18 @@ SQL: dict[str, str] = {
     "doc_norms_bm25": f"{BASE}, {CORPUS} {_index('bm25')} SELECT doc_id, round(norm, 6) AS norm FROM norms",
     "tfidf_top1": f"{BASE}, {CORPUS} {_search('tfidf', 1)} {_HITS}",
     "bm25_top3": f"{BASE}, {CORPUS} {_search('bm25', 3)} {_HITS}",
-    "search_fallback": f"""{BASE}, {CORPUS.replace("SELECT thread_id AS query_id, customer_text AS text", "SELECT thread_id AS query_id, CASE WHEN thread_id LIKE '%0' THEN '① éé' ELSE '' END AS text")} {_search('bm25', 3)} {_HITS}""",
+    "search_fallback": f"""{BASE}, {
+        CORPUS.replace(
+            "SELECT thread_id AS query_id, customer_text AS text",
+            "SELECT thread_id AS query_id, CASE WHEN thread_id LIKE '%0' THEN '① éé' ELSE '' END AS text",
+        )
+    } {_search('bm25', 3)} {_HITS}""",
     "intent_rules": f"{LABELLED} SELECT thread_id, predicted_intent FROM labelled",
     "intent_distribution": f"{LABELLED} SELECT predicted_intent, count(*) AS n FROM labelled GROUP BY 1",
     "escalation_rules": f"{LABELLED} SELECT thread_id, predicted_escalate, predicted_reason FROM labelled",
-    "triage_dm_signal": f"{LABELLED} SELECT thread_id, {rules.sql_triage('customer_text', 'predicted_intent', '((pos % 100) / 100.0)', 'brand_text')} AS reason FROM labelled",
+    "triage_dm_signal": f"{LABELLED} SELECT thread_id, {
+        rules.sql_triage('customer_text', 'predicted_intent', '((pos % 100) / 100.0)', 'brand_text')
+    } AS reason FROM labelled",
     "draft_reply": f"{LABELLED} SELECT thread_id, {rules.sql_draft('predicted_intent', 'predicted_reason', 'brand_text')} AS reply FROM labelled",
     "weak_labels": f"""{BASE}, rows_ AS (SELECT *, CASE WHEN pos % 4 = 0 THEN gold_intent END AS intent, CASE WHEN pos % 8 = 0 THEN gold_escalate END AS escalate, CASE WHEN pos % 8 = 0 THEN gold_reason END AS escalate_reason FROM exchanges)
         SELECT thread_id, weak_intent, weak_escalate, weak_reason FROM ({rules.sql_weak_labels('rows_')})""",
@@ -224,7 +240,9 @@ SQL: dict[str, str] = {
     "always_escalate": f"{BASE} SELECT thread_id, 'other' AS predicted_intent, true AS predicted_escalate FROM exchanges",
     "confusion_matrix": f"{LABELLED}, {CELLS} SELECT actual, predicted, CAST(n AS BIGINT) AS n FROM cells",
     "per_class_prf": f"{LABELLED}, {CELLS} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM scores",
-    "multiclass_summary": f"{LABELLED}, {CELLS} SELECT (SELECT round(avg(CAST(gold_intent = predicted_intent AS INT)), 6) FROM labelled) AS accuracy, round(avg(f1), 6) AS macro_f1, round({_ratio('sum(round(f1, 4) * support)', 'sum(support)')}, 6) AS weighted_f1 FROM scores",
+    "multiclass_summary": f"{LABELLED}, {CELLS} SELECT (SELECT round(avg(CAST(gold_intent = predicted_intent AS INT)), 6) FROM labelled) AS accuracy, round(avg(f1), 6) AS macro_f1, round({
+        _ratio('sum(round(f1, 4) * support)', 'sum(support)')
+    }, 6) AS weighted_f1 FROM scores",
     "label_set": f"{LABELLED} SELECT gold_intent AS label FROM labelled UNION SELECT predicted_intent FROM labelled",
     "language_labels": f"""WITH low AS (SELECT lang, ' ' || lower(text) || ' ' AS t FROM documents), said AS (SELECT lang AS actual, CASE WHEN contains(t, ' der ') THEN 'de' WHEN contains(t, ' le ') THEN 'fr' WHEN contains(t, ' los ') THEN 'es' ELSE 'en' END AS predicted FROM low),
         sums AS (SELECT label, count(*) FILTER (actual = label AND predicted = label) AS r, count(*) FILTER (predicted = label) AS p, count(*) FILTER (actual = label) AS support FROM (SELECT unnest({_LANGUAGES}) AS label) LEFT JOIN said ON actual = label OR predicted = label
@@ -246,7 +264,9 @@ SQL: dict[str, str] = {
     "rouge1": f"{BASE}, {PAIRS}, {_rouge(1)} {_ROUGE_OUT}",
     "rouge2": f"{BASE}, {PAIRS}, {_rouge(2)} {_ROUGE_OUT}",
     "bleu1": f"{BASE}, {PAIRS}, {_rouge(1)} SELECT id, round({_BLEU}, 6) AS bleu FROM rouges",
-    "rouge_l": f"{BASE}, {PAIRS}, {_rouge(1)}, {_LCS} SELECT id, lcs, round(precision, 6) AS precision, round(recall, 6) AS recall, round({_f1('precision', 'recall')}, 6) AS f1 FROM longest",
+    "rouge_l": f"{BASE}, {PAIRS}, {_rouge(1)}, {_LCS} SELECT id, lcs, round(precision, 6) AS precision, round(recall, 6) AS recall, round({
+        _f1('precision', 'recall')
+    }, 6) AS f1 FROM longest",
     "reply_metrics": f"""{BASE}, {PAIRS}, {_rouge(1)}, {_rouge(2, '2')}, {_LCS}
         SELECT round(avg({_f1('a.precision', 'a.recall')}), 6) AS rouge_1, round(avg({_f1('b.precision', 'b.recall')}), 6) AS rouge_2, round(avg({_f1('l.precision', 'l.recall')}), 6) AS rouge_l,
             round(avg({_BLEU.replace('nh', 'a.nh').replace('nr', 'a.nr').replace('precision', 'a.precision')}), 6) AS bleu, round(avg(length(hypothesis)), 6) AS mean_chars, round(avg(a.nh), 6) AS mean_tokens, count(*) AS pairs
@@ -259,14 +279,22 @@ SQL: dict[str, str] = {
     "safety_agreement": "SELECT round(coalesce(avg(CAST(quality = toxic AS INT)), 0), 6) AS agreement FROM labels",
     "judge_heuristic": f"""{LABELLED}, rows_ AS (SELECT *, brand_text AS reply, predicted_escalate AS escalate FROM labelled WHERE brand_text IS NOT NULL)
         SELECT thread_id, relevance, tone, actionability, safe, overall FROM ({jd.sql_judge('rows_')})""",
-    "llm_json_parse": f"{BASE} SELECT thread_id, intent, CAST(relevance AS INT) AS relevance, safe FROM exchanges JOIN {_PARSED} ON pos % {len(base.ANSWERS)} = i",
-    "error_records": f"{ERRORS} SELECT thread_id, intent_error, escalate_error_type, failure_mode, round(rouge_1, 6) AS rouge_1, round(rouge_l, 6) AS rouge_l, round(bleu, 6) AS bleu FROM records",
+    "llm_json_parse": f"{BASE} SELECT thread_id, intent, CAST(relevance AS INT) AS relevance, safe FROM exchanges JOIN {_PARSED} ON pos % {
+        len(base.ANSWERS)
+    } = i",
+    "error_records": f"{
+        ERRORS
+    } SELECT thread_id, intent_error, escalate_error_type, failure_mode, round(rouge_1, 6) AS rouge_1, round(rouge_l, 6) AS rouge_l, round(bleu, 6) AS bleu FROM records",
     "error_roll_up": f"""{ERRORS}, found AS (SELECT count(*) AS errors, count(*) FILTER (intent_error) AS intent_errors, count(*) FILTER (escalate_error_type <> 'none') AS escalation_errors, count(*) FILTER (escalate_error_type = 'false_positive') AS false_positives,
             count(*) FILTER (escalate_error_type = 'false_negative') AS false_negatives FROM records), n AS (SELECT count(*) AS total FROM scored)
         SELECT *, round(errors / total, 6) AS errors_share, round(intent_errors / total, 6) AS intent_errors_share, round(escalation_errors / total, 6) AS escalation_errors_share FROM n, found""",
     "failure_modes": f"{ERRORS} SELECT failure_mode, count(*) AS n FROM records GROUP BY 1",
-    "top_confusion_pairs": f"{LABELLED} SELECT gold_intent, predicted_intent, count(*) AS n, min(pos) AS first_pos FROM labelled WHERE gold_intent <> predicted_intent GROUP BY 1, 2 ORDER BY n DESC, first_pos LIMIT 10",
-    "error_samples": f"{ERRORS} SELECT failure_mode, thread_id FROM (SELECT *, row_number() OVER (PARTITION BY failure_mode ORDER BY pos) AS i FROM records) WHERE i <= 2",
+    "top_confusion_pairs": f"{
+        LABELLED
+    } SELECT gold_intent, predicted_intent, count(*) AS n, min(pos) AS first_pos FROM labelled WHERE gold_intent <> predicted_intent GROUP BY 1, 2 ORDER BY n DESC, first_pos LIMIT 10",
+    "error_samples": f"{
+        ERRORS
+    } SELECT failure_mode, thread_id FROM (SELECT *, row_number() OVER (PARTITION BY failure_mode ORDER BY pos) AS i FROM records) WHERE i <= 2",
     "validation_violations": f"""{GOLD}, two AS (SELECT coalesce(g.pos, e.pos) AS pos, coalesce(g.thread_id, e.thread_id) AS thread_id FROM gold g FULL JOIN exchanges e ON g.pos = e.pos WHERE g.thread_id IS DISTINCT FROM e.thread_id)
         {_each('gold', _row_rules)} UNION ALL SELECT NULL, thread_id, 'duplicate_id' FROM gold WHERE NOT {_blank('thread_id')} GROUP BY thread_id HAVING count(*) > 1
         UNION ALL SELECT NULL, NULL, 'record_count' FROM (SELECT count(*) AS n FROM gold) WHERE n <> 200 UNION ALL SELECT NULL, NULL, 'holdout_count' FROM (SELECT count(*) AS n FROM exchanges) WHERE n <> 200
@@ -274,9 +302,19 @@ SQL: dict[str, str] = {
     "mandatory_escalation_audit": f"""{GOLD} {_SOURCED} {_BARE}
         {_each('sourced', {'mandatory_escalation': f'intent IN ({_MANDATORY}) AND NOT coalesce(escalate, false)', 'missing_notes': "coalesce(trim(notes), '') = ''", **_fidelity})} UNION ALL {_each('bare', {'labelled_intent': 'intent IS NOT NULL'})}""",
     "source_fidelity": f"{GOLD} {_SOURCED} {_each('sourced', _fidelity)}",
-    "validation_summary": f"{GOLD} SELECT count(*) AS records, count(DISTINCT thread_id) AS unique_ids, string_agg(DISTINCT intent, ',' ORDER BY intent) AS intents FROM gold",
-    "holdout_order": f"{GOLD} SELECT coalesce(g.pos, e.pos) AS pos, g.thread_id AS left_id, e.thread_id AS right_id FROM gold g FULL JOIN exchanges e ON g.pos = e.pos WHERE g.thread_id IS DISTINCT FROM e.thread_id",
-    "replay_join": f"{LABELLED} {_CACHED}, latest AS (SELECT thread_id, arg_max(predicted_intent, pos) AS predicted_intent, arg_max(predicted_reply, pos) AS predicted_reply FROM cached GROUP BY 1) SELECT e.thread_id, gold_intent, predicted_intent, predicted_reply FROM exchanges e LEFT JOIN latest USING (thread_id)",
-    "resume_pending": f"{LABELLED} {_CACHED} SELECT thread_id FROM exchanges WHERE thread_id NOT IN (SELECT thread_id FROM cached WHERE predicted_intent <> '' AND predicted_reply <> '')",
-    "running_accuracy": f"{LABELLED} SELECT thread_id, round(avg(CAST(gold_intent = predicted_intent AS INT)) OVER (ORDER BY pos), 6) AS accuracy FROM labelled",
+    "validation_summary": f"{
+        GOLD
+    } SELECT count(*) AS records, count(DISTINCT thread_id) AS unique_ids, string_agg(DISTINCT intent, ',' ORDER BY intent) AS intents FROM gold",
+    "holdout_order": f"{
+        GOLD
+    } SELECT coalesce(g.pos, e.pos) AS pos, g.thread_id AS left_id, e.thread_id AS right_id FROM gold g FULL JOIN exchanges e ON g.pos = e.pos WHERE g.thread_id IS DISTINCT FROM e.thread_id",
+    "replay_join": f"{
+        LABELLED
+    } {_CACHED}, latest AS (SELECT thread_id, arg_max(predicted_intent, pos) AS predicted_intent, arg_max(predicted_reply, pos) AS predicted_reply FROM cached GROUP BY 1) SELECT e.thread_id, gold_intent, predicted_intent, predicted_reply FROM exchanges e LEFT JOIN latest USING (thread_id)",
+    "resume_pending": f"{
+        LABELLED
+    } {_CACHED} SELECT thread_id FROM exchanges WHERE thread_id NOT IN (SELECT thread_id FROM cached WHERE predicted_intent <> '' AND predicted_reply <> '')",
+    "running_accuracy": f"{
+        LABELLED
+    } SELECT thread_id, round(avg(CAST(gold_intent = predicted_intent AS INT)) OVER (ORDER BY pos), 6) AS accuracy FROM labelled",
 }

@@ -32,7 +32,9 @@ def confusion(rows: DataFrame, labels: list[str] = lx.LABELS, width: int = 24) -
     counts = [[cells[a, p] for p in labels] for a in labels]
     body = [line(f"[{i}] {name}", [*n, sum(n)]) for i, (name, n) in enumerate(zip(short, counts), 1)]
     totals = [sum(n) for n in zip(*counts)]
-    return "\n".join([*key, "", line("actual \\ predicted", [*(f"[{i}]" for i in range(1, len(labels) + 1)), "total"]), *body, line("total", [*totals, sum(totals)])])
+    return "\n".join(
+        [*key, "", line("actual \\ predicted", [*(f"[{i}]" for i in range(1, len(labels) + 1)), "total"]), *body, line("total", [*totals, sum(totals)])]
+    )
 
 
 def binary(rows: DataFrame) -> str:
@@ -57,7 +59,11 @@ def error_report(scored: DataFrame, position: str = "pos") -> str:
     shown: dict = {}
     for r in errors.samples(scored, position).orderBy(position).collect():
         shown.setdefault(r.failure_mode, []).append(r)
-    parts = [f"{whole.errors} of {whole.total} rows are wrong ({percent(whole.errors_share)}): {whole.intent_errors} in intent, {whole.escalation_errors} in escalation ({whole.false_positives} false positives, {whole.false_negatives} false negatives)."]
+    parts = [
+        f"{whole.errors} of {whole.total} rows are wrong ({
+            percent(whole.errors_share)
+        }): {whole.intent_errors} in intent, {whole.escalation_errors} in escalation ({whole.false_positives} false positives, {whole.false_negatives} false negatives)."
+    ]
     parts.append(table(["mode", "rows"], [[r.failure_mode, r.n] for r in modes]))
     for r in modes:
         parts.append("\n".join([f"## {r.failure_mode}", *(f"- {x.thread_id}: {x.customer_text!r} ({x.root_cause})" for x in shown.get(r.failure_mode, []))]))
@@ -70,10 +76,20 @@ def sampling(sample: DataFrame, pool: int) -> str:
     """What a stratified sample holds."""
     rows = sample.groupBy("region", "turn_type", "bucket").count().orderBy("region", "turn_type", "bucket").collect()
     total = sum(r["count"] for r in rows)
-    return f"{total} of {pool} threads, held out of the search corpus.\n\n" + table(["region", "turns", "bucket", "threads"], [[r.region, r.turn_type, r.bucket, r["count"]] for r in rows])
+    return f"{total} of {pool} threads, held out of the search corpus.\n\n" + table(
+        ["region", "turns", "bucket", "threads"], [[r.region, r.turn_type, r.bucket, r["count"]] for r in rows],
+    )
 
 
 def agreement(rows: DataFrame) -> str:
     """rows has dimension, t and p."""
     found = metrics.agreement(rows, ["dimension"]).orderBy("dimension").collect()
-    return table(["dimension", "n", "Pearson", "Spearman", "kappa", "exact", "within one", "mean error"], [[r.dimension, r.n, f"{r.pearson:.4f}", f"{r.spearman:.4f}", f"{r.kappa:.4f}", percent(r.exact, 1), percent(r.within_one, 1), f"{r.mae:.2f}"] for r in found])
+    return table(
+        ["dimension", "n", "Pearson", "Spearman", "kappa", "exact", "within one", "mean error"],
+        [
+            [
+                r.dimension, r.n, f"{r.pearson:.4f}", f"{r.spearman:.4f}", f"{r.kappa:.4f}", percent(r.exact, 1), percent(r.within_one, 1),
+                f"{r.mae:.2f}",
+            ] for r in found
+        ],
+    )

@@ -10,7 +10,9 @@ from pyspark.sql import SparkSession
 
 def session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
     """ANSI mode stays on; adaptive execution coalesces and splits partitions. master: as spark-submit sets it if left out."""
-    made = SparkSession.builder.appName("parley").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    made = SparkSession.builder.appName("parley").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config(
+        "spark.sql.adaptive.skewJoin.enabled", "true",
+    )
     if master:
         made = made.master(master)
     if partitions:

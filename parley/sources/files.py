@@ -12,8 +12,24 @@ from parley.operators import windows
 _S = T.StringType()
 TWEET = T.StructType([T.StructField(c, _S) for c in ("tweet_id", "author_id", "inbound", "created_at", "text", "response_tweet_id", "in_response_to_tweet_id")])
 TURN = T.StructType([T.StructField(c, T.BooleanType() if c == "inbound" else _S) for c in ("tweet_id", "author_id", "role", "text", "inbound", "created_at")])
-THREAD = T.StructType([*(T.StructField(c, _S) for c in ("thread_id", "customer_tweet_id", "customer_author_id", "customer_text", "brand_tweet_id", "brand_author_id", "brand_text", "created_at")), T.StructField("turn_count", T.IntegerType()), T.StructField("turns", T.ArrayType(TURN))])
-GOLD = T.StructType([*(T.StructField(c, _S) for c in ("thread_id", "customer_tweet_id", "customer_text", "brand_text")), T.StructField("turn_count", T.IntegerType()), *(T.StructField(c, _S) for c in ("created_at", "notes", "intent")), T.StructField("escalate", T.BooleanType()), T.StructField("escalate_reason", _S)])
+THREAD = T.StructType(
+    [
+        *(
+            T.StructField(c, _S) for c in (
+                "thread_id", "customer_tweet_id", "customer_author_id", "customer_text", "brand_tweet_id", "brand_author_id", "brand_text",
+                "created_at",
+            )
+        ),
+        T.StructField("turn_count", T.IntegerType()), T.StructField("turns", T.ArrayType(TURN)),
+    ]
+)
+GOLD = T.StructType(
+    [
+        *(T.StructField(c, _S) for c in ("thread_id", "customer_tweet_id", "customer_text", "brand_text")),
+        T.StructField("turn_count", T.IntegerType()), *(T.StructField(c, _S) for c in ("created_at", "notes", "intent")),
+        T.StructField("escalate", T.BooleanType()), T.StructField("escalate_reason", _S),
+    ]
+)
 
 
 def resolve(path: str, folders: list[str]) -> str:
@@ -70,7 +86,9 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("multiLine", True).json(path)
     if "predictions" not in rows.columns:
         return with_position(rows)
-    listed = with_position(rows, "_doc").select("_doc", F.posexplode("predictions").alias("_at", "p")).withColumn("_order", F.col("_doc") * (1 << 31) + F.col("_at"))
+    listed = with_position(rows, "_doc").select(
+        "_doc", F.posexplode("predictions").alias("_at", "p"),
+    ).withColumn("_order", F.col("_doc") * (1 << 31) + F.col("_at"))
     return windows.position(listed.select("_order", "p.*"), "_order", "pos").drop("_order")
 
 
@@ -104,7 +122,9 @@ def matched(gold: DataFrame, cached: DataFrame, key: str = "thread_id", position
     many predictions as gold has rows, by position; else only the gold rows whose id has a prediction.
     """
     rows = gold.count()
-    counts = cached.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("ids")).first() if key in cached.columns else cached.agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("ids")).first()
+    counts = cached.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("ids"),
+    ).first() if key in cached.columns else cached.agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("ids")).first()
     if counts["ids"] != rows and counts["n"] == rows:
         names = [c for c in cached.columns if c not in gold.columns]
         return gold.join(cached.select(F.col(position).alias("_q"), *names), F.col(position) == F.col("_q")).drop("_q")

@@ -21,4 +21,6 @@ def reasons_by_time(messages: DataFrame, time: str = "ts", width: str = "10 minu
 
 def run(messages: DataFrame, path: str, checkpoint: str, text: str = "text") -> StreamingQuery:
     """Write labelled messages as Parquet, each once; a restart goes on where it ended."""
-    return labelled(messages, text).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return labelled(messages, text).writeStream.format("parquet").option("path", path).option(
+        "checkpointLocation", checkpoint,
+    ).trigger(availableNow=True).start()

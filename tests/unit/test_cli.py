@@ -15,8 +15,14 @@ def clients(model):
 
 
 GOLD = [
-    {"thread_id": "g1", "customer_tweet_id": "1", "customer_text": "my battery drains", "brand_text": "check settings", "intent": "battery_power_issue", "escalate": False},
-    {"thread_id": "g2", "customer_tweet_id": "2", "customer_text": "i want a refund", "brand_text": "send us a dm", "intent": "other", "escalate": True, "escalate_reason": "channel_transition"},
+    {
+        "thread_id": "g1", "customer_tweet_id": "1", "customer_text": "my battery drains", "brand_text": "check settings",
+        "intent": "battery_power_issue", "escalate": False,
+    },
+    {
+        "thread_id": "g2", "customer_tweet_id": "2", "customer_text": "i want a refund", "brand_text": "send us a dm", "intent": "other",
+        "escalate": True, "escalate_reason": "channel_transition",
+    },
 ]
 
 
@@ -31,7 +37,10 @@ def test_from_messages_to_reports(run, tmp_path, capsys):
     run("subsample", "--input", tmp_path / "t.csv", "--output-dir", tmp_path / "sub", "--brand", "Brand")
     stats = json.loads((tmp_path / "sub/stats.json").read_text())
     assert stats["threads"] == 2 and stats["turn_histogram"] == {"2": 1, "5": 1}
-    run("sample-gold", "--input", tmp_path / "sub/threads", "--output-jsonl", tmp_path / "gold", "--output-holdout", tmp_path / "ids.txt", "--output-sampling-doc", tmp_path / "s.md")
+    run(
+        "sample-gold", "--input", tmp_path / "sub/threads", "--output-jsonl", tmp_path / "gold", "--output-holdout", tmp_path / "ids.txt",
+        "--output-sampling-doc", tmp_path / "s.md",
+    )
     assert len((tmp_path / "ids.txt").read_text().split()) == 2 and "of 2 threads" in (tmp_path / "s.md").read_text()
 
     (tmp_path / "gold.jsonl").write_text("\n".join(map(json.dumps, GOLD)))
@@ -63,9 +72,15 @@ def test_from_messages_to_reports(run, tmp_path, capsys):
 
     (tmp_path / "held.txt").write_text("g2\ng1\n")
     with pytest.raises(errors.ValidationError, match="holdout_order"):
-        run("eval-gold", "--gold-path", tmp_path / "gold.jsonl", "--holdout-path", tmp_path / "held.txt", "--corpus", tmp_path / "sub/threads", "--output-dir", tmp_path / "eval")
+        run(
+            "eval-gold", "--gold-path", tmp_path / "gold.jsonl", "--holdout-path", tmp_path / "held.txt", "--corpus",
+            tmp_path / "sub/threads", "--output-dir", tmp_path / "eval",
+        )
     (tmp_path / "held.txt").write_text("g1\n\n g2 \n")
-    run("run-baseline", "--gold-path", tmp_path / "gold.jsonl", "--holdout-path", tmp_path / "held.txt", "--corpus", tmp_path / "sub/threads", "--output-dir", tmp_path / "base", "--type", "trivial")
+    run(
+        "run-baseline", "--gold-path", tmp_path / "gold.jsonl", "--holdout-path", tmp_path / "held.txt", "--corpus",
+        tmp_path / "sub/threads", "--output-dir", tmp_path / "base", "--type", "trivial",
+    )
     assert (tmp_path / "base/trivial.md").exists() and not (tmp_path / "base/agent.md").exists()
     with pytest.raises(SystemExit, match="breaches"):
         run("audit-gold", "--gold-path", tmp_path / "gold.jsonl", "--corpus", tmp_path / "sub/threads")
@@ -73,7 +88,10 @@ def test_from_messages_to_reports(run, tmp_path, capsys):
     assert "not_in_source: row 0, id g1" in said and "missing_notes" in said
     run("check-labels", "--gold-path", tmp_path / "gold.jsonl", "--dump", tmp_path / "dump")
     assert "2 of 2 rows are labelled, numbers 1 to 2" in capsys.readouterr().out
-    run("eval-gold", "--gold-path", tmp_path / "gold.jsonl", "--corpus", tmp_path / "sub/threads", "--output-dir", tmp_path / "llm", "--baseline", "agent", "--use-llm", "--provider", "tests.unit.test_cli:clients", "--model", "howto")
+    run(
+        "eval-gold", "--gold-path", tmp_path / "gold.jsonl", "--corpus", tmp_path / "sub/threads", "--output-dir", tmp_path / "llm",
+        "--baseline", "agent", "--use-llm", "--provider", "tests.unit.test_cli:clients", "--model", "howto",
+    )
     assert json.loads((tmp_path / "llm/agent.json").read_text())["intent"]["accuracy"] == 0.0
 
     capsys.readouterr()
@@ -81,7 +99,10 @@ def test_from_messages_to_reports(run, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["predicted_intent"] == "connectivity_network_issue"
     run("run-judge", "--query", "it broke", "--reply", "our fault")
     assert json.loads(capsys.readouterr().out)["overall"] == 1
-    sample = {"customer_text": "c", "candidate_reply": "restart it", "predicted_escalate": False, "human_safety": True, **{f"human_{d}": 4 for d in ("overall", "relevance", "tone", "actionability")}}
+    sample = {
+        "customer_text": "c", "candidate_reply": "restart it", "predicted_escalate": False, "human_safety": True,
+        **{f"human_{d}": 4 for d in ("overall", "relevance", "tone", "actionability")},
+    }
     (tmp_path / "cal.jsonl").write_text("\n".join([json.dumps(sample)] * 3))
     run("run-judge", "--mode", "calibrate", "--calibration-file", tmp_path / "cal.jsonl", "--output-dir", tmp_path / "judge")
     assert "100.00% equal" in (tmp_path / "judge/agreement.md").read_text()

@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from parley.operators import agents, metrics, windows
 
 # Two raters' scores of 25 replies, a digit each.
-HUMAN = {"overall": "5555554444543255115524455", "relevance": "5555555444543355215524555", "tone": "5555544444543244214514454", "actionability": "5555454444543255115424455"}
-MODEL = {"overall": "5455454525455345115425555", "relevance": "4454443425554355214434454", "tone": "5555555545455345225525555", "actionability": "5555554525555355115445555"}
+HUMAN = {
+    "overall": "5555554444543255115524455", "relevance": "5555555444543355215524555", "tone": "5555544444543244214514454",
+    "actionability": "5555454444543255115424455",
+}
+MODEL = {
+    "overall": "5455454525455345115425555", "relevance": "4454443425554355214434454", "tone": "5555555545455345225525555",
+    "actionability": "5555554525555355115445555",
+}
 # The statistics published for them, in the order Pearson, Spearman, kappa, exact, within one, mean error.
-PUBLISHED = {"overall": (0.7645, 0.431, 0.764, 0.48, 0.92, 0.6), "relevance": (0.7035, 0.507, 0.6637, 0.4, 0.92, 0.68), "tone": (0.8411, 0.5598, 0.7378, 0.4, 0.96, 0.64), "actionability": (0.792, 0.6962, 0.7595, 0.6, 0.88, 0.52)}
+PUBLISHED = {
+    "overall": (0.7645, 0.431, 0.764, 0.48, 0.92, 0.6), "relevance": (0.7035, 0.507, 0.6637, 0.4, 0.92, 0.68),
+    "tone": (0.8411, 0.5598, 0.7378, 0.4, 0.96, 0.64), "actionability": (0.792, 0.6962, 0.7595, 0.6, 0.88, 0.52),
+}
 
 
 def test_published_agreement(spark):
@@ -72,13 +81,19 @@ def test_binary(spark):
 def test_majority(spark):
     rows = spark.createDataFrame([(0, "h"), (1, "b"), (2, "b"), (3, "h"), (4, None)], "pos int, v string")
     assert metrics.majority(rows, "v", "pos").first().v == "h"
-    gold = spark.createDataFrame([(0, "b", True, "hw"), (1, "b", True, "hw"), (2, "h", False, None)], "pos int, intent string, escalate boolean, escalate_reason string")
+    gold = spark.createDataFrame(
+        [(0, "b", True, "hw"), (1, "b", True, "hw"), (2, "h", False, None)],
+        "pos int, intent string, escalate boolean, escalate_reason string",
+    )
     r = agents.trivial(spark.createDataFrame([("t",)], "thread_id string"), gold).first()
     assert (r.predicted_intent, r.predicted_escalate, r.predicted_reason) == ("b", True, "hw")
 
 
 def test_lexical(spark):
-    pair = spark.createDataFrame([(1, "we are here to help please dm us", "we want to help send us a dm"), (2, "", "x"), (3, "a", "a"), (4, None, None)], "id int, reference string, hypothesis string")
+    pair = spark.createDataFrame(
+        [(1, "we are here to help please dm us", "we want to help send us a dm"), (2, "", "x"), (3, "a", "a"), (4, None, None)],
+        "id int, reference string, hypothesis string",
+    )
     one_, two, longest = ({r.id: r for r in made.collect()} for made in (metrics.rouge_n(pair, 1), metrics.rouge_n(pair, 2), metrics.rouge_l(pair)))
     assert one_[1].f1 == 5 / 8 and two[1].f1 == pytest.approx(1 / 7) and longest[1].lcs == 4 and longest[1].f1 == 0.5
     assert one_[2].f1 == two[3].f1 == longest[4].f1 == 0 and one_[3].f1 == 1

@@ -77,7 +77,7 @@ REASONED = {
     "This is against consumer rights": "legal_regulatory_dispute",
     "The case is swollen": "physical_hardware_safety",
     "It is hot to touch": "physical_hardware_safety",
-    "My two factor code never comes": "account_security_credentials",
+    "My two-factor code never comes": "account_security_credentials",
     "Fraudulent charge on my bill": "financial_billing_transaction",
     "@Someone https://pic.example/1": "missing_context_screenshot",
     "Which setting is it?": None,
@@ -91,7 +91,10 @@ def test_messages_as_people_write_them(spark):
 
 
 def test_borders_are_as_python_has_them(spark):
-    texts = ["wifi", "wifis", "é wifi", "éwifi", "wifi_", "wifi️", "wifí", "i ?z", "i ?x", "i ? x", "wifi①", "x-wifi-x", "WİFI", "3g", "a3g", "no sim", "no\n sim"]
+    texts = [
+        "wifi", "wifis", "é wifi", "éwifi", "wifi_", "wifi️", "wifí", "i ?z", "i ?x", "i ? x", "wifi①", "x-wifi-x", "WİFI", "3g", "a3g",
+        "no sim", "no\n sim",
+    ]
     for name, terms in lx.INTENT_TERMS.items():
         pattern = re.compile(r"\b(?:" + "|".join(t.replace(r"\x{FE0E}", "︎").replace(r"\x{FE0F}", "️") for t in terms) + r")\b", re.IGNORECASE)
         assert values(spark, lambda t: tx.matches(F.lower(t), terms), texts) == [bool(pattern.search(t.lower())) for t in texts], name
@@ -159,7 +162,10 @@ def test_weak_labels(spark):
         (6, "lawsuit", None, None, None, None, "other", True, "legal_regulatory_dispute"),
         (99, "x", "x", "billing_purchases_subscriptions", True, "financial_billing_transaction", "other", False, None),
     ]
-    frame = spark.createDataFrame(rows, "pos int, customer_text string, brand_text string, intent string, escalate boolean, escalate_reason string, a string, b boolean, c string")
+    frame = spark.createDataFrame(
+        rows,
+        "pos int, customer_text string, brand_text string, intent string, escalate boolean, escalate_reason string, a string, b boolean, c string",
+    )
     for r in rules.weak_labels(frame).collect():
         assert (r.weak_intent, r.weak_escalate, r.weak_reason) == (r.a, r.b, r.c), r.pos
 
@@ -200,7 +206,10 @@ ANSWERS = {
 
 def test_answers(spark):
     assert values(spark, lambda t: F.struct(jd.parsed_rating(t, "relevance"), jd.parsed_safety(t)), ANSWERS) == [tuple(x) for x in ANSWERS.values()]
-    assert values(spark, lambda t: jd.parsed_intent(t, F.lit("rule")), ['{"intent": "other"}', '{"intent": "x"}', "{", '```json {"intent":"other"} ```']) == ["other", "rule", "rule", "other"]
+    assert values(
+        spark, lambda t: jd.parsed_intent(t, F.lit("rule")),
+        ['{"intent": "other"}', '{"intent": "x"}', "{", '```json {"intent":"other"} ```'],
+    ) == ["other", "rule", "rule", "other"]
 
 
 @pytest.mark.parametrize("n", [3, 4])

@@ -144,11 +144,16 @@ def test_search(spark, scheme):
         found.setdefault(r.query_id, []).append((r.doc_id, round(r.score, 8)))
     assert found == brute(queries, docs, 3, scheme)
     assert search.search(asked, corpus.limit(0), 3, scheme).count() == 0
-    assert "Example 1" in search.context(spark.createDataFrame([(1, 1, "c", "b")], "query_id int, rank int, customer_text string, brand_text string")).first().context
+    assert "Example 1" in search.context(
+        spark.createDataFrame([(1, 1, "c", "b")], "query_id int, rank int, customer_text string, brand_text string")
+    ).first().context
 
 
 def test_agents(spark):
-    corpus = spark.createDataFrame([("d1", 0, "wifi drops at home", "@123 Reset the router."), ("d2", 1, "battery is low", "We've received your DM")], "thread_id string, pos int, customer_text string, brand_text string")
+    corpus = spark.createDataFrame(
+        [("d1", 0, "wifi drops at home", "@123 Reset the router."), ("d2", 1, "battery is low", "We've received your DM")],
+        "thread_id string, pos int, customer_text string, brand_text string",
+    )
     asked = spark.createDataFrame([("q1", "wifi drops at home"), ("q2", "the battery is low"), ("q3", "zzz")], "thread_id string, customer_text string")
     rows = {r.thread_id: r for r in agents.full(asked, corpus).collect()}
     assert rows["q1"].predicted_reply == "Reset the router." and not rows["q1"].predicted_escalate and rows["q1"].candidates[0].score == 1.0
@@ -171,7 +176,10 @@ def test_errors(spark):
         (5, "plain words here", "other", "other", False, True, None, 0.5),
         (6, "plain words here", "other", "other", False, False, None, 0.5),
     ]
-    scored = spark.createDataFrame(rows, "pos int, customer_text string, gold_intent string, predicted_intent string, gold_escalate boolean, predicted_escalate boolean, gold_reason string, rouge_1 double")
+    scored = spark.createDataFrame(
+        rows,
+        "pos int, customer_text string, gold_intent string, predicted_intent string, gold_escalate boolean, predicted_escalate boolean, gold_reason string, rouge_1 double",
+    )
     found = {r.pos: r for r in errors.records(scored).collect()}
     assert {k: r.failure_mode.split("_")[1] for k, r in found.items()} == {0: "5", 1: "1", 2: "2", 3: "3", 4: "4", 5: "4"}
     assert found[5].escalate_error_type == "false_positive" and all(r.root_cause for r in found.values())
@@ -182,7 +190,10 @@ def test_errors(spark):
 
 
 def gold_rows(**change):
-    row = {"pos": 0, "thread_id": "a", "customer_tweet_id": "1", "customer_text": "c", "brand_text": "b", "intent": "other", "escalate": False, "escalate_reason": None, "notes": "n"}
+    row = {
+        "pos": 0, "thread_id": "a", "customer_tweet_id": "1", "customer_text": "c", "brand_text": "b", "intent": "other", "escalate": False,
+        "escalate_reason": None, "notes": "n",
+    }
     return [{**row, **change}, {**row, "pos": 1, "thread_id": "b", "escalate": True, "escalate_reason": "channel_transition"}]
 
 
@@ -264,7 +275,9 @@ def test_assisted(spark):
     assert assisted.classify(asked).first().predicted_intent == "battery_power_issue"
     assert assisted.classify(asked, says('{"intent": "other"}')).first().predicted_intent == "other"
     assert assisted.classify(asked, says("no idea")).first().predicted_intent == "battery_power_issue"
-    decided = spark.createDataFrame([("c", "other", None, "@1 past")], "customer_text string, predicted_intent string, predicted_reason string, top_reply string")
+    decided = spark.createDataFrame(
+        [("c", "other", None, "@1 past")], "customer_text string, predicted_intent string, predicted_reason string, top_reply string",
+    )
     assert assisted.draft(decided).first().predicted_reply == "past"
     assert assisted.draft(decided, says('"@you  hello"')).first().predicted_reply == "hello"
     assert assisted.draft(decided, says('""')).first().predicted_reply == "past"
@@ -283,7 +296,10 @@ def test_resolve(tmp_path):
 
 def test_stream(spark, tmp_path):
     source = str(tmp_path / "in")
-    texts = spark.createDataFrame([("2024-01-01 00:00:00", "my lawyer"), ("2024-01-01 00:03:00", "charged twice"), ("2024-01-01 01:00:00", "fine")], "ts string, text string").withColumn("ts", F.to_timestamp("ts"))
+    texts = spark.createDataFrame(
+        [("2024-01-01 00:00:00", "my lawyer"), ("2024-01-01 00:03:00", "charged twice"), ("2024-01-01 01:00:00", "fine")],
+        "ts string, text string",
+    ).withColumn("ts", F.to_timestamp("ts"))
     texts.write.parquet(source)
     stream = spark.readStream.schema(texts.schema).parquet(source)
     for _ in range(2):  # the second run has nothing left to do
