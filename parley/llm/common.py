@@ -20,7 +20,7 @@ CHUNK_BYTES = 2 << 20
 
 
 #: Bytes of a batch on its way to a Python worker, and of an allocation that goes back to the system when it is freed.
-BATCH_BYTES, LARGE = 8 << 20, 1 << 18
+BATCH_BYTES, LARGE = 4 << 20, 1 << 18
 
 
 def share_code(spark: SparkSession) -> None:

@@ -18,6 +18,7 @@ from math import ceil, log
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,8 +83,8 @@ def connect(sets: list[tuple[int, int, int, np.ndarray]], similarity: float, cro
         groups = [*rest, (labels, mine)]
 
 
-def _candidate_texts(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
-    """node and _text of the texts that names (node, _k, _h) tells. A bitmap of fixed size keeps others out of the shuffle."""
+def _candidate_texts(docs: DataFrame, names: DataFrame, key: str, text: str) -> tuple[DataFrame, Broadcast]:
+    """node and _text of the texts that names (node, _k, _h) tells, and the bitmap of fixed size that keeps others out of the shuffle."""
     cell = F.pmod(F.col("_h"), F.lit(1 << BITS)) + 1  # Spark's bitmaps count from 1
     parts = names.select(cell.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")
@@ -101,7 +102,8 @@ def _candidate_texts(docs: DataFrame, names: DataFrame, key: str, text: str) ->
             yield batch.filter(pa.array(bits[cells >> 3] >> (cells & 7).astype(np.uint8) & 1, pa.uint8()).cast(pa.bool_()))
 
     plain = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_hash"), F.col(text).alias("_text"))
-    return plain.mapInArrow(told, plain.schema).join(names, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))).select("node", "_text")
+    found = plain.mapInArrow(told, plain.schema).join(names, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")))
+    return found.select("node", "_text"), shared
 
 
 def links(
@@ -130,7 +132,9 @@ def links(
                 names=["node", "hashes"],
             )
 
-    sets = cut(_candidate_texts(docs, names, key, text).mapInArrow(sets_of, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    texts, bitmap = _candidate_texts(docs, names, key, text)
+    sets = cut(texts.mapInArrow(sets_of, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    bitmap.destroy()
 
     def compare(cross: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

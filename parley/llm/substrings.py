@@ -32,12 +32,14 @@ from parley.llm.words import Words, mix, pairs
 #: Cells in a row of the sketch, as a power of two, and rows. A merged row is a bit for each cell: twice or more.
 BITS, ROWS = 26, 2
 BLOCK = 16
-#: A key gram is hot if its count, of two at most from each chunk, comes to this.
-HOT = 64
+#: So many keys of a task, or its last ones, are sent on together: a portion. A cell counts twice at most in a portion.
+EMITTED = 1 << 16
+#: A key gram is hot if its count, of two at most from each portion, comes to this.
+HOT = 32
 #: As a power of two, the cells that share a bit in what tells the hot ones.
 FOLD = 4
 #: Text bytes, or bytes of hashes, that are looked at together.
-WINDOW_BYTES = BATCH_BYTES // 4
+WINDOW_BYTES = BATCH_BYTES // 2
 #: At most this many windows that a task has sent are remembered (16 bytes each), so that a passage goes on once from a task.
 MEMORY = 1 << 18
 _SEEDS = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
@@ -140,28 +142,35 @@ def merged_sketch(
 ) -> tuple[list[bytes], list[bytes] | None]:
     """Bitmaps for each row of the sketch of what `counted` gives for a chunk: cells counted twice or more, and hot ones.
 
-    A cell's count in a chunk goes up to two; hot are cells with hot_count or more over all chunks (None if there are
+    A cell's count in a portion goes up to two; hot are cells with hot_count or more over all chunks (None if there are
     none), and their neighbours. The bitmaps of a row have 2 ** bits / 8 bytes, and 2 ** FOLD times less.
     """
     share_code(docs.sparkSession)
 
+    def emitted(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for row in range(rows):
+            cells, counts = np.unique(_cells(keys, row, bits), return_counts=True)
+            cells = np.repeat(cells, np.minimum(counts, 2))
+            blocks = cells >> BLOCK
+            cuts = np.flatnonzero(np.diff(blocks)) + 1
+            low = (cells & (1 << BLOCK) - 1).astype("<u2")
+            names = blocks[np.concatenate([[0], cuts])]
+            columns = [pa.array(names * rows + row, pa.int64()), pa.array([x.tobytes() for x in np.split(low, cuts)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "cells"])
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in chunks(batches, "_text", WINDOW_BYTES):
             found = Windows(batch.column(0), window, gram)
             if not found.n:
                 continue
-            keys = counted(found)
-            for row in range(rows if len(keys) else 0):
-                cells, counts = np.unique(_cells(keys, row, bits), return_counts=True)
-                cells = np.repeat(cells, np.minimum(counts, 2))
-                blocks = cells >> BLOCK
-                cuts = np.flatnonzero(np.diff(blocks)) + 1
-                low = (cells & (1 << BLOCK) - 1).astype("<u2")
-                names = blocks[np.concatenate([[0], cuts])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names * rows + row, pa.int64()), pa.array([x.tobytes() for x in np.split(low, cuts)], pa.binary())],
-                    names=["block", "cells"],
-                )
+            held.append(counted(found))
+            size += len(held[-1])
+            if size >= EMITTED:
+                yield from emitted(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield from emitted(np.concatenate(held))
 
     def marked(block: int, count: np.ndarray) -> pa.RecordBatch:
         marks = (count >= 2, (count >= hot_count).reshape(-1, 1 << FOLD).any(axis=1))
@@ -221,6 +230,7 @@ def repeated_runs(
             return _sequence(found.hashes, window)[at] if len(at) else np.zeros(0, np.uint64)
 
         whole = merged_sketch(docs, whole_windows, text, window, gram, fewer)[0]
+        hot_keys.destroy()
     shared = spark.broadcast((twice, hot, whole))  # of fixed size
     kind = docs.schema[key].dataType
     fields = T.StructType(
