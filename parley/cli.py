@@ -56,7 +56,10 @@ def _valid(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def subsample(spark: SparkSession, a: argparse.Namespace) -> None:
-    made = threads.rebuild(files.read_tweets(spark, a.input), a.brand, a.target_threads)
+    # Threads need several looks at the messages; a CSV file with line ends in its texts can't be split.
+    table = os.path.join(a.output_dir, "messages")
+    files.read_tweets(spark, a.input).write.mode("overwrite").parquet(table)
+    made = threads.rebuild(spark.read.parquet(table), a.brand, a.target_threads)
     path = os.path.join(a.output_dir, "threads")
     files.write_jsonl(made.select(*(c for c in files.THREAD.fieldNames())), path)
     kept = files.read_jsonl(spark, path, files.THREAD)
