@@ -166,19 +166,26 @@ class PrefixCounter:
     def table(self, piece: bytes) -> list[int]:
         """count[i] for i from 0 to len(piece)."""
         known, longest, agrees = self.vocabulary.ids.get, self.vocabulary.longest, self.agrees
-        count, last = [0], [-1]
+        count, last, begin = [0], [-1], 0
         for i in range(1, len(piece) + 1):
             token = known(piece[:i]) if i <= longest else None
             if token is not None:
                 last.append(token)
                 count.append(1)
+                begin = 0
                 continue
-            for j in range(max(1, i - longest), i):
-                token = known(piece[j:i])
-                if token is not None and agrees[last[j] << 24 | token]:
-                    last.append(token)
-                    count.append(count[j] + 1)
-                    break
+            # Only one place fits, so the likely ones are tried first: the last token goes on, or a new one begins.
+            token = known(piece[begin:i]) if begin else None
+            if token is None or not agrees[last[begin] << 24 | token]:
+                begin = i - 1
+                token = known(piece[begin:i])
+                if not agrees[last[begin] << 24 | token]:
+                    for begin in range(max(1, i - longest), i - 1):
+                        token = known(piece[begin:i])
+                        if token is not None and agrees[last[begin] << 24 | token]:
+                            break
+            last.append(token)
+            count.append(count[begin] + 1)
         return count
 
     def _counted(self, piece: str) -> bytes:
