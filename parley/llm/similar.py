@@ -13,6 +13,7 @@ compared too, in tasks of two blocks each. So a task never holds more than two b
 """
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import ceil, log
 
 import numpy as np
@@ -37,15 +38,20 @@ def bands_for(similarity: float) -> int:
     return 1 if similarity >= 1 else ceil(log(MISSED) / log(1 - similarity**ROWS))
 
 
+@lru_cache(maxsize=4)
+def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
+    turn, add = np.random.default_rng(SEED).integers(0, 1 << 63, (2, count * ROWS), np.uint64)
+    return turn | np.uint64(1), add
+
+
 def bands(hashes: np.ndarray, count: int) -> list[int]:
     """A signed number for each band of minimum hashes."""
     if not len(hashes):
         return []
-    rng = np.random.default_rng(SEED)
-    turn, add = rng.integers(0, 1 << 63, (2, count * ROWS), np.uint64)
+    turn, add = _permutations(count)
     least = np.full(count * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 2048):  # small blocks, however long the text
-        mixed = hashes[at : at + 2048, None] * (turn | np.uint64(1)) + add
+        mixed = hashes[at : at + 2048, None] * turn + add
         np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(axis=0), out=least)
     return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(count, ROWS))]
 
