@@ -120,17 +120,16 @@ def _evaluate(scored: DataFrame, folder: str, name: str) -> None:
     decisions = scored.select(F.col("gold_escalate").alias("actual"), F.col("predicted_escalate").alias("predicted"))
     pairs = scored.select(F.col("thread_id").alias("id"), F.col("gold_reply").alias("reference"), F.col("predicted_reply").alias("hypothesis"))
     files.write_jsonl(scored, os.path.join(folder, f"{name}_predictions"))
-    replies = metrics.reply_metrics(pairs).first()
-    found = {
-        "intent": metrics.multiclass(classes, lx.LABELS).first().asDict(), "escalation": metrics.binary(decisions).first().asDict(),
-        "replies": replies.asDict() if replies else {}, "errors": errors.roll_up(scored).first().asDict(),
-    }
-    _write(folder, f"{name}.json", json.dumps(found, indent=2))
+    intent, escalation = metrics.multiclass(classes, lx.LABELS).first(), metrics.binary(decisions).first()
+    replies, wrong = metrics.reply_metrics(pairs).first(), errors.roll_up(scored).first()
+    found = {"intent": intent, "escalation": escalation, "replies": replies, "errors": wrong}
+    _write(folder, f"{name}.json", json.dumps({k: v.asDict() if v else {} for k, v in found.items()}, indent=2))
     parts = [
-        "# " + name, report.multiclass(classes), "```\n" + report.confusion(classes) + "\n```", report.binary(decisions),
-        report.replies(pairs), report.error_report(scored),
+        "# " + name, report.multiclass(classes, whole=intent), "```\n" + report.confusion(classes) + "\n```",
+        report.binary(decisions, escalation), report.replies(pairs, replies), report.error_report(scored, whole=wrong),
     ]
     _write(folder, f"{name}.md", "\n\n".join(parts))
+    scored.unpersist()
 
 
 KINDS = ["agent", "simple", "trivial", "majority_intent", "always_escalate"]

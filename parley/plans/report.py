@@ -1,6 +1,6 @@
-"""Reports in Markdown, of results that are a few rows: rendered on the driver."""
+"""Reports in Markdown, of results that are a few rows: rendered on the driver. A summary row that is known already can be given as `whole`."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from parley.functions import lexicon as lx
 from parley.operators import errors, metrics
@@ -14,9 +14,9 @@ def table(head: list[str], rows: list[list]) -> str:
     return "\n".join("| " + " | ".join(map(str, r)) + " |" for r in [head, ["---"] * len(head), *rows])
 
 
-def multiclass(rows: DataFrame, labels: list[str] = lx.LABELS) -> str:
+def multiclass(rows: DataFrame, labels: list[str] = lx.LABELS, whole: Row | None = None) -> str:
     """Summary line and a table of the classes in the order of labels; rows has actual and predicted."""
-    whole = metrics.multiclass(rows, labels).first()
+    whole = whole or metrics.multiclass(rows, labels).first()
     found = {r.label: r for r in metrics.per_class(rows, labels).collect()}
     body = [[f"`{x}`", percent(found[x].precision, 1), percent(found[x].recall, 1), percent(found[x].f1, 1), found[x].support] for x in labels]
     head = f"Accuracy {percent(whole.accuracy)}, macro-F1 {percent(whole.macro_f1)}, weighted F1 {percent(whole.weighted_f1)}"
@@ -37,24 +37,24 @@ def confusion(rows: DataFrame, labels: list[str] = lx.LABELS, width: int = 24) -
     )
 
 
-def binary(rows: DataFrame) -> str:
-    m = metrics.binary(rows).first()
+def binary(rows: DataFrame, whole: Row | None = None) -> str:
+    m = whole or metrics.binary(rows).first()
     lines = [f"- {name}: {percent(getattr(m, name))}" for name in ("accuracy", "precision", "recall", "f1")]
     body = [["escalate", m.tp, m.fn, m.tp + m.fn], ["keep", m.fp, m.tn, m.fp + m.tn], ["total", m.tp + m.fp, m.fn + m.tn, m.total]]
     return "\n".join(lines) + "\n\n" + table(["actual", "said escalate", "said keep", "total"], body)
 
 
-def replies(pairs: DataFrame) -> str:
-    found = metrics.reply_metrics(pairs).first()
+def replies(pairs: DataFrame, whole: Row | None = None) -> str:
+    found = whole or metrics.reply_metrics(pairs).first()
     if found is None:
         return "No replies."
     lines = [f"- {name}: {percent(found[key])}" for name, key in (("ROUGE-1", "rouge_1"), ("ROUGE-2", "rouge_2"), ("ROUGE-L", "rouge_l"), ("BLEU-1", "bleu"))]
     return "\n".join([*lines, f"- mean length: {found.mean_tokens:.1f} words, {found.mean_chars:.1f} characters"])
 
 
-def error_report(scored: DataFrame, position: str = "pos") -> str:
+def error_report(scored: DataFrame, position: str = "pos", whole: Row | None = None) -> str:
     """Counts, modes with their first examples, and the most frequent confusions."""
-    whole = errors.roll_up(scored).first()
+    whole = whole or errors.roll_up(scored).first()
     modes = sorted(errors.modes(scored).collect(), key=lambda r: (-r.n, r.failure_mode))
     shown: dict = {}
     for r in errors.samples(scored, position).orderBy(position).collect():
