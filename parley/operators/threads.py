@@ -104,10 +104,10 @@ def first_replies(tweets: DataFrame, brand: str) -> DataFrame:
     return own.groupBy(F.col("in_response_to_tweet_id").alias("parent")).agg(F.min_by(F.struct(*_SAID), "file_pos").alias("answer"))
 
 
-def roots(tweets: DataFrame, brand: str) -> DataFrame:
-    """Customers' messages that the brand's refer to and whose own parent, if any, is no message of the brand."""
+def roots(tweets: DataFrame, brand: str, customers: DataFrame | None = None) -> DataFrame:
+    """Customers' messages that the brand's refer to (needed_customers, if given) and whose own parent, if any, is no message of the brand."""
     own = tweets.where(F.col("author_id") == brand).select(F.col("tweet_id").alias("_brand_id"))
-    return needed_customers(tweets, brand).join(own, F.col("in_response_to_tweet_id") == F.col("_brand_id"), "left_anti")
+    return (customers or needed_customers(tweets, brand)).join(own, F.col("in_response_to_tweet_id") == F.col("_brand_id"), "left_anti")
 
 
 def rebuild(tweets: DataFrame, brand: str, limit: int | None = None, prefix: str = "thread") -> DataFrame:
@@ -120,8 +120,10 @@ def rebuild(tweets: DataFrame, brand: str, limit: int | None = None, prefix: str
     seen = tweets.withColumn("inbound", is_inbound(F.col("inbound")))
     said = F.struct(*_SAID)
     answers = first_replies(seen, brand).withColumnRenamed("answer", "_answer")
-    opened = roots(seen, brand).join(answers, F.col("tweet_id") == F.col("parent"))
-    replying = needed_customers(seen, brand).where(F.col("in_response_to_tweet_id").isNotNull()).join(answers, F.col("tweet_id") == F.col("parent"), "left")
+    # One join serves both: what opens a thread, and what goes on after an answer.
+    customers = needed_customers(seen, brand).join(answers, F.col("tweet_id") == F.col("parent"), "left")
+    opened = roots(seen, brand, customers.where(F.col("_answer").isNotNull()))
+    replying = customers.where(F.col("in_response_to_tweet_id").isNotNull())
     listed = F.collect_list(F.struct("file_pos", said.alias("said"), F.col("_answer").alias("reply")))
     follow = replying.groupBy(F.col("in_response_to_tweet_id").alias("_to")).agg(F.array_sort(listed).alias("_follow"))
 
