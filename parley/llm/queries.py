@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from parley.llm import decontamination, language, licenses, packing, simhash, sketches, substrings, tokens, toxicity, urls
+from parley.llm import decontamination, language, licenses, packing, simhash, sketches, spelling, substrings, tokens, toxicity, urls
 from parley.llm.common import crc_mod
 
 #: The vocabulary that the queries use; the operators take a path.
@@ -83,6 +83,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+#: One word in so many loses a letter, in each document anew.
+DAMAGE = 97
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), damage=DAMAGE))
+
+
 _ALL = (
     op1_token_counts,
     op2_best_fit_packing,
@@ -94,6 +102,7 @@ _ALL = (
     op8_substring_dedup,
     op9_url_filter,
     op10_language_id,
+    op11_spelling_variants,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -137,10 +146,37 @@ _SUBSTRING_SQL = r"""
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
+# The crc32 is computed byte by byte, from a table made of its polynomial; near words share what is left without some letter.
+_SPELLING_SQL = """
+    WITH RECURSIVE table8 AS (SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+    runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+    counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS name, run, count(*) AS n FROM runs GROUP BY ALL),
+    letters AS (SELECT *, list_transform(string_split(name || ':' || run, ''), lambda x: unicode(x)) AS codes FROM counted),
+    bytes AS (SELECT name, run, n, flatten(list_transform(codes, lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END)) AS b FROM letters),
+    hashed AS (SELECT run, n, xor(list_reduce([4294967295::BIGINT] || b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS h FROM bytes, table8),
+    words AS (
+        SELECT word, CAST(sum(n) AS BIGINT) AS n
+        FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed)
+        WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    shorter AS (SELECT DISTINCT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS left_over FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    linked AS (
+        SELECT a.word, b.word AS near FROM shorter a JOIN shorter b ON a.i = b.i AND a.left_over = b.left_over AND a.word <> b.word
+        UNION SELECT word, left_over FROM shorter WHERE left_over IN (SELECT word FROM words)
+        UNION SELECT left_over, word FROM shorter WHERE left_over IN (SELECT word FROM words)),
+    best AS (SELECT word, count(*) AS n_near, arg_min({'near': near, 'n': n}, (-n, near)) AS top FROM (SELECT l.word, near, w.n FROM linked l JOIN words w ON w.word = l.near) GROUP BY word),
+    formed AS (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.n >= 2 * w.n THEN top.near END AS form, CASE WHEN top.n >= 2 * w.n THEN top.n END AS form_n
+        FROM words w LEFT JOIN best b ON b.word = w.word),
+    steps AS (SELECT word, word AS root FROM formed UNION SELECT s.word, f.form FROM steps s JOIN formed f ON f.word = s.root WHERE f.form IS NOT NULL),
+    ends AS (SELECT s.word, s.root FROM steps s JOIN formed f ON f.word = s.root WHERE f.form IS NULL)
+    SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN ends e ON e.word = f.word
+"""
+
 #: DuckDB SQL where it can express the query.
 SQL: dict[str, str] = {
     "op5_benchmark_decontamination": _CONTAMINATION_SQL,
     "op6_license_scan": licenses.oracle_sql(),
     "op8_substring_dedup": _SUBSTRING_SQL,
     "op9_url_filter": _URL_SQL,
+    "op11_spelling_variants": _SPELLING_SQL,
 }
