@@ -1,11 +1,16 @@
 """The registered queries of this subpackage: each applies an operator to its whole table."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from parley.llm import decontamination, language, licenses, packing, simhash, sketches, spelling, substrings, tokens, toxicity, urls
+from parley.llm import (
+    decontamination, language, licenses, packing, phrases, simhash, sketches, spelling, substrings, token_files, tokens, toxicity, urls,
+)
 from parley.llm.common import crc_mod
+from parley.session import shared_dir
 
 #: The vocabulary that the queries use; the operators take a path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -91,6 +96,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), damage=DAMAGE))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = _table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(docs, path, public_tokenizers.path(VOCABULARY))
+    return token_files.find(token_files.repeats(docs), path, repeat="repeat", keep_ids=False)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_token_counts,
     op2_best_fit_packing,
@@ -103,6 +118,8 @@ _ALL = (
     op9_url_filter,
     op10_language_id,
     op11_spelling_variants,
+    op12_token_files,
+    op13_phrase_collocations,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -172,6 +189,27 @@ _SPELLING_SQL = """
     SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN ends e ON e.word = f.word
 """
 
+_PHRASE_SQL = r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+            unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+    phrases AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM worded, range(1, 5) s(m) WHERE len(w) >= m)),
+    counts AS (SELECT lang, m, phrase, count(*) AS f FROM phrases GROUP BY ALL HAVING count(*) >= 30),
+    candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1),
+    cuts AS (SELECT *, unnest(range(1, m)) AS k FROM candidates),
+    scored AS (
+        SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST(c.a::HUGEINT * 2000000 // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+        FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.m], ' ')),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_ AS (SELECT lang, a, array_to_string(w[i:i + s - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM candidates, range(2, 4) q(s) WHERE s < m)),
+    longer AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY ALL),
+    kept AS (SELECT b.* FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.most IS NULL OR o.most::HUGEINT * 100 < b.a::HUGEINT * 80),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT r.lang, rank, phrase, a, l, r.r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
 #: DuckDB SQL where it can express the query.
 SQL: dict[str, str] = {
     "op5_benchmark_decontamination": _CONTAMINATION_SQL,
@@ -179,4 +217,5 @@ SQL: dict[str, str] = {
     "op8_substring_dedup": _SUBSTRING_SQL,
     "op9_url_filter": _URL_SQL,
     "op11_spelling_variants": _SPELLING_SQL,
+    "op13_phrase_collocations": _PHRASE_SQL,
 }
