@@ -231,18 +231,21 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0, key: str =
     discard(directory)
 
 
-def _locate(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+_PLACE = pa.schema([("key", pa.string()), *((c, pa.int64()) for c in ("repeat", "width", "file", "offset", "n_ids", "start"))])
+
+
+def _locate(rows: pa.Table, index: pa.Table) -> pa.Table:
     """Where the keys of a bucket are, for those whose fingerprint is that of their slot."""
-    names = ["key", "repeat", "width", *list(ENTRY)[1:]]
-    if index.empty or rows.empty:
-        return pd.DataFrame({c: [] for c in names})
-    row = index.iloc[0]
-    one, two = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("one", "two"))
+    if not rows.num_rows or not index.num_rows:
+        return _PLACE.empty_table()
+    row = {c: index.column(c)[0].as_py() for c in index.column_names}
+    one, two = (rows.column(c).to_numpy().view(np.uint64) for c in ("one", "two"))
     slots = PerfectHash(np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["bits"], np.uint8)).slots(one, two)
     prints = np.frombuffer(row["fingerprint"], "<u4")
-    fits = (slots >= 0) & (prints[slots] == (two >> np.uint64(32)).astype(np.uint32))
-    found = rows.loc[fits, ["key", "repeat"]].assign(width=int(row["width"]))
-    return found.assign(**{c: np.frombuffer(row[c], kind)[slots[fits]].astype(np.int64) for c, kind in list(ENTRY.items())[1:]})[names]
+    fits = np.flatnonzero((slots >= 0) & (prints[slots] == (two >> np.uint64(32)).astype(np.uint32)))
+    found = rows.select(["key", "repeat"]).take(pa.array(fits))
+    values = [np.frombuffer(row[c], kind)[slots[fits]].astype(np.int64) for c, kind in list(ENTRY.items())[1:]]
+    return pa.table([*found.columns, pa.array(np.full(len(fits), row["width"], np.int64)), *map(pa.array, values)], _PLACE)
 
 
 def find(keys: DataFrame, path: str, key: str = "doc_id", repeat: str | None = None, keep_ids: bool = True) -> DataFrame:
@@ -259,7 +262,7 @@ def find(keys: DataFrame, path: str, key: str = "doc_id", repeat: str | None = N
     first = index.select("buckets").limit(1).collect()
     hashed = asked.select("*", *_hashes("key", "repeat")).withColumn("bucket", F.pmod("one", F.lit(first[0][0] if first else 1)))
     located = cut(
-        hashed.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_locate, "key string, repeat long, width int, file long, offset long, n_ids long, start long"), "located",
+        hashed.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(_locate, "key string, " + ", ".join(f"{c} long" for c in _PLACE.names[1:])), "located",
     )
     wanted = located.join(files.select("name", "file"), "file").groupBy("name", "file").agg(F.collect_list(F.struct("key", "repeat", "width", "offset", "start")).alias("asked"))
     if located.limit(BROADCAST + 1).count() <= BROADCAST:
@@ -309,20 +312,20 @@ def get(spark: SparkSession, path: str, key: object, repeat: int = 0) -> np.ndar
         return None
     name = None if key is None else str(key)
     asked = spark.range(1).select(F.lit(name).cast("string").alias("key"), F.lit(repeat).cast("long").alias("repeat"))
-    row = asked.select("*", *_hashes("key", "repeat")).withColumn("bucket", F.pmod("one", F.lit(first[0][0]))).toPandas()
-    found = _locate(row, index.where(F.col("bucket") == int(row["bucket"].iloc[0])).toPandas())
-    if found.empty:
+    row = asked.select("*", *_hashes("key", "repeat")).withColumn("bucket", F.pmod("one", F.lit(first[0][0]))).toArrow()
+    found = _locate(row, index.where(F.col("bucket") == row.column("bucket")[0].as_py()).toArrow()).to_pylist()
+    if not found:
         return None
-    place = found.iloc[0]
-    file = files.where(F.col("file") == int(place["file"])).first()["name"]
-    size = RECORD_HEAD_BYTES + (len(name.encode()) if name is not None else 0) + int(place["n_ids"]) * int(place["width"])
+    place = found[0]
+    file = files.where(F.col("file") == place["file"]).first()["name"]
+    size = RECORD_HEAD_BYTES + (len(name.encode()) if name is not None else 0) + place["n_ids"] * place["width"]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(f"{path}/payload/{file}")
     stream = where.getFileSystem(conf).open(where)
     try:
-        stream.seek(int(place["offset"]))
+        stream.seek(place["offset"])
         raw = memoryview(bytes(stream.readNBytes(size)))
     finally:
         stream.close()
-    own, ids = ids_at(raw, 0, int(place["width"]))
+    own, ids = ids_at(raw, 0, place["width"])
     return ids.astype(np.uint32) if own == name else None
