@@ -4,10 +4,10 @@ Every word position gives its suffix, cut to `max_n` words and to its piece of t
 and first word and sorted in reverse lexicographic order, so that a single stack counts all their prefixes; what
 the parts of a phrase occur is joined afterwards.
 
-Two things keep this small. First pass: a sketch of fixed size (2 ** BITS cells, a bit of each is kept) counts pairs of
-neighbouring words, and single ones. A cell never says less than the true count of a pair, and a phrase is never
-more frequent than a pair inside it, so a suffix may end before the first pair that is too rare. Where the sketch
-fills up, suffixes stay longer and the result is the same. Second: tasks add up equal suffixes before they send them on. A first word that
+Two things keep this small. First pass: a sketch of fixed size (2 ** BITS cells, a bit of each is kept) counts all runs of
+one to max_n words. A cell never says less than the true count of a run, and a longer phrase is never more frequent than
+its beginning, so a suffix ends before the first word that makes it too rare. Where the sketch fills up, suffixes
+stay longer and the result is the same. Second: tasks add up equal suffixes before they send them on. A first word that
 starts a large share of the text is dealt by its first two words, and where those are such a pair, by whole
 suffixes; the counts of such beginnings are partial ones, added up after the stack. Joins on single words are salted.
 
@@ -31,7 +31,7 @@ from parley.llm.words import Words, mix, pairs
 #: Cells of the sketch, as a power of two; cells of a block that are merged together.
 BITS, BLOCK = 27, 16
 #: Entries that a task counts together before it sends cells on, and suffixes that it holds.
-COUNTED, HELD = 1 << 21, 300_000
+COUNTED, HELD = 1 << 22, 300_000
 #: A word or pair is hot with this share of all words; of each block so many of the largest cells are looked at.
 HOT_SHARE, LARGEST = 1 / 512, 8
 #: Each single word stands so often in the table that parts are looked up in.
@@ -43,9 +43,10 @@ _ONE = np.uint64(0xD1B54A32D192ED03)
 
 
 class Pieces:
-    """The words of a chunk, by number of each different one, and hashes of (language, word) and of pairs within a piece."""
+    """The words of a chunk, by number of each different one. keys[m]: a hash of (language, m + 1 words from there), whole[m]: whether
+    they are in one piece."""
 
-    def __init__(self, langs: pa.Array, texts: pa.Array):
+    def __init__(self, langs: pa.Array, texts: pa.Array, max_n: int):
         words = Words(texts, TABLE)
         data, self.n = words.data, len(words.start)
         if not self.n:
@@ -57,20 +58,24 @@ class Pieces:
         self.names, self.word = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         row = words.row()
         piece = np.cumsum((data >= 10) & (data <= 13))[words.start]
-        #: Whether a word and the next one stand in the same piece.
-        self.joined = np.zeros(n, bool)
-        self.joined[:-1] = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
+        joined = np.zeros(n, bool)
+        joined[:-1] = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
         coded = langs.dictionary_encode()
         self.langs, self.lang = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)[row]
         salt = mix(np.array([zlib.crc32(x.encode()) for x in self.langs], np.uint64) + _ONE)
-        self.hash = mix(words.hashes() ^ salt[self.lang])
-        self.single = mix(self.hash ^ _ONE)
-        self.pair = np.zeros(n, np.uint64)
-        self.pair[:-1] = pairs(self.hash[:-1], self.hash[1:])
+        own = mix(words.hashes() ^ salt[self.lang])
+        self.keys, self.whole = [mix(own ^ _ONE)], [np.ones(n, bool)]
+        for m in range(1, max_n):
+            key, whole = np.zeros(n, np.uint64), np.zeros(n, bool)
+            if m < n:
+                key[:-m] = pairs(self.keys[-1][:-m], own[m:])
+                whole[:-m] = self.whole[-1][:-m] & joined[m - 1 : n - 1]
+            self.keys.append(key)
+            self.whole.append(whole)
 
 
 def _cells(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+    return (keys >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 class Sketch:
@@ -92,27 +97,30 @@ def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("_lang"), F.col(text).alias("_text"))
 
 
-def sketch(docs: DataFrame, least: int, text: str = "text", lang: str = "lang", bits: int = BITS) -> Sketch:
-    """Counts of single words and pairs by cells. What comes to the driver is of fixed size: a bit for each cell and a few cells of each block."""
+def sketch(docs: DataFrame, least: int, max_n: int = 4, text: str = "text", lang: str = "lang", bits: int = BITS) -> Sketch:
+    """Counts of runs of one to max_n words by cells. What comes to the driver is of fixed size: a bit for each cell and a few cells of each block."""
     low, side = (1 << BLOCK) - 1, 1 << BLOCK
 
-    def sent(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cells, counts = np.unique(_cells(keys, bits), return_counts=True)
+    def sent(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cells = np.sort(cells)
+        first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+        counts, cells = np.diff(np.append(first, len(cells))), cells[first]
         blocks = cells >> BLOCK
         cuts = np.flatnonzero(np.diff(blocks)) + 1
         parts = [[x.tobytes() for x in np.split(part, cuts)] for part in ((cells & low).astype("<u2"), np.minimum(counts, 65_535).astype("<u2"))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(blocks[np.concatenate([[0], cuts])], pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], names=["block", "cells", "counts"],
+            [pa.array(blocks[np.concatenate([[0], cuts])].astype(np.int64)), *(pa.array(x, pa.binary()) for x in parts)], names=["block", "cells", "counts"],
         )
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in chunks(batches, "_text", CHUNK):
-            found = Pieces(batch.column(0), batch.column(1))
+            found = Pieces(batch.column(0), batch.column(1), max_n)
             if not found.n:
                 continue
-            held += [found.single, found.pair[found.joined]]
-            size += len(held[-1]) + len(held[-2])
+            made = [_cells(key[whole], bits) for key, whole in zip(found.keys, found.whole)]
+            held += made
+            size += sum(map(len, made))
             if size >= COUNTED:
                 yield from sent(np.concatenate(held))
                 held, size = [], 0
@@ -170,17 +178,16 @@ def suffixes(docs: DataFrame, known: Sketch, max_n: int = 4, text: str = "text",
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch_, held = Sketch(*held_everywhere.value), Counter()
         for batch in chunks(batches, "_text", CHUNK):
-            found = Pieces(batch.column(0), batch.column(1))
+            found = Pieces(batch.column(0), batch.column(1), max_n)
             if not found.n:
                 continue
             n, names, langs = found.n, found.names, found.langs
-            on = found.joined & sketch_.may(found.pair)
             length, alive = np.ones(n, np.int64), np.ones(n, bool)
-            for k in range(max_n - 1):
-                alive[: n - k] &= on[k:]
-                alive[n - k :] = False
+            for key, whole in zip(found.keys[1:], found.whole[1:]):
+                alive &= whole
+                alive[alive] = sketch_.may(key[alive])
                 length += alive
-            alone = (length == 1) & ~sketch_.may(found.single)
+            alone = (length == 1) & ~sketch_.may(found.keys[0])
             for code, count in enumerate(np.bincount(found.lang[alone], minlength=len(langs)).tolist()):
                 if count:
                     held[0, 0, langs[code], b""] += count
@@ -195,9 +202,10 @@ def suffixes(docs: DataFrame, known: Sketch, max_n: int = 4, text: str = "text",
                 _, number = np.unique(number * (len(names) + 1) + word, return_inverse=True)
             _, first, counts = np.unique(number, return_index=True, return_counts=True)
             at = at[first]
-            hot = sketch_.is_hot(found.single[at])
-            hotter = hot & (length[at] > 1) & sketch_.is_hot(found.pair[at])
-            part = np.where(hot & (length[at] > 1), found.pair[at], found.single[at]).view(np.int64)
+            single, pair = found.keys[0][at], found.keys[min(1, max_n - 1)][at]
+            hot = sketch_.is_hot(single)
+            hotter = hot & (length[at] > 1) & sketch_.is_hot(pair)
+            part = np.where(hot & (length[at] > 1), pair, single).view(np.int64)
             split = np.where(hotter, max_n, hot)
             for i, size, p, s, code, count in zip(at.tolist(), length[at].tolist(), part.tolist(), split.tolist(), found.lang[at].tolist(), counts.tolist()):
                 suffix = b" ".join([names[w] for w in found.word[i : i + size].tolist()]) + b" "
@@ -265,7 +273,7 @@ def prefix_counts(sorted_rows: DataFrame, least: int) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, least: int = 30, max_n: int = 4, text: str = "text", lang: str = "lang", bits: int = BITS) -> DataFrame:
     """lang, phrase string, f long: every phrase of up to max_n words that occurs least times; the empty phrase has the words of the language."""
-    rows = suffixes(docs, sketch(docs, least, text, lang, bits), max_n, text, lang)
+    rows = suffixes(docs, sketch(docs, least, max_n, text, lang, bits), max_n, text, lang)
     ordered = rows.repartition("part").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
     counted = prefix_counts(ordered, least).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return counted.where((F.col("f") >= least) | (F.col("phrase") == ""))
