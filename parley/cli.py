@@ -4,6 +4,7 @@ import argparse
 import importlib
 import json
 import os
+import zlib
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 from parley.functions import lexicon as lx
 from parley.operators import agents, assisted, errors, judge, metrics, rules, sampling, threads
+from parley.operators.index import SearchIndex
 from parley.plans import report
 from parley.session import session
 from parley.sources import files
+from parley.sources.batches import Batches, answered
 
 
 def _write(folder: str, name: str, text: str) -> None:
@@ -90,12 +93,12 @@ def sample_gold(spark: SparkSession, a: argparse.Namespace) -> None:
     _write(os.path.dirname(a.output_sampling_doc) or ".", os.path.basename(a.output_sampling_doc), report.sampling(kept, pool.count()))
 
 
-def _predicted(kind: str, gold: DataFrame, corpus: DataFrame, providers=None, pace: float = 0.0) -> DataFrame:
+def _predicted(kind: str, gold: DataFrame, corpus: DataFrame, providers=None, pace: float = 0.0, index: SearchIndex | None = None) -> DataFrame:
     """gold (with pos) and the predictions of a baseline or agent."""
     asked = gold.select("thread_id", "customer_text")
     none = F.lit(None).cast("string")
     if kind == "agent":
-        made = agents.full(asked, corpus, providers=providers, pace=pace).drop("candidates")
+        made = agents.full(asked, corpus, providers=providers, pace=pace, index=index).drop("candidates")
     elif kind == "simple":
         made = agents.simple(asked, corpus)
     elif kind == "trivial":
@@ -201,27 +204,46 @@ def dump_errors(spark: SparkSession, a: argparse.Namespace) -> None:
     _write(a.output_dir, "errors.md", report.error_report(scored))
 
 
+def _index(corpus: DataFrame, folder: str, path: str, holdout: str | None) -> SearchIndex:
+    """The stored index of the corpus: built once for the files as they are now, whoever asks again."""
+    spark = corpus.sparkSession
+    seen = files.version(spark.read.text([path, holdout] if holdout else path))
+    where = f"{folder}/index-{zlib.crc32(repr(seen).encode()):08x}"
+    return SearchIndex.load(spark, where) or SearchIndex.build(agents.searchable(corpus), where)
+
+
 def online_eval(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Answers what has no finished result yet and adds it to the output, `--batch` rows at a time, so that a stop loses one batch at most."""
-    gold = _valid(spark, a)
+    """Answers what has no finished result yet, `--batch` rows at a time, so that a stop loses one batch at most; all results are in `results` below the output."""
+    gold, store = _valid(spark, a), Batches(spark, a.output_file)
     if a.max_items:
         gold = gold.orderBy("pos").limit(a.max_items)
-    todo = gold
-    if not a.no_resume and os.path.exists(a.output_file):
-        todo = files.pending(gold, spark.read.json(a.output_file))
-    corpus, mode = _corpus(spark, a.corpus, a.holdout_path), "overwrite" if a.no_resume else "append"
-    # A stage's batches are as many as --max-items or the labelled set ask for: each is a plan of its own.
-    bounds = todo.agg(F.min("pos"), F.max("pos")).first()
-    for start in range(bounds[0], bounds[1] + 1, a.batch) if bounds[0] is not None else ():
+    if a.no_resume:
+        store.clear()
+    todo = answered(store, gold).cache()
+    corpus = _corpus(spark, a.corpus, a.holdout_path)
+    index = _index(corpus, store.folder, a.corpus, a.holdout_path)
+    # Batches are by position, so the same rows are in a batch when it is run again.
+    starts = [r[0] for r in todo.select((F.floor(F.col("pos") / a.batch) * a.batch).alias("s")).distinct().orderBy("s").collect()]
+    for start in starts:
         part = todo.where((F.col("pos") >= start) & (F.col("pos") < start + a.batch))
-        _predicted("agent", part, corpus, _providers(a), a.delay).write.mode(mode).json(a.output_file)
-        mode = "append"
+        store.write(_predicted("agent", part, corpus, _providers(a), a.delay, index), start)
+    todo.unpersist()
+    found = store.read()
+    if found is not None:
+        files.write_jsonl(found, f"{store.folder}/results")
 
 
 def run_agent(spark: SparkSession, a: argparse.Namespace) -> None:
-    texts = [a.text] if a.text else [f"{p} ({i})" for i, p in enumerate(["my battery drains", "how do i sort photos", "charged twice"][: a.samples])]
-    asked = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "thread_id string, customer_text string")
-    for row in agents.full(asked, _corpus(spark, a.corpus, a.holdout_path), a.top_k, _providers(a)).orderBy("thread_id").toJSON().collect():
+    """Answers a text, or the first `--samples` rows of a labelled set."""
+    if a.text:
+        asked = spark.createDataFrame([("0", a.text, 0)], "thread_id string, customer_text string, pos long")
+    elif a.gold_path:
+        gold = files.with_position(files.read_jsonl(spark, a.gold_path, files.GOLD))
+        asked = gold.orderBy("pos").limit(a.samples).select("thread_id", "customer_text", "pos")
+    else:
+        raise SystemExit("--text or --gold-path is needed")
+    made = agents.full(asked, _corpus(spark, a.corpus, a.holdout_path), a.top_k, _providers(a)).orderBy("pos").drop("pos")
+    for row in made.toJSON().toLocalIterator():
         print(json.dumps(json.loads(row), indent=2, ensure_ascii=False))
 
 
@@ -283,7 +305,7 @@ def parser() -> argparse.ArgumentParser:
         online_eval, "online-eval", gold_path=str, corpus=str, holdout_path=None, expected=0, output_file=str, max_items=0, batch=10,
         delay=0.35, no_resume=bool, **model,
     )
-    command(run_agent, "run-agent", corpus=str, holdout_path=None, text=None, samples=3, top_k=3, offline=bool, **model)
+    command(run_agent, "run-agent", corpus=str, holdout_path=None, text=None, gold_path=None, samples=3, top_k=3, offline=bool, **model)
     command(
         run_judge, "run-judge", mode=["single", "calibrate"], query="", reply="", intent="other", escalate=bool, calibration_file=None,
         output_dir=".", delay=4.5, offline=bool, **model,

@@ -6,16 +6,24 @@ from pyspark.sql import functions as F
 from parley.functions import lexicon as lx
 from parley.operators import assisted, metrics, rules, search
 from parley.operators.assisted import Providers
+from parley.operators.index import SearchIndex
 
 
-def full(inquiries: DataFrame, corpus: DataFrame, k: int = 3, providers: Providers = None, pace: float = 0.0) -> DataFrame:
+def searchable(corpus: DataFrame) -> DataFrame:
+    """The corpus as search takes it; an index for the agents is made of this."""
+    return corpus.select(F.col("thread_id").alias("doc_id"), "pos", F.col("customer_text").alias("text"))
+
+
+def full(
+    inquiries: DataFrame, corpus: DataFrame, k: int = 3, providers: Providers = None, pace: float = 0.0, index: SearchIndex | None = None,
+) -> DataFrame:
     """inquiries (thread_id, customer_text) with predicted_intent, predicted_escalate, predicted_reason, predicted_reply,
     retrieved_thread_id, retrieval_score and the candidates. corpus: thread_id, pos, customer_text, brand_text.
-    With providers, a language model labels and drafts; the rules answer where it doesn't.
+    With providers, a language model labels and drafts; the rules answer where it doesn't. index: a stored BM25 index of
+    searchable(corpus), so that only the texts that were found are read.
     """
     asked = inquiries.select(F.col("thread_id").alias("query_id"), F.col("customer_text").alias("text"))
-    known = corpus.select(F.col("thread_id").alias("doc_id"), "pos", F.col("customer_text").alias("text"))
-    hits = search.search(asked, known, k, "bm25")
+    hits = search.search(asked, index or searchable(corpus), k, "bm25")
     # Texts join only what was found.
     found = hits.join(corpus.select(F.col("thread_id").alias("doc_id"), F.col("customer_text").alias("_c"), F.col("brand_text").alias("_b")), "doc_id")
     listed = F.array_sort(
@@ -39,11 +47,10 @@ def full(inquiries: DataFrame, corpus: DataFrame, k: int = 3, providers: Provide
     return rows.withColumn("retrieved_thread_id", F.col("_top.thread_id")).withColumn("retrieval_score", F.coalesce("_top.score", F.lit(0.0))).drop("_top")
 
 
-def simple(inquiries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Rules, and the brand's text of the best TF-IDF match as it is; the canned reply for an empty corpus."""
+def simple(inquiries: DataFrame, corpus: DataFrame, index: SearchIndex | None = None) -> DataFrame:
+    """Rules, and the brand's text of the best TF-IDF match as it is; the canned reply for an empty corpus. index: a stored TF-IDF one."""
     asked = inquiries.select(F.col("thread_id").alias("query_id"), F.col("customer_text").alias("text"))
-    known = corpus.select(F.col("thread_id").alias("doc_id"), "pos", F.col("customer_text").alias("text"))
-    hits = search.search(asked, known, 1, "tfidf")
+    hits = search.search(asked, index or searchable(corpus), 1, "tfidf")
     best = hits.join(corpus.select(F.col("thread_id").alias("doc_id"), F.col("brand_text").alias("_b")), "doc_id").select(
         F.col("query_id").alias("thread_id"), F.col("doc_id").alias("retrieved_thread_id"), F.round("score", 4).alias("retrieval_score"),
         "_b",

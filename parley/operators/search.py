@@ -1,10 +1,17 @@
 """Ranked retrieval over an inverted index: TF-IDF and cosine-normalised BM25, top k for each query."""
 
-from pyspark.sql import DataFrame, Window
+from __future__ import annotations
+
+from typing import TYPE_CHECKING
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
 
+if TYPE_CHECKING:
+    from parley.operators.index import SearchIndex
+
 K1, B = 1.5, 0.75
 
 
@@ -20,6 +27,17 @@ def term_counts(docs: DataFrame, key: str, text: str, *carried: str) -> DataFram
     return tokens.groupBy(key, *carried, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def idf(documents: Column, df: Column, scheme: str) -> Column:
+    return F.log((documents + 1) / (df + 1)) + 1 if scheme == "tfidf" else F.log((documents - df + 0.5) / (df + 0.5) + 1)
+
+
+def weight(mean: Column, scheme: str) -> Column:
+    """The weight of a term in a document, from tf, idf and len."""
+    if scheme == "tfidf":
+        return F.col("tf") * F.col("idf")
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("len") / mean)) * F.col("idf")
+
+
 def _terms(counts: DataFrame, corpus: DataFrame, scheme: str, text: str) -> DataFrame:
     """term, idf and _mean, the mean length of the documents.
 
@@ -28,16 +46,12 @@ def _terms(counts: DataFrame, corpus: DataFrame, scheme: str, text: str) -> Data
     """
     whole = corpus.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size(tx.ascii_tokens(F.col(text)))).alias("_mean"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("_n") + 1) / (F.col("df") + 1)) + 1 if scheme == "tfidf" else F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     # One row: its size doesn't depend on the data.
-    return df.join(F.broadcast(whole)).select("term", idf.alias("idf"), "_mean")
+    return df.join(F.broadcast(whole)).select("term", idf(F.col("_n"), F.col("df"), scheme).alias("idf"), "_mean")
 
 
 def _postings(counts: DataFrame, terms: DataFrame, scheme: str, *names: str) -> DataFrame:
-    weight = F.col("tf") * F.col("idf") if scheme == "tfidf" else F.col("tf") * (K1 + 1) / (
-        F.col("tf") + K1 * ((1 - B) + B * F.col("len") / F.col("_mean"))
-    ) * F.col("idf")
-    return counts.join(terms, "term").select(*names, "term", "idf", weight.alias("w"))
+    return counts.join(terms, "term").select(*names, "term", "idf", weight(F.col("_mean"), scheme).alias("w"))
 
 
 def index(corpus: DataFrame, scheme: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,14 +75,19 @@ def norms(corpus: DataFrame, scheme: str, key: str = "doc_id", text: str = "text
 
 
 def search(
-    queries: DataFrame, corpus: DataFrame, k: int, scheme: str = "bm25", query: str = "query_id", doc: str = "doc_id",
+    queries: DataFrame, corpus: DataFrame | SearchIndex, k: int, scheme: str = "bm25", query: str = "query_id", doc: str = "doc_id",
     position: str = "pos", text: str = "text",
 ) -> DataFrame:
     """query, rank, doc, score: the k best documents of each query.
 
-    queries has (query, text), corpus (doc, position, text). Equal scores rank by the place in the query of its first term
+    queries has (query, text), corpus (doc, position, text), or is a stored index (operators.index.SearchIndex), from which the same comes
+    without a look at the corpus. Equal scores rank by the place in the query of its first term
     that the document has, then by position. A query without a hit gets the first document, with score 0.
     """
+    if not isinstance(corpus, DataFrame):
+        if corpus.scheme != scheme:
+            raise ValueError(f"an index for {corpus.scheme}, not for {scheme}")
+        return corpus.search(queries, k, query, doc, text)
     counts = term_counts(corpus, doc, text, position)
     terms = _terms(counts, corpus, scheme, text)
     # The norm goes with the postings of its document, which meet once for that.

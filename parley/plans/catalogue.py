@@ -1,5 +1,6 @@
 """The registered queries: each of the package's operators on the test tables."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from parley.functions import text as tx
 from parley.operators import agents, errors, metrics, rules, sampling, search, windows
 from parley.operators import judge as jd
 from parley.operators import threads as th
+from parley.operators.index import SearchIndex
 from parley.plans import base
+from parley.session import shared_dir
 from parley.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,16 +168,49 @@ def doc_norms_bm25(spark, sf_dir):
     return _rounded(search.norms(_corpus(spark, sf_dir), "bm25"), "norm")
 
 
+_INDEXES: dict[tuple, SearchIndex] = {}
+
+
+def stored(corpus: DataFrame, scheme: str, name: str) -> SearchIndex:
+    """The index of a corpus (doc_id, pos, text), built the first time that a session asks for it. name tells corpora of the same files apart."""
+    spark = corpus.sparkSession
+    key = spark.sparkContext.applicationId, name, scheme, files.version(corpus)
+    if key not in _INDEXES:
+        _INDEXES[key] = SearchIndex.build(corpus, f"{shared_dir(spark)}/search-{uuid.uuid4().hex}", scheme)
+    return _INDEXES[key]
+
+
 @query
 def tfidf_top1(spark, sf_dir):
-    return _rounded(search.search(_asked(spark, sf_dir), _corpus(spark, sf_dir), 1, "tfidf"), "score")
+    return _rounded(search.search(_asked(spark, sf_dir), stored(_corpus(spark, sf_dir), "tfidf", "all"), 1, "tfidf"), "score")
 
 
 @query
 def bm25_top3(spark, sf_dir):
+    return _rounded(search.search(_asked(spark, sf_dir), stored(_corpus(spark, sf_dir), "bm25", "all"), 3, "bm25"), "score")
+
+
+@query
+def bm25_top3_by_bounds(spark, sf_dir):
+    """By blocks and bounds, however common the terms are."""
+    return _rounded(stored(_corpus(spark, sf_dir), "bm25", "all").search(_asked(spark, sf_dir), 3, bounded=True), "score")
+
+
+@query
+def bm25_top3_unstored(spark, sf_dir):
+    """Without an index, in one plan."""
     return _rounded(search.search(_asked(spark, sf_dir), _corpus(spark, sf_dir), 3, "bm25"), "score")
 
 
+@query
+def bm25_top3_extended(spark, sf_dir):
+    """An index of a third of the corpus, to which the rest is added, and a tenth of what is there once more."""
+    corpus = _corpus(spark, sf_dir)
+    first = SearchIndex.build(corpus.where("pos % 3 = 0"), f"{shared_dir(spark)}/search-{uuid.uuid4().hex}", "bm25")
+    whole = first.add(corpus.where("pos % 3 > 0 or pos % 30 = 0"))
+    return _rounded(search.search(_asked(spark, sf_dir), whole, 3, "bm25"), "score")
+
+
 @query
 def search_fallback(spark, sf_dir):
     lost = F.when(F.col("query_id").endswith("0"), "① éé").otherwise("")
@@ -239,7 +275,8 @@ def weak_labels(spark, sf_dir):
 @query
 def agent_pipeline(spark, sf_dir):
     rows = base.exchanges(spark, sf_dir)
-    made = agents.full(rows.where("holdout").select("thread_id", "customer_text"), _past(rows.where("not holdout")))
+    past = _past(rows.where("not holdout"))
+    made = agents.full(rows.where("holdout").select("thread_id", "customer_text"), past, index=stored(agents.searchable(past), "bm25", "answered"))
     return _rounded(
         made.select("thread_id", "predicted_intent", "predicted_escalate", "predicted_reason", "predicted_reply", "retrieved_thread_id", "retrieval_score"),
         "retrieval_score",
@@ -249,7 +286,8 @@ def agent_pipeline(spark, sf_dir):
 @query
 def simple_agent(spark, sf_dir):
     rows = base.exchanges(spark, sf_dir)
-    made = agents.simple(rows.where("holdout").select("thread_id", "customer_text"), _past(rows.where("not holdout")))
+    past = _past(rows.where("not holdout"))
+    made = agents.simple(rows.where("holdout").select("thread_id", "customer_text"), past, stored(agents.searchable(past), "tfidf", "answered"))
     return _rounded(
         made.select("thread_id", "predicted_intent", "predicted_escalate", "predicted_reason", "predicted_reply", "retrieved_thread_id", "retrieval_score"),
         "retrieval_score",

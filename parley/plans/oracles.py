@@ -211,7 +211,9 @@ SQL: dict[str, str] = {
     "doc_norms_tfidf": f"{BASE}, {CORPUS} {_index('tfidf')} SELECT doc_id, round(norm, 6) AS norm FROM norms",
     "doc_norms_bm25": f"{BASE}, {CORPUS} {_index('bm25')} SELECT doc_id, round(norm, 6) AS norm FROM norms",
     "tfidf_top1": f"{BASE}, {CORPUS} {_search('tfidf', 1)} {_HITS}",
-    "bm25_top3": f"{BASE}, {CORPUS} {_search('bm25', 3)} {_HITS}",
+    **dict.fromkeys(
+        ["bm25_top3", "bm25_top3_by_bounds", "bm25_top3_unstored", "bm25_top3_extended"], f"{BASE}, {CORPUS} {_search('bm25', 3)} {_HITS}",
+    ),
     "search_fallback": f"""{BASE}, {
         CORPUS.replace(
             "SELECT thread_id AS query_id, customer_text AS text",
