@@ -51,6 +51,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of the folders that df's files are in, an upper bound of what is read; without files, no bound."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    folders = [jvm.org.apache.hadoop.fs.Path(x) for x in {os.path.dirname(f) for f in df.inputFiles()}]
+    return sum(f.getFileSystem(conf).getContentSummary(f).getLength() for f in folders) if folders else 1 << 62
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,7 +7,8 @@ the parts of a phrase occur is joined afterwards.
 Two things keep this small. First pass: a sketch of fixed size (2 ** BITS cells, a bit of each is kept) counts all runs of
 one to max_n words. A cell never says less than the true count of a run, and a longer phrase is never more frequent than
 its beginning, so a suffix ends before the first word that makes it too rare. Where the sketch fills up, suffixes
-stay longer and the result is the same. Second: tasks add up equal suffixes before they send them on. A first word that
+stay longer and the result is the same. Second: tasks add up equal suffixes before they send them on, and each reads 128 MB if
+there is enough for all cores, as most suffixes of a task are those of any other. A first word that
 starts a large share of the text is dealt by its first two words, and where those are such a pair, by whole
 suffixes; the counts of such beginnings are partial ones, added up after the stack. Joins on single words are salted.
 
@@ -16,6 +17,8 @@ counts again. Other columns of the input are ignored, whatever their names; no k
 however long. Words hold any characters but those that part words and pieces. Equal scores go by count, then phrase.
 """
 
+import functools
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,18 +28,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import chunks, cut, share_code
+from parley.llm.common import chunks, cut, input_bytes, share_code
 from parley.llm.words import Words, mix, pairs
 
 #: Cells of the sketch, as a power of two; cells of a block that are merged together.
 BITS, BLOCK = 27, 16
 #: Entries that a task counts together before it sends cells on, and suffixes that it holds.
-COUNTED, HELD = 1 << 22, 300_000
+COUNTED, HELD = 1 << 22, 1 << 20
+#: Input bytes that a task which adds up suffixes should read, where that leaves no core idle: Spark's own default.
+TASK_BYTES = 128 << 20
 #: A word or pair is hot with this share of all words; of each block so many of the largest cells are looked at.
 HOT_SHARE, LARGEST = 1 / 512, 8
 #: Each single word stands so often in the table that parts are looked up in.
 SALT = 16
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 #: A-Z in lower case, and the signs that end a piece as line breaks.
 TABLE = np.array([b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?" else b for b in range(256)], np.uint8)
 _ONE = np.uint64(0xD1B54A32D192ED03)
@@ -166,31 +171,34 @@ def suffixes(docs: DataFrame, known: Sketch, max_n: int = 4, text: str = "text",
     other parts have as well. The empty suffix has the words that start nothing frequent.
     """
     spark = docs.sparkSession
+    head = functools.partial(struct.pack, "<qBI")
     held_everywhere = spark.sparkContext.broadcast((known.often.tobytes(), known.hot, known.bits))
 
-    def sent(held: Counter) -> pa.RecordBatch:
-        columns = list(zip(*held)) or [(), (), (), ()]
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.binary())
-        made = [pa.array(x, k) for x, k in zip(columns, kinds)]
-        made[3] = made[3].cast(pa.string())
-        return pa.RecordBatch.from_arrays([*made, pa.array(held.values(), pa.int64())], names=["part", "split", "lang", "suffix", "n"])
+    def sent(held: Counter, langs: list[str]) -> pa.RecordBatch:
+        # A key is part (8 bytes), split (1), language (4) and suffix.
+        heads = np.frombuffer(b"".join([k[:13] for k in held]), [("part", "<i8"), ("split", "u1"), ("lang", "<u4")])
+        names = pa.array(langs, pa.string()).take(pa.array(heads["lang"]))
+        words = pa.array([k[13:] for k in held], pa.binary()).cast(pa.string())
+        columns = [pa.array(heads["part"]), pa.array(heads["split"].astype(np.int32)), names, words, pa.array(held.values(), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "split", "lang", "suffix", "n"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch_, held = Sketch(*held_everywhere.value), Counter()
+        sketch_, held, codes = Sketch(*held_everywhere.value), Counter(), {}
         for batch in chunks(batches, "_text", CHUNK):
             found = Pieces(batch.column(0), batch.column(1), max_n)
             if not found.n:
                 continue
-            n, names, langs = found.n, found.names, found.langs
+            n, names = found.n, found.names
+            numbers = [codes.setdefault(x, len(codes)) for x in found.langs]
             length, alive = np.ones(n, np.int64), np.ones(n, bool)
             for key, whole in zip(found.keys[1:], found.whole[1:]):
                 alive &= whole
                 alive[alive] = sketch_.may(key[alive])
                 length += alive
             alone = (length == 1) & ~sketch_.may(found.keys[0])
-            for code, count in enumerate(np.bincount(found.lang[alone], minlength=len(langs)).tolist()):
+            for code, count in enumerate(np.bincount(found.lang[alone], minlength=len(numbers)).tolist()):
                 if count:
-                    held[0, 0, langs[code], b""] += count
+                    held[head(0, 0, numbers[code])] += count
             # Equal suffixes get equal numbers, word by word.
             at = np.flatnonzero(~alone)
             if not len(at):
@@ -211,14 +219,15 @@ def suffixes(docs: DataFrame, known: Sketch, max_n: int = 4, text: str = "text",
                 suffix = b" ".join([names[w] for w in found.word[i : i + size].tolist()]) + b" "
                 if s == max_n:
                     p = zlib.crc32(suffix, p & 0xFFFFFFFF)
-                held[p, s, langs[code], suffix] += count
+                held[head(p, s, numbers[code]) + suffix] += count
             if len(held) >= HELD:
-                yield sent(held)
+                yield sent(held, list(codes))
                 held = Counter()
         if held:
-            yield sent(held)
+            yield sent(held, list(codes))
 
-    return _rows(docs, text, lang).mapInArrow(emit, "part long, split int, lang string, suffix string, n long")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-input_bytes(docs) // TASK_BYTES))
+    return _rows(docs, text, lang).coalesce(min(tasks, 1 << 30)).mapInArrow(emit, "part long, split int, lang string, suffix string, n long")
 
 
 def prefix_counts(sorted_rows: DataFrame, least: int) -> DataFrame:
