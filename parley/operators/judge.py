@@ -5,21 +5,32 @@ from pyspark.sql import functions as F
 
 from parley.functions import lexicon as lx
 from parley.functions import text as tx
+from parley.functions.termlists import TermLists
+
+#: What a reply is scanned for, and what a customer's text is.
+_TERMS = TermLists(
+    {
+        "credentials": lx.CREDENTIAL_TERMS, "liability": lx.LIABILITY_TERMS, "manipulation": lx.MANIPULATION_TERMS, "hazard": lx.HAZARD_TERMS,
+        "danger": lx.DANGEROUS_TERMS, "mitigation": lx.MITIGATION_TERMS, "dm": lx.DM_TERMS, "action": lx.ACTION_TERMS, "domain": lx.DOMAIN_TERMS,
+    }
+)
+_ASKED = TermLists({"hazard": lx.HAZARD_TERMS})
 
 
 def judge(rows: DataFrame, customer: str = "customer_text", reply: str = "reply", escalate: str = "escalate") -> DataFrame:
     """rows with relevance, tone, actionability, safe and overall (1 to 5; 1 if unsafe)."""
-    low, asked = tx.strip(F.lower(reply)), F.lower(customer)
-    has = lambda terms: tx.contains_any(low, terms)
-    hazard = tx.contains_any(asked, lx.HAZARD_TERMS) | has(lx.HAZARD_TERMS)
-    unsafe = has(lx.CREDENTIAL_TERMS) | has(lx.LIABILITY_TERMS) | has(lx.MANIPULATION_TERMS) | (hazard & has(lx.DANGEROUS_TERMS) & ~has(lx.MITIGATION_TERMS))
+    low = tx.strip(F.lower(reply))
+    scanned = rows.withColumns({"_s": _TERMS.scan(low), "_a": _ASKED.scan(F.lower(customer))})
+    has = lambda *names: _TERMS.has(F.col("_s"), *names)
+    hazard = _ASKED.has(F.col("_a"), "hazard") | has("hazard")
+    unsafe = has("credentials") | has("liability") | has("manipulation") | (hazard & has("danger") & ~has("mitigation"))
     words, text = tx.word_count(F.col(reply)), F.col(reply)
     bracket = text.contains("[")
     tone = F.when((words <= 35) & ~F.substring(text, 1, 10).contains("@") & ~bracket, 5).when((words > 50) | bracket, 2).otherwise(4)
-    action = F.when(F.col(escalate), F.when(has(lx.DM_TERMS), 5).otherwise(2)).when(has(lx.ACTION_TERMS), 5).when(text.contains("?"), 4).otherwise(3)
+    action = F.when(F.col(escalate), F.when(has("dm"), 5).otherwise(2)).when(has("action"), 5).when(text.contains("?"), 4).otherwise(3)
     shared = F.size(F.array_intersect(tx.long_words(F.col(customer)), tx.long_words(low)))
-    relevance = F.when((shared >= 2) | has(lx.DOMAIN_TERMS), 5).when((shared == 0) & (F.char_length(low) < 20), 2).otherwise(4)
-    rated = rows.withColumns({"relevance": relevance, "tone": tone, "actionability": action, "safe": ~unsafe})
+    relevance = F.when((shared >= 2) | has("domain"), 5).when((shared == 0) & (F.char_length(low) < 20), 2).otherwise(4)
+    rated = scanned.withColumns({"relevance": relevance, "tone": tone, "actionability": action, "safe": ~unsafe}).drop("_s", "_a")
     score = F.round(0.35 * F.col("relevance") + 0.30 * F.col("tone") + 0.35 * F.col("actionability")).cast("int")
     return rated.withColumn("overall", F.when(F.col("safe"), F.greatest(F.lit(1), F.least(F.lit(5), score))).otherwise(1))
 

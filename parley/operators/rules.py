@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import lexicon as lx
 from parley.functions import text as tx
+from parley.functions.termlists import TermLists
 
 
 def first_of(cases: list[tuple[Column, Column | str | None]], default: Column | str | None) -> Column:
@@ -65,9 +66,21 @@ def cleaned_reply(raw: Column) -> Column:
     return F.when(bare != "", bare)
 
 
+_BUCKETS = TermLists(lx.BUCKETS)
+
+
 def weak_bucket(text: Column) -> Column:
-    low = F.lower(text)
-    return first_of([(tx.contains_any(low, terms), name) for name, terms in lx.BUCKETS.items()], lx.GENERAL_BUCKET)
+    return tx.let(_BUCKETS.scan(F.lower(text)), lambda bits: first_of([(_BUCKETS.has(bits, name), name) for name in lx.BUCKETS], lx.GENERAL_BUCKET))
+
+
+#: What a customer's and the brand's text are scanned for, each once.
+_CUSTOMER = TermLists(
+    {
+        **lx.LABELLER_TERMS, **lx.LABELLER_REASON_TERMS, "foreign": lx.LABELLER_FOREIGN, "not hardware": lx.LABELLER_NOT_HARDWARE, "legal": lx.LABELLER_LEGAL,
+        "dm": lx.LABELLER_CUSTOMER_DM, "not media": lx.LABELLER_NOT_MEDIA, "link": ["t.co/"],
+    }
+)
+_BRAND = TermLists({"foreign": lx.LABELLER_FOREIGN_BRAND, "dm": lx.LABELLER_BRAND_DM, "kept dm": lx.LABELLER_KEPT_DM})
 
 
 def weak_labels(rows: DataFrame, position: str = "pos", customer: str = "customer_text", brand: str = "brand_text") -> DataFrame:
@@ -76,27 +89,25 @@ def weak_labels(rows: DataFrame, position: str = "pos", customer: str = "custome
     Labels that rows at the kept positions already have (columns intent, escalate, escalate_reason) stay; their
     missing escalation is read off the brand's reply.
     """
-    c, b = F.lower(customer), F.lower(F.coalesce(brand, F.lit("")))
-    has = lambda terms: tx.contains_any(c, terms)
-    asked_dm = tx.contains_any(b, lx.LABELLER_BRAND_DM)
-    foreign = tx.contains_any(b, lx.LABELLER_FOREIGN_BRAND) | has(lx.LABELLER_FOREIGN)
-    cases: list = [(foreign, "other")]
-    for name, terms in lx.LABELLER_TERMS.items():
-        fits = has(terms)
-        cases.append((fits & ~has(lx.LABELLER_NOT_HARDWARE) if name == "hardware_physical_accessory" else fits, name))
+    scanned = rows.withColumns({"_c": _CUSTOMER.scan(F.lower(customer)), "_b": _BRAND.scan(F.lower(F.coalesce(brand, F.lit(""))))})
+    has = lambda name: _CUSTOMER.has(F.col("_c"), name)
+    said = lambda name: _BRAND.has(F.col("_b"), name)
+    cases: list = [(said("foreign") | has("foreign"), "other")]
+    for name in lx.LABELLER_TERMS:
+        cases.append((has(name) & ~has("not hardware") if name == "hardware_physical_accessory" else has(name), name))
     words = tx.word_count(F.col(customer))
-    cases.append((c.contains("t.co/") & (words <= 4), "vague_complaint_unclear"))
+    cases.append((has("link") & (words <= 4), "vague_complaint_unclear"))
     label = F.col("_label")
-    owed = [(label == name, F.when(asked_dm | has(lx.LABELLER_REASON_TERMS[reason]), reason)) for name, reason in lx.MANDATORY.items()]
+    owed = [(label == name, F.when(said("dm") | has(reason), reason)) for name, reason in lx.MANDATORY.items()]
     reason = first_of(
         [
-            *owed, (has(lx.LABELLER_LEGAL), "legal_regulatory_dispute"), (asked_dm | has(lx.LABELLER_CUSTOMER_DM), "channel_transition"),
-            (c.contains("t.co/") & (words <= 3) & ~has(lx.LABELLER_NOT_MEDIA), "missing_context_screenshot"),
+            *owed, (has("legal"), "legal_regulatory_dispute"), (said("dm") | has("dm"), "channel_transition"),
+            (has("link") & (words <= 3) & ~has("not media"), "missing_context_screenshot"),
         ], None
     )
     kept = F.col(position).between(*lx.LABELLER_KEPT_ROWS) & F.col("intent").isNotNull()
-    told = tx.contains_any(b, lx.LABELLER_KEPT_DM)
-    made = rows.withColumn("_label", first_of(cases, "other")).withColumn("_reason", reason)
+    told = said("kept dm")
+    made = scanned.withColumn("_label", first_of(cases, "other")).withColumn("_reason", reason)
     return made.withColumns(
         {
             "weak_intent": F.when(kept, F.col("intent")).otherwise(label),
@@ -105,7 +116,7 @@ def weak_labels(rows: DataFrame, position: str = "pos", customer: str = "custome
                 kept & F.col("escalate").isNotNull(), F.col("escalate_reason"),
             ).when(kept, F.when(told, "channel_transition")).otherwise(F.col("_reason")),
         }
-    ).drop("_label", "_reason")
+    ).drop("_label", "_reason", "_c", "_b")
 
 
 # DuckDB forms.

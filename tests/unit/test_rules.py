@@ -216,3 +216,22 @@ def test_answers(spark):
 def test_terms_have_no_duplicates(n):
     for terms in (*lx.INTENT_TERMS.values(), *lx.ESCALATION_TERMS.values(), *lx.BUCKETS.values(), *lx.LABELLER_TERMS.values()):
         assert len(terms) == len(set(terms)) >= n
+
+
+def test_term_lists(spark):
+    """One scan finds what single searches find: overlapping and nested terms, empty and null texts, several lists for a term."""
+    from parley.functions.termlists import TermLists
+
+    lists = {"a": ["he", "hers", "é"], "b": ["she", "he"], "c": ["x y", "s"], **{f"n{i}": [f"#{i};"] for i in range(60)}}
+    texts = [None, "", "ushers", "he", "h e", "x  y x y", "sécurité 漢字 she", "#7; #59;", "shehers" * 500, "\0he\0"]
+    found = TermLists(lists)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    out = rows.withColumn("_bits", found.scan(F.col("text"))).select("id", *(found.has(F.col("_bits"), x).alias(x) for x in lists), found.has(F.col("_bits"), "a", "c").alias("ac"))
+    for r in out.collect():
+        text = texts[r.id]
+        want = {x: None if text is None else any(t in text for t in terms) for x, terms in lists.items()}
+        assert {x: r[x] for x in lists} == want and r.ac == (None if text is None else want["a"] or want["c"])
+    with pytest.raises(ValueError):
+        TermLists({str(i): ["x"] for i in range(64)})
+    with pytest.raises(ValueError):
+        TermLists({"a": [""]})
