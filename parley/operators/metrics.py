@@ -94,25 +94,54 @@ def grams(tokens: Column, n: int) -> Column:
     return tx.let(tokens, windows_of)
 
 
+def overlap(left: Column, right: Column) -> Column:
+    """The size of the multiset intersection of two arrays of strings: both are sorted as one, and each run of equal ones adds the smaller of its two counts."""
+    side = lambda values, own: F.transform(values, lambda g: F.struct(g.alias("g"), F.lit(own).alias("own")))
+    state = lambda g, a, b, n: F.struct(g.alias("g"), a.alias("a"), b.alias("b"), n.alias("n"))
+    none = F.lit(0)
+
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["g"].eqNullSafe(x["g"])
+        before = lambda c: F.when(same, acc[c]).otherwise(none)
+        done = F.when(same, none).otherwise(F.least(acc["a"], acc["b"]))
+        return state(x["g"], before("a") + x["own"], before("b") + 1 - x["own"], acc["n"] + done)
+
+    both = F.array_sort(F.concat(side(left, 1), side(right, 0)))
+    return F.aggregate(both, state(F.lit(None).cast("string"), none, none, none), step, lambda acc: acc["n"] + F.least(acc["a"], acc["b"]))
+
+
+def _clipped(reference: Column, hypothesis: Column, n: int) -> Column:
+    """o, r, h: the overlap of the n-grams of two token arrays, and how many there are."""
+    sizes = lambda r, h: F.struct(overlap(r, h).alias("o"), F.size(r).alias("r"), F.size(h).alias("h"))
+    return tx.let(F.struct(grams(reference, n).alias("r"), grams(hypothesis, n).alias("h")), lambda x: sizes(x["r"], x["h"]))
+
+
+def _prf(o: Column, r: Column, h: Column) -> tuple[Column, Column, Column]:
+    p, r = ratio(o, h), ratio(o, r)
+    return p, r, ratio(2 * p * r, p + r)
+
+
+def _bleu(c: Column) -> Column:
+    """From the counts of unigrams."""
+    penalty = F.when(c["h"] > c["r"], 1.0).otherwise(F.exp(1 - ratio(c["r"], c["h"])))
+    return F.when((c["h"] == 0) | (c["r"] == 0), 0.0).otherwise(penalty * ratio(c["o"], c["h"]))
+
+
+def _tokenised(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    return pairs.withColumns({"_r": tx.word_tokens(F.col(reference)), "_h": tx.word_tokens(F.col(hypothesis))})
+
+
 def rouge_n(pairs: DataFrame, n: int, key: str = "id", reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
-    """key, precision, recall, f1 of the clipped n-gram overlap; 0 where either has no n-gram. One shuffle, on the key."""
-    both = pairs.select(key, grams(tx.word_tokens(F.col(reference)), n).alias("_r"), grams(tx.word_tokens(F.col(hypothesis)), n).alias("_h"))
-    # Both sides in one explode; a row without n-grams keeps its key by a null gram.
-    named = lambda c, r, h: F.transform(c, lambda g: F.struct(g.alias("gram"), F.lit(r).alias("r"), F.lit(h).alias("h")))
-    none = F.array(F.struct(F.lit(None).cast("string").alias("gram"), F.lit(0).alias("r"), F.lit(0).alias("h")))
-    counts = both.select(key, F.explode(F.concat(named("_r", 1, 0), named("_h", 0, 1), none)).alias("_g")).select(key, "_g.*")
-    cells = counts.repartition(key).groupBy(key, "gram").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
-    sums = cells.groupBy(key).agg(F.sum(F.least("r", "h")).alias("_o"), F.sum("r").alias("_r"), F.sum("h").alias("_h"))
-    p, r = ratio(F.col("_o"), F.col("_h")), ratio(F.col("_o"), F.col("_r"))
-    return sums.select(key, p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
+    """key, precision, recall, f1 of the clipped n-gram overlap; 0 where either has no n-gram. All within the row."""
+    counted = _tokenised(pairs, reference, hypothesis).select(key, _clipped(F.col("_r"), F.col("_h"), n).alias("_c"))
+    p, r, f1 = _prf(F.col("_c.o"), F.col("_c.r"), F.col("_c.h"))
+    return counted.select(key, p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
 def bleu_1(pairs: DataFrame, key: str = "id", reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """key, bleu: clipped unigram precision with the brevity penalty."""
-    sizes = pairs.select(key, F.size(tx.word_tokens(F.col(reference))).alias("_nr"), F.size(tx.word_tokens(F.col(hypothesis))).alias("_nh"))
-    penalty = F.when(F.col("_nh") > F.col("_nr"), 1.0).otherwise(F.exp(1 - ratio(F.col("_nr"), F.col("_nh"))))
-    made = rouge_n(pairs, 1, key, reference, hypothesis).select(key, "precision").join(sizes, key)
-    return made.select(key, F.when((F.col("_nh") == 0) | (F.col("_nr") == 0), 0.0).otherwise(penalty * F.col("precision")).alias("bleu"))
+    counted = _tokenised(pairs, reference, hypothesis).select(key, _clipped(F.col("_r"), F.col("_h"), 1).alias("_c"))
+    return counted.select(key, _bleu(F.col("_c")).alias("bleu"))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -135,27 +164,31 @@ def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
 
 def rouge_l(pairs: DataFrame, key: str = "id", reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """key, lcs, precision, recall, f1."""
-    sized = pairs.select(key, tx.word_tokens(F.col(reference)).alias("_r"), tx.word_tokens(F.col(hypothesis)).alias("_h"))
-    made = sized.select(key, lcs("_r", "_h").alias("lcs"), F.size("_r").alias("_nr"), F.size("_h").alias("_nh"))
-    p, r = ratio(F.col("lcs"), F.col("_nh")), ratio(F.col("lcs"), F.col("_nr"))
-    return made.select(key, "lcs", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
+    made = _tokenised(pairs, reference, hypothesis).select(key, lcs("_r", "_h").alias("lcs"), F.size("_r").alias("_nr"), F.size("_h").alias("_nh"))
+    p, r, f1 = _prf(F.col("lcs"), F.col("_nr"), F.col("_nh"))
+    return made.select(key, "lcs", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+
+
+def _scores(pairs: DataFrame, reference: str, hypothesis: str, *carried: str) -> DataFrame:
+    """The carried columns, rouge_1, rouge_2, rouge_l (F1 each), bleu, _c and _t (characters and tokens of the hypothesis): one look at each pair."""
+    r, h = F.col("_r"), F.col("_h")
+    counted = _tokenised(pairs, reference, hypothesis).withColumns({"_one": _clipped(r, h, 1), "_two": _clipped(r, h, 2), "_l": lcs("_r", "_h")})
+    f1 = lambda c: _prf(c["o"], c["r"], c["h"])[2]
+    return counted.select(
+        *carried, f1(F.col("_one")).alias("rouge_1"), f1(F.col("_two")).alias("rouge_2"), _prf(F.col("_l"), F.size(r), F.size(h))[2].alias("rouge_l"),
+        _bleu(F.col("_one")).alias("bleu"), F.char_length(hypothesis).alias("_c"), F.size(h).alias("_t"),
+    )
 
 
 def reply_scores(pairs: DataFrame, key: str = "id", reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """key, rouge_1, rouge_l (F1 each) and bleu."""
-    one = rouge_n(pairs, 1, key, reference, hypothesis).select(key, F.col("f1").alias("rouge_1"))
-    longest = rouge_l(pairs, key, reference, hypothesis).select(key, F.col("f1").alias("rouge_l"))
-    return one.join(longest, key).join(bleu_1(pairs, key, reference, hypothesis), key)
+    return _scores(pairs, reference, hypothesis, key).select(key, "rouge_1", "rouge_l", "bleu")
 
 
 def reply_metrics(pairs: DataFrame, key: str = "id", reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """One row of means over pairs; no row for no pairs."""
-    one, two = (rouge_n(pairs, n, key, reference, hypothesis).select(key, F.col("f1").alias(f"rouge_{n}")) for n in (1, 2))
-    longest = rouge_l(pairs, key, reference, hypothesis).select(key, F.col("f1").alias("rouge_l"))
-    sizes = pairs.select(key, F.char_length(hypothesis).alias("_c"), F.size(tx.word_tokens(F.col(hypothesis))).alias("_t"))
-    whole = sizes.join(one, key).join(two, key).join(longest, key).join(bleu_1(pairs, key, reference, hypothesis), key)
     names = {"rouge_1": "rouge_1", "rouge_2": "rouge_2", "rouge_l": "rouge_l", "bleu": "bleu", "_c": "mean_chars", "_t": "mean_tokens"}
-    return whole.agg(*(F.avg(k).alias(v) for k, v in names.items()), F.count(F.lit(1)).alias("pairs")).where("pairs > 0")
+    return _scores(pairs, reference, hypothesis).agg(*(F.avg(k).alias(v) for k, v in names.items()), F.count(F.lit(1)).alias("pairs")).where("pairs > 0")
 
 
 # Agreement of two raters; rows have `by` columns and the numbers t and p.
@@ -171,39 +204,84 @@ def _pearson(t: str, p: str) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0))))
 
 
-def average_rank(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """The rank from 1 by value; ties share the mean of their places.
+#: Ranges of equal width that values are counted in, before the order within each.
+RANGES = 1024
+
 
-    From counts of distinct values: the order over rows of a group is only over its distinct values.
+def _ranks(counted: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """by, value and the mean of the places from 1 of its rows, from counts `_c` of distinct values.
+
+    Counts of ranges of values are added up first, at most RANGES + 1 for a group, then those within a range: a group of
+    many distinct values is spread over as many tasks.
     """
-    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counted.withColumn(name, F.coalesce(before, F.lit(0)) + (F.col("_c") + 1) / 2).drop("_c")
-    return rows.join(ranks, [*by, value])
+    v = F.col(value).cast("double")
+    span = counted.agg(F.min(v).alias("_low"), F.max(v).alias("_high"))  # one row
+    place = F.coalesce(F.floor((v - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * RANGES), F.lit(0))
+    ranged = counted.join(F.broadcast(span)).withColumn("_range", place).drop("_low", "_high")
+    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_s")).select(*by, "_range", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_before"))
+    within = F.sum("_c").over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    summed = ranged.withColumn("_upto", within).join(before, [*by, "_range"])
+    return summed.select(*by, value, (F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / F.lit(2.0)).alias(name))
+
+
+def average_rank(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """The rank from 1 by value within a group; ties share the mean of their places. Rows without a value are left out."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    return rows.join(_ranks(counted, by, value, name), [*by, value])
+
+
+def _pair_counts(rows: DataFrame, by: list[str], t: str, p: str) -> DataFrame:
+    """by, t, p, _c: how often each pair of ratings stands in a group; all figures of agreement follow from that."""
+    return rows.groupBy(*by, t, p).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _spearman(pairs: DataFrame, by: list[str], t: str, p: str) -> DataFrame:
+    """The correlation of ranks from counts of pairs. The mean rank is known, so the sums are of what differs from it."""
+    whole = pairs.where(F.col(t).isNotNull() & F.col(p).isNotNull())
+    ranked = whole
+    for value, name in ((t, "_rt"), (p, "_rp")):
+        ranked = ranked.join(_ranks(whole.groupBy(*by, value).agg(F.sum("_c").alias("_c")), by, value, name), [*by, value])
+    c, x, y = F.col("_c"), F.col("_rt").cast("double"), F.col("_rp").cast("double")
+    sums = ranked.groupBy(*by).agg(
+        F.sum("_c").alias("_n"), F.sum(c * x * y).alias("_xy"), F.sum(c * x * x).alias("_xx"), F.sum(c * y * y).alias("_yy"),
+    )
+    square = F.col("_n") * (F.col("_n") + 1.0) * (F.col("_n") + 1.0) / 4
+    xy, xx, yy = (F.col(k) - square for k in ("_xy", "_xx", "_yy"))
+    # Ranks are halves of whole numbers, so where all are equal nothing is left.
+    r = F.when((xx > 0) & (yy > 0), xy / F.sqrt(F.when(xx > 0, xx).otherwise(1.0) * F.when(yy > 0, yy).otherwise(1.0))).otherwise(0.0)
+    return sums.select(*by, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("spearman"))
 
 
 def spearman(rows: DataFrame, by: list[str], t: str = "t", p: str = "p") -> DataFrame:
-    return pearson(average_rank(average_rank(rows, by, t, "_rt"), by, p, "_rp"), by, "_rt", "_rp", "spearman")
+    return _spearman(_pair_counts(rows, by, t, p), by, t, p)
 
 
-def kappa(t: Column, p: Column, low: int = 1, high: int = 5) -> Column:
-    """Quadratic weighted kappa as an aggregate; ratings are clipped. 0 for no rows, 1 if nothing is expected and seen."""
+def kappa(t: Column, p: Column, low: int = 1, high: int = 5, times: Column | None = None) -> Column:
+    """Quadratic weighted kappa as an aggregate; ratings are clipped. 0 for no rows, 1 if nothing is expected and seen. times: how often a row counts."""
     t, p = (F.greatest(F.lit(low), F.least(F.lit(high), x)).cast("double") for x in (t, p))
-    n = F.count(t)
-    seen = F.sum((t - p) * (t - p))
-    expected = F.sum(t * t) + F.sum(p * p) - 2 * F.sum(t) * F.sum(p) / F.nullif(n, F.lit(0))
+    c = F.lit(1) if times is None else times
+    n = F.sum(F.when(t.isNotNull(), c))
+    seen = F.sum(c * (t - p) * (t - p))
+    expected = F.sum(c * t * t) + F.sum(c * p * p) - 2 * F.sum(c * t) * F.sum(c * p) / F.nullif(n, F.lit(0))
     flat = F.abs(expected) < 1e-12
-    return F.when(n == 0, 0.0).when(flat, F.when(seen == 0, 1.0).otherwise(0.0)).otherwise(
+    return F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).when(flat, F.when(seen == 0, 1.0).otherwise(0.0)).otherwise(
         1 - seen / F.nullif(F.when(flat, 0.0).otherwise(expected), F.lit(0.0))
     )
 
 
 def agreement(rows: DataFrame, by: list[str]) -> DataFrame:
-    """n, pearson, spearman, kappa, exact, within_one, mae for each group."""
-    d = F.abs(F.col("t") - F.col("p"))
-    plain = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), _pearson("t", "p").alias("pearson"), kappa(F.col("t"), F.col("p")).alias("kappa"), F.avg(
-            (d == 0).cast("double")
-        ).alias("exact"), F.avg((d <= 1).cast("double")).alias("within_one"), F.avg(d.cast("double")).alias("mae")
+    """n, pearson, spearman, kappa, exact, within_one, mae of ratings (whole numbers) for each group, all from counts of pairs."""
+    pairs = _pair_counts(rows, by, "t", "p")
+    t, p, c = F.col("t").cast("double"), F.col("p").cast("double"), F.col("_c")
+    d = F.abs(t - p)
+    share = lambda x: F.sum(c * x) / F.sum(F.when(x.isNotNull(), c))
+    both = F.when(t.isNotNull() & p.isNotNull(), c)
+    n, x, y = F.sum(both), F.sum(both * t), F.sum(both * p)
+    xx, yy = n * F.sum(both * t * t) - x * x, n * F.sum(both * p * p) - y * y
+    r = F.coalesce((n * F.sum(both * t * p) - x * y) / F.nullif(F.sqrt(xx * yy), F.lit(0.0)), F.lit(0.0))
+    plain = pairs.groupBy(*by).agg(
+        F.sum("_c").alias("n"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("pearson"), kappa(F.col("t"), F.col("p"), times=c).alias("kappa"),
+        share((d == 0).cast("double")).alias("exact"), share((d <= 1).cast("double")).alias("within_one"), share(d).alias("mae"),
     )
-    return plain.join(spearman(rows, by), by)
+    return plain.join(_spearman(pairs, by, "t", "p"), by)

@@ -132,3 +132,44 @@ def test_running(spark):
     share = {r.k: r.share for r in windows.running_share(frame, "k", "hit").collect()}
     place = {r.k: r.pos for r in windows.position(frame, "k").collect()}
     assert {k: (place[k], share[k]) for k in keys} == want
+
+
+def exchanges(rows):
+    return rows._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_overlap_of_multisets(spark):
+    """Against counters, with repeated tokens, empty and null texts; nothing is shuffled, and a pair is read once."""
+    from collections import Counter
+
+    rng = random.Random(6)
+    make = lambda: " ".join(rng.choice(["a", "b", "B", "é", "x_1"]) for _ in range(rng.randint(0, 12)))
+    texts = [(make(), make()) for _ in range(60)] + [(None, "a"), ("a", None), ("", ""), ("a " * 3000, "a b " * 2000)]
+    pairs = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "id int, reference string, hypothesis string")
+    for n in (1, 2, 3):
+        found = metrics.rouge_n(pairs, n)
+        assert exchanges(found) == 0
+        for r in found.collect():
+            split = [(x or "").lower().split() for x in texts[r.id]]
+            a, b = (Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in split)
+            o, na, nb = sum((a & b).values()), sum(a.values()), sum(b.values())
+            assert (r.precision, r.recall) == (o / nb if nb else 0, o / na if na else 0)
+    assert exchanges(metrics.bleu_1(pairs)) == exchanges(metrics.reply_scores(pairs)) == 0
+    assert exchanges(metrics.reply_metrics(pairs)) == 1
+
+
+def test_ranks_of_many_values(spark):
+    """A continuous value in one group, ties, a skewed range and nulls, against pandas."""
+    import pandas as pd
+
+    rng = random.Random(7)
+    rows = [("a", rng.random(), rng.choice([1.0, 2.0, 3.0])) for _ in range(3000)] + [("b", rng.lognormvariate(0, 3), rng.lognormvariate(0, 3)) for _ in range(500)]
+    rows += [("c", 1.0, 2.0)] * 3 + [("d", 1.0, 5.0), ("d", 2.0, 4.0), ("e", -1e300, 1.0), ("e", 1e300, 2.0), ("f", 7.0, 7.0)]
+    table = spark.createDataFrame(rows + [("a", None, 1.0), ("g", None, None)], "g string, t double, p double").repartition(3)
+    frame = pd.DataFrame(rows, columns=["g", "t", "p"])
+    want = sorted(zip(frame.g, frame.groupby("g").t.rank(), frame.t))
+    assert sorted((r.g, r.k, r.t) for r in metrics.average_rank(table, ["g"], "t", "k").collect()) == want
+    found = {r.g: r.spearman for r in metrics.spearman(table, ["g"]).collect()}
+    for name, part in frame.groupby("g"):
+        r = part.t.rank().corr(part.p.rank()) if len(part) > 1 else 0.0
+        assert found[name] == pytest.approx(0.0 if r != r else r, abs=1e-12)
