@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.functions import text as tx
 from parley.operators import windows
@@ -110,6 +111,54 @@ def roots(tweets: DataFrame, brand: str, customers: DataFrame | None = None) ->
     return (customers or needed_customers(tweets, brand)).join(own, F.col("in_response_to_tweet_id") == F.col("_brand_id"), "left_anti")
 
 
+#: Messages with a common parent are dealt to so many groups where only one thing is asked of the parent.
+SALT = 16
+
+
+def linked(tweets: DataFrame, brand: str) -> DataFrame:
+    """root (file_pos, said), reply (said) and follow, an array of (file_pos, said, reply) in order: each customer's message that opens a thread.
+
+    Every message is read once and gives a row for each part it plays: itself, the answer to its parent, and a mention of the messages
+    that it answers or is answered by. Grouped by the id that a row is about, that tells which messages the brand refers to and its first answer to
+    each. Customers' messages then meet what has their parent's id: those with a parent of the brand go on after it, all others are
+    roots, if they were answered. Last, roots and what goes on meet at the brand's answer. Three shuffles.
+    """
+    own, tweet, parent = F.col("author_id") == brand, F.col("tweet_id"), F.col("in_response_to_tweet_id")
+    said = F.struct(*_SAID)
+    message = F.struct("file_pos", said.alias("said"), parent.alias("parent"), own.alias("own"))
+    answer = F.struct("file_pos", said.alias("said"))
+    part = lambda key, m=None, a=None: F.struct(
+        key.alias("key"), (F.lit(None) if m is None else m).cast(_type(tweets, message)).alias("m"), (F.lit(None) if a is None else a).cast(_type(tweets, answer)).alias("a"),
+    )
+    ids = F.filter(F.transform(F.split("response_tweet_id", ","), tx.strip), lambda x: x != "")
+    parts = F.concat(
+        F.array(part(tweet, m=message)), F.when(own, F.array(part(parent, a=answer))).otherwise(F.array()),
+        F.when(own, F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda x: part(x))).otherwise(F.array()),
+    )
+    rows = tweets.select(F.explode(parts).alias("_p")).select("_p.*").where("key is not null")
+    met = rows.groupBy("key").agg(
+        F.collect_list("m").alias("m"), F.min_by("a", F.col("a.file_pos")).alias("a"), (F.count(F.lit(1)) > F.count("m")).alias("referred"),
+    )
+    # The brand's own messages, and the customers' that the brand refers to.
+    known = met.select(F.explode("m").alias("m"), "a", "referred").where("m.own or referred").select(
+        F.col("m.own").alias("own"), F.col("m.parent").alias("parent"), F.struct(F.col("m.file_pos").alias("file_pos"), F.col("m.said").alias("said"), F.col("a.said").alias("reply")).alias("c"),
+    )
+    # Only a message without a parent has its own id here; the brand's are at every salt of theirs.
+    place = F.when(F.col("own"), F.col("c.said.tweet_id")).when(F.col("parent").isNotNull(), F.col("parent")).otherwise(F.col("c.said.tweet_id"))
+    salts = F.when(F.col("own"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.pmod(F.hash("c.said.tweet_id"), F.lit(SALT))))
+    placed = known.select("own", "parent", "c", place.alias("_at"), F.explode(salts).alias("_salt"))
+    after_brand = F.max(F.col("own")).over(Window.partitionBy("_at", "_salt"))
+    judged = placed.withColumn("_on", F.col("parent").isNotNull() & after_brand).where(~F.col("own"))
+    ends = judged.where("_on or c.reply is not null").select(F.when(F.col("_on"), F.col("_at")).otherwise(F.col("c.reply.tweet_id")).alias("_to"), "_on", "c")
+    return ends.groupBy("_to").agg(
+        F.collect_list(F.when(~F.col("_on"), F.col("c"))).alias("_roots"), F.array_sort(F.collect_list(F.when(F.col("_on"), F.col("c")))).alias("follow"),
+    ).select(F.explode("_roots").alias("root"), "follow")
+
+
+def _type(rows: DataFrame, column: Column) -> T.DataType:
+    return rows.select(column.alias("_x")).schema["_x"].dataType
+
+
 def rebuild(tweets: DataFrame, brand: str, limit: int | None = None, prefix: str = "thread") -> DataFrame:
     """Threads out of flat messages (file_pos is their order): thread_id and the exchange with its further turns.
 
@@ -117,15 +166,6 @@ def rebuild(tweets: DataFrame, brand: str, limit: int | None = None, prefix: str
     is the first by file_pos. Customers' messages that follow that answer come next, each with the brand's first
     answer to it. Threads are numbered by the roots' file_pos; limit keeps the first so many.
     """
-    seen = tweets.withColumn("inbound", is_inbound(F.col("inbound")))
-    said = F.struct(*_SAID)
-    answers = first_replies(seen, brand).withColumnRenamed("answer", "_answer")
-    # One join serves both: what opens a thread, and what goes on after an answer.
-    customers = needed_customers(seen, brand).join(answers, F.col("tweet_id") == F.col("parent"), "left")
-    opened = roots(seen, brand, customers.where(F.col("_answer").isNotNull()))
-    replying = customers.where(F.col("in_response_to_tweet_id").isNotNull())
-    listed = F.collect_list(F.struct("file_pos", said.alias("said"), F.col("_answer").alias("reply")))
-    follow = replying.groupBy(F.col("in_response_to_tweet_id").alias("_to")).agg(F.array_sort(listed).alias("_follow"))
 
     def turn(x: Column, role: str) -> Column:
         return F.struct(
@@ -133,24 +173,19 @@ def rebuild(tweets: DataFrame, brand: str, limit: int | None = None, prefix: str
             x["inbound"].alias("inbound"), x["created_at"].alias("created_at"),
         )
 
-    more = F.flatten(
-        F.transform(
-            F.coalesce("_follow", F.array()),
-            lambda x: F.when(
-                x["reply"].isNotNull(), F.array(turn(x["said"], "customer"), turn(x["reply"], "agent")),
-            ).otherwise(F.array(turn(x["said"], "customer"))),
-        )
-    )
-    threads = opened.join(follow, F.col("_answer.tweet_id") == F.col("_to"), "left").withColumn("_said", said)
-    turns = F.concat(F.array(turn(F.col("_said"), "customer"), turn(F.col("_answer"), "agent")), more)
-    out = threads.select(
-        "file_pos", F.col("tweet_id").alias("customer_tweet_id"), F.col("author_id").alias("customer_author_id"),
-        F.col("text").alias("customer_text"), F.col("_answer.tweet_id").alias("brand_tweet_id"),
-        F.col("_answer.author_id").alias("brand_author_id"), F.col("_answer.text").alias("brand_text"), "created_at", turns.alias("turns"),
+    said, reply = F.col("root.said"), F.col("root.reply")
+    both = lambda x: F.array(turn(x["said"], "customer"), turn(x["reply"], "agent"))
+    more = F.flatten(F.transform("follow", lambda x: F.when(x["reply"].isNotNull(), both(x)).otherwise(F.array(turn(x["said"], "customer")))))
+    out = linked(tweets.withColumn("inbound", is_inbound(F.col("inbound"))), brand).select(
+        F.col("root.file_pos").alias("file_pos"), said["tweet_id"].alias("customer_tweet_id"), said["author_id"].alias("customer_author_id"),
+        said["text"].alias("customer_text"), reply["tweet_id"].alias("brand_tweet_id"), reply["author_id"].alias("brand_author_id"),
+        reply["text"].alias("brand_text"), said["created_at"].alias("created_at"), F.concat(both(F.col("root")), more).alias("turns"),
     )
-    if limit is not None:
-        out = out.orderBy("file_pos").limit(limit)
-    return numbered(out, "file_pos", prefix).withColumn("turn_count", F.size("turns"))
+    if limit is None:
+        return numbered(out, "file_pos", prefix).withColumn("turn_count", F.size("turns"))
+    # At most limit rows, which a sort with a limit leaves in one task.
+    number = F.row_number().over(Window.orderBy("file_pos"))
+    return out.orderBy("file_pos").limit(limit).withColumn("thread_id", F.format_string(f"{prefix}_%05d", number)).withColumn("turn_count", F.size("turns"))
 
 
 def numbered(rows: DataFrame, order: str, prefix: str) -> DataFrame:

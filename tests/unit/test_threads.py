@@ -312,3 +312,55 @@ def test_stream(spark, tmp_path):
     live.processAllAvailable()
     assert spark.table(live.name).count() == 3
     live.stop()
+
+
+def rebuilt(rows, brand):
+    """The same by dictionaries, in the order of the messages."""
+    own = [r for r in rows if r["author_id"] == brand]
+    brand_ids = {r["tweet_id"] for r in own}
+    referred = {r["in_response_to_tweet_id"] for r in own} | {x.strip() for r in own for x in (r["response_tweet_id"] or "").split(",")}
+    answer: dict = {}
+    for r in own:
+        answer.setdefault(r["in_response_to_tweet_id"], r)
+    customers = [r for r in rows if r["author_id"] != brand and r["tweet_id"] in referred]
+    out = []
+    for r in customers:
+        if r["tweet_id"] not in answer or r["in_response_to_tweet_id"] in brand_ids:
+            continue
+        main = answer[r["tweet_id"]]
+        turns = [r["tweet_id"], main["tweet_id"]]
+        for c in customers:
+            if c["in_response_to_tweet_id"] == main["tweet_id"]:
+                turns += [c["tweet_id"]] + ([answer[c["tweet_id"]]["tweet_id"]] if c["tweet_id"] in answer else [])
+        out.append(turns)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rebuild_of_any_messages(spark, seed):
+    """Random references, also to messages that aren't there, to oneself and in circles; a third of all have one parent."""
+    rng = random.Random(seed)
+    ids = [str(i) for i in range(120)]
+    pick = lambda: rng.choice([None, "7", "8", rng.choice(ids), rng.choice(ids), "lost"])
+    rows = [
+        {
+            "tweet_id": x, "author_id": rng.choice(["Brand", "Brand", "a", "b", None]), "inbound": None, "created_at": "t", "text": f"text {x}",
+            "response_tweet_id": rng.choice([None, "", f"{pick()}, ,{pick()}"]), "in_response_to_tweet_id": pick(), "file_pos": i,
+        } for i, x in enumerate(rng.sample(ids, len(ids)))
+    ]
+    for r in rows:
+        r["author_id"] = r["author_id"] or "c"
+    schema = ", ".join(f"{c} {'long' if c == 'file_pos' else 'string'}" for c in rows[0])
+    table = spark.createDataFrame(rows, schema).repartition(3)
+    made = threads.rebuild(table, "Brand").orderBy("thread_id").collect()
+    want = rebuilt(rows, "Brand")
+    assert [[t.tweet_id for t in r.turns] for r in made] == want
+    assert [r.thread_id for r in made] == [f"thread_{i + 1:05d}" for i in range(len(want))]
+    assert [r.customer_tweet_id for r in threads.rebuild(table, "Brand", 5).orderBy("thread_id").collect()] == [t[0] for t in want[:5]]
+
+
+def test_linking_reads_messages_once(spark, tmp_path):
+    rows = spark.createDataFrame([], "tweet_id string, author_id string, inbound boolean, created_at string, text string, response_tweet_id string, in_response_to_tweet_id string, file_pos long")
+    rows.write.parquet(str(tmp_path / "m"))
+    plan = threads.linked(spark.read.parquet(str(tmp_path / "m")), "Brand")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange ") <= 3
