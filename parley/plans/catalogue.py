@@ -13,8 +13,9 @@ from parley.operators import judge as jd
 from parley.operators import threads as th
 from parley.operators.index import SearchIndex
 from parley.plans import base
-from parley.session import shared_dir
+from parley.session import share_code, shared_dir
 from parley.sources import files
+from parley.streaming import running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -603,3 +604,31 @@ def resume_pending(spark, sf_dir):
 def running_accuracy(spark, sf_dir):
     rows = _labelled(spark, sf_dir).select("thread_id", "pos", (F.col("gold_intent") == F.col("predicted_intent")).alias("hit"))
     return _rounded(windows.running_share(rows, "pos", "hit", "accuracy").select("thread_id", "accuracy"), "accuracy")
+
+
+@query
+def running_accuracy_stream(spark, sf_dir):
+    """The same over a stream whose rows come in no order; a last row, far later, lets all others go."""
+    share_code(spark)
+    folder = f"{shared_dir(spark)}/running-{uuid.uuid4().hex}"
+    rows = _labelled(spark, sf_dir).select(
+        "thread_id", F.lit("all").alias("run"), F.timestamp_seconds(F.col("pos") * 60).alias("at"), "pos", (F.col("gold_intent") == F.col("predicted_intent")).alias("hit"),
+    )
+    rows.repartition(4, F.xxhash64("pos")).write.parquet(f"{folder}/in")
+    rows.agg(F.lit("").alias("thread_id"), F.lit("all").alias("run"), (F.max("at") + F.expr("interval 900000 days")).alias("at"), F.lit(-1).cast("long").alias("pos"), F.lit(True).alias("hit")).write.mode(
+        "append",
+    ).parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/in")
+    before = {k: spark.conf.get(k, None) for k in running.STORE}
+    try:
+        for k, v in running.STORE.items():
+            spark.conf.set(k, v)
+        # Whatever comes first, nothing is late: the order of the files has no say.
+        made = running.running_share(stream, "run", "at", "pos", "hit", "800000 days", "accuracy")
+        query = made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    found = spark.read.schema(made.schema).parquet(f"{folder}/out").where("pos >= 0")
+    return _rounded(spark.read.parquet(f"{folder}/in").where("pos >= 0").join(found, "pos").select("thread_id", "accuracy"), "accuracy")

@@ -316,7 +316,8 @@ SQL: dict[str, str] = {
     "resume_pending": f"{
         LABELLED
     } {_CACHED} SELECT thread_id FROM exchanges WHERE thread_id NOT IN (SELECT thread_id FROM cached WHERE predicted_intent <> '' AND predicted_reply <> '')",
-    "running_accuracy": f"{
-        LABELLED
-    } SELECT thread_id, round(avg(CAST(gold_intent = predicted_intent AS INT)) OVER (ORDER BY pos), 6) AS accuracy FROM labelled",
+    **dict.fromkeys(
+        ["running_accuracy", "running_accuracy_stream"],
+        f"{LABELLED} SELECT thread_id, round(avg(CAST(gold_intent = predicted_intent AS INT)) OVER (ORDER BY pos), 6) AS accuracy FROM labelled",
+    ),
 }
