@@ -615,7 +615,7 @@ def running_accuracy_stream(spark, sf_dir):
         "thread_id", F.lit("all").alias("run"), F.timestamp_seconds(F.col("pos") * 60).alias("at"), "pos", (F.col("gold_intent") == F.col("predicted_intent")).alias("hit"),
     )
     rows.repartition(4, F.xxhash64("pos")).write.parquet(f"{folder}/in")
-    rows.agg(F.lit("").alias("thread_id"), F.lit("all").alias("run"), (F.max("at") + F.expr("interval 900000 days")).alias("at"), F.lit(-1).cast("long").alias("pos"), F.lit(True).alias("hit")).write.mode(
+    rows.agg(F.lit("").alias("thread_id"), F.lit("all").alias("run"), (F.max("at") + F.expr("interval 45000 days")).alias("at"), F.lit(-1).cast("long").alias("pos"), F.lit(True).alias("hit")).write.mode(
         "append",
     ).parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/in")
@@ -624,7 +624,7 @@ def running_accuracy_stream(spark, sf_dir):
         for k, v in running.STORE.items():
             spark.conf.set(k, v)
         # Whatever comes first, nothing is late: the order of the files has no say.
-        made = running.running_share(stream, "run", "at", "pos", "hit", "800000 days", "accuracy")
+        made = running.running_share(stream, "run", "at", "pos", "hit", "40000 days", "accuracy")
         query = made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
