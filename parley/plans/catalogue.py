@@ -612,7 +612,7 @@ def running_accuracy_stream(spark, sf_dir):
     share_code(spark)
     folder = f"{shared_dir(spark)}/running-{uuid.uuid4().hex}"
     rows = _labelled(spark, sf_dir).select(
-        "thread_id", F.lit("all").alias("run"), F.timestamp_seconds(F.col("pos") * 60).alias("at"), "pos", (F.col("gold_intent") == F.col("predicted_intent")).alias("hit"),
+        "thread_id", F.lit("all").alias("run"), F.timestamp_seconds(F.col("pos") * 60 + 86_400).alias("at"), "pos", (F.col("gold_intent") == F.col("predicted_intent")).alias("hit"),
     )
     rows.repartition(4, F.xxhash64("pos")).write.parquet(f"{folder}/in")
     rows.agg(F.lit("").alias("thread_id"), F.lit("all").alias("run"), (F.max("at") + F.expr("interval 45000 days")).alias("at"), F.lit(-1).cast("long").alias("pos"), F.lit(True).alias("hit")).write.mode(

@@ -72,7 +72,7 @@ def running_share(rows: DataFrame, by: str, time: str, position: str, hit: str,
     """by, position, hits, n and the share of rows with a true `hit` up to this one, by time and then position, within `by`.
 
     rows is a stream with a timestamp `time`. A row is given out when no earlier one is expected any more: `late` after the
-    latest time that was seen; what comes after that isn't counted. The session needs the settings of STORE.
+    latest time that was seen; what comes after that isn't counted, nor is anything up to the start of 1970, where the watermark begins. The session needs the settings of STORE.
     """
     taken = rows.withWatermark(time, late).select(
         F.col(by), F.col(time), F.unix_millis(time).alias("ms"), F.col(position).cast("long").alias("pos"), F.coalesce(F.col(hit), F.lit(False)).alias("hit"),
