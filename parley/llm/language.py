@@ -8,8 +8,9 @@ driver on at most `sample` rows of each language and about `total` rows in all,
 (documented bounds: with n languages each has at most max(20, total / n) rows); every whole text is judged. Every value of
 lang is learned; more than `languages` different ones are an error, so that none is left out unseen.
 
-Languages that FAMILIES doesn't name form a family of their own ("other"). A family of more than LARGEST languages is
-split, in their order, so the number of pair machines grows with the languages, not with their square; the model that
+Languages that FAMILIES doesn't name form a family of their own ("other"). A family of more than LARGEST languages becomes
+several, by likeness: the languages with the most similar trigrams are put together first, so those that are easily mixed up have a machine
+for their pair. The number of pair machines grows with the languages, not with their square; the model that
 is broadcast has at most languages * (LARGEST + 1) / 2 machines of 2 ** BITS weights (100 MB at the default). Rows that repeat
 a key, a text and a language are learned from once. Of equal votes and margins the first language in order wins. Defined cases: text that is null or
 has no letter is `und` with score 0; so is all if nothing was learned. A single family or language needs no machine and
@@ -125,23 +126,45 @@ def _machine(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 150) ->
     return Machine(w, b)
 
 
-def families_of(languages: list[str], largest: int = LARGEST) -> dict[str, list[str]]:
-    """The languages by family, in order; a family of more than largest is split into numbered ones."""
+def alike(profiles: np.ndarray, largest: int) -> list[list[int]]:
+    """Groups of at most largest rows: again and again the two groups with the most similar members (on average) that fit into one are joined."""
+    roots = np.sqrt(profiles)
+    like = roots @ roots.T / np.maximum(1e-12, np.outer(*[np.linalg.norm(roots, axis=1)] * 2))
+    groups: list[list[int]] = [[i] for i in range(len(profiles))]
+    near = like.copy()
+    np.fill_diagonal(near, -np.inf)
+    while True:
+        size = np.array([len(g) for g in groups])
+        open_ = np.where(size[:, None] + size[None, :] <= largest, near, -np.inf)
+        i, j = sorted(np.unravel_index(int(open_.argmax()), open_.shape)) if len(groups) > 1 else (0, 0)
+        if i == j or open_[i, j] == -np.inf:
+            return [sorted(g) for g in groups]
+        row = (near[i] * size[i] + near[j] * size[j]) / (size[i] + size[j])
+        groups[i] += groups.pop(j)
+        near[i], near[:, i] = row, row
+        near = np.delete(np.delete(near, j, 0), j, 1)
+        np.fill_diagonal(near, -np.inf)
+
+
+def families_of(profiles: dict[str, np.ndarray], largest: int = LARGEST) -> dict[str, list[str]]:
+    """The languages by family, in order; a family of more than largest becomes numbered ones of languages with similar profiles."""
     whole: dict[str, list[str]] = {}
-    for code in sorted(set(languages)):
+    for code in sorted(profiles):
         whole.setdefault(family_of(code), []).append(code)
     out: dict[str, list[str]] = {}
     for family, codes in whole.items():
-        parts = -(-len(codes) // largest)
-        for i in range(parts):
-            out[family if parts == 1 else f"{family}-{i + 1}"] = codes[len(codes) * i // parts : len(codes) * (i + 1) // parts]
+        if len(codes) <= largest:
+            out[family] = codes
+            continue
+        for i, group in enumerate(sorted(alike(np.stack([profiles[c] for c in codes]), largest))):
+            out[f"{family}-{i + 1}"] = [codes[j] for j in group]
     return out
 
 
 def fit(x: np.ndarray, languages: list[str], largest: int = LARGEST) -> Model:
     """x: a row of relative frequencies for each text; it is scaled in place."""
     named = np.array(languages)
-    families = families_of(languages, largest)
+    families = families_of({code: x[named == code].mean(axis=0, dtype=np.float64) for code in sorted(set(languages))}, largest)
     spread = np.concatenate([x[:, at : at + 256].std(axis=0) for at in range(0, x.shape[1], 256)])
     scale = (1 / (spread + 1e-4)).astype(np.float32) / np.float32(np.sqrt(x.shape[1]))
     x *= scale

@@ -362,7 +362,7 @@ def test_language_votes(spark):
     rng, texts = np.random.default_rng(5), ["der hund", "le chat noir", "x", "und und und", "die katze, das haus! " * 40]
     codes = ["de", "en", "nl", "fr", "es"]
     machine = lambda: language.Machine(rng.normal(size=1 << language.BITS).astype(np.float32), float(rng.normal()) / 10)
-    families = language.families_of(codes)
+    families = language.families_of({c: np.ones(4) for c in codes})
     pairs = [(a, b) for own in families.values() for i, a in enumerate(own) for b in own[i + 1 :]]
     model = language.Model(families, {f: machine() for f in families}, {p: machine() for p in pairs})
 
@@ -392,7 +392,12 @@ def test_language_votes(spark):
 def test_many_languages(spark):
     """Large families are split, so the machines grow with the languages; too many are an error, none is left out unseen."""
     codes = [f"q{i:03}" for i in range(100)] + ["de", "en"]
-    families = language.families_of(codes)
+    rng = np.random.default_rng(1)
+    profiles = {c: rng.dirichlet(np.full(60, 0.3)) for c in codes}
+    for i in range(50):  # far apart by name, with nearly the same trigrams
+        profiles[codes[i + 50]] = 0.97 * profiles[codes[i]] + 0.03 * rng.dirichlet(np.full(60, 0.3))
+    families = language.families_of(profiles)
+    assert all(any({codes[i], codes[i + 50]} <= set(own) for own in families.values()) for i in range(50))
     assert sorted(c for own in families.values() for c in own) == sorted(codes) and max(map(len, families.values())) <= language.LARGEST
     frame = spark.createDataFrame([(i, f"{c} {c}x{c} " * 5, c) for i, c in enumerate(codes[:30] * 4)], "doc_id long, text string, lang string")
     assert sum(map(len, language.train(frame).families.values())) == 30
