@@ -20,9 +20,7 @@ from parley.sources.batches import Batches, answered
 
 
 def _write(folder: str, name: str, text: str) -> None:
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, name), "w", encoding="utf-8") as out:
-        out.write(text + "\n")
+    files.write_text(SparkSession.active(), folder, name, text)
 
 
 def _corpus(spark: SparkSession, path: str, holdout: str | None) -> DataFrame:
@@ -71,7 +69,7 @@ def subsample(spark: SparkSession, a: argparse.Namespace) -> None:
     stats = threads.corpus_stats(kept.withColumns({"inbound": inbound, "outbound": F.size("turns") - inbound})).first().asDict()
     stats["turn_histogram"] = {str(r.turn_count): r.n for r in threads.turn_histogram(kept).collect()}
     stats |= {k: str(v) for k, v in threads.date_range(kept).first().asDict().items()}
-    _write(a.output_dir, "stats.json", json.dumps(stats, indent=2))
+    files.write_metrics(spark, a.output_dir, "stats.json", stats)
 
 
 def sample_gold(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -89,8 +87,8 @@ def sample_gold(spark: SparkSession, a: argparse.Namespace) -> None:
         a.output_jsonl,
     )
     ids = [r.thread_id for r in kept.select("thread_id").collect()]
-    _write(os.path.dirname(a.output_holdout) or ".", os.path.basename(a.output_holdout), "\n".join(ids))
-    _write(os.path.dirname(a.output_sampling_doc) or ".", os.path.basename(a.output_sampling_doc), report.sampling(kept, pool.count()))
+    _write(os.path.dirname(a.output_holdout), os.path.basename(a.output_holdout), "\n".join(ids))
+    _write(os.path.dirname(a.output_sampling_doc), os.path.basename(a.output_sampling_doc), report.sampling(kept, pool.count()))
 
 
 def _predicted(kind: str, gold: DataFrame, corpus: DataFrame, providers=None, pace: float = 0.0, index: SearchIndex | None = None) -> DataFrame:
@@ -126,7 +124,7 @@ def _evaluate(scored: DataFrame, folder: str, name: str) -> None:
     intent, escalation = metrics.multiclass(classes, lx.LABELS).first(), metrics.binary(decisions).first()
     replies, wrong = metrics.reply_metrics(pairs).first(), errors.roll_up(scored).first()
     found = {"intent": intent, "escalation": escalation, "replies": replies, "errors": wrong}
-    _write(folder, f"{name}.json", json.dumps({k: v.asDict() if v else {} for k, v in found.items()}, indent=2))
+    files.write_metrics(SparkSession.active(), folder, f"{name}.json", found)
     parts = [
         "# " + name, report.multiclass(classes, whole=intent), "```\n" + report.confusion(classes) + "\n```",
         report.binary(decisions, escalation), report.replies(pairs, replies), report.error_report(scored, whole=wrong),
@@ -264,7 +262,7 @@ def run_judge(spark: SparkSession, a: argparse.Namespace) -> None:
             )
         )
     )
-    same = rated.agg(F.avg((F.col("human_safety") == F.col("safe")).cast("double")).alias("s")).first().s or 0.0
+    same = metrics.safety_agreement(rated, "human_safety", "safe").first().agreement
     _write(a.output_dir, "agreement.md", report.agreement(rated.select(dims.alias("x")).select("x.*")) + f"\n\nSafety: {report.percent(same)} equal.")
 
 

@@ -104,3 +104,12 @@ def targets(rows: DataFrame) -> DataFrame:
 
 def _target(name: str, actual: Column, predicted: Column) -> Column:
     return F.struct(F.lit(name).alias("target"), actual.alias("actual"), predicted.alias("predicted"))
+
+
+def hand_over_rates(rows: DataFrame, reply: str = "reply") -> DataFrame:
+    """One row: deflection, the share kept by the agent of what needed no person, and soft_dm, the share of kept ones whose reply still names a private message."""
+    kept, soft = ~F.col("predicted_escalate"), F.lower(reply).contains("dm")
+    return rows.agg(
+        metrics.ratio(F.count_if(~F.col("gold_escalate") & kept), F.count_if(~F.col("gold_escalate"))).alias("deflection"),
+        metrics.ratio(F.count_if(kept & soft), F.count_if(kept)).alias("soft_dm"),
+    )

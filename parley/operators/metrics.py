@@ -285,3 +285,8 @@ def agreement(rows: DataFrame, by: list[str]) -> DataFrame:
         share((d == 0).cast("double")).alias("exact"), share((d <= 1).cast("double")).alias("within_one"), share(d).alias("mae"),
     )
     return plain.join(_spearman(pairs, by, "t", "p"), by)
+
+
+def safety_agreement(rows: DataFrame, one: str, other: str) -> DataFrame:
+    """One row: the share of rows where both say the same of what either could have said; 0 for none."""
+    return rows.agg(F.coalesce(F.avg((F.col(one) == F.col(other)).cast("double")), F.lit(0.0)).alias("agreement"))

@@ -385,13 +385,7 @@ def wilson_ci(spark, sf_dir):
 @query
 def deflection_soft_dm(spark, sf_dir):
     rows = _labelled(spark, sf_dir).withColumn("reply", rules.draft(F.col("predicted_intent"), F.col("predicted_reason"), F.col("brand_text")))
-    soft = F.lower("reply").contains("dm")
-    return _rounded(
-        rows.agg(
-            metrics.ratio(F.count_if(~F.col("gold_escalate") & ~F.col("predicted_escalate")), F.count_if(~F.col("gold_escalate"))).alias("deflection"),
-            metrics.ratio(F.count_if(~F.col("predicted_escalate") & soft), F.count_if(~F.col("predicted_escalate"))).alias("soft_dm"),
-        ), "deflection", "soft_dm"
-    )
+    return _rounded(agents.hand_over_rates(rows), "deflection", "soft_dm")
 
 
 def _pairs(spark, sf_dir):
@@ -459,8 +453,7 @@ def agreement_report(spark, sf_dir):
 
 @query
 def safety_agreement(spark, sf_dir):
-    rows = base.table(spark, sf_dir, "labels")
-    return _rounded(rows.agg(F.coalesce(F.avg((F.col("quality") == F.col("toxic")).cast("double")), F.lit(0.0)).alias("agreement")), "agreement")
+    return _rounded(metrics.safety_agreement(base.table(spark, sf_dir, "labels"), "quality", "toxic"), "agreement")
 
 
 # Judge and answers of models.

@@ -206,11 +206,11 @@ def text_lines(spark, sf_dir):
 
 @query(f"{oracles.SQL['multiclass_summary']}")
 def metrics_json(spark, sf_dir):
-    """One row of metrics as a JSON document."""
+    """Metrics as the commands write them, a JSON document, read back."""
     rows = base.exchanges(spark, sf_dir).select(F.col("gold_intent").alias("actual"), rules.intent(F.col("customer_text")).alias("predicted"))
     path = _folder(spark, "metrics")
-    metrics.multiclass(rows, lx.LABELS).coalesce(1).write.json(path)
-    return spark.read.option("multiLine", True).json(path).select(*(F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")))
+    files.write_metrics(spark, path, "metrics.json", {"intent": metrics.multiclass(rows, lx.LABELS).first(), "replies": None})
+    return spark.read.option("multiLine", True).json(f"{path}/metrics.json").select("intent.*").select(*(F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")))
 
 
 # Labels.

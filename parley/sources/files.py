@@ -1,8 +1,9 @@
 """Sources and sinks: flat message CSV, JSON lines and documents, id lists, resumable results."""
 
+import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,6 +114,20 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """A small text file in any store that Spark writes to, replaced as a whole."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder or '.'}/{name}")
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    stream.write(bytearray(text.encode() + b"\n"))
+    stream.close()
+
+
+def write_metrics(spark: SparkSession, folder: str, name: str, found: dict) -> None:
+    """A JSON document; rows become objects, and nothing an empty one."""
+    plain = {k: {} if v is None else v.asDict() if isinstance(v, Row) else v for k, v in found.items()}
+    write_text(spark, folder, name, json.dumps(plain, indent=2, ensure_ascii=False))
+
+
 def write_flat_csv(threads: DataFrame, path: str) -> None:
     """The scalar columns."""
     flat = [f.name for f in threads.schema if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))]
