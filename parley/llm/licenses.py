@@ -8,10 +8,11 @@ sentences that end or begin at the same piece the longest counts, and no piece c
 the text, form a sequence; the ordered rules name licenses by runs of identifiers in it. A rule takes the runs that it fits
 away from the later rules of its license family, so a text under two licenses of a family has both, and what is part of
 a longer run isn't named again. n_sentences counts pieces, as the SQL does, which knows sentences of one piece only.
-The table of sentences and the rules can be given by the caller.
+The table of sentences and the rules can be given by the caller. A license is also known by an SPDX tag, by its name in a project's own
+words and by its title; "All rights reserved" is a notice.
 
 Defined cases: null and empty texts have no sentence and no license; repeated sentences repeat their
-identifier, repeated rows their result; an empty table gives an empty result; other columns are ignored,
+identifier, repeated rows their result; whole texts are read, however long; an empty table gives an empty result; other columns are ignored,
 whatever their names; the key may be null.
 """
 
@@ -97,6 +98,7 @@ PUBLISHED = {
     ("CcBySa4",): [
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
         "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License",
+        "This file is licensed under the Creative Commons Attribution-Share Alike 4.0 International license",
     ],
     ("Cc0",): ["CC0 1.0 Universal"],
     ("Lgpl3OrLater",): [
@@ -156,6 +158,44 @@ RULES = [
     ("epl", "EPL-2.0", ["Epl2"]),
     ("reserved", "All-Rights-Reserved", ["AllRights"]),
 ]
+#: The ids that a tag may give (`SPDX-License-Identifier: MIT`), and the names that projects call some licenses by.
+TAGS = [
+    *"0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0".split(),
+    *"CC0-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later".split(),
+    *"LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense WTFPL Zlib".split(),
+]
+NAMES = {
+    "MIT": ["MIT License", "MIT license (MIT)"],
+    "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License", "Apache-2.0 License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License"],
+    "GPL-3.0-only": ["GNU General Public License v3.0", "GPL-3.0 License", "GPLv3 License"],
+    "GPL-2.0-only": ["GNU General Public License v2.0", "GPL-2.0 License", "GPLv2 License"],
+    "LGPL-3.0-only": ["GNU Lesser General Public License v3.0"],
+    "AGPL-3.0-only": ["GNU Affero General Public License v3.0", "AGPL-3.0 License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "MPL-2.0 License"],
+    "ISC": ["ISC License"],
+    "Unlicense": ["Unlicense"],
+}
+SAYS_WHERE = ["", " see the LICENSE file for details", " see the LICENSE.md file for details", " see the LICENSE LICENSE file for details", " see LICENSE for details"]
+#: Headings of the licenses' own texts.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License (MIT)"],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004"],
+    "GPL-3.0-only": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "GPL-2.0-only": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "LGPL-3.0-only": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "AGPL-3.0-only": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+    "BSD-3-Clause": ["BSD 3-Clause License"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "ISC": ["ISC License"],
+}
+#: What RULES name that is a notice, not a license.
+NOTICES = ["All-Rights-Reserved"]
+#: The colon of a tag ends no sentence.
+TAG = r"(?i)(SPDX-License-Identifier):[ \t]*"
+
 #: Where sentences end, and what normalisation takes for a space. The same in Java and RE2.
 ENDS = r"[.!?;:]*[\n\r]+|[.!?;:]+[ \t]+"
 NOISE = r"[^a-z0-9.]+"
@@ -187,14 +227,31 @@ def known() -> dict[str, str]:
     return out
 
 
+def declared() -> dict[str, list[str]]:
+    """Sentences by identifier, made of tags, names and titles: a license is declared by its id, by its name or by a heading."""
+    out = {f"Tag-{x}": [f"SPDX-License-Identifier {x}"] for x in TAGS}
+    for x, names in NAMES.items():
+        # The MIT License has been known in these words.
+        out["MitReleased" if x == "MIT" else f"Project-{x}"] = [f"This {thing} is licensed under the {name}{where}" for thing in ("project", "software") for name in names for where in SAYS_WHERE]
+    return out | {f"Title-{x}": titles for x, titles in TITLES.items()}
+
+
+def all_rules() -> list[tuple[str, str, list[str]]]:
+    """RULES and, after them, those for what is declared."""
+    return [*RULES, *((f"declared {name}", name.split("-", 1)[1], [name]) for name in declared() if "-" in name)]
+
+
 def published() -> dict[str, str]:
     """known() and the further sentences; identifiers have commas between them where a sentence stands for several."""
-    return known() | {normalised(x): ",".join(names) for names, variants in PUBLISHED.items() for x in variants}
+    whole = known() | {normalised(x): ",".join(names) for names, variants in PUBLISHED.items() for x in variants}
+    for pair in (("Apache-2.0", "MIT"), ("MIT", "Apache-2.0")):
+        whole[normalised(f"SPDX-License-Identifier {' OR '.join(pair)}")] = ",".join(f"Tag-{x}" for x in pair)
+    return {normalised(x): name for name, variants in declared().items() for x in variants} | whole
 
 
 def pieces(text: Column) -> Column:
     """The pieces of a text, with an empty one where a sentence can't go on; an array of an empty one for null."""
-    lines = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    lines = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), TAG, "$1 ")
     return F.split(F.regexp_replace(lines, STOPS, "\n\n"), "\n")
 
 
@@ -235,9 +292,9 @@ def scan(
     docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None,
     rules: list[tuple[str, str, list[str]]] | None = None,
 ) -> DataFrame:
-    """key, n_sentences long, sentence_ids array (in the order of the text), licenses array (in the order of the rules).
+    """key, n_sentences long, sentence_ids array (in the order of the text), licenses and notices arrays (in the order of the rules).
 
-    sentences: identifiers, with commas between them, by normalised() sentence (published() if left out); rules: as RULES.
+    sentences: identifiers, with commas between them, by normalised() sentence (published() if left out); rules: as RULES, all_rules() if left out.
     """
     raw = docs.select(F.col(key), F.col(text).alias("_text"), pieces(F.col(text)).alias("_s"))
     ids = identifiers(F.col("_s"), sentences or published())
@@ -245,7 +302,11 @@ def scan(
         low = ascii_lower(F.coalesce(F.col("_text"), F.lit("")))
         ids = F.when(reduce(or_, (F.contains(low, F.lit(x)) for x in SIGNS)), ids).otherwise(F.array().cast("array<string>"))
     counted = raw.select(F.col(key), F.size(F.filter("_s", lambda x: F.btrim(x) != "")).cast("long").alias("n_sentences"), ids.alias("sentence_ids"))
-    return counted.withColumn("licenses", named("sentence_ids", rules or RULES))
+    found = counted.withColumn("_named", named("sentence_ids", rules or all_rules()))
+    notice = lambda x: x.isin(NOTICES)
+    return found.select(
+        key, "n_sentences", "sentence_ids", F.filter("_named", lambda x: ~notice(x)).alias("licenses"), F.filter("_named", notice).alias("notices"),
+    )
 
 
 def named(ids: str, rules: list[tuple[str, str, list[str]]]) -> Column:
@@ -265,7 +326,8 @@ def oracle_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     table = "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in known().items()) + "}"
     families: dict[str, list[str]] = {}
-    for family, license_id, run in RULES:
+    said = [",".join(run) for _, name, run in RULES if name in NOTICES]
+    for family, license_id, run in [x for x in RULES if x[1] not in NOTICES]:
         families.setdefault(family, []).append(f"WHEN contains(line, {quote(',' + ','.join(run) + ',')}) THEN {quote(license_id)}")
     cases = ", ".join(f"CASE {' '.join(x)} END" for x in families.values())
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -277,5 +339,6 @@ def oracle_sql() -> str:
                 array_to_string(list_filter(list_transform(parts, lambda x: m[trim(regexp_replace(translate(x, '{upper}', '{lower}'), '{NOISE}', ' ', 'g'), ' .')]), lambda x: x IS NOT NULL), ',') AS sentence_ids
             FROM split, known),
         lined AS (SELECT *, ',' || sentence_ids || ',' AS line FROM named)
-        SELECT doc_id, n_sentences, sentence_ids, array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',') AS licenses FROM lined
+        SELECT doc_id, n_sentences, sentence_ids, array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',') AS licenses,
+            CASE WHEN {" OR ".join(f"contains(line, ',{x},')" for x in said)} THEN '{NOTICES[0]}' ELSE '' END AS notices FROM lined
     """

@@ -233,7 +233,7 @@ def test_wrapped_licenses(spark):
 
 def test_published_licenses(spark):
     cases = {
-        MIT: ("MIT", "MitPermission,MitNotice"),
+        MIT: ("MIT", "Title-MIT,MitPermission,MitNotice"),
         GPL3: ("GPL-3.0-or-later", "GplFree,GplFree,Gpl3OrLater"),
         GPL3.replace("version 3", "version 2"): ("GPL-2.0-or-later", "GplFree,GplFree,Gpl2OrLater"),
         GPL2: ("GPL-2.0-or-later", "GplFree,GplFree,Gpl2OrLater"),
@@ -454,3 +454,26 @@ def test_language(spark, docs, no_docs, clashing):
     assert language.train(no_docs) is None and {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
     single = language.train(frame.where("lang = 'en'"))
     assert {r.lang_pred for r in language.predict(frame, single).collect()} == {"en"}
+
+
+def test_declared_licenses(spark):
+    """Tags, names in a project's words, titles; a notice isn't a license."""
+    cases = {
+        "// SPDX-License-Identifier: MIT\nint x;": "MIT",
+        "/* spdx-license-identifier:Apache-2.0 */": "Apache-2.0",
+        "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+        "# SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT",
+        "mit\nSPDX-License-Identifier: Unknown-1": "",
+        "This project is licensed under the MIT License - see the LICENSE file for details.": "MIT",
+        "This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details": "",
+        "This project is licensed under the Apache License 2.0 - see the [LICENSE](LICENSE) file\nfor details.": "Apache-2.0",
+        "                                 Apache License\n                           Version 2.0, January 2004\n": "Apache-2.0",
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n": "GPL-3.0-only",
+        "The MIT License (MIT)\n\nCopyright (c) 2020 Somebody": "MIT",
+        "This file is licensed under the Creative Commons Attribution-Share Alike 4.0 International license.": "CC-BY-SA-4.0",
+        "We licensed it. All rights reserved.": "",
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan(frame).collect()}
+    assert {t: ",".join(rows[i].licenses) for i, t in enumerate(cases)} == cases
+    assert [list(r.notices) for i, r in sorted(rows.items())][-1] == ["All-Rights-Reserved"] and not rows[0].notices
