@@ -10,7 +10,8 @@ beginning of the path, so nothing large is sent.
 
 Host: after the first :// up to /, ? or #, A-Z in lower case; path: from there up to ? or #. Defined cases: null
 urls and those without :// have an empty host and path, and no rule fits an empty host; an empty table gives an
-empty result; repeated rows get equal results; other columns of the pages, whatever their names, are ignored.
+empty result; repeated rows get equal results; other columns of the pages, whatever their names, are ignored; a null
+page id is carried along; a url is judged whole, however long.
 """
 
 from collections.abc import Iterable, Iterator

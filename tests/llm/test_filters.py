@@ -96,6 +96,12 @@ def test_urls(spark):
         rows = {r.page_id: tuple(r)[1:] for r in urls.judge(pages, URL_RULES, most_rules=most).collect()}
         assert [rows[i] for i in range(len(cases) + 2)] == [*cases.values(), ("", "", None, "allow"), ("", "", None, "allow")]
     assert urls.judge(pages.limit(0), URL_RULES).count() == 0
+    # All names of results and of columns in between, and a null id.
+    more = pages.withColumns({c: F.lit("clash") for c in ("path", "rule", "verdict", "_u", "_url", "_host", "_path", "_key", "_salt")})
+    more = more.unionByName(more.where("page_id = 0").withColumn("page_id", F.lit(None).cast("long")))
+    for most in (1000, 2):
+        rows = {r.page_id: tuple(r)[1:] for r in urls.judge(more, URL_RULES, most_rules=most).collect()}
+        assert [rows[i] for i in range(len(cases))] == list(cases.values()) and rows[None] == rows[0] and len(rows) == len(cases) + 3
 
 
 def test_url_precedence(spark):
