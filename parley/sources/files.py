@@ -44,12 +44,6 @@ def version(rows: DataFrame) -> tuple:
     return tuple(out)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder is there, in any store that Spark reads."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def resolve(path: str, folders: list[str]) -> str:
     """The path itself if it is there, else the first folder that has a file of that name."""
     for candidate in (path, *(os.path.join(folder, os.path.basename(path)) for folder in folders)):
