@@ -12,7 +12,8 @@ to it. Hits of all shards are united, so the result is the same whatever the sha
 
 Defined cases: null or empty texts have no words and no hits; an item without words has no window; rows repeated
 in the items count once per item id; a null item id marks hits but is no item to be listed; an empty benchmark
-hits nothing; other columns, whatever their names, are ignored. A null key is kept.
+hits nothing; other columns, whatever their names, are ignored. A null key is kept. Texts of any length are
+looked at whole.
 """
 
 from collections.abc import Iterator

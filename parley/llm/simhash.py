@@ -18,7 +18,7 @@ anchors bring together is a candidate then, and bands of minimum hashes bring th
 Defined cases: texts without words, null ones too, have fingerprint zero and link like any other; an empty table
 gives an empty result; repeated rows are copies; other columns of the input, whatever their names, are ignored.
 A null key is kept in its row and never names a component unless all keys of the component are null. Texts of fewer
-words than a shingle are one shingle.
+words than a shingle are one shingle; very long ones are hashed whole.
 """
 
 from collections.abc import Iterator

@@ -8,7 +8,8 @@ that of all shingles of both.
 
 Shingles are of words as they are, [^\\x20\\x09-\\x0D]+; a text of fewer words is one shingle. Defined cases: a
 null text is an empty one; texts without words have an empty sketch, and two empty sketches are alike (1.0);
-repeated rows have equal sketches; other columns, whatever their names, are ignored; an empty table gives an empty result.
+repeated rows have equal sketches; other columns, whatever their names, are ignored; an empty table gives an empty result. Very long
+texts are sketched whole.
 """
 
 from pyspark.sql import Column, DataFrame, Window

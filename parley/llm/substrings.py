@@ -15,7 +15,7 @@ that of all words of the window, and its key.
 
 Defined cases: a null text has no words; an empty table gives an empty result; a repeated row is a second place
 of all its windows; texts shorter than a window lose nothing; other columns of the input are ignored, whatever
-their names, and a null key is kept.
+their names, and a null key is kept. Very long texts are looked at whole.
 """
 
 from collections.abc import Callable, Iterator
