@@ -200,7 +200,9 @@ def pearson(rows: DataFrame, by: list[str], t: str = "t", p: str = "p", name: st
 
 
 def _pearson(t: str, p: str) -> Column:
-    r = F.covar_pop(t, p) / F.nullif(F.sqrt(F.var_pop(t) * F.var_pop(p)), F.lit(0.0))
+    # Merged variances of equal values may come out a little above 0, so what varies is asked of the values.
+    varies = (F.min(t) < F.max(t)) & (F.min(p) < F.max(p))
+    r = F.when(varies, F.covar_pop(t, p) / F.nullif(F.sqrt(F.var_pop(t) * F.var_pop(p)), F.lit(0.0)))
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0))))
 
 

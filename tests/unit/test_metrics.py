@@ -47,6 +47,14 @@ def test_degenerate_agreement(spark):
     assert one(spark, [(1, 2), (2, 2), (3, 4), (5, 3)]).mae == 1
 
 
+def test_constant_ratings_in_many_parts(spark):
+    """Of so many rows a part, the mean of equal values isn't that value once parts are merged."""
+    for n in (47, 94, 173):
+        rows = spark.range(0, 4 * n, 1, 4).selectExpr("'g' as g", "3 as t", "3 as p", "id % 5 as v")
+        assert metrics.pearson(rows, ["g"]).first().pearson == metrics.pearson(rows, ["g"], "t", "v").first().pearson == metrics.pearson(rows, ["g"], "v", "p").first().pearson == 0
+        assert metrics.pearson(rows, ["g"], "v", "v").first().pearson == pytest.approx(1)
+
+
 def test_average_rank(spark):
     rows = spark.createDataFrame([("a", x) for x in (10, 20, 20, 30)], "g string, v int")
     assert sorted(r.k for r in metrics.average_rank(rows, ["g"], "v", "k").collect()) == [1, 2.5, 2.5, 4]
