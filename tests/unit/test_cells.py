@@ -45,7 +45,7 @@ def talks(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["bm25_top3_unstored", "retrieval_context", "tfidf_top1", "simple_agent", "bm25_top3_by_bounds", "agent_pipeline", "bm25_top3_extended"])
+@pytest.mark.parametrize("name", ["bm25_top3_unstored", "retrieval_context", "tfidf_top1", "simple_agent", "bm25_top3_by_bounds", "agent_pipeline", "bm25_top3_extended", "bm25_top3"])
 def test_hits_are_not_shuffled(spark, talks, name):
     """Nor with joins that can't be broadcast."""
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
