@@ -5,6 +5,7 @@ import random
 import pytest
 
 from parley.operators import threads as th
+from parley.operators.index import SearchIndex
 from parley.plans import QUERIES
 from tests.unit.test_cells import shuffled
 
@@ -52,3 +53,9 @@ def test_only_first_turns_are_shuffled(spark, long_talks, name):
     before = shuffled(spark)
     assert len({r[0] for r in QUERIES[name](spark, long_talks).collect()}) == 20
     assert shuffled(spark) - before < 400_000
+
+
+def test_deltas_rewrite_counts_only(spark, tmp_path):
+    corpus = spark.createDataFrame([(i, i, f"w{i} the my") for i in range(20)], "doc_id int, pos int, text string")
+    made = SearchIndex.build(corpus.where("pos < 9"), str(tmp_path / "i")).add(corpus.where("pos > 7"))
+    assert {p.name for p in (tmp_path / "i" / f"v{made.version:06d}").iterdir()} == {"raw", "terms", "sums", "stats"}
