@@ -48,7 +48,7 @@ def long_talks(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["retrieval_context", "simple_agent", "agent_pipeline"])
+@pytest.mark.parametrize("name", ["retrieval_context", "simple_agent", "agent_pipeline", "bm25_top3"])
 def test_only_first_turns_are_shuffled(spark, long_talks, name):
     before = shuffled(spark)
     assert len({r[0] for r in QUERIES[name](spark, long_talks).collect()}) == 20
