@@ -5,7 +5,8 @@ import random
 import pytest
 
 from parley.operators import cells, search
-from parley.plans import QUERIES
+from parley.operators import index as ix
+from parley.plans import QUERIES, catalogue
 from tests.unit.test_index import corpus_of, ranked
 from tests.unit.test_threads import brute
 
@@ -56,3 +57,18 @@ def test_hits_are_not_shuffled(spark, talks, name):
         assert shuffled(spark) - before < 6_000_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("name", ["bm25_top3"])
+def test_blocks_are_shuffled_once(spark, talks, name, monkeypatch):
+    """However many blocks there are on the other side: the same rows, and no copy of a block for each of them."""
+    made = []
+    for part, asked in ((cells.PART, cells.ASKED), (400, 50)):
+        monkeypatch.setattr(cells, "PART", part)
+        monkeypatch.setattr(ix, "PART", part)
+        monkeypatch.setattr(cells, "ASKED", asked)
+        catalogue._INDEXES.clear()
+        before = shuffled(spark)
+        made.append((sorted(map(str, QUERIES[name](spark, talks).collect())), shuffled(spark) - before))
+    (rows, least), (again, most) = made
+    assert rows == again and most < 2 * least
