@@ -59,7 +59,7 @@ def test_hits_are_not_shuffled(spark, talks, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
-@pytest.mark.parametrize("name", ["bm25_top3", "agent_pipeline"])
+@pytest.mark.parametrize("name", ["bm25_top3", "agent_pipeline", "bm25_top3_extended"])
 def test_blocks_are_shuffled_once(spark, talks, name, monkeypatch):
     """However many blocks there are on the other side: the same rows, and no copy of a block for each of them."""
     made = []
