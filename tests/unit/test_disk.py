@@ -1,5 +1,6 @@
-"""What searches and agents put on disk: no texts that nobody asked for."""
+"""What searches and agents put on disk: no texts that nobody asked for, and nothing of a table that is written."""
 
+import os
 import random
 
 import pytest
@@ -8,10 +9,17 @@ from pyspark.sql import functions as F
 from parley.operators import agents
 from parley.operators import threads as th
 from parley.plans import QUERIES, catalogue
+from parley.session import kept
 from tests.unit.test_cells import shuffled
 from tests.unit.test_exchange import WORDS
 
 
+def left(spark):
+    """The shuffle files that are there now, and their bytes."""
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    return {f"{d}/{x}": os.path.getsize(f"{d}/{x}") for top in folders for d, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+
+
 @pytest.fixture(scope="module")
 def replies(spark, tmp_path_factory):
     """3,000 short questions with long replies: 300 of them are asked, and find at most 300 replies of 1.2 KB."""
@@ -57,3 +65,17 @@ def test_best_only(spark):
     ids = corpus.where("pos % 7 = 0").select("thread_id")
     found = {r[0] for r in corpus.where(agents.likely(F.col("thread_id"), ids, "thread_id")).select("thread_id").collect()}
     assert {r[0] for r in ids.collect()} <= found and len(found) < 12
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", left(spark)
+    setting = spark.conf.get(key)
+    rows = spark.range(200_000).repartition(3, "id")
+    assert kept(rows, str(tmp_path / "x")).count() == 200_000
+    assert sum(size for x, size in left(spark).items() if x not in before) < 10_000 and spark.conf.get(key) == setting
+
+
+def test_extended_index_has_one_version_left(spark, replies, monkeypatch, tmp_path):
+    monkeypatch.setattr(catalogue, "shared_dir", lambda spark: str(tmp_path))
+    assert len({r.query_id for r in QUERIES["bm25_top3_extended"](spark, replies).collect()}) == 300
+    assert [v.name for s in tmp_path.glob("search-*") for v in s.glob("v*")] == ["v000002"]
