@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import agents
 from parley.operators import threads as th
+from parley.operators.index import SearchIndex
 from parley.plans import QUERIES, catalogue
 from parley.session import kept
 from tests.unit.test_cells import shuffled
@@ -79,3 +80,21 @@ def test_extended_index_has_one_version_left(spark, replies, monkeypatch, tmp_pa
     monkeypatch.setattr(catalogue, "shared_dir", lambda spark: str(tmp_path))
     assert len({r.query_id for r in QUERIES["bm25_top3_extended"](spark, replies).collect()}) == 300
     assert [v.name for s in tmp_path.glob("search-*") for v in s.glob("v*")] == ["v000002"]
+
+
+def test_each_step_of_the_extended_index_counts(spark, replies, monkeypatch):
+    """As from an index that is built at once; not so if the delta leaves out what it has to replace, or if there is no delta."""
+    add, there = SearchIndex.add, []
+    hits = lambda name="bm25_top3_extended": sorted(map(str, QUERIES[name](spark, replies).select("query_id", "rank", "doc_id", "score").collect()))
+    whole = hits("bm25_top3")
+
+    def new_only(self, more):
+        known = self.table("raw").select(F.col("doc").alias("doc_id"))
+        there.append(more.join(known, "doc_id", "left_semi").count())
+        return add(self, more.join(known, "doc_id", "left_anti"))
+
+    assert hits() == whole
+    monkeypatch.setattr(SearchIndex, "add", new_only)
+    assert hits() != whole and there == [100]
+    monkeypatch.setattr(SearchIndex, "add", lambda self, more: add(self, more.limit(0)))
+    assert hits() != whole

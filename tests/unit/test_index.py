@@ -67,6 +67,36 @@ def test_delta(spark, texts, tmp_path):
     assert SearchIndex.load(spark, str(tmp_path / "none")) is None
 
 
+def test_delta_goes_on_from_counts(spark, tmp_path):
+    """Terms are counted in what changes only, and added to the counts that the version before has: as if built at once."""
+    docs = ["a b", "b c c", "c d", "", "a a e"]
+    corpus, folder = corpus_of(spark, docs), tmp_path / "i"
+    counts = lambda made: {r.term: (r.df, round(r.idf, 9)) for r in made.table("terms").collect()}
+    first = SearchIndex.build(corpus.where("doc_id < 3").withColumn("text", F.when(F.col("doc_id") == 1, "a gone gone").otherwise(F.col("text"))), str(folder))
+    assert set(counts(first)) == {"a", "b", "c", "d", "gone"}
+    made = first.add(corpus.where("doc_id in (1, 3)")).add(corpus.where("doc_id in (0, 4)"))
+    whole = SearchIndex.build(corpus, str(tmp_path / "whole"))
+    assert counts(made) == counts(whole) and (made.n, made.mean, made.first, made.most) == (whole.n, whole.mean, whole.first, whole.most)
+    assert sorted(map(str, made.documents().drop("change").collect())) == sorted(map(str, whole.documents().drop("change").collect()))
+    twice = made.add(corpus.where("doc_id = 1").union(corpus.where("doc_id = 1")))  # both stay, for what was one
+    assert {t: n for t, (n, _) in counts(twice).items()} == {"a": 2, "b": 3, "c": 3, "d": 1, "e": 1}
+    more = made.table("terms").select("term", (F.col("df") + 7).alias("df"), "idf").collect()
+    spark.createDataFrame(more, "term string, df long, idf double").write.mode("overwrite").parquet(f"{folder}/v000003/terms")
+    assert {t: n for t, (n, _) in counts(made.add(corpus.where("doc_id = 2"))).items()} == {"a": 9, "b": 9, "c": 9, "d": 8, "e": 8}
+
+
+def test_versions_of_earlier_releases(spark, texts, tmp_path):
+    """Their documents don't say what changed."""
+    docs, queries = texts
+    asked, folder = spark.createDataFrame(list(enumerate(queries)), "query_id int, text string"), tmp_path / "i"
+    rows = SearchIndex.build(corpus_of(spark, docs).where("doc_id < 30"), str(folder)).documents().drop("change").collect()
+    schema = "doc int, pos int, len int, terms array<struct<term:string,tf:long>>"
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{folder}/v000001/raw")
+    made = SearchIndex.load(spark, str(folder))
+    assert ranked(made.search(asked, 3)) == brute(queries, docs[:30], 3, "bm25")
+    assert ranked(made.add(corpus_of(spark, docs).where("doc_id > 20")).search(asked, 3)) == brute(queries, docs, 3, "bm25")
+
+
 def test_texts_are_not_read_again(spark, texts, tmp_path):
     docs, queries = texts
     corpus_of(spark, docs).write.parquet(str(tmp_path / "texts"))
